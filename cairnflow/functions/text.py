@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the characters a Unicode-aware ``\s`` matches, spelled so that Java and RE2 agree.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -25,7 +26,7 @@ COMMON_ENTITIES = {
 RARE_ENTITY = r"&(?!(?:" + "|".join(COMMON_ENTITIES) + r");|[\t\n\f <&;]|\z)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(html.unescape, na_action="ignore")

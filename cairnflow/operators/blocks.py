@@ -70,10 +70,13 @@ def sub_block(count: Column) -> Column:
 
 
 def partition(
-    base: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS
+    base: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS, rows: int | None = None
 ) -> tuple[DataFrame, Cells]:
     """Place ``base`` (id, vector, ...) into cells and blocks; returns the written rows and the cells."""
-    rows = base.count()
+    rows = base.count() if rows is None else rows
+    if rows <= block_rows:
+        whole = Cells(np.zeros((1, 1)), np.ones(1, dtype=np.int64), np.zeros(1), np.full(1, np.inf))
+        return base.withColumns({"cell": F.lit(0), "reach": F.lit(0.0), "block": F.lit(0)}), whole
     wanted = max(1, min(max_pivots, -(-rows // block_rows)))
     sample = base.select("vector").orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()
     pivots = stack(sample["vector"]) if len(sample) else np.zeros((1, 1))
@@ -95,8 +98,10 @@ def partition(
     return placed.withColumn("block", block), Cells(pivots, blocks, inner, outer)
 
 
-def home_targets(queries: DataFrame, cells: Cells, block_rows: int) -> DataFrame:
+def home_targets(queries: DataFrame, cells: Cells) -> DataFrame:
     """Each query with the one block it visits first, in its nearest non-empty cell."""
+    if cells.block_count == 1:
+        return queries.withColumns({"cell": F.lit(0), "block": F.lit(0)})
     filled = np.where(cells.blocks > 0, 0.0, np.inf)
     pivots = cells.pivots
 
@@ -172,39 +177,44 @@ def join_blocks(
 NEIGHBOURS = "id long, neighbour long, distance double"
 
 
+def k_smallest(
+    table: np.ndarray, left: np.ndarray, right: np.ndarray, others: np.ndarray, k: int, floor: Callable | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other id, value) of the k smallest finite entries per row, ties by id.
+
+    ``table`` holds distances from the matrix form, which loses digits. Whatever it places within
+    rounding reach of the k-th value is measured again by direct difference (``floor`` may raise the
+    measured values to mutual reachability), rounded to 12 digits, and ordered by (value, id).
+    """
+    k = min(k, table.shape[1])
+    slack = 1e-6 * (1.0 + np.sqrt((left**2).sum(1).max()) + np.sqrt((right**2).sum(1).max()))
+    kth = np.partition(table, k - 1, axis=1)[:, k - 1]
+    rows, columns = np.nonzero((table <= (kth + slack)[:, None]) & np.isfinite(table))
+    values = np.empty(len(rows))
+    for start in range(0, len(rows), 65536):
+        part = slice(start, start + 65536)
+        values[part] = np.sqrt(((right[columns[part]] - left[rows[part]]) ** 2).sum(1))
+    if floor is not None:
+        values = floor(rows, columns, values)
+    values = np.round(values, 12)
+    order = np.lexsort((others[columns], values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    first = np.searchsorted(rows, rows, side="left")
+    kept = np.arange(len(rows)) - first < k
+    return rows[kept], others[columns[kept]], values[kept]
+
+
 def top_k_kernel(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype(
-            {"id": "int64", "neighbour": "int64", "distance": "float64"}
-        )
         if queries.empty or rows.empty:
-            return empty
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         left, right = stack(queries["vector"]), stack(rows["vector"])
         ids, others = queries["id"].to_numpy(), rows["id"].to_numpy()
         table = distances(left, right)
         if exclude_self:
             table[ids[:, None] == others[None, :]] = np.inf
-        # A few spare candidates, then exact differences decide: the matrix form loses digits.
-        spare = min(k + 8, len(others))
-        near = np.argpartition(table, spare - 1, axis=1)[:, :spare]
-        found = []
-        for start in range(0, len(ids), 256):
-            part = slice(start, start + 256)
-            gap = right[near[part]] - left[part][:, None, :]
-            exact = np.sqrt((gap**2).sum(2))
-            exact[np.isinf(np.take_along_axis(table[part], near[part], 1))] = np.inf
-            order = np.lexsort((others[near[part]], exact), axis=1)[:, :k]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(ids[part], order.shape[1]),
-                        "neighbour": np.take_along_axis(others[near[part]], order, 1).ravel(),
-                        "distance": np.take_along_axis(exact, order, 1).ravel(),
-                    }
-                )
-            )
-        result = pd.concat(found, ignore_index=True)
-        return result[np.isfinite(result["distance"])]
+        row, other, value = k_smallest(table, left, right, others, k)
+        return pd.DataFrame({"id": ids[row], "neighbour": other, "distance": value})
 
     return kernel
 
@@ -235,7 +245,7 @@ def nearest_neighbours(
     rows = rows.select("id", "vector", "cell", "block")
     points = queries.select("id", "vector")
     kernel = top_k_kernel(k, exclude_self)
-    first_visits = home_targets(points, cells, block_rows)
+    first_visits = home_targets(points, cells)
     first = join_blocks(first_visits, rows, kernel, NEIGHBOURS, block_rows)
     if cells.block_count > 1:
         first = materialize(first, "first-visit")

@@ -10,16 +10,30 @@ whose short list runs out while more partners exist gets a new list over what is
 from __future__ import annotations
 
 import math
+from itertools import count
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions.vectors import as_double, dot, is_valid_vector, normalize
-from cairnflow.operators.blocks import BLOCK_ROWS, nearest_neighbours
+from cairnflow.operators.blocks import (
+    BLOCK_ROWS,
+    distances,
+    home_targets,
+    join_blocks,
+    k_smallest,
+    partition,
+    stack,
+    with_targets,
+)
 from cairnflow.schemas import SIMILARITY_THRESHOLD
-from cairnflow.session import materialize
+from cairnflow.session import materialize, materialize_counted
 
-CANDIDATES = 16
+CANDIDATES = 32
+# Rounds of anti joins between two writes of the remaining lists.
+CUT_EVERY = 4
 
 
 def validate_threshold(threshold: float) -> float:
@@ -47,32 +61,77 @@ def _reach(threshold: float) -> float:
     return math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
 
 
-def similar(queries: DataFrame, base: DataFrame, threshold: float, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(id, neighbour, similarity)``: the k most similar base vectors at or above the threshold."""
-    near = nearest_neighbours(queries, base, k, block_rows=block_rows, max_distance=_reach(threshold))
-    paired = near.join(queries.select("id", F.col("vector").alias("a")), "id").join(
-        base.select(F.col("id").alias("neighbour"), F.col("vector").alias("b")), "neighbour"
+PAIRS = "current long, previous long, distance double, similarity double, best_of_current boolean, best_of_previous boolean"
+
+
+def _pairs_kernel(threshold: float, k: int):
+    reach = _reach(threshold)
+
+    def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or rows.empty:
+            return pd.DataFrame({c: [] for c in ("current", "previous", "distance", "similarity", "best_of_current", "best_of_previous")})
+        left, right = stack(queries["vector"]), stack(rows["vector"])
+        ids, others = queries["id"].to_numpy(), rows["id"].to_numpy()
+        table = distances(left, right)
+        table[table > reach] = np.inf
+        parts = []
+        for of_current in (True, False):
+            if of_current:
+                row, other, value = k_smallest(table, left, right, others, k)
+                current, previous = ids[row], other
+            else:
+                row, other, value = k_smallest(table.T, right, left, ids, k)
+                current, previous = other, others[row]
+            parts.append(pd.DataFrame({"current": current, "previous": previous, "distance": value, "of_current": of_current}))
+        both = pd.concat(parts, ignore_index=True)
+        sides = both.groupby(["current", "previous"], as_index=False).agg(
+            distance=("distance", "first"), best_of_current=("of_current", "max"), best_of_previous=("of_current", "min")
+        )
+        sides["best_of_previous"] = ~sides["best_of_previous"].astype(bool)
+        sides["best_of_current"] = sides["best_of_current"].astype(bool)
+        at, to = pd.Index(ids).get_indexer(sides["current"]), pd.Index(others).get_indexer(sides["previous"])
+        sides["similarity"] = np.round((left[at] * right[to]).sum(1), 12)
+        return sides[["current", "previous", "distance", "similarity", "best_of_current", "best_of_previous"]]
+
+    return kernel
+
+
+def _lists(current: DataFrame, previous: DataFrame, rows: int, threshold: float, k: int, block_rows: int):
+    """Each side's k nearest partners, and whether some list may be incomplete.
+
+    One pass over the block pairs within reach of the threshold yields both sides' candidates.
+    """
+    placed, cells = partition(previous, block_rows, rows=rows)
+    bounded = current.withColumn("bound", F.lit(_reach(threshold)))
+    if cells.block_count == 1:
+        visits = home_targets(current, cells)
+    else:
+        visits = with_targets(bounded, cells, "bound").drop("bound")
+    pairs, emitted = materialize_counted(
+        join_blocks(visits, placed.select("id", "vector", "cell", "block"), _pairs_kernel(threshold, k), PAIRS, block_rows),
+        "pairs",
     )
-    similarity = F.round(dot(F.col("a"), F.col("b")), 12)
-    return paired.select("id", "neighbour", similarity.alias("similarity")).filter(
-        F.col("similarity") >= threshold
-    )
-
 
-def _lists(current: DataFrame, previous: DataFrame, threshold: float, k: int, block_rows: int):
-    """Both sides' short lists, each row knowing whether its list may be incomplete."""
-    by_current = similar(current, previous, threshold, k, block_rows).select(
-        F.col("id").alias("current"), F.col("neighbour").alias("previous"), "similarity"
-    )
-    by_previous = similar(previous, current, threshold, k, block_rows).select(
-        F.col("neighbour").alias("current"), F.col("id").alias("previous"), "similarity"
+    def shortest(side: str) -> DataFrame:
+        order = Window.partitionBy(side).orderBy("distance", "current", "previous")
+        return (
+            pairs.filter(F.col(f"best_of_{side}"))
+            .withColumn("position", F.row_number().over(order))
+            .filter(F.col("position") <= k)
+            .select("current", "previous", "distance", "similarity", "position")
+        )
+
+    by_current, by_previous = shortest("current"), shortest("previous")
+    truncated = emitted >= k and not (
+        by_current.filter(F.col("position") == k).unionAll(by_previous.filter(F.col("position") == k)).isEmpty()
     )
-    return materialize(by_current, "by-current"), materialize(by_previous, "by-previous")
+    usable = F.col("similarity") >= threshold
+    return by_current.filter(usable), by_previous.filter(usable), truncated
 
 
 def _best(pairs: DataFrame, side: str) -> DataFrame:
-    order = F.struct((-F.col("similarity")).alias("s"), "current", "previous")
-    return pairs.groupBy(side).agg(F.min(order).alias("best")).select("best.current", "best.previous", (-F.col("best.s")).alias("similarity"))
+    order = F.struct("distance", "current", "previous", "similarity")
+    return pairs.groupBy(side).agg(F.min(order).alias("best")).select("best.*")
 
 
 def _without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
@@ -91,38 +150,33 @@ def match_pairs(
     """Matched ``(current, previous, similarity)`` of two ``(cluster_id, centroid)`` tables."""
     threshold = validate_threshold(threshold)
     current = materialize(unit_centroids(current), "current")
-    previous = materialize(unit_centroids(previous), "previous")
+    previous, rows = materialize_counted(unit_centroids(previous), "previous")
     matched: DataFrame | None = None
     while True:
-        by_current, by_previous = _lists(current, previous, threshold, candidates, block_rows)
-        truncated = _truncated(by_current, by_previous, candidates)
+        by_current, by_previous, truncated = _lists(current, previous, rows, threshold, candidates, block_rows)
         progress = False
-        while True:
-            taken = materialize(
-                _best(by_current, "current").join(
-                    _best(by_previous, "previous").select("current", "previous"), ["current", "previous"]
-                ),
-                "matched",
+        for turn in count(1):
+            both = _best(by_current, "current").join(
+                _best(by_previous, "previous").select("current", "previous"), ["current", "previous"]
             )
-            if taken.isEmpty():
+            taken, found = materialize_counted(both.select("current", "previous", "similarity"), "matched")
+            if not found:
                 break
             progress = True
             matched = taken if matched is None else matched.unionByName(taken)
-            by_current = materialize(_without(by_current, taken), "by-current")
-            by_previous = materialize(_without(by_previous, taken), "by-previous")
+            by_current, by_previous = _without(by_current, taken), _without(by_previous, taken)
+            if turn % CUT_EVERY == 0:
+                by_current = materialize(by_current, "by-current")
+                by_previous = materialize(by_previous, "by-previous")
+                matched = materialize(matched, "matched")
         # Without a full list nothing was cut off, so the short lists were all there is.
-        if not progress or not truncated:
-            break
+        if not (progress and truncated):
+            return taken if matched is None else matched
+        matched = materialize(matched, "matched")
         current = materialize(current.join(matched.select(F.col("current").alias("id")), "id", "left_anti"), "current")
-        previous = materialize(previous.join(matched.select(F.col("previous").alias("id")), "id", "left_anti"), "previous")
-    if matched is None:
-        return taken
-    return matched
-
-
-def _truncated(by_current: DataFrame, by_previous: DataFrame, candidates: int) -> bool:
-    full = by_current.groupBy("current").count().unionAll(by_previous.groupBy("previous").count())
-    return not full.filter(F.col("count") >= candidates).isEmpty()
+        previous, rows = materialize_counted(
+            previous.join(matched.select(F.col("previous").alias("id")), "id", "left_anti"), "previous"
+        )
 
 
 def match_clusters(

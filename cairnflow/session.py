@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Semantics the operators rely on. Sizing (shuffle partitions, split bytes, memory) belongs to
 # the deployment: AQE coalesces small shuffles and splits skewed ones at run time.
@@ -65,7 +66,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     columns and push filters) and its size is known to the optimizer, so joins against it are
     broadcast only when they really are small. A lost executor costs a re-read, not a re-run.
     """
+    return materialize_counted(df, name)[0]
+
+
+def materialize_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``materialize`` plus the number of rows written, counted while writing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairnflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(written.get["rows"])
