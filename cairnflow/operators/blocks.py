@@ -47,6 +47,7 @@ class Cells:
     blocks: np.ndarray
     inner: np.ndarray
     outer: np.ndarray
+    pivot_ids: np.ndarray
 
     @property
     def block_count(self) -> int:
@@ -75,10 +76,10 @@ def partition(
     """Place ``base`` (id, vector, ...) into cells and blocks; returns the written rows and the cells."""
     rows = base.count() if rows is None else rows
     if rows <= block_rows:
-        whole = Cells(np.zeros((1, 1)), np.ones(1, dtype=np.int64), np.zeros(1), np.full(1, np.inf))
+        whole = Cells(np.zeros((1, 1)), np.ones(1, dtype=np.int64), np.zeros(1), np.full(1, np.inf), np.empty(0, np.int64))
         return base.withColumns({"cell": F.lit(0), "reach": F.lit(0.0), "block": F.lit(0)}), whole
     wanted = max(1, min(max_pivots, -(-rows // block_rows)))
-    sample = base.select("vector").orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()
+    sample = base.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(wanted).toPandas()
     pivots = stack(sample["vector"]) if len(sample) else np.zeros((1, 1))
     placed = materialize(assign(base, pivots), "cells")
     # One row per cell, at most ``max_pivots`` of them.
@@ -95,7 +96,7 @@ def partition(
     outer[stats["cell"]] = stats["outer"]
     counts = F.array(*[F.lit(int(b)) for b in blocks])
     block = sub_block(F.element_at(counts, F.col("cell") + 1))
-    return placed.withColumn("block", block), Cells(pivots, blocks, inner, outer)
+    return placed.withColumn("block", block), Cells(pivots, blocks, inner, outer, sample["id"].to_numpy())
 
 
 def home_targets(queries: DataFrame, cells: Cells) -> DataFrame:
@@ -166,6 +167,8 @@ def join_blocks(
     right = base.join(per_block, ["cell", "block"]).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))
     ).drop("_shares")
+    # Fresh names for the base columns: queries and base may be the same rows.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     keys = ["cell", "block", "share"]
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Semantics the operators rely on. Sizing (shuffle partitions, split bytes, memory) belongs to
@@ -69,10 +69,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return materialize_counted(df, name)[0]
 
 
-def materialize_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
-    """``materialize`` plus the number of rows written, counted while writing."""
+def materialize_counted(df: DataFrame, name: str = "stage", metric: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize`` plus a count taken while writing: of all rows, or an integer ``metric``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairnflow-{name}-{uuid.uuid4().hex}"
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(written, (F.count(F.lit(1)) if metric is None else metric).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(written.get["rows"])
