@@ -14,3 +14,14 @@ def raw_items(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
         *[columns[f.name].cast(f.dataType).alias(f.name) for f in RAW_ITEMS.fields],
         *[F.col(name) for name in keep],
     )
+
+
+def evaluate_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Add ``columns`` behind a generator of one row.
+
+    The optimizer pushes filters below a projection by repeating its expressions, which would parse
+    a payload once per test. It does not push them below a generator, so each column is computed
+    a single time and the generated code stays small enough to compile.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))

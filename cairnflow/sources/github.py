@@ -15,7 +15,7 @@ from cairnflow.functions.numbers import iso_timestamp
 from cairnflow.functions.text import is_blank
 from cairnflow.schemas import RAW_ITEMS
 from cairnflow.sources import scopes
-from cairnflow.sources.common import raw_items
+from cairnflow.sources.common import evaluate_once, raw_items
 
 # Fixed value: a page shorter than this is the last one.
 PAGE_SIZE = 100
@@ -24,19 +24,21 @@ PAGE_SIZE = 100
 def normalize(payloads: DataFrame, *keep: str) -> DataFrame:
     """``(repository, value)`` rows to raw items. Pull requests are not issues."""
     issue = F.col("issue")
-    typed = payloads.select(*keep, "repository", "value", J.parse(F.col("value")).alias("issue")).select(
+    parsed = evaluate_once(payloads, *keep, "repository", "value", issue=J.parse(F.col("value")))
+    typed = evaluate_once(
+        parsed,
         *keep,
         "repository",
         "value",
         # The key alone marks a pull request, whatever its value (even null).
-        J.has(issue, "$.pull_request").alias("is_pull_request"),
-        J.integer(issue, "$.number").alias("number"),
-        J.string(issue, "$.title").alias("title"),
-        J.string(issue, "$.html_url").alias("html_url"),
-        iso_timestamp(J.string(issue, "$.created_at")).alias("created_at"),
-        J.string(issue, "$.body").alias("body"),
-        J.string(issue, "$.user.login").alias("login"),
-        J.integer(issue, "$.comments").alias("comments"),
+        is_pull_request=J.has(issue, "$.pull_request"),
+        number=J.integer(issue, "$.number"),
+        title=J.string(issue, "$.title"),
+        html_url=J.string(issue, "$.html_url"),
+        created_at=iso_timestamp(J.string(issue, "$.created_at")),
+        body=J.string(issue, "$.body"),
+        login=J.string(issue, "$.user.login"),
+        comments=J.integer(issue, "$.comments"),
     )
     usable = typed.filter(
         ~F.col("is_pull_request")

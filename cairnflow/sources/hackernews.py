@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairnflow.functions import jsonvalue as J
 from cairnflow.functions.numbers import epoch_timestamp
 from cairnflow.sources import scopes
-from cairnflow.sources.common import raw_items
+from cairnflow.sources.common import evaluate_once, raw_items
 
 ITEM_LINK = "https://news.ycombinator.com/item?id="
 
@@ -22,19 +22,21 @@ ITEM_LINK = "https://news.ycombinator.com/item?id="
 def normalize(payloads: DataFrame, *keep: str) -> DataFrame:
     """``value`` (one item payload per row) to raw items; ``keep`` names pass-through columns."""
     item = F.col("item")
-    typed = payloads.select(*keep, "value", J.parse(F.col("value")).alias("item")).select(
+    parsed = evaluate_once(payloads, *keep, "value", item=J.parse(F.col("value")))
+    typed = evaluate_once(
+        parsed,
         *keep,
         "value",
-        J.string(item, "$.type").alias("type"),
-        F.coalesce(J.boolean(item, "$.deleted"), F.lit(False)).alias("deleted"),
-        J.integer(item, "$.id").alias("item_id"),
-        J.string(item, "$.title").alias("title"),
-        J.integer(item, "$.time").alias("time"),
+        type=J.string(item, "$.type"),
+        deleted=F.coalesce(J.boolean(item, "$.deleted"), F.lit(False)),
+        item_id=J.integer(item, "$.id"),
+        title=J.string(item, "$.title"),
+        time=J.integer(item, "$.time"),
         # A missing text is an empty body, any other non-string text makes the item unusable.
-        F.when(J.has(item, "$.text"), J.string(item, "$.text")).otherwise(F.lit("")).alias("body"),
-        J.string(item, "$.url").alias("item_url"),
-        J.string(item, "$.by").alias("author"),
-        J.integer(item, "$.score").alias("score"),
+        body=F.when(J.has(item, "$.text"), J.string(item, "$.text")).otherwise(F.lit("")),
+        item_url=J.string(item, "$.url"),
+        author=J.string(item, "$.by"),
+        score=J.integer(item, "$.score"),
     )
     usable = typed.filter(
         (F.col("type") == "story")
@@ -66,7 +68,7 @@ def feed_ids(lists: DataFrame, *keep: str) -> DataFrame:
 
     A payload that is not a list gives no rows, and entries that are not integers are dropped.
     """
-    parsed = lists.select(*keep, J.parse(F.col("value")).alias("ids"))
+    parsed = evaluate_once(lists, *keep, ids=J.parse(F.col("value")))
     is_list = F.coalesce(F.schema_of_variant("ids").startswith("ARRAY"), F.lit(False))
     entries = F.when(is_list, F.try_variant_get("ids", "$", "array<variant>"))
     return (

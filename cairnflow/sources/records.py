@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import jsonvalue as J
 from cairnflow.functions.text import is_blank, strip
+from cairnflow.sources.common import evaluate_once
 
 
 @dataclass(frozen=True)
@@ -75,9 +76,8 @@ def _first_broken_rule(contract: Contract, line: Column, record: Column) -> Colu
 def parse(lines: DataFrame, contract: Contract, *keep: str, column: str = "value") -> DataFrame:
     """``keep`` columns, the contract's fields (NULL on rejected rows) and ``rejected``."""
     line, record = F.col(column), F.col("record")
-    parsed = lines.select(*keep, column, J.parse(line).alias("record")).withColumn(
-        "rejected", _first_broken_rule(contract, line, record)
-    )
+    read = evaluate_once(lines, *keep, column, record=J.parse(line))
+    parsed = evaluate_once(read, *keep, "record", rejected=_first_broken_rule(contract, line, record))
     fine = F.col("rejected").isNull()
     clean = strip if contract.trimmed else (lambda text: text)
     return parsed.select(

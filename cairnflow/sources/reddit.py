@@ -14,7 +14,7 @@ from cairnflow.functions import jsonvalue as J
 from cairnflow.functions.numbers import epoch_timestamp
 from cairnflow.functions.text import is_blank
 from cairnflow.sources import scopes
-from cairnflow.sources.common import raw_items
+from cairnflow.sources.common import evaluate_once, raw_items
 
 SITE = "https://www.reddit.com"
 # How the site marks removed authors and bodies.
@@ -25,18 +25,19 @@ REMOVED_BODIES = ("[removed]", "[deleted]")
 def normalize_variants(posts: DataFrame, *keep: str) -> DataFrame:
     """``post`` (Variant) rows to raw items."""
     post = F.col("post")
-    typed = posts.select(
+    typed = evaluate_once(
+        posts,
         *keep,
-        F.to_json("post").alias("value"),
-        J.string(post, "$.id").alias("post_id"),
-        J.string(post, "$.title").alias("title"),
-        J.string(post, "$.selftext").alias("selftext"),
-        J.string(post, "$.url").alias("post_url"),
-        J.string(post, "$.permalink").alias("permalink"),
-        J.string(post, "$.author").alias("author"),
-        J.number(post, "$.created_utc").alias("created_utc"),
-        J.integer(post, "$.score").alias("score"),
-        (J.non_null(post, "$.removed_by_category") | J.non_null(post, "$.removed_by")).alias("removed"),
+        value=F.to_json("post"),
+        post_id=J.string(post, "$.id"),
+        title=J.string(post, "$.title"),
+        selftext=J.string(post, "$.selftext"),
+        post_url=J.string(post, "$.url"),
+        permalink=J.string(post, "$.permalink"),
+        author=J.string(post, "$.author"),
+        created_utc=J.number(post, "$.created_utc"),
+        score=J.integer(post, "$.score"),
+        removed=J.non_null(post, "$.removed_by_category") | J.non_null(post, "$.removed_by"),
     )
     gone = (
         F.col("removed")
@@ -70,7 +71,7 @@ def normalize_variants(posts: DataFrame, *keep: str) -> DataFrame:
 
 def normalize(payloads: DataFrame, *keep: str) -> DataFrame:
     """``value`` (one post payload per row) to raw items."""
-    return normalize_variants(payloads.select(*keep, J.parse(F.col("value")).alias("post")), *keep)
+    return normalize_variants(evaluate_once(payloads, *keep, post=J.parse(F.col("value"))), *keep)
 
 
 def listing_posts(listings: DataFrame, *keep: str) -> DataFrame:
