@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.session import materialize, materialize_counted
-
-
-def _jump(parents: DataFrame) -> DataFrame:
-    upper = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-    return parents.join(upper, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
+from cairnflow.session import materialize_counted
 
 
 def roots(parents: DataFrame) -> DataFrame:
     """``(node, parent)`` without cycles (roots point at themselves or are absent) to ``(node, root)``.
 
-    Every write covers two doublings, so a chain of length n needs about log4(n) writes.
+    Every write doubles how far up a node looks, so a chain of length n needs about log2(n) writes.
     """
     current = parents
     while True:
-        jumped = _jump(_jump(current.withColumn("was", F.lit(0)).select("node", "parent")))
-        both = jumped.join(current.select("node", F.col("parent").alias("was")), "node")
-        current, changed = materialize_counted(both, "parents", F.count_if(F.col("parent") != F.col("was")))
-        current = current.select("node", "parent")
-        if not changed:
-            return current.withColumnRenamed("parent", "root")
+        upper = current.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        stepped = current.join(upper, "parent", "left").select(
+            "node", F.coalesce("next", "parent").alias("root"), (F.col("next") != F.col("parent")).alias("moved")
+        )
+        written, moved = materialize_counted(stepped, "roots", F.count_if("moved"))
+        if not moved:
+            return written.select("node", "root")
+        current = written.select("node", F.col("root").alias("parent"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,10 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = root
         else:
+            # A round is one more join against written roots; there are about log(n) rounds.
             upper = root.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = materialize(
-                labels.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels"
-            )
+            labels = labels.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         edges, left = materialize_counted(relabel(edges, root).filter(F.col("a") != F.col("b")).distinct(), "contracted")
         if not left:
             return labels

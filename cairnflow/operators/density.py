@@ -41,6 +41,8 @@ MIN_CLUSTER_SIZE = 2
 LISTED = 16
 # Tree edges one group may hold while the hierarchy is swept.
 GROUP_EDGES = 500_000
+# Bands between two writes of the points that joined no cluster yet.
+CUT_EVERY = 4
 # Distance 0 would be infinite density.
 MAX_DENSITY = 1e12
 INFINITE = float("inf")
@@ -216,52 +218,55 @@ def spanning_tree(points: DataFrame, count: int, neighbours: DataFrame, cores: D
     rows, cells = placed
     edges, cores = materialize(listed_edges(neighbours, cores), "edges"), materialize(cores, "cores")
     comps = cores.select("id", F.col("id").alias("comp"))
+    limits = cores.select(F.col("id").alias("node"), F.col("beyond").alias("limit"))
     tree: DataFrame | None = None
     left = count
     while left > 1:
-        limits = comps.join(cores.select("id", "beyond"), "id").groupBy(F.col("comp").alias("node")).agg(F.min("beyond").alias("limit"))
-        sure = _cheapest(edges).join(limits, "node").filter(F.col("w") <= F.col("limit"))
-        picks, picked = materialize_counted(sure.select("node", "w", "x", "y", "other"), "picks")
-        if not picked:
+        known = limits.join(_cheapest(edges), "node", "left")
+        sure = known.filter(F.col("w") <= F.col("limit")).select("node", F.col("other").alias("to"))
+        # Two components may pick the same edge; the lower one of such a pair is the root.
+        back = sure.select(F.col("node").alias("other"), F.col("to").alias("back"))
+        mutual = (F.col("back") == F.col("node")) & (F.col("node") < F.col("other"))
+        parent = F.when(F.col("w") <= F.col("limit"), F.when(F.coalesce(mutual, F.lit(False)), F.col("node")).otherwise(F.col("other")))
+        picks, joined = materialize_counted(
+            known.join(back, "other", "left").select("node", "limit", "w", "x", "y", parent.alias("parent")),
+            "picks",
+            F.count_if(F.col("parent") != F.col("node")),
+        )
+        if not joined:
+            comps = materialize(comps, "comps")
             added, cores = _search_outside(rows, cells, cores, comps, edges, block_rows)
-            order = F.min(F.struct("w", "x", "y")).alias("e")
-            edges = materialize(
-                edges.unionByName(added)
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "x", "y")
-                .groupBy("a", "b")
-                .agg(order)
-                .select("e.*", "a", "b"),
-                "edges",
-            )
+            edges = materialize(_lightest(edges.unionByName(added)), "edges")
+            limits = comps.join(cores, "id").groupBy(F.col("comp").alias("node")).agg(F.min("beyond").alias("limit"))
             continue
-        chosen, joined = materialize_counted(picks.select("x", "y", "w").distinct(), "tree")
+        # Every pick that leads to another component is one tree edge.
+        chosen = picks.filter(F.col("parent") != F.col("node")).select("x", "y", "w")
         tree = chosen if tree is None else tree.unionByName(chosen)
         left -= joined
-        # Two components may pick the same edge; the lower one of such a pair is the root.
-        back = picks.select(F.col("node").alias("other"), F.col("other").alias("back"))
-        hooks = picks.join(back, "other", "left").select(
-            "node",
-            F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("other")), F.col("node"))
-            .otherwise(F.col("other"))
-            .alias("parent"),
-        )
-        root = roots(hooks)
-        comps = materialize(
-            comps.join(root.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")),
-            "comps",
-        )
         if left > 1:
-            contracted = relabel(edges, root).filter(F.col("a") != F.col("b"))
-            edges = materialize(
-                contracted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "x", "y")
-                .groupBy("a", "b")
-                .agg(F.min(F.struct("w", "x", "y")).alias("e"))
-                .select("e.*", "a", "b"),
-                "edges",
+            root = roots(picks.filter(F.col("parent").isNotNull()).select("node", "parent"))
+            merged = root.select(F.col("node").alias("comp"), "root")
+            comps = comps.join(merged, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+            limits = (
+                picks.select("node", "limit")
+                .join(root, "node", "left")
+                .groupBy(F.coalesce("root", "node").alias("node"))
+                .agg(F.min("limit").alias("limit"))
             )
+            edges = materialize(_lightest(relabel(edges, root).filter(F.col("a") != F.col("b"))), "edges")
     return tree
 
 
+def _lightest(edges: DataFrame) -> DataFrame:
+    """One edge per pair of components: the first in (w, x, y) order."""
+    return (
+        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "x", "y")
+        .groupBy("a", "b")
+        .agg(F.min(F.struct("w", "x", "y")).alias("e"))
+        .select("e.*", "a", "b")
+    )
+
+
 # --- condensed tree and choice of clusters ----------------------------------------------------
 
 SWEPT = "kind int, node long, target long, cluster long, density double, size long, mass double, below double, keep boolean"
@@ -403,6 +408,7 @@ def condensed_tree(tree: DataFrame, cores: DataFrame, min_cluster_size: int, gro
     loose = cores.select("id", F.col("id").alias("node"))
     members: list[DataFrame] = []
     ended: list[DataFrame] = []
+    bands = 0
     # No group gets more than a share of the tree, however small the tree is.
     group_edges = min(group_edges, max(256, left // 4))
     wanted = max(left // 2, 1)
@@ -429,8 +435,8 @@ def condensed_tree(tree: DataFrame, cores: DataFrame, min_cluster_size: int, gro
         states = states.join(moved.select("node"), "node", "left_anti").unionByName(fresh)
         renamed = moved.select("node", F.col("target").alias("root"))
         events, left = materialize_counted(relabel(events.filter(F.col("w") > cut), renamed), "events")
-        if left:
-            # Cut lineage only while there is a next band.
+        bands += 1
+        if left and bands % CUT_EVERY == 0:
             loose, states = materialize(loose, "loose"), materialize(states, "states")
         wanted = max(left // 2, min(group_edges, left), 1) if not over else min(wanted * 2, max(left, 1))
     return _union(members), _union(ended)
