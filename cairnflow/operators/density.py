@@ -271,6 +271,7 @@ def _lightest(edges: DataFrame) -> DataFrame:
 
 SWEPT = "kind int, node long, target long, cluster long, density double, size long, mass double, below double, keep boolean"
 NODE, STATE, CLOSED = 0, 1, 2
+NO_CLUSTER = -1
 
 
 class _Part:
@@ -307,7 +308,7 @@ def _sweep_kernel(min_cluster_size: int):
         boss = list(range(len(ids)))
         parts = []
         for i, row in enumerate(nodes.itertuples(index=False)):
-            live = [] if pd.isna(row.cluster) else [(int(row.cluster), row.mass, row.below, int(row.size))]
+            live = [] if row.cluster < 0 else [(int(row.cluster), row.mass, row.below, int(row.size))]
             parts.append(_Part(i, int(row.size), live, int(row.node)))
         joined: dict[int, tuple[int, float]] = {}
         ended = []
@@ -364,12 +365,14 @@ def _sweep_kernel(min_cluster_size: int):
             out.append((NODE, int(ids[i]), parts[find(i)].first, cluster, density, None, None, None, None))
         for part in parts:
             if part is not None:
-                cluster, mass, below, _ = part.live[0] if part.live else (None, None, None, None)
+                cluster, mass, below, _ = part.live[0] if part.live else (NO_CLUSTER, 0.0, 0.0, 0)
                 out.append((STATE, part.first, None, cluster, None, part.size, mass, below, None))
         for cluster, parent, density, keep in ended:
             out.append((CLOSED, None, parent, cluster, density, None, None, None, keep))
         columns = ["kind", "node", "target", "cluster", "density", "size", "mass", "below", "keep"]
-        frame = pd.DataFrame(out, columns=columns)
+        # Object columns first: a float detour would round large ids.
+        frame = pd.DataFrame(out, columns=columns, dtype=object)
+        frame["kind"] = frame["kind"].astype("int32")
         for c in ("node", "target", "cluster", "size"):
             frame[c] = frame[c].astype("Int64")
         frame["keep"] = frame["keep"].astype("boolean")
@@ -401,9 +404,9 @@ def condensed_tree(tree: DataFrame, cores: DataFrame, min_cluster_size: int, gro
     states = cores.select(
         F.col("id").alias("node"),
         F.when(F.col("copies") > 1, 0).otherwise(1).cast("long").alias("size"),
-        F.lit(None).cast("long").alias("cluster"),
-        F.lit(None).cast("double").alias("mass"),
-        F.lit(None).cast("double").alias("below"),
+        F.lit(NO_CLUSTER).cast("long").alias("cluster"),
+        F.lit(0.0).alias("mass"),
+        F.lit(0.0).alias("below"),
     )
     loose = cores.select("id", F.col("id").alias("node"))
     members: list[DataFrame] = []

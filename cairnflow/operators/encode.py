@@ -51,7 +51,8 @@ def hashed_vector(text: Column, size: int = EMBEDDING_SIZE) -> Column:
         row = np.repeat(np.arange(len(batch)), lengths)
         slot = (hashes >> 1) % size
         sign = np.where(hashes & 1, 1.0, -1.0)
-        table = np.bincount(row * size + slot, weights=sign, minlength=len(batch) * size).reshape(len(batch), size)
+        table = np.bincount(row * size + slot, weights=sign, minlength=len(batch) * size)
+        table = table.astype(float).reshape(len(batch), size)
         # A text without words, or whose words cancel out, still gets a unit vector.
         table[~table.any(axis=1), 0] = 1.0
         table /= np.linalg.norm(table, axis=1, keepdims=True)

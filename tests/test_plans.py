@@ -59,7 +59,7 @@ def raw_items(spark, rows):
 def topic_rows(start, counts):
     rows = []
     for topic, count in counts.items():
-        rows += [(f"{start}{topic}{i}", f"I wish {topic} {topic} {topic} were easier number{i % 3}") for i in range(count)]
+        rows += [(f"{start}{topic}{i}", f"I wish {topic} {topic} {topic} were easier detail{start}{topic}{i}") for i in range(count)]
     return rows + [(f"{start}n{i}", f"release notes {i}") for i in range(3)]
 
 
