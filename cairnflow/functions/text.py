@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 # Fixed value: the characters a Unicode-aware ``\s`` matches, spelled so that Java and RE2 agree.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+WHITESPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Fixed value: a word is a run of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
 TAG = r"<[^>]+>"
@@ -40,8 +41,9 @@ def unescape_common(text: Column) -> Column:
 
 def unescape_html(text: Column) -> Column:
     """Decode every HTML entity; only texts with uncommon ones travel to Python."""
-    rare = text.rlike(RARE_ENTITY)
-    return F.when(rare, _unescape(F.when(rare, text))).otherwise(unescape_common(text))
+    marked = F.contains(text, F.lit("&"))
+    rare = marked & text.rlike(RARE_ENTITY)
+    return F.when(~marked, text).when(rare, _unescape(F.when(rare, text))).otherwise(unescape_common(text))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -49,7 +51,8 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
+    # A character set instead of a pattern: only the ends of the text are looked at.
+    return F.trim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:

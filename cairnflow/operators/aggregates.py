@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions.numbers import period_start, ratio
 from cairnflow.schemas import TREND_STATUSES
+from cairnflow.session import materialize
 
 
 def problems_per_source(items: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def document_counts(members: DataFrame) -> DataFrame:
 
 def source_breakdown(counts: DataFrame) -> DataFrame:
     """Share of all problems per source with at least one; the last row takes the rounding residue."""
-    positive = counts.filter(F.col("problem_count") > 0)
+    # One short row per source, written once because three totals and the rows themselves read it.
+    positive = materialize(counts.filter(F.col("problem_count") > 0), "sources")
     total = positive.agg(F.sum("problem_count")).scalar()
     shares = positive.select(
         "source", "problem_count", ratio(F.col("problem_count"), total).alias("share")

@@ -33,6 +33,7 @@ from cairnflow.operators.blocks import (
 )
 from cairnflow.operators.components import components, relabel, roots
 from cairnflow.operators.ranking import global_rank
+from cairnflow.operators.skew import join_by_weight
 from cairnflow.session import materialize, materialize_counted
 
 # Fixed value: parameter defaults of the public model.
@@ -520,8 +521,9 @@ def density_clusters(
     lowest = assigned.groupBy("chosen").agg(F.min("id").alias("lowest"))
     numbers = global_rank(lowest, [F.col("lowest").asc()], name="number")
     labelled = assigned.join(numbers, "chosen").select(F.col("id").alias("first"), (F.col("number") - 1).alias("label"))
-    # Every copy gets the label of its folded point.
-    originals = points.join(distinct.select("vector", F.col("id").alias("first")), "vector")
+    # Every copy gets the label of its folded point; a vector may have very many copies.
+    folded = distinct.select("vector", F.col("id").alias("first"), "copies")
+    originals = join_by_weight(points, folded, ["vector"], "copies", "id")
     return originals.join(labelled, "first", "left").select(
         "id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster_id")
     )

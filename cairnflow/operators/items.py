@@ -28,8 +28,15 @@ def prepare(raw: DataFrame, entities: str = "exact") -> DataFrame:
             "clean_body": X.clean_text(F.col("body"), entities),
         }
     )
-    joined = cleaned.withColumn("document_text", X.document_text(F.col("clean_title"), F.col("clean_body")))
-    return joined.withColumn("dedup_hash", X.text_hash(F.col("document_text")))
+    # Cleaned parts are already stripped and single-spaced, so neither the text nor the hash needs
+    # another pass over the whole body: joining them by a blank is their whitespace-normal form.
+    parts = [F.nullif(F.col(c), F.lit("")) for c in ("clean_title", "clean_body")]
+    return cleaned.withColumns(
+        {
+            "document_text": F.concat_ws("\n\n", *parts),
+            "dedup_hash": F.sha2(F.lower(F.concat_ws(" ", *parts)), 256),
+        }
+    )
 
 
 def _typed(name: str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions.text import is_blank, label_text, words
+from cairnflow.operators.skew import join_by_weight
+from cairnflow.session import materialize
 from cairnflow.sources.scopes import positive_limit
 
 MAX_KEYWORDS = 5
@@ -31,13 +33,15 @@ def term_scores(documents: DataFrame, stop_words: Sequence[str] | None = None) -
 
     idf is fitted per cluster: ``ln((1 + n) / (1 + df)) + 1``; document rows are L2-normalised.
     """
-    terms = document_terms(documents, stop_words)
+    # Counted once: the frequencies and the weights both read it.
+    terms = materialize(document_terms(documents, stop_words), "terms")
     sizes = documents.groupBy("cluster_id").agg(F.count("*").alias("n"))
     frequency = terms.groupBy("cluster_id", "term").agg(F.count("*").alias("df"))
     idf = frequency.join(sizes, "cluster_id").select(
-        "cluster_id", "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+        "cluster_id", "term", "df", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = terms.join(idf, ["cluster_id", "term"]).withColumn("weight", F.col("tf") * F.col("idf"))
+    # A common word of a huge cluster is one key with a row per document.
+    weighted = join_by_weight(terms, idf, ["cluster_id", "term"], "df", "item_id").withColumn("weight", F.col("tf") * F.col("idf"))
     # One document per window: bounded by the document, never by the cluster.
     document = Window.partitionBy("cluster_id", "item_id")
     unit = F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(document))

@@ -302,3 +302,13 @@ def test_batch_search_equals_single_search(spark):
 def test_centroids_are_plain_means(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0])], "cluster_id long, embedding array<float>")
     assert {r.cluster_id: r.centroid for r in aggregates.centroids(df).collect()} == {1: [2.0, 4.0], 2: [5.0, 5.0]}
+
+
+def test_join_by_weight_with_hot_and_rare_keys(spark):
+    from cairnflow.operators.skew import join_by_weight
+
+    left = spark.range(3000).select("id", F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("k") != 2999).withColumn("v", F.col("k") * 2)
+    got = join_by_weight(left, right, ["k"], "n", "id")
+    assert got.columns == ["id", "k", "n", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select(*got.columns).collect()))
