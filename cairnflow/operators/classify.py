@@ -7,10 +7,11 @@ Answers are validated on the JVM, and malformed ones become conservative non-pro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnflow.functions.text import is_blank, words
+from cairnflow.session import shared_folder
 from cairnflow.sources.records import parse_model_output
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -98,7 +100,11 @@ def train_linear(labelled: DataFrame, features: int = 1 << 14, iterations: int =
         HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True),
         LogisticRegression(maxIter=iterations, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    # Saved and read back: the stored model leaves out the training summary, which would carry the
+    # training session into every scoring task.
+    path = f"{shared_folder(labelled.sparkSession)}/cairnflow-model-{uuid.uuid4().hex}"
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def classify_linearly(items: DataFrame, model, name: str = "hashed-logistic") -> DataFrame:
