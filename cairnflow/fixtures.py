@@ -14,8 +14,15 @@ MATCH_THRESHOLD = 0.4
 CURRENT_RUN, PREVIOUS_RUN = 2, 1
 
 
+_scans: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A scan of a test table; its footer is read once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _scans:
+        _scans[key] = spark.read.parquet(key[1])
+    return _scans[key]
 
 
 def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,9 +149,10 @@ def match_pairs(
 ) -> DataFrame:
     """Matched ``(current, previous, similarity)`` of two ``(cluster_id, centroid)`` tables."""
     threshold = validate_threshold(threshold)
-    current = materialize(unit_centroids(current), "current")
+    current, others = materialize_counted(unit_centroids(current), "current")
     previous, rows = materialize_counted(unit_centroids(previous), "previous")
     matched: DataFrame | None = None
+    left = min(others, rows)
     while True:
         by_current, by_previous, truncated = _lists(current, previous, rows, threshold, candidates, block_rows)
         progress = False
@@ -164,6 +165,10 @@ def match_pairs(
                 break
             progress = True
             matched = taken if matched is None else matched.unionByName(taken)
+            left -= found
+            if not left:
+                # One side is used up.
+                return matched
             by_current, by_previous = _without(by_current, taken), _without(by_previous, taken)
             if turn % CUT_EVERY == 0:
                 by_current = materialize(by_current, "by-current")
