@@ -320,6 +320,8 @@ def oracle() -> dict[str, str]:
         # filters and scalars
         "problem_filter": sql("SELECT id, source FROM items WHERE is_problem", "items"),
         "vector_space": sql("SELECT id, round(list_sum(embedding), 6) AS total FROM items WHERE embedding IS NOT NULL", "items"),
+        "run_members": sql("SELECT cluster_id, item_id FROM cur WHERE cluster_id = 105", "cur"),
+        "cluster_set": sql("SELECT cluster_id, item_id FROM cur WHERE cluster_id <> 109", "cur"),
         "pending_embedding": sql("SELECT id FROM items WHERE is_problem AND embedding IS NULL", "items"),
         "public_documents": sql(
             "SELECT id, title, url, coalesce(problem_confidence, 0.0) AS problem_confidence FROM items", "items"),
@@ -479,6 +481,10 @@ def oracle() -> dict[str, str]:
         "opportunities": sql(f"SELECT {RANK_COLUMNS} FROM ranked WHERE status = 'rising' ORDER BY rank LIMIT 20", "ranked"),
         "cluster_page": sql(
             f"SELECT {RANK_COLUMNS} FROM ranked ORDER BY growth_rate DESC NULLS LAST, cluster_id LIMIT 5 OFFSET 2", "ranked"),
+        "dashboard_trends": sql(
+            f"""SELECT {STAMP.format("date_trunc('week', created_at)")} AS period_start, CAST(sum(total_problems) AS BIGINT) AS total_problems,
+            (SELECT count(*) FROM trends WHERE status = 'rising') AS rising_now FROM history GROUP BY 1 ORDER BY 1 DESC LIMIT 2""",
+            "history", "trends"),
         "cluster_documents": sql(
             f"""SELECT i.id, {STAMP.format('published_at')} AS published_at, problem_confidence FROM cur m JOIN items i ON i.id = m.item_id
             WHERE m.cluster_id = 105 ORDER BY i.published_at DESC, i.id LIMIT 10""", "cur", "items"),

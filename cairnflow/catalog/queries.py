@@ -261,6 +261,25 @@ def vector_space(spark, d):
     return filters.vector_space(X.source_items(spark, d), X.MODEL).select("id", F.round(total, 6).alias("total"))
 
 
+@register
+def run_members(spark, d):
+    items = X.source_items(spark, d)
+    stored = [
+        rows.select("cluster_id", "item_id", F.lit(run).alias("run_id"))
+        for rows, run in ((X.current_members(items), X.CURRENT_RUN), (X.previous_members(items), X.PREVIOUS_RUN))
+    ]
+    return filters.of_run(stored[0].unionByName(stored[1]), X.CURRENT_RUN, 105).select("cluster_id", "item_id")
+
+
+@register
+def cluster_set(spark, d):
+    """Members of given labels; label 9 stands for noise."""
+    labels = X.current_members(X.source_items(spark, d)).select(
+        F.when(F.col("cluster_id") == 109, -1).otherwise(F.col("cluster_id")).alias("cluster_id"), "item_id"
+    )
+    return filters.without_noise(labels).orderBy("cluster_id", "item_id")
+
+
 @register
 def pending_embedding(spark, d):
     return filters.pending_embedding(X.source_items(spark, d)).select("id")
@@ -819,6 +838,31 @@ def cluster_page(spark, d):
     return _rank_columns(page)
 
 
+@register
+def dashboard_trends(spark, d):
+    items = X.source_items(spark, d)
+    view = dashboard.Snapshot(items, None, None, _trends(spark, d), None, X.run_history(spark, d))
+    distribution, series = dashboard.trends(view, "week", 2)
+    rising = distribution.select("rising_count").scalar()
+    return series.select(stamp(F.col("period_start")).alias("period_start"), "total_problems", rising.alias("rising_now"))
+
+
+@register
+def text_search(spark, d):
+    """A question encoded like the documents, against every problem."""
+    size = X.VECTOR_SIZE
+    encoded = encode.encode_by_hashing(X.source_items(spark, d), size)
+    view = dashboard.Snapshot(encoded, None, None, None, None, None)
+    question = X.table(spark, d, "benchmark").orderBy("item_id").select("text").head()["text"]
+
+    def encode_text(text: str) -> list[float]:
+        row = spark.range(1).select(encode.hashed_vector(F.lit(text), size).alias("v")).head()
+        return [float(x) for x in row["v"]]
+
+    found = dashboard.search_text(view, question, encode_text, encode.hashing_model_name(size), 10)
+    return found.select("id", "title", r6("distance"))
+
+
 @register
 def cluster_documents(spark, d):
     items = X.source_items(spark, d)
