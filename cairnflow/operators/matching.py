@@ -28,10 +28,14 @@ from cairnflow.operators.blocks import (
     stack,
     with_targets,
 )
+from cairnflow.operators.ranking import global_rank
+from cairnflow.operators.skew import join_by_weight
 from cairnflow.schemas import SIMILARITY_THRESHOLD
 from cairnflow.session import materialize, materialize_counted
 
 CANDIDATES = 32
+# Rounds after which copies of a vector are matched as groups: many copies take many rounds.
+PATIENCE = 8
 # Rounds of anti joins between two writes of the remaining lists.
 CUT_EVERY = 4
 
@@ -153,10 +157,14 @@ def match_pairs(
     previous, rows = materialize_counted(unit_centroids(previous), "previous")
     matched: DataFrame | None = None
     left = min(others, rows)
+    folded = False
     while True:
         by_current, by_previous, truncated = _lists(current, previous, rows, threshold, candidates, block_rows)
-        progress = False
+        progress = stalled = False
         for turn in count(1):
+            if turn > PATIENCE and not folded:
+                stalled = True
+                break
             both = _best(by_current, "current").join(
                 _best(by_previous, "previous").select("current", "previous"), ["current", "previous"]
             )
@@ -175,13 +183,106 @@ def match_pairs(
                 by_previous = materialize(by_previous, "by-previous")
                 matched = materialize(matched, "matched")
         # Without a full list nothing was cut off, so the short lists were all there is.
-        if not (progress and truncated):
+        if not (stalled or (progress and truncated)):
             return taken if matched is None else matched
         matched = materialize(matched, "matched")
-        current = materialize(current.join(matched.select(F.col("current").alias("id")), "id", "left_anti"), "current")
-        previous, rows = materialize_counted(
-            previous.join(matched.select(F.col("previous").alias("id")), "id", "left_anti"), "previous"
+        current, previous, rows = _unmatched(current, previous, matched)
+        if stalled:
+            folded = True
+            extra = _match_copies(current, previous, threshold, candidates, block_rows)
+            if extra is not None:
+                matched = matched.unionByName(extra)
+                current, previous, rows = _unmatched(current, previous, extra)
+
+
+def _unmatched(current: DataFrame, previous: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    rest = materialize(current.join(matched.select(F.col("current").alias("id")), "id", "left_anti"), "current")
+    other, rows = materialize_counted(
+        previous.join(matched.select(F.col("previous").alias("id")), "id", "left_anti"), "previous"
+    )
+    return rest, other, rows
+
+
+def _strict_best(pairs: DataFrame, side: str, k: int) -> DataFrame:
+    """Pairs that are their side's only one at its smallest distance, so no tie rule applies.
+
+    The last place of a full list may tie with what was cut off, and does not count.
+    """
+    nearest = F.min("distance").over(Window.partitionBy(side))
+    return (
+        pairs.withColumn("nearest", nearest)
+        .filter(F.col("distance") == F.col("nearest"))
+        .groupBy(side)
+        .agg(F.count("*").alias("ties"), F.min(F.struct("current", "previous", "similarity", "position")).alias("e"))
+        .filter((F.col("ties") == 1) & (F.col("e.position") < k))
+        .select("e.current", "e.previous", "e.similarity")
+    )
+
+
+def _match_copies(current: DataFrame, previous: DataFrame, threshold: float, k: int, block_rows: int) -> DataFrame | None:
+    """Match whole groups of identical vectors at once.
+
+    When two groups are strictly each other's nearest, the greedy pass pairs their members in id
+    order until the smaller group is used up. Groups that tie with others are left to the caller.
+    Members are numbered inside their group, so a step is a segment (group, group, offsets, length).
+    """
+
+    def fold(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+        groups, n = materialize_counted(
+            side.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "vector", "n"), name
+        )
+        own = groups.select("vector", F.col("id").alias("group"), "n")
+        members = join_by_weight(side, own, ["vector"], "n", "id").select("id", "group")
+        return groups, global_rank(members, [F.col("id").asc()], by=["group"], name="nth"), n
+
+    current_groups, current_members, _ = fold(current, "current-groups")
+    previous_groups, previous_members, rows = fold(previous, "previous-groups")
+    by_current, by_previous, _ = _lists(
+        current_groups.select("id", "vector"), previous_groups.select("id", "vector"), rows, threshold, k, block_rows
+    )
+    counts = {
+        "current": current_groups.select(F.col("id").alias("current"), F.col("n").alias("current_left"), F.lit(0).cast("long").alias("current_used")),
+        "previous": previous_groups.select(F.col("id").alias("previous"), F.col("n").alias("previous_left"), F.lit(0).cast("long").alias("previous_used")),
+    }
+    segments: DataFrame | None = None
+    while True:
+        picks = _strict_best(by_current, "current", k).join(
+            _strict_best(by_previous, "previous", k).select("current", "previous"), ["current", "previous"]
         )
+        sized = picks.join(counts["current"], "current").join(counts["previous"], "previous")
+        step, found = materialize_counted(
+            sized.withColumn("length", F.least("current_left", "previous_left")), "segments"
+        )
+        if not found:
+            break
+        segments = step if segments is None else segments.unionByName(step)
+        for side in ("current", "previous"):
+            left, used = f"{side}_left", f"{side}_used"
+            done = step.select(side, "length")
+            after = counts[side].join(done, side, "left").withColumn("length", F.coalesce("length", F.lit(0)))
+            counts[side] = materialize(
+                after.select(side, (F.col(left) - F.col("length")).alias(left), (F.col(used) + F.col("length")).alias(used)),
+                "group-counts",
+            )
+            gone = counts[side].filter(F.col(left) == 0).select(side)
+            by_current, by_previous = by_current.join(gone, side, "left_anti"), by_previous.join(gone, side, "left_anti")
+        by_current, by_previous = materialize(by_current, "by-current"), materialize(by_previous, "by-previous")
+    if segments is None:
+        return None
+
+    def expand(side: str, members: DataFrame) -> DataFrame:
+        own = members.select(F.col("group").alias(side), F.col("id").alias(f"{side}_id"), "nth")
+        inside = (F.col("nth") > F.col(f"{side}_used")) & (F.col("nth") <= F.col(f"{side}_used") + F.col("length"))
+        return segments.join(own, side).filter(inside).select(
+            "current", "previous", "similarity", (F.col("nth") - F.col(f"{side}_used")).alias("place"), f"{side}_id"
+        )
+
+    left = expand("current", current_members)
+    right = expand("previous", previous_members).drop("similarity")
+    pairs = left.join(right, ["current", "previous", "place"]).select(
+        F.col("current_id").alias("current"), F.col("previous_id").alias("previous"), "similarity"
+    )
+    return materialize(pairs, "matched-copies")
 
 
 def match_clusters(

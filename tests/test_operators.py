@@ -63,6 +63,13 @@ def test_matching_equals_greedy_with_short_lists_and_small_blocks(spark):
     assert matched(spark, current, previous, 0.3, 3, 12) == greedy(current, previous, 0.3)
 
 
+def test_matching_of_many_identical_centroids(spark):
+    rng = np.random.default_rng(7)
+    current = {i: np.array([1.0, 1.0, 0.0]) for i in range(30)} | {i: rng.normal(size=3) for i in range(30, 36)}
+    previous = {1000 + i: np.array([1.0, 1.0, 0.05]) for i in range(24)} | {1030 + i: rng.normal(size=3) for i in range(5)}
+    assert matched(spark, current, previous, 0.3, 8) == greedy(current, previous, 0.3)
+
+
 def test_zero_centroid_is_rejected(spark):
     with pytest.raises(Exception, match="zero vector"):
         matched(spark, {1: [0, 0]}, {2: [1, 0]}, 0.8)
