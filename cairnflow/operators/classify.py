@@ -25,6 +25,7 @@ from cairnflow.sources.records import parse_model_output
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
+# Fixed value: the stored reason of an answer that could not be read.
 MALFORMED_REASON = "Malformed classifier output"
 
 # Phrases that announce a pain point, an unmet need or a request for a tool.
