@@ -5,9 +5,7 @@ Common table expressions are named once in ``LAYERS`` and pulled in by name.
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
+from cairnflow.functions.stopwords import ENGLISH
 
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
@@ -29,17 +27,6 @@ def clean(x: str) -> str:
     return collapse(rf"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
 
 
-@cache
-def stop_words() -> tuple[str, ...]:
-    """The default English list shipped with Spark, read from its jar."""
-    import pyspark
-
-    jars = Path(pyspark.__file__).parent / "jars"
-    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(dict.fromkeys(w.strip().lower() for w in text.splitlines() if w.strip()))
-
-
 LAYERS: dict[str, tuple[tuple[str, ...], str]] = {
     "items": (
         (),
@@ -193,7 +180,7 @@ def sql(body: str, *layers: str) -> str:
         need(name)
     text = ", ".join(f"{name} AS ({LAYERS[name][1]})" for name in ordered)
     if "@STOP@" in text:
-        text = text.replace("@STOP@", ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()))
+        text = text.replace("@STOP@", ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH))
     return f"WITH RECURSIVE {text} {body}" if ordered else body
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnflow.functions.stopwords import ENGLISH
 from cairnflow.functions.text import is_blank, label_text, words
 from cairnflow.operators.skew import join_by_weight
 from cairnflow.session import materialize
@@ -18,7 +18,7 @@ MAX_KEYWORDS = 5
 
 def document_terms(documents: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``(cluster_id, item_id, term, tf)`` of ``documents`` (cluster_id, item_id, document_text)."""
-    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
+    stop = list(ENGLISH if stop_words is None else stop_words)
     # A literal list of words becomes a hash set in the filter, ahead of the shuffle.
     return (
         documents.select("cluster_id", "item_id", F.explode(words(F.col("document_text"))).alias("term"))
