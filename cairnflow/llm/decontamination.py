@@ -19,10 +19,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import batch_of, map_batches, texts
+from cairnflow.llm.common import batch_of, texts
 from cairnflow.llm.text import LOWER, NORMAL_BYTE, Words, buffers, row_sums, slices
 
 WINDOW = 13
@@ -193,13 +194,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int = WI
     state = docs.select(row, F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<string>").alias("names"))
     groups = blocks(benchmark, block_bytes)
     for nth, group in enumerate(groups):
-        shared = spark.broadcast(Automaton(sorted(group), window))
+        shared = spark.broadcast(cloudpickle.dumps(Automaton(sorted(group), window)))
         last = nth == len(groups) - 1
 
-        def kernel(batch: pa.RecordBatch, shared=shared, last=last):
+        def kernel(batch: pa.RecordBatch, automaton: Automaton, last=last):
             for first, stop, data, bounds in slices(batch.column("text")):
                 part = batch.slice(first, stop - first)
-                words, hit, found = hits(shared.value, data, bounds)
+                words, hit, found = hits(automaton, data, bounds)
                 earlier, names = part.column("bits").to_pylist(), part.column("names").to_pylist()
                 for i, bits in enumerate(earlier):
                     if bits is not None:
@@ -214,7 +215,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int = WI
                 listed = pa.array([sorted(found.get(i, ())) for i in range(stop - first)], pa.list_(pa.string()))
                 yield batch_of(row=part.column("row"), text=part.column("text"), bits=pa.array(packed, pa.binary()), names=listed)
 
-        state = map_batches(state, kernel, schema if last else state.schema)
+        def run(batches, shared=shared, kernel=kernel):
+            automaton = cloudpickle.loads(shared.value)
+            for batch in batches:
+                if batch.num_rows:
+                    yield from kernel(batch, automaton)
+
+        state = state.mapInArrow(run, schema if last else state.schema)
     return state
 
 
