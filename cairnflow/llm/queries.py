@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, mixing, quality_rules
+from cairnflow.llm import decontamination, mixing, quality_rules, substring_dedup, suffix_dedup
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_dedup.inspect(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontamination.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -23,14 +28,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring_dedup.inspect(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 
