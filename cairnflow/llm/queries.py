@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, mixing, quality_rules, substring_dedup, suffix_dedup
+from cairnflow.llm import decontamination, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
@@ -28,6 +28,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_dedup.inspect(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return substring_dedup.inspect(table(spark, sf_dir, "documents"))
@@ -42,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
