@@ -50,3 +50,17 @@ def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """text and label of at most ``rows`` learning documents: those with a label whose ids hash lowest.
+
+    The ids are bounded by ``rows``, so they are broadcast and no text is shuffled.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != held_out))
+    single = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    return texts(docs).join(F.broadcast(bounded(single, rows, "doc_id")), "doc_id").select("text", "label")
+
+
+def held_out(modulus: int, value: int) -> Column:
+    return F.coalesce(remainder(modulus) == value, F.lit(False)).alias("held_out")

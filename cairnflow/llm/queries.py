@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup
+from cairnflow.llm import decontamination, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
@@ -18,6 +18,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.inspect(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality_ranking.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontamination.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,6 +38,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.inspect(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return substring_dedup.inspect(table(spark, sf_dir, "documents"))
@@ -45,9 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
