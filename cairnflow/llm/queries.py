@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
+from cairnflow.llm import decontamination, language_id, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_id.inspect(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return suffix_dedup.inspect(table(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_ranking": op4_quality_ranking,
     "op5_decontamination": op5_decontamination,
