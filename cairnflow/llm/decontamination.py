@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm.common import batch_of, texts
-from cairnflow.llm.text import LOWER, NORMAL_BYTE, Words, buffers, row_sums, slices
+from cairnflow.llm.text import LOWER, NORMAL_BYTE, Words, WordTable, buffers, row_sums, slices
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-FLAG_BITS = 16
 
 
 class Automaton:
@@ -65,13 +64,12 @@ class Automaton:
             self.up[state] = state if state in self.short else self.up[self.link[state]] if state else -1
 
     def read(self, items: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
-        """Items as word numbers; ``codes`` has the sorted hashes of the words, ``flags`` their lowest bits."""
+        """Items as word numbers."""
         data, bounds = buffers(pa.array([text for _, text in items], pa.string()))
         data = LOWER[data]
         words = Words(data, bounds, NORMAL_BYTE)
-        self.codes, numbers = np.unique(words.hashes(data), return_inverse=True)
-        self.flags = np.zeros(1 << FLAG_BITS, bool)
-        self.flags[self.codes & np.uint64((1 << FLAG_BITS) - 1)] = True
+        codes, numbers = np.unique(words.hashes(data), return_inverse=True)
+        self.table = WordTable(codes)
         sequences = [(name, numbers[a:b].tolist()) for (name, _), a, b in zip(items, words.rows[:-1], words.rows[1:])]
         return [(name, numbers) for name, numbers in sequences if numbers]
 
@@ -111,15 +109,6 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def numbers(self, codes: np.ndarray) -> np.ndarray:
-        """Word numbers of word hashes, -1 for words of no item."""
-        found = np.full(len(codes), -1, np.int64)
-        likely = np.flatnonzero(self.flags[codes & np.uint64((1 << FLAG_BITS) - 1)])
-        at = np.minimum(np.searchsorted(self.codes, codes[likely]), len(self.codes) - 1)
-        exact = self.codes[at] == codes[likely]
-        found[likely[exact]] = at[exact]
-        return found
-
     def stream(self, words: list[int], start: int, spans: list[tuple[int, int]], items: set[str]) -> None:
         """Append the word ranges that windows or short items cover in a run of words from number ``start`` on."""
         step, link, length, window = self.step, self.link, self.length, self.window
@@ -151,8 +140,8 @@ def hits(automaton: Automaton, data: np.ndarray, bounds: np.ndarray) -> tuple[Wo
     words = Words(data, bounds, NORMAL_BYTE)
     change = np.zeros(len(words.begin) + 1, np.int64)
     found: dict[int, set[str]] = {}
-    if len(words.begin) and len(automaton.codes):
-        numbers = automaton.numbers(words.hashes(data))
+    if len(words.begin):
+        numbers = automaton.table.numbers(words.hashes(data))
         known = numbers >= 0
         first = known.copy()
         first[1:] &= ~known[:-1]

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, language_id, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
+from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.inspect(table(spark, sf_dir, "documents"), good)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return language_id.inspect(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_ranking": op4_quality_ranking,

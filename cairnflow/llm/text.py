@@ -122,6 +122,27 @@ class Words:
         return RangeHash(BYTE_CODES[data]).ranges(self.begin, self.end, seed)
 
 
+class WordTable:
+    """Numbers of known words by hash, in the order of the sorted hashes; most unknown ones fail on their low bits."""
+
+    BITS = 16
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes)
+        self.flags = np.zeros(1 << self.BITS, bool)
+        self.flags[self.codes & U64((1 << self.BITS) - 1)] = True
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """-1 for unknown words."""
+        found = np.full(len(codes), -1, np.int64)
+        if len(self.codes):
+            likely = np.flatnonzero(self.flags[codes & U64((1 << self.BITS) - 1)])
+            at = np.minimum(np.searchsorted(self.codes, codes[likely]), len(self.codes) - 1)
+            exact = self.codes[at] == codes[likely]
+            found[likely[exact]] = at[exact]
+        return found
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of ``width`` consecutive values from every position on."""
     if len(values) < width:
