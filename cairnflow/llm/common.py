@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnflow.session import materialize
 
@@ -18,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for kernels that turn one batch into some batches, without state between batches."""
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` for kernels that turn one batch into some batches, without state between batches.
+
+    Spark takes the columns of a result by place, so they are put into the order of ``schema`` here.
+    """
+    names = schema.names if isinstance(schema, StructType) else [column.split()[0] for column in schema.split(",")]
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield from kernel(batch)
+                for found in kernel(batch):
+                    yield found.select(names)
 
     return df.mapInArrow(run, schema)
 

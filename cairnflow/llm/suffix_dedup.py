@@ -31,38 +31,34 @@ BYTES = 200
 GRAM = 48
 
 
-def column_wise(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bwt, lcp, lf) of the collection. Symbols are byte + 1, and 0 before the start of a string; common prefixes
-    stop counting at ``cap``. Row i < len(strings) is the empty suffix of string i."""
-    total = len(strings)
-    lengths = np.array([len(s) for s in strings])
+def column_wise(sequences: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bwt, lcp, lf) of sequences of small non-negative numbers. In the transform a symbol is its number + 1, and 0
+    before the start of a sequence; common prefixes stop counting at ``cap``. Row i < len(sequences) is the empty
+    suffix of sequence i."""
+    total = len(sequences)
+    lengths = np.array([len(s) for s in sequences], np.int64)
     longest = int(lengths.max()) if total else 0
+    most = max((int(s.max()) for s in sequences if len(s)), default=0)
     # Column j holds the symbol in front of the suffix of length j.
-    columns = np.zeros((longest + 1, total), np.uint8)
-    for i, s in enumerate(strings):
-        columns[: len(s), i] = np.frombuffer(s, np.uint8)[::-1]
-    used, dense = np.unique(columns, return_inverse=True)
-    small = len(used) < 255
-    columns = dense.reshape(columns.shape).astype(np.uint8 if small else np.uint16) + 1
-    columns[lengths, np.arange(total)] = 0
+    columns = np.zeros((longest + 1, total), np.uint8 if most < 255 else np.uint16)
+    for i, s in enumerate(sequences):
+        columns[: len(s), i] = s[::-1] + 1
     bwt = columns[0].copy()
     lcp = np.zeros(total, np.uint16)
-    rank = np.arange(total)
-    who = np.arange(total)  # strings in the order of their last suffix
+    who, rank = np.arange(total), np.arange(total)  # sequences in the order of their last suffix, and its row
     for j in range(1, longest + 1):
         live = columns[j - 1, who] > 0
         who, rank = who[live], rank[live]
+        symbol = bwt[rank]
         size = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        ended = int(np.count_nonzero(bwt == 0))
-        mark = np.zeros(size, np.int64)
-        mark[rank] = np.arange(1, len(rank) + 1)
-        moved = mark[order]
-        sorted_at = np.flatnonzero(moved)
-        whose = moved[sorted_at] - 1
-        who, old = who[whose], rank[whose]
+        ended = size - int(np.count_nonzero(bwt))
+        flags = np.zeros(size, bool)
+        flags[rank] = True
+        sorted_at = np.flatnonzero(flags[order])
+        turn = np.argsort(symbol, kind="stable")
+        who, old, symbol = who[turn], rank[turn], symbol[turn]
         rank = total + sorted_at - ended
-        symbol = bwt[old]
         # Range minima up to the row before and after with the same symbol.
         before, after = order[sorted_at - 1], order[np.minimum(sorted_at + 1, size - 1)]
         has_before = (sorted_at > 0) & (bwt[before] == symbol)
@@ -81,7 +77,7 @@ def column_wise(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray,
         bwt, lcp = wider, common
     order = np.argsort(bwt, kind="stable")
     lf = np.empty(len(bwt), np.int64)
-    lf[order] = np.arange(len(bwt)) + total - int(np.count_nonzero(bwt == 0))
+    lf[order] = np.arange(len(bwt)) + total - (len(bwt) - int(np.count_nonzero(bwt)))
     return bwt, lcp, lf
 
 
@@ -97,24 +93,45 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return found
 
 
+def phases(contents: list[bytes], width: int) -> list[np.ndarray]:
+    """Each content as ``width`` sequences of dense symbols of ``width`` bytes, one from each of its first bytes on."""
+    data = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint32)
+    codes = data.copy()
+    for k in range(1, width):
+        codes[:-k] |= data[k:] << np.uint32(8 * k)
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
+    dense = np.unique(codes, return_inverse=True)[1]
+    return [dense[a + p : max(a + p, b - width + 1) : width] for a, b in zip(edges[:-1], edges[1:]) for p in range(width)]
+
+
 def repeated_ranges(contents: list[bytes], weights: np.ndarray, first: np.ndarray, size: int):
-    """Windows of ``size`` bytes that are found twice or more among the contents, as ranges of each."""
-    bwt, lcp, lf = column_wise(contents, size)
-    near = lcp >= size
+    """Windows of ``size`` bytes that are found twice or more among the contents, as ranges of each.
+
+    A symbol is four bytes where the window is a multiple of that (and the group has not too many of them; else two or
+    one): a window is then a quarter as many symbols, from one of four sequences of its content, and the construction
+    takes a quarter of the rounds.
+    """
+    for width in (4, 2, 1):
+        sequences = phases(contents, width)
+        if size % width == 0 and max((int(s.max()) for s in sequences if len(s)), default=0) < 65535:
+            break
+    cap = size // width
+    _, lcp, lf = column_wise(sequences, cap)
+    near = lcp >= cap
     twice = near.copy()
     twice[:-1] |= near[1:]
-    total = len(contents)
-    lengths = np.array([len(s) for s in contents])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])  # one place between strings
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # one place between contents
     flag = np.zeros(starts[-1] + 1, bool)
-    row, who = np.arange(total), np.arange(total)
+    row, who = np.arange(len(sequences)), np.arange(len(sequences))
     for j in range(1, int(lengths.max()) + 1):
         live = lengths[who] >= j
         who, row = who[live], lf[row[live]]
-        flag[starts[who] + lengths[who] - j] = twice[row]
-    heavy = np.flatnonzero(weights > 1)
-    for i in heavy:
-        flag[starts[i] : starts[i] + lengths[i] - size + 1] = True
+        if j >= cap:
+            flag[starts[who // width] + (lengths[who] - j) * width + who % width] = twice[row]
+    for i in np.flatnonzero(weights > 1):
+        flag[starts[i] : starts[i] + sizes[i] - size + 1] = True
     edge = np.diff(np.concatenate([[0], flag.astype(np.int8)]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     at = np.searchsorted(starts, begin, "right") - 1

@@ -74,7 +74,7 @@ def test_common_prefixes_of_a_collection():
         shared = [0]
         for (a, _), (b, _) in zip(suffixes, suffixes[1:]):
             shared.append(next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
-        assert suffix_dedup.column_wise(strings, 99)[1].tolist() == shared
+        assert suffix_dedup.column_wise([np.frombuffer(s, np.uint8) for s in strings], 99)[1].tolist() == shared
 
 
 def test_parts_of_a_tree_are_bounded_and_whole():
