@@ -249,8 +249,9 @@ def repeated(docs: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     often = places.groupBy("m").agg(*counts).where("first < last" if spec.ordered else "places > 1 OR loops").select("m")
     live = stage(places.join(often, "m", "left_semi"), "live-runs")
     one = F.min(F.struct("doc_id", "h", "start", "n")).alias("one")
-    contents = live.groupBy("m", "c").agg(F.count("*").alias("weight"), one)
-    sizes = contents.groupBy("m").agg(F.count("*").alias("contents"))
+    contents = stage(live.groupBy("m", "c").agg(F.count("*").alias("weight"), one), "folded")
+    # Written before they are joined: both sides are then dealt for the join alone, and a hot anchor can be split.
+    sizes = stage(contents.groupBy("m").agg(F.count("*").alias("contents")), "sizes")
     known = contents.join(sizes, "m").select(
         "m", "c", "weight", F.col("one.doc_id").alias("doc_id"), F.col("one.h").alias("h"), F.col("one.start").alias("start"), F.col("one.n").alias("n"),
         F.col("one.doc_id").alias("first"), F.col("m").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("off"), "contents",
