@@ -8,8 +8,9 @@ hardly depends on its weights; texts with an open register are followed further.
 
 Candidates come from bands of registers, without pairs inside a bucket: copies (equal multisets) are folded first, and
 every member of a bucket is checked against its leader, the member that meets most others over all its buckets. Members
-that are still in different classes are compared by signature in blocks of ``BLOCK`` members, so that no link is lost
-when a leader is not similar to all. Every link is verified on the exact multisets. Classes are connected components.
+that are still in different classes are compared in blocks of ``BLOCK`` members, by one matrix product over the elements
+they share, so that no link is lost when a leader is not similar to all; a block hands on only links that join classes.
+Every link is verified on the exact multisets. Classes are connected components.
 
 Defined cases: a text of one to four words is one shingle; a text without words (null, empty, blank) is alone in its
 class; repeated ids are separate rows; a missing id counts as the last; without rows the result is empty.
@@ -35,8 +36,7 @@ BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
 BLOCK = 256
-# Standard errors by which an estimate from signatures may fall short of the similarity.
-SLACK = 5.0
+COLUMNS = 2048
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,29 +145,35 @@ def memberships(nodes: DataFrame) -> DataFrame:
     return map_batches(nodes.where("n > 0").select("node", "sig"), kernel, "bucket long, node binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) of nodes whose multisets are similar enough."""
-    sizes = nodes.select("node", "n", "rep")
-    near = (
-        pairs.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
-        .join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
-        .where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
-        .select("x", "y")
-    )
-    near = stage(near, "near-pairs")
-    ends = near.select(F.col("x").alias("node")).union(near.select("y")).distinct().join(sizes, "node")
-    texts = rows.join(ends.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), ["doc_id", "h"]).select("node", "text")
+def bags(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, bits: int = 64) -> DataFrame:
+    """node and bag, the sorted elements (``bits`` each) of the multiset, of the nodes of ``wanted``."""
+    reps = wanted.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "node")
+    texts = rows.join(reps, ["doc_id", "h"]).select("node", "text")
 
-    def multiset(batch: pa.RecordBatch):
+    def kernel(batch: pa.RecordBatch):
         for first, stop, data, bounds in slices(batch.column("text")):
             at, parts = elements(*weighted(*shingles(data, bounds)))
             order = np.lexsort((parts, at))
             cuts = np.searchsorted(at[order], np.arange(stop - first + 1))
             ordered = parts[order]
+            ordered = ordered if bits == 64 else (ordered >> np.uint64(32)).astype(np.uint32)
             kept = pa.array([ordered[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield batch_of(node=batch.column("node").slice(first, stop - first), bag=kept)
 
-    bags = stage(map_batches(texts, multiset, "node binary, bag binary"), "bags")
+    return stage(map_batches(texts, kernel, "node binary, bag binary"), "bags")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) of nodes whose multisets are similar enough."""
+    sizes = nodes.select("node", "n")
+    near = (
+        pairs.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
+        .join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
+        .where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+        .select("x", "y")
+    )
+    near = stage(near, "near-pairs")
+    bag = bags(near.select(F.col("x").alias("node")).union(near.select("y")), nodes, rows)
 
     def similar(batch: pa.RecordBatch):
         keep = np.zeros(batch.num_rows, bool)
@@ -179,12 +185,32 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: fl
             keep[i] = both >= similarity * (len(a) + len(b) - both) - 1e-9
         yield batch_of(x=batch.column("x"), y=batch.column("y")).filter(pa.array(keep))
 
-    joined = near.join(bags.select(F.col("node").alias("x"), F.col("bag").alias("bx")), "x").join(
-        bags.select(F.col("node").alias("y"), F.col("bag").alias("by")), "y"
+    joined = near.join(bag.select(F.col("node").alias("x"), F.col("bag").alias("bx")), "x").join(
+        bag.select(F.col("node").alias("y"), F.col("bag").alias("by")), "y"
     )
     return map_batches(joined.select("x", "y", "bx", "by"), similar, "x binary, y binary").distinct()
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, as matrix products over the elements that two sets or more have."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    number = np.full(len(counts), -1)
+    number[shared] = np.arange(len(shared))
+    column = number[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    found = np.zeros((len(sets), len(sets)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, len(shared) + COLUMNS, COLUMNS))
+    for nth, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - nth * COLUMNS] = 1.0
+        found += part @ part.T
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, class (the least node) of every node that has an edge: least labels of neighbours, with pointer jumping."""
     both = stage(edges.select("x", "y").union(edges.select("y", "x")), "edges")
@@ -200,30 +226,45 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Likely links (x, y) between members of one bucket that are in different classes."""
+def open_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (x, y) that join members of one bucket that are in different classes."""
     known = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     mixed = known.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = known.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    members = stage(members, "open-members")
     other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = other.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "class")
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / REGISTERS)
+    cells = other.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "class")
 
-    def likely(batch):
+    def joining(batch):
         node, group = batch.column("node").to_pylist(), batch.column("class").to_pylist()
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(node), REGISTERS)
-        names = np.unique(np.array([int.from_bytes(g, "big") for g in group], object), return_inverse=True)[1]
+        mine = batch.column("mine").to_numpy()
+        crossing = batch.column("i")[0].as_py() != batch.column("j")[0].as_py()
+        sets = [np.frombuffer(b, np.uint32) for b in batch.column("bag").to_pylist()]
+        sizes = np.array([len(b) for b in sets], np.float32)
+        both = overlaps(sets)
+        close = np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-4, 1)
+        if crossing:
+            close &= mine[:, None] != mine
+        root = {g: g for g in group}
+
+        def find(g):
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
         x, y = [], []
-        for i in range(len(node) - 1):
-            same = (sig[i + 1 :] == sig[i]).mean(1)
-            for j in np.flatnonzero((same >= least) & (names[i + 1 :] != names[i])) + i + 1:
-                x.append(min(node[i], node[j]))
-                y.append(max(node[i], node[j]))
+        for a, b in np.argwhere(close):
+            p, q = find(group[a]), find(group[b])
+            if p != q:
+                root[p] = q
+                x.append(min(node[a], node[b]))
+                y.append(max(node[a], node[b]))
         return pa.table({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
 
-    with_sig = cells.join(nodes.select("node", "sig"), "node")
-    return with_sig.groupBy("bucket", "i", "j").applyInArrow(likely, "x binary, y binary").distinct()
+    with_bags = cells.join(bags(members, nodes, rows, 32), "node")
+    return with_bags.groupBy("bucket", "i", "j").applyInArrow(joining, "x binary, y binary").distinct()
 
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -239,7 +280,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stars = shared.join(leaders, "bucket").where("node <> y").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
     links = stage(verified(stars, nodes, rows, similarity), "links")
     labels = components(links)
-    missed = stage(open_pairs(shared, labels, nodes, similarity), "open-pairs")
+    missed = stage(open_links(shared, labels, nodes, rows, similarity), "open-links")
     more = stage(verified(missed, nodes, rows, similarity), "more-links")
     labels = components(links.union(more))
     placed = signed.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("class", "node").alias("class"))
