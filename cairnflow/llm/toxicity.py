@@ -28,6 +28,8 @@ MODULUS, HELD_OUT = 5, 0
 BUCKETS = 1 << 18
 TERMS = 1024
 LEAST_TEXTS = 4
+# Standard errors between the shares of toxic and clean texts that have a term, below which it counts as noise.
+LEAST_APART = 3.0
 BEGINNINGS = (3, 4, 5, 6)
 FACTORS = 8
 EPOCHS = 40
@@ -141,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Machine
     )
     pooled = (F.col("t") + F.col("c")) / (toxic + clean)
     apart = (F.col("t") / toxic - F.col("c") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean) + 1e-12)
-    best = counts.where((F.col("t") + F.col("c") >= LEAST_TEXTS)).orderBy(F.abs(apart).desc(), "bucket").limit(TERMS).select("bucket").collect()
+    best = counts.where((F.col("t") + F.col("c") >= LEAST_TEXTS) & (F.abs(apart) >= LEAST_APART)).orderBy(F.abs(apart).desc(), "bucket").limit(TERMS).select("bucket").collect()
     for nth, r in enumerate(best):
         chosen[r.bucket] = nth
 
