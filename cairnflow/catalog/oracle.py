@@ -199,7 +199,7 @@ def series(granularity: str) -> str:
     return sql(f"SELECT {period} AS period_start, {sums} FROM history GROUP BY 1", "history")
 
 
-RANK_COLUMNS = """cluster_id, label, CAST(rank AS INTEGER) AS rank, round(opportunity_score, 6) AS opportunity_score, document_count,
+RANK_COLUMNS = """cluster_id, label, CAST(rank AS BIGINT) AS rank, round(opportunity_score, 6) AS opportunity_score, document_count,
 coalesce(round(growth_rate, 6), -999.0) AS growth_rate, status, source_count,
 round(average_problem_confidence, 6) AS average_problem_confidence"""
 
@@ -221,6 +221,23 @@ CASE WHEN doc_id % 17 = 11 THEN '?' ELSE source END AS author, 1704067200 + doc_
 CASE WHEN doc_id % 17 = 8 THEN -1 ELSE CAST(n_chars AS INTEGER) END AS engagement_score
 FROM docs WHERE {REDDIT_VALID}"""
 
+FEED_SCAN = f"""SELECT h.external_id, f.feed_order, f.position FROM (
+SELECT item_id, min(feed_order) AS feed_order, arg_min(position, feed_order) AS position FROM (
+SELECT 1 AS feed_order, -doc_id AS position, doc_id AS item_id FROM docs WHERE doc_id % 3 = 0
+UNION ALL SELECT 2, doc_id, doc_id FROM docs WHERE doc_id % 2 = 0
+UNION ALL SELECT 3, doc_id, doc_id FROM docs WHERE doc_id % 5 = 0) GROUP BY item_id) f
+JOIN ({HN}) h ON h.external_id = CAST(f.item_id AS VARCHAR)"""
+# A page is reached when all pages before it are there and hold three issues at least.
+PAGED_SCAN = f"""SELECT g.external_id, CAST(split_part(g.external_id, '#', 2) AS BIGINT) AS issue,
+list_position(['org/src1', 'org/src0', 'org/src2'], r.repository) AS place FROM ({GITHUB}) g JOIN (
+SELECT *, row_number() OVER (PARTITION BY repository ORDER BY page) AS nth,
+coalesce(min(issues) OVER (PARTITION BY repository ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 3) AS least
+FROM (SELECT 'org/' || source AS repository, doc_id // 120 + 1 AS page, count(*) AS issues FROM docs GROUP BY ALL)) r
+ON g.external_id LIKE r.repository || '#%' AND CAST(split_part(g.external_id, '#', 2) AS BIGINT) // 120 + 1 = r.page
+WHERE r.repository IN ('org/src1', 'org/src0', 'org/src2') AND r.page = r.nth AND r.least >= 3"""
+LISTING_SCAN = f"""SELECT CAST(doc_id AS VARCHAR) AS external_id, CASE source WHEN 'src2' THEN 1 ELSE 2 END AS turn,
+doc_id AS position FROM docs WHERE source IN ('src2', 'src0') AND {REDDIT_VALID}"""
+
 CUE_SQL = (
     r"\bi wish\b",
     r"\bis there (a|an|any) (tool|app|way|service|library)\b",
@@ -245,28 +262,14 @@ def oracle() -> dict[str, str]:
         "hackernews_feed_ids": sql(
             """SELECT CAST(doc_id // 500 AS BIGINT) AS page, CAST(doc_id % 500 AS INTEGER) AS position, doc_id AS item_id
             FROM docs WHERE doc_id % 7 > 2 AND (doc_id // 500) % 5 <> 3""", "docs"),
-        "hackernews_feed_scan": sql(
-            f"""SELECT external_id, feed_order, position FROM (
-            SELECT f.*, h.external_id FROM (SELECT item_id, min(feed_order) AS feed_order,
-            arg_min(position, feed_order) AS position FROM (
-            SELECT 1 AS feed_order, -doc_id AS position, doc_id AS item_id FROM docs WHERE doc_id % 3 = 0
-            UNION ALL SELECT 2, doc_id, doc_id FROM docs WHERE doc_id % 2 = 0
-            UNION ALL SELECT 3, doc_id, doc_id FROM docs WHERE doc_id % 5 = 0) GROUP BY item_id) f
-            JOIN ({HN}) h ON h.external_id = CAST(f.item_id AS VARCHAR)) ORDER BY feed_order, position LIMIT 500""", "docs"),
+        "hackernews_feed_scan": sql(FEED_SCAN, "docs"),
+        "hackernews_feed_first": sql(f"{FEED_SCAN} ORDER BY feed_order, position LIMIT 60", "docs"),
         "github_issues": sql(GITHUB, "docs"),
-        "github_paged_scan": sql(
-            f"""SELECT g.external_id FROM ({GITHUB}) g JOIN (SELECT p.repository, p.page FROM (
-            SELECT *, row_number() OVER (PARTITION BY repository ORDER BY page) AS nth FROM (
-            SELECT DISTINCT 'org/' || source AS repository, doc_id // 40 + 1 AS page FROM docs)) p WHERE p.page = p.nth) r
-            ON g.external_id LIKE r.repository || '#%' AND CAST(split_part(g.external_id, '#', 2) AS BIGINT) // 40 + 1 = r.page
-            WHERE r.repository IN ('org/src1', 'org/src0', 'org/src2')
-            ORDER BY list_position(['org/src1', 'org/src0', 'org/src2'], r.repository),
-            CAST(split_part(g.external_id, '#', 2) AS BIGINT) LIMIT 100""", "docs"),
+        "github_paged_scan": sql(f"SELECT external_id FROM ({PAGED_SCAN})", "docs"),
+        "github_paged_first": sql(f"SELECT external_id FROM ({PAGED_SCAN}) ORDER BY place, issue LIMIT 20", "docs"),
         "reddit_posts": sql(REDDIT, "docs"),
-        "reddit_listing_scan": sql(
-            f"""SELECT CAST(doc_id AS VARCHAR) AS external_id, CASE source WHEN 'src2' THEN 1 ELSE 2 END AS turn,
-            doc_id AS position FROM docs WHERE source IN ('src2', 'src0') AND {REDDIT_VALID}
-            ORDER BY turn, doc_id LIMIT 100""", "docs"),
+        "reddit_listing_scan": sql(LISTING_SCAN, "docs"),
+        "reddit_listing_first": sql(f"{LISTING_SCAN} ORDER BY turn, doc_id LIMIT 15", "docs"),
         "multi_source_union": sql(
             f"""SELECT source, source_order, count(*) AS n FROM (SELECT source, 1 AS source_order FROM ({REDDIT})
             UNION ALL SELECT source, 2 FROM ({HN}) UNION ALL SELECT source, 3 FROM ({GITHUB})) GROUP BY ALL""", "docs"),
@@ -450,9 +453,36 @@ def oracle() -> dict[str, str]:
             UNION ALL SELECT current_cluster_id, 'unmatched clusters have status new' FROM matches WHERE previous_cluster_id IS NULL""", "matches"),
         "trend_violations": sql(
             """SELECT current_cluster_id, 'unknown status' AS rule FROM trends WHERE status = 'falling'
-            UNION ALL SELECT current_cluster_id, 'count equals the cluster''s' FROM trends WHERE status = 'stable'""", "trends"),
+            UNION ALL SELECT current_cluster_id, rule FROM trends, (VALUES ('count equals the cluster''s'),
+            ('change is the difference of the counts')) r(rule) WHERE status = 'stable'""", "trends"),
         "ranking_violations": sql(
             "SELECT cluster_id, 'label equals the cluster''s' AS rule FROM ranked WHERE rank <= 3", "ranked"),
+        "match_rules": sql(
+            """SELECT current_cluster_id, rule FROM matches, (VALUES ('current cluster matched twice'), ('previous cluster matched twice')) r(rule),
+            (VALUES (1), (2)) twice(n) WHERE current_cluster_id = 100 AND (previous_cluster_id IS NOT NULL OR rule LIKE 'current%')
+            UNION ALL SELECT current_cluster_id + 1000, 'unknown current cluster' FROM matches WHERE current_cluster_id = 103
+            UNION ALL SELECT current_cluster_id, 'unknown previous cluster' FROM matches WHERE current_cluster_id = 104 AND previous_cluster_id IS NOT NULL
+            UNION ALL SELECT current_cluster_id, 'matched clusters have status matched and a similarity' FROM matches
+            WHERE current_cluster_id = 105 AND previous_cluster_id IS NOT NULL""", "matches"),
+        "trend_rules": sql(
+            """SELECT current_cluster_id, rule FROM trends, (VALUES ('clusters without a previous one are new'),
+            ('clusters without a previous one have no previous count'), ('similarity comes with a previous cluster')) r(rule) WHERE current_cluster_id = 100
+            UNION ALL SELECT current_cluster_id, 'cluster has one trend' FROM trends, (VALUES (1), (2)) twice(n) WHERE current_cluster_id = 101
+            UNION ALL SELECT current_cluster_id, 'cluster has a trend' FROM trends WHERE current_cluster_id = 102
+            UNION ALL SELECT current_cluster_id, 'clusters with a previous one are not new' FROM trends WHERE current_cluster_id = 103
+            UNION ALL SELECT current_cluster_id, 'similarity is a cosine' FROM trends WHERE current_cluster_id = 104
+            UNION ALL SELECT current_cluster_id, 'change is the difference of the counts' FROM trends WHERE current_cluster_id IN (105, 108)
+            UNION ALL SELECT current_cluster_id, 'growth is finite' FROM trends WHERE current_cluster_id = 106
+            UNION ALL SELECT current_cluster_id, 'unknown previous cluster' FROM trends WHERE current_cluster_id = 107
+            UNION ALL SELECT current_cluster_id, 'counts are not negative' FROM trends WHERE current_cluster_id = 108
+            UNION ALL SELECT current_cluster_id + 1000, 'unknown current cluster' FROM trends WHERE current_cluster_id = 109""", "trends"),
+        "ranking_rules": sql(
+            """SELECT cluster_id, rule FROM ranked, (VALUES ('rank is unique'), ('cluster has one rank')) r(rule), (VALUES (1), (2)) twice(n) WHERE cluster_id = 100
+            UNION ALL SELECT cluster_id, 'cluster is ranked' FROM ranked WHERE cluster_id = 101
+            UNION ALL SELECT cluster_id, 'rank is positive' FROM ranked WHERE cluster_id = 102
+            UNION ALL SELECT cluster_id, 'growth is finite' FROM ranked WHERE cluster_id = 103
+            UNION ALL SELECT cluster_id, 'count equals the cluster''s' FROM ranked WHERE cluster_id = 104
+            UNION ALL SELECT cluster_id + 1000, 'unknown cluster' FROM ranked WHERE cluster_id = 105""", "ranked"),
         "history_violations": sql(
             "SELECT id, 'metadata equals the latest run''s' AS rule FROM history WHERE id % 3 <> (SELECT max(id) % 3 FROM history)", "history"),
         "membership_violations": sql(

@@ -87,8 +87,7 @@ def hackernews_feed_ids(spark, d):
     return hackernews.feed_ids(landing.id_lists(landing.documents(spark, d)), "page")
 
 
-@register
-def hackernews_feed_scan(spark, d):
+def _feed_scan(spark, d, limit=None):
     docs = landing.documents(spark, d)
     payloads = landing.hackernews(docs).select(F.col("doc_id").alias("item_id"), "value")
     each = F.col("doc_id")
@@ -102,24 +101,42 @@ def hackernews_feed_scan(spark, d):
             for name, step, place in lists
         ],
     )
-    found = hackernews.scan_feeds(ids, payloads)
+    found = hackernews.scan_feeds(ids, payloads, limit=limit)
     return found.select("external_id", F.col("seen.feed_order").cast("int").alias("feed_order"), "seen.position")
 
 
+@register
+def hackernews_feed_scan(spark, d):
+    return _feed_scan(spark, d)
+
+
+@register
+def hackernews_feed_first(spark, d):
+    return _feed_scan(spark, d, 60)
+
+
 @register
 def github_issues(spark, d):
     return _raw_summary(github.normalize(landing.github(landing.documents(spark, d))))
 
 
-@register
-def github_paged_scan(spark, d):
+def _paged_scan(spark, d, limit=None):
+    # Pages of 120 ids, a page counts as full from three issues on.
     pages = landing.github(landing.documents(spark, d)).select(
-        "repository",
-        (F.floor(F.col("doc_id") / 40) + 1).alias("page"),
-        F.col("doc_id").alias("position"),
-        "value",
+        "repository", (F.floor(F.col("doc_id") / 120) + 1).alias("page"), F.col("doc_id").alias("position"), "value"
     )
-    return github.scan_repositories(pages, ["org/src1", " Org/src0", "org/src2/"], 100, page_size=1).select("external_id")
+    repositories = ["org/src1", " Org/src0", "org/src2/"]
+    return github.scan_repositories(pages, repositories, limit, page_size=3).select("external_id")
+
+
+@register
+def github_paged_scan(spark, d):
+    return _paged_scan(spark, d)
+
+
+@register
+def github_paged_first(spark, d):
+    return _paged_scan(spark, d, 20)
 
 
 @register
@@ -127,15 +144,24 @@ def reddit_posts(spark, d):
     return _raw_summary(reddit.normalize(landing.reddit(landing.documents(spark, d))))
 
 
-@register
-def reddit_listing_scan(spark, d):
+def _listing_scan(spark, d, limit=None):
     posts = landing.reddit(landing.documents(spark, d)).select(
         F.col("source").alias("subreddit"), F.col("doc_id").alias("position"), F.try_parse_json("value").alias("post")
     )
-    found = reddit.scan_listings(posts, ["src2", "r/src0"])
+    found = reddit.scan_listings(posts, ["src2", "r/src0"], limit)
     return found.select("external_id", F.col("seen.turn").alias("turn"), "seen.position")
 
 
+@register
+def reddit_listing_scan(spark, d):
+    return _listing_scan(spark, d)
+
+
+@register
+def reddit_listing_first(spark, d):
+    return _listing_scan(spark, d, 15)
+
+
 @register
 def multi_source_union(spark, d):
     docs = landing.documents(spark, d)
@@ -803,6 +829,64 @@ def ranking_violations(spark, d):
     return quality.ranking_violations(renamed, view.clusters)
 
 
+@register
+def match_rules(spark, d):
+    """Each rule of matching results that ``match_violations`` leaves whole, broken by one cluster."""
+    items = X.source_items(spark, d)
+    found = _matches(spark, d)
+    cluster, previous = F.col("current_cluster_id"), F.col("previous_cluster_id")
+    broken = found.withColumns(
+        {
+            "previous_cluster_id": F.when(cluster == 104, previous + 1000).otherwise(previous),
+            "similarity": F.when(cluster != 105, F.col("similarity")),
+        }
+    )
+    stranger = found.where(cluster == 103).withColumns(
+        {"current_cluster_id": cluster + 1000, "previous_cluster_id": F.lit(None).cast("long"), "status": F.lit("new")}
+    )
+    rows = broken.unionByName(broken.where(cluster == 100)).unionByName(stranger)
+    return quality.match_violations(rows, _clusters(X.current_members(items)), _clusters(X.previous_members(items)))
+
+
+@register
+def trend_rules(spark, d):
+    """Each rule of trends that ``trend_violations`` leaves whole, broken by one cluster."""
+    items = X.source_items(spark, d)
+    found = _trends(spark, d)
+    cluster, previous = F.col("current_cluster_id"), F.col("previous_cluster_id")
+    broken = found.where(cluster != 102).withColumns(
+        {
+            "previous_cluster_id": F.when(cluster == 107, previous + 1000).when(cluster != 100, previous),
+            "status": F.when(cluster == 103, "new").otherwise(F.col("status")),
+            "similarity": F.when(cluster == 104, 7.0).otherwise(F.col("similarity")),
+            "absolute_change": F.col("absolute_change") + flag(cluster == 105),
+            "growth_rate": F.when(cluster == 106, float("inf")).otherwise(F.col("growth_rate")),
+            "previous_count": F.when(cluster == 108, -1).otherwise(F.col("previous_count")),
+        }
+    )
+    stranger = found.where(cluster == 109).withColumn("current_cluster_id", cluster + 1000)
+    rows = broken.unionByName(broken.where(cluster == 101)).unionByName(stranger)
+    return quality.trend_violations(rows, _clusters(X.current_members(items)), _clusters(X.previous_members(items)))
+
+
+@register
+def ranking_rules(spark, d):
+    """Each rule of rankings that ``ranking_violations`` leaves whole, broken by one cluster."""
+    view = snapshot(spark, d)
+    ranked = dashboard.ranked_clusters(view)
+    cluster = F.col("cluster_id")
+    broken = ranked.where(cluster != 101).withColumns(
+        {
+            "rank": F.when(cluster == 102, -F.col("rank")).otherwise(F.col("rank")),
+            "growth_rate": F.when(cluster == 103, float("inf")).otherwise(F.col("growth_rate")),
+            "document_count": F.col("document_count") + flag(cluster == 104),
+        }
+    )
+    stranger = ranked.where(cluster == 105).withColumns({"cluster_id": cluster + 1000, "rank": F.col("rank") + 1000})
+    rows = broken.unionByName(broken.where(cluster == 100)).unionByName(stranger)
+    return quality.ranking_violations(rows, view.clusters)
+
+
 @register
 def history_violations(spark, d):
     history = _runs(spark, d)

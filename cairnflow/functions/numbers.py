@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairnflow.functions.checks import number_within
 from cairnflow.schemas import CHANGE_THRESHOLD, GRANULARITIES
 
 # Fixed value: an ISO-8601 date and time that carries an offset.
 OFFSET_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$"
 
 
+# Years 1 to 9999, the range of a timestamp.
+EPOCH_RANGE = (-62135596800, 253402300799)
+
+
 def epoch_timestamp(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds)
+    """NULL outside of the years 1 to 9999 (as for milliseconds or microseconds given by mistake)."""
+    return F.when(seconds.between(*EPOCH_RANGE), F.timestamp_seconds(seconds))
 
 
 def iso_timestamp(text: Column) -> Column:
@@ -40,11 +46,7 @@ def growth_rate(current: Column, previous: Column) -> Column:
 
 
 def validate_change_threshold(threshold: float) -> float:
-    if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
-        raise TypeError("change_threshold must be a number")
-    if not 0 <= threshold < float("inf"):
-        raise ValueError("change_threshold must be finite and non-negative")
-    return float(threshold)
+    return number_within(threshold, "change_threshold", 0)
 
 
 def trend_status(

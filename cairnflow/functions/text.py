@@ -15,6 +15,7 @@ WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 WHITESPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Fixed value: a word is a run of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
+# Fixed value.
 TAG = r"<[^>]+>"
 
 # Entities decoded on the JVM; their characters come from the standard library's table.

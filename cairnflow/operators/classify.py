@@ -1,7 +1,7 @@
 """Problem classification: pluggable batch scorers, a lexical scorer, a trained linear scorer.
 
-A scorer is ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]`` over ``(key, document_text)`` that
-returns ``(key, output)`` with the raw model answer; a model is loaded once per task, before the loop.
+A scorer is ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]`` over ``(row_id, document_text)`` that
+returns ``(row_id, output)`` with the raw model answer; a model is loaded once per task, before the loop.
 Answers are validated on the JVM, and malformed ones become conservative non-problems.
 """
 
@@ -43,25 +43,29 @@ LEXICAL_NAME = "lexical-cues"
 
 
 def classify(items: DataFrame, scorer: Scorer, classifier_name: str, key: Sequence[str] = ("source", "external_id")) -> DataFrame:
-    """Items with verdict columns and ``malformed``. Blank documents are not sent to the scorer.
+    """Items with verdict columns and ``malformed``.
 
-    Only the key and the text travel to Python; filters belong before this call, since the
-    optimizer does not move them through it.
+    Each different text of a key is scored once and its verdict goes to all rows that have it, so repeats neither
+    multiply nor swap verdicts. Blank documents are not sent to the scorer; their verdict columns stay NULL, which
+    ``quality.classification_violations`` reports. Only an id and the text travel to Python; filters belong before
+    this call, since the optimizer does not move them through it.
     """
-    sent = items.filter(~is_blank(F.col("document_text"))).select(*key, "document_text")
-    answer_schema = T.StructType([sent.schema[k] for k in key] + [T.StructField("output", T.StringType())])
-    answers = sent.mapInPandas(scorer, answer_schema)
-    parsed = parse_model_output(answers, "output", *key)
+    row_id = F.sha2(F.to_json(F.struct(*key, "document_text")), 256)
+    items = items.withColumn("row_id", F.when(~is_blank(F.col("document_text")), row_id))
+    sent = items.filter(F.col("row_id").isNotNull()).select("row_id", "document_text").dropDuplicates(["row_id"])
+    answers = sent.mapInPandas(scorer, T.StructType([sent.schema["row_id"], T.StructField("output", T.StringType())]))
+    parsed = parse_model_output(answers, "output", "row_id")
     verdicts = parsed.select(
-        *key,
-        "malformed",
+        "row_id",
+        F.col("malformed").alias("answer_malformed"),
         F.coalesce("is_problem", F.lit(False)).alias("is_problem"),
         F.coalesce("confidence", F.lit(0.0)).alias("problem_confidence"),
         F.coalesce("reason", F.lit(MALFORMED_REASON)).alias("problem_reason"),
         F.lit(classifier_name).alias("problem_classifier"),
     )
     bare = items.drop("is_problem", "problem_confidence", "problem_reason", "problem_classifier", "malformed")
-    return bare.join(verdicts, list(key))
+    judged = bare.join(verdicts, "row_id", "left")
+    return judged.withColumn("malformed", F.coalesce("answer_malformed", F.lit(False))).drop("row_id", "answer_malformed")
 
 
 def cue_count(text: Column, cues: Sequence[str] = PROBLEM_CUES) -> Column:

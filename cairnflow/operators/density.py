@@ -413,8 +413,6 @@ def condensed_tree(tree: DataFrame, cores: DataFrame, min_cluster_size: int, gro
     members: list[DataFrame] = []
     ended: list[DataFrame] = []
     bands = 0
-    # No group gets more than a share of the tree, however small the tree is.
-    group_edges = min(group_edges, max(256, left // 4))
     wanted = max(left // 2, 1)
     while left:
         cut = _band(events, wanted, left)

@@ -84,16 +84,19 @@ def match_violations(matches: DataFrame, current: DataFrame, previous: DataFrame
         .groupBy("previous_cluster_id")
         .agg(F.count("*").alias("uses"))
     )
+    rows = matches.groupBy("current_cluster_id").agg(F.count("*").alias("rows"))
     joined = (
         matches.join(now, "current_cluster_id", "left")
         .join(before, "previous_cluster_id", "left")
         .join(uses, "previous_cluster_id", "left")
+        .join(rows, "current_cluster_id", "left")
     )
     matched, similarity = F.col("previous_cluster_id").isNotNull(), F.col("similarity")
     limit = 1.0 + SIMILARITY_TOLERANCE
     rules = {
         "unknown current cluster": F.col("has_current").isNull(),
         "unknown previous cluster": matched & F.col("has_previous").isNull(),
+        "current cluster matched twice": F.col("rows") > 1,
         "previous cluster matched twice": F.col("uses") > 1,
         "matched clusters have status matched and a similarity": matched
         & ((F.col("status") != "matched") | similarity.isNull()),
@@ -111,8 +114,22 @@ def trend_violations(trends: DataFrame, clusters: DataFrame, previous_clusters:
     before = previous_clusters.select(
         F.col("cluster_id").alias("previous_cluster_id"), F.lit(True).alias("has_previous")
     )
-    joined = trends.join(now, "current_cluster_id", "left").join(before, "previous_cluster_id", "left")
+    rows = trends.groupBy("current_cluster_id").agg(F.count("*").alias("rows"))
+    joined = (
+        trends.join(now, "current_cluster_id", "left")
+        .join(before, "previous_cluster_id", "left")
+        .join(rows, "current_cluster_id", "left")
+    )
+    alone, similarity = F.col("previous_cluster_id").isNull(), F.col("similarity")
+    limit = 1.0 + SIMILARITY_TOLERANCE
     rules = {
+        "cluster has one trend": F.col("rows") > 1,
+        "clusters without a previous one are new": alone & (F.col("status") != "new"),
+        "clusters with a previous one are not new": ~alone & (F.col("status") == "new"),
+        "clusters without a previous one have no previous count": alone & (F.col("previous_count") != 0),
+        "similarity comes with a previous cluster": alone != similarity.isNull(),
+        "similarity is a cosine": F.isnan(similarity) | ~similarity.between(-limit, limit),
+        "change is the difference of the counts": F.col("absolute_change") != F.col("current_count") - F.col("previous_count"),
         "unknown current cluster": F.col("documents").isNull(),
         "unknown previous cluster": F.col("previous_cluster_id").isNotNull() & F.col("has_previous").isNull(),
         "unknown status": ~F.col("status").isin(*TREND_STATUSES),
@@ -120,23 +137,28 @@ def trend_violations(trends: DataFrame, clusters: DataFrame, previous_clusters:
         "counts are not negative": (F.col("current_count") < 0) | (F.col("previous_count") < 0),
         "growth is finite": F.isnan("growth_rate") | (F.abs("growth_rate") == float("inf")),
     }
-    return _tagged(joined, rules, "current_cluster_id")
+    missing = now.join(trends.select("current_cluster_id").distinct(), "current_cluster_id", "left_anti")
+    absent = missing.select("current_cluster_id", F.lit("cluster has a trend").alias("rule"))
+    return _tagged(joined, rules, "current_cluster_id").unionByName(absent)
 
 
 def ranking_violations(rankings: DataFrame, clusters: DataFrame) -> DataFrame:
     """Rules a ranking breaks against its clusters, as ``(cluster_id, rule)``."""
     own = clusters.select("cluster_id", F.col("label").alias("own_label"), F.col("document_count").alias("own_count"))
     ranks = rankings.groupBy("rank").agg(F.count("*").alias("sharing"))
-    joined = rankings.join(own, "cluster_id", "left").join(ranks, "rank", "left")
+    rows = rankings.groupBy("cluster_id").agg(F.count("*").alias("rows"))
+    joined = rankings.join(own, "cluster_id", "left").join(ranks, "rank", "left").join(rows, "cluster_id", "left")
     rules = {
         "unknown cluster": F.col("own_count").isNull(),
         "label equals the cluster's": ~F.col("label").eqNullSafe(F.col("own_label")) & F.col("own_count").isNotNull(),
         "count equals the cluster's": F.col("document_count") != F.col("own_count"),
         "rank is positive": F.col("rank") <= 0,
         "rank is unique": F.col("sharing") > 1,
+        "cluster has one rank": F.col("rows") > 1,
         "growth is finite": F.isnan("growth_rate") | (F.abs("growth_rate") == float("inf")),
     }
-    return _tagged(joined, rules, "cluster_id")
+    missing = own.join(rankings.select("cluster_id").distinct(), "cluster_id", "left_anti")
+    return _tagged(joined, rules, "cluster_id").unionByName(missing.select("cluster_id", F.lit("cluster is ranked").alias("rule")))
 
 
 def history_violations(history: DataFrame, latest: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def ingest(existing: DataFrame, raw: DataFrame, classify: Stage, encode: Stage,
     scoring is the expensive step and its result is read by the encoder, the upsert and the report.
     """
     ordered = raw if "batch_order" in raw.columns else raw.withColumn("batch_order", F.monotonically_increasing_id())
-    judged = materialize(classify(items.prepare(ordered)).withColumn("id", F.col("batch_order")), "classified")
+    # An id of its own: the caller's batch order need not be unique. It is stored, so later reads agree on it.
+    judged = materialize(classify(items.prepare(ordered)).withColumn("id", F.monotonically_increasing_id()), "classified")
     verdicts = judged.withColumnsRenamed({"problem_confidence": "confidence", "problem_reason": "reason", "problem_classifier": "classifier_name"})
     quality.enforce(quality.classification_violations(verdicts, *items.KEY), "invalid classification")
     vectors = encode(judged.filter("is_problem")).select("id", "embedding", "embedding_model")

@@ -15,7 +15,7 @@ from cairnflow.functions.numbers import iso_timestamp
 from cairnflow.functions.text import is_blank
 from cairnflow.schemas import RAW_ITEMS
 from cairnflow.sources import scopes
-from cairnflow.sources.common import evaluate_once, raw_items
+from cairnflow.sources.common import evaluate_once, first_rows, raw_items
 
 # Fixed value: a page shorter than this is the last one.
 PAGE_SIZE = 100
@@ -85,15 +85,14 @@ def reachable_pages(payloads: DataFrame, page_size: int = PAGE_SIZE) -> DataFram
 def scan_repositories(
     payloads: DataFrame,
     repositories: Sequence[str],
-    limit: int = 100,
+    limit: int | None = None,
     page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """The first ``limit`` valid, distinct issues in repository, page, position order.
+    """The valid, distinct issues, or the first ``limit`` in repository, page, position order (``seen``).
 
     ``payloads`` is ``(repository, page, position, value)`` with pages counted from 1.
     """
     names = scopes.repositories(repositories)
-    limit = scopes.positive_limit(limit)
     wanted = payloads.filter(F.col("repository").isin(*names))
     order = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("repository"))
     reached = wanted.join(reachable_pages(wanted, page_size), ["repository", "page"], "left_semi")
@@ -105,7 +104,7 @@ def scan_repositories(
     first = valid.groupBy("external_id").agg(
         F.min_by(F.struct(*columns), "seen").alias("item"), F.min("seen").alias("seen")
     )
-    return first.orderBy("seen").limit(limit).select("item.*", "seen")
+    return first_rows(first, limit).select("item.*", "seen")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -123,5 +122,5 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read(spark: SparkSession, path: str, repositories: Sequence[str], limit: int = 100) -> DataFrame:
+def read(spark: SparkSession, path: str, repositories: Sequence[str], limit: int | None = None) -> DataFrame:
     return scan_repositories(read_pages(spark, path), repositories, limit).drop("seen")

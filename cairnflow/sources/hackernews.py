@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from cairnflow.functions import jsonvalue as J
 from cairnflow.functions.numbers import epoch_timestamp
 from cairnflow.sources import scopes
-from cairnflow.sources.common import evaluate_once, raw_items
+from cairnflow.sources.common import evaluate_once, first_rows, raw_items
 
+# Fixed value.
 ITEM_LINK = "https://news.ycombinator.com/item?id="
 
 
@@ -82,15 +83,14 @@ def scan_feeds(
     ids: DataFrame,
     payloads: DataFrame,
     feeds: Sequence[str] = scopes.HACKERNEWS_DEFAULT_FEEDS,
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first ``limit`` valid stories of the feeds, in feed order then list order.
+    """The valid stories of the feeds, or the first ``limit`` of them in feed order then list order (``seen``).
 
     ``ids`` is ``(feed, position, item_id)``; ``payloads`` is ``(item_id, value)``. An id belongs to
     the first feed that lists it, whether or not its item turns out to be usable.
     """
     names = scopes.feeds(feeds)
-    limit = scopes.positive_limit(limit)
     order = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("feed"))
     first_seen = (
         ids.filter(F.col("feed").isin(*names))
@@ -98,7 +98,7 @@ def scan_feeds(
         .agg(F.min(F.struct(order.alias("feed_order"), F.col("position"))).alias("seen"))
     )
     wanted = payloads.join(first_seen, "item_id").select("value", "seen")
-    return normalize(wanted, "seen").orderBy("seen").limit(limit)
+    return first_rows(normalize(wanted, "seen"), limit)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +116,7 @@ def read(
     spark: SparkSession,
     path: str,
     feeds: Sequence[str] = scopes.HACKERNEWS_DEFAULT_FEEDS,
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     item_id = J.integer(J.parse(F.col("value")), "$.id").alias("item_id")
     payloads = read_payloads(spark, f"{path}/items").select(item_id, "value")

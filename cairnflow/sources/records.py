@@ -133,13 +133,24 @@ def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def unfenced(answer: Column) -> Column:
+    """What a model wrote, without the code fence around it, if there is one.
+
+    The text is cut at its fence marks. No mark: all of it counts. Two marks with nothing outside: the middle counts,
+    less the language name. Any other number or place of marks leaves nothing, which is not an object and so malformed.
+    """
+    cut = F.split(strip(F.coalesce(answer, F.lit(""))), "```")
+    bare = F.trim(F.get(cut, 0)) == ""
+    closed = (F.size(cut) == 3) & bare & (F.trim(F.get(cut, 2)) == "")
+    inner = strip(F.get(cut, 1))
+    inner = F.when(inner.startswith("json"), F.substr(inner, F.lit(5))).otherwise(inner)
+    return F.when(F.size(cut) == 1, F.get(cut, 0)).when(closed, strip(inner)).otherwise("")
+
+
 def parse_model_output(outputs: DataFrame, column: str = "output", *keep: str) -> DataFrame:
     """Raw model answers to ``is_problem, confidence, reason`` and ``malformed``.
 
     An answer is one JSON object with exactly those fields, bare or inside one code fence.
     """
-    answer = strip(F.coalesce(F.col(column), F.lit("")))
-    fenced = F.regexp_extract(answer, r"(?s)^```(?:json)?\s*(\{.*\})\s*```$", 1)
-    body = F.when(answer.startswith("```"), fenced).when(F.contains(answer, F.lit("```")), F.lit("")).otherwise(answer)
-    parsed = parse(outputs.withColumn("_answer", body), MODEL_OUTPUT, *keep, column="_answer")
+    parsed = parse(outputs.withColumn("_answer", unfenced(F.col(column))), MODEL_OUTPUT, *keep, column="_answer")
     return parsed.withColumn("malformed", F.col("rejected").isNotNull()).drop("rejected")

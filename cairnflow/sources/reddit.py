@@ -14,8 +14,9 @@ from cairnflow.functions import jsonvalue as J
 from cairnflow.functions.numbers import epoch_timestamp
 from cairnflow.functions.text import is_blank
 from cairnflow.sources import scopes
-from cairnflow.sources.common import evaluate_once, raw_items
+from cairnflow.sources.common import evaluate_once, first_rows, raw_items
 
+# Fixed value.
 SITE = "https://www.reddit.com"
 # How the site marks removed authors and bodies.
 DELETED_AUTHOR = "[deleted]"
@@ -85,13 +86,12 @@ def listing_posts(listings: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def scan_listings(posts: DataFrame, subreddits: Sequence[str], limit: int = 100) -> DataFrame:
-    """The first ``limit`` valid posts in listing order; repeats stay, the upsert absorbs them.
+def scan_listings(posts: DataFrame, subreddits: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The valid posts, or the first ``limit`` in listing order (``seen``); repeats stay, the upsert absorbs them.
 
     ``posts`` is ``(subreddit, position, post)``.
     """
     names = scopes.subreddits(subreddits)
-    limit = scopes.positive_limit(limit)
     declared = F.array(*[F.lit(name) for name in names])
     # A subreddit named twice is read twice.
     turns = F.filter(
@@ -101,7 +101,7 @@ def scan_listings(posts: DataFrame, subreddits: Sequence[str], limit: int = 100)
         "position", "post", F.explode(turns).alias("turn")
     )
     seen = F.struct("turn", "position").alias("seen")
-    return normalize_variants(ordered.select("post", seen), "seen").orderBy("seen").limit(limit)
+    return first_rows(normalize_variants(ordered.select("post", seen), "seen"), limit)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +110,6 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read(spark: SparkSession, path: str, subreddits: Sequence[str], limit: int = 100) -> DataFrame:
+def read(spark: SparkSession, path: str, subreddits: Sequence[str], limit: int | None = None) -> DataFrame:
     posts = listing_posts(read_listings(spark, path), "subreddit")
     return scan_listings(posts, subreddits, limit).drop("seen")

@@ -38,14 +38,12 @@ def ingest_new(
     spark = raw.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = None if known is None else known().select(*KEY)
-        if _exists(spark, table):
-            stored = spark.read.parquet(table).filter(F.col("batch_id") != batch_id).select(*KEY)
-            seen = stored if seen is None else seen.unionByName(stored)
         fresh = batch.drop(arrived)
-        if seen is not None:
-            fresh = insert_new(seen, fresh)
-        fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        # The first batch goes the same way with nothing seen, so all batches have the same columns.
+        seen = fresh.select(*KEY).limit(0) if known is None else known().select(*KEY)
+        if _exists(spark, table):
+            seen = seen.unionByName(spark.read.parquet(table).filter(F.col("batch_id") != batch_id).select(*KEY))
+        insert_new(seen, fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         distinct_arrivals(raw, arrived, horizon)

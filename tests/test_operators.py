@@ -260,17 +260,34 @@ def test_scorer_plugin_treats_malformed_output_as_non_problem(spark):
 
     def scorer(batches):
         for batch in batches:
-            bad = batch["external_id"] == "7"
+            bad = batch["document_text"] == "text 7"
             batch["output"] = '{"is_problem": true, "confidence": 0.9, "reason": "r"}'
             batch.loc[bad, "output"] = "no json"
-            yield batch[["source", "external_id", "output"]]
+            yield batch[["row_id", "output"]]
 
     rows = {r.external_id: r for r in classify.classify(df, scorer, "fake").collect()}
-    assert len(rows) == 99 and sum(r.malformed for r in rows.values()) == 1
+    assert len(rows) == 100 and sum(r.malformed for r in rows.values()) == 1
+    assert rows["0"].is_problem is None and rows["0"].problem_classifier is None
     assert (rows["7"].is_problem, rows["7"].problem_confidence) == (False, 0.0)
     assert rows["8"].problem_classifier == "fake"
 
 
+def test_repeated_keys_keep_their_own_verdicts(spark):
+    texts = ["yes one", "no two", "yes one", " ", "no three"]
+    df = spark.createDataFrame([(n, "s", "1", t) for n, t in enumerate(texts)], "n int, source string, external_id string, document_text string")
+
+    def scorer(batches):
+        for batch in batches:
+            said = batch["document_text"].str.startswith("yes").map({True: "true", False: "false"})
+            batch["output"] = '{"is_problem": ' + said + ', "confidence": 0.9, "reason": "' + batch["document_text"] + '"}'
+            yield batch[["row_id", "output"]]
+
+    rows = sorted(classify.classify(df, scorer, "fake").collect(), key=lambda r: r.n)
+    assert [(r.n, r.is_problem, r.problem_reason) for r in rows] == [
+        (0, True, "yes one"), (1, False, "no two"), (2, True, "yes one"), (3, None, None), (4, False, "no three")
+    ]
+
+
 def test_lexical_cues(spark):
     texts = ["I wish there was an app", "Release notes for version 2", "Is there a tool for this tedious manual work?"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, document_text string")

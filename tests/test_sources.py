@@ -22,10 +22,26 @@ def test_hackernews_folder_in_feed_order(spark, tmp_path):
     (tmp_path / "feeds" / "topstories.json").write_text("[3, 2, true, 1.5, 1]")
     (tmp_path / "feeds" / "newstories.json").write_text("[1, 6, 4, 5]")
     (tmp_path / "feeds" / "beststories.json").write_text('{"no": "list"}')
-    got = hackernews.read(spark, str(tmp_path)).collect()
-    assert [r.external_id for r in got] == ["3", "1", "6"]
-    assert len(hackernews.read(spark, str(tmp_path), limit=2).collect()) == 2
-    assert json.loads(got[0].raw_payload) == items[2]
+    got = {r.external_id: r for r in hackernews.read(spark, str(tmp_path)).collect()}
+    assert set(got) == {"3", "1", "6"}
+    assert [r.external_id for r in hackernews.read(spark, str(tmp_path), limit=2).collect()] == ["3", "1"]
+    assert json.loads(got["3"].raw_payload) == items[2]
+
+
+def test_all_rows_unless_a_limit_is_given(spark, tmp_path):
+    (tmp_path / "items").mkdir()
+    (tmp_path / "feeds").mkdir()
+    (tmp_path / "items" / "a.json").write_text("\n".join(json.dumps(story(i)) for i in range(600)))
+    (tmp_path / "feeds" / "topstories.json").write_text(json.dumps(list(range(600))))
+    assert hackernews.read(spark, str(tmp_path)).count() == 600
+    assert hackernews.read(spark, str(tmp_path), limit=500).count() == 500
+
+
+def test_values_out_of_range_do_not_stop_the_job(spark):
+    rows = [story(1, score=3_000_000_000), story(2, time=1_700_000_000_000_000), story(3)]
+    payloads = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    got = {r.external_id: r.engagement_score for r in hackernews.normalize(payloads).collect()}
+    assert got == {"1": None, "3": 3}
 
 
 def test_github_stops_at_a_short_page_and_drops_repeats(spark):
@@ -68,6 +84,7 @@ def test_scope_spelling():
     assert scopes.feeds([" TopStories "]) == ("topstories",)
     assert scopes.repositories(["Owner/Repo/"]) == ("owner/repo",)
     assert scopes.subreddits(["r/django", " flask "]) == ("django", "flask")
+    assert scopes.subreddits(["r/django", "", "r/django"]) == ("django", "django")
     with pytest.raises(TypeError):
         scopes.feeds("topstories")
     with pytest.raises(TypeError):
@@ -100,3 +117,19 @@ def test_results_resume(spark, tmp_path):
     out = str(tmp_path / "out")
     worklists.append_results(spark, work.filter("external_id < '3'"), out, classify)
     assert worklists.append_results(spark, work, out, classify).count() == 6
+
+
+def test_scopes_as_columns(spark):
+    names = [" TopStories ", "jobs", None, "Owner/Repo/", "one", "a//b", "a/b/c"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    known = lambda scope: [r[0] for r in df.select(scope.is_known(F.col("name"))).collect()]
+    assert known(scopes.FEEDS) == [True] + [False] * 6
+    assert known(scopes.REPOSITORIES) == [False, False, False, True, False, False, False]
+
+
+def test_fences(spark):
+    good = '{"is_problem": true, "confidence": 0.5, "reason": "r"}'
+    texts = [good, f"```json\n{good}\n```", f"``` {good} ```", f"text ```{good}```", f"```{good}", f"```{good}```x", "", None, f"```{good}``````"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, output string")
+    rows = sorted(records.parse_model_output(df, "output", "n").collect(), key=lambda r: r.n)
+    assert [r.malformed for r in rows] == [False, False, False] + [True] * 6
