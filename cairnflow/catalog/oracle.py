@@ -489,6 +489,33 @@ def oracle() -> dict[str, str]:
             """SELECT cluster_id, 'cluster uses one model' AS rule FROM (SELECT cluster_id, count(DISTINCT item_id % 2) AS n FROM cur GROUP BY cluster_id)
             WHERE n <> 1""", "cur"),
         # query surface
+        "cluster_detail": sql(f"SELECT {RANK_COLUMNS} FROM ranked WHERE cluster_id = 105", "ranked"),
+        "top_opportunities": sql(f"SELECT {RANK_COLUMNS} FROM ranked WHERE rank <= 3", "ranked"),
+        "exact_duplicates": sql(
+            """SELECT id, kept_id, copies, 'same text' AS reason FROM (SELECT id, min(id) OVER w AS kept_id, count(*) OVER w AS copies
+            FROM items WHERE document_text IS NOT NULL WINDOW w AS (PARTITION BY document_text)) WHERE copies > 1""", "items"),
+        "url_duplicates": sql(
+            """SELECT id, kept_id, copies, 'same address' AS reason FROM (SELECT page_id AS id, min(page_id) OVER w AS kept_id,
+            count(*) OVER w AS copies FROM pages WINDOW w AS (PARTITION BY page_id // 4)) WHERE copies > 1"""),
+        "cluster_citations": sql(
+            f"""SELECT cluster_id, {STAMP.format('min(published_at)')} AS first_cited, {STAMP.format('max(published_at)')} AS last_cited
+            FROM cur m JOIN items i ON i.id = m.item_id GROUP BY cluster_id""", "cur", "items"),
+        "cluster_sources": sql(
+            """SELECT cluster_id, source, documents, round(CAST(documents AS DOUBLE) / sum(documents) OVER (PARTITION BY cluster_id), 6) AS share
+            FROM (SELECT cluster_id, source, count(*) AS documents FROM cur m JOIN items i ON i.id = m.item_id GROUP BY ALL)""", "cur", "items"),
+        "cluster_representatives": sql(
+            """SELECT cluster_id, item_id, place FROM (SELECT cluster_id, item_id, row_number() OVER (PARTITION BY cluster_id
+            ORDER BY round(list_cosine_similarity(m.embedding, c.centroid), 9) DESC, item_id) AS place
+            FROM cur m JOIN cur_centroid c USING (cluster_id)) WHERE place <= 3""", "cur", "cur_centroid"),
+        "filtered_clusters": sql(
+            """SELECT cluster_id, document_count, matching FROM clusters JOIN (SELECT cluster_id, count(*) AS matching FROM cur m
+            JOIN items i ON i.id = m.item_id WHERE source IN ('src0', 'src3', 'src5') AND published_at >= TIMESTAMP '2024-01-05'
+            AND published_at < TIMESTAMP '2024-01-25' GROUP BY cluster_id) USING (cluster_id) WHERE document_count >= 3""", "clusters", "cur", "items"),
+        "success_metrics": sql(
+            """SELECT count(*) AS documents,
+            round(CAST(count(*) FILTER (is_problem AND embedding IS NOT NULL) AS DOUBLE) / count(*) FILTER (is_problem), 6) AS embedding_coverage,
+            round(CAST(count(*) FILTER (trim(url) <> '') AS DOUBLE) / count(*), 6) AS link_coverage,
+            (SELECT count(DISTINCT cluster_id) FROM cur) AS clusters FROM items""", "items", "cur"),
         "dashboard_summary": sql(
             f"""SELECT (SELECT CAST(sum(problem_count) AS BIGINT) FROM breakdown) AS total_problems, (SELECT count(*) FROM clusters) AS total_clusters,
             count(*) FILTER (status = 'new') AS new_clusters, count(*) FILTER (status = 'rising') AS rising_clusters,

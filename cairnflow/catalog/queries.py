@@ -20,6 +20,7 @@ from cairnflow.operators import (
     coverage,
     density,
     encode,
+    evidence,
     filters,
     items as I,
     matching,
@@ -905,6 +906,77 @@ def membership_violations(spark, d):
 # --- query surface ----------------------------------------------------------------------------
 
 
+@register
+def cluster_detail(spark, d):
+    view = snapshot(spark, d)
+    found = dashboard.ranked_clusters(view).filter(F.col("cluster_id") == 105)
+    return _rank_columns(found)
+
+
+@register
+def top_opportunities(spark, d):
+    return _rank_columns(filters.top_opportunities(dashboard.ranked_clusters(snapshot(spark, d)), 3))
+
+
+@register
+def exact_duplicates(spark, d):
+    items = X.source_items(spark, d)
+    return evidence.duplicates(items, F.sha2("document_text", 256), "same text")
+
+
+@register
+def url_duplicates(spark, d):
+    """Four spellings of one address, made from the ids of the pages."""
+    page, nth = F.col("page_id"), F.pmod(F.col("page_id"), F.lit(4))
+    base = F.concat(F.lit("https://Example.test/p/"), F.floor(page / 4).cast("string"))
+    spelled = (
+        F.when(nth == 0, F.concat(base, F.lit("/")))
+        .when(nth == 1, F.concat(base, F.lit("?utm_source=feed&utm_medium=x")))
+        .when(nth == 2, F.concat(F.lit(" HTTPS://EXAMPLE.TEST/p/"), F.floor(page / 4).cast("string"), F.lit("#top")))
+        .otherwise(base)
+    )
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", spelled.alias("url"))
+    return evidence.duplicates(pages, evidence.canonical_url(F.col("url")), "same address", "page_id")
+
+
+@register
+def cluster_citations(spark, d):
+    items = X.source_items(spark, d)
+    found = evidence.citations(X.current_members(items), items)
+    return found.select("cluster_id", stamp(F.col("first_cited")).alias("first_cited"), stamp(F.col("last_cited")).alias("last_cited"))
+
+
+@register
+def cluster_sources(spark, d):
+    items = X.source_items(spark, d)
+    found = evidence.source_split(X.current_members(items), items)
+    return found.select("cluster_id", "source", "documents", r6("share"))
+
+
+@register
+def cluster_representatives(spark, d):
+    items = X.source_items(spark, d)
+    members = X.current_members(items)
+    found = evidence.representatives(members, items, aggregates.centroids(members))
+    return found.select("cluster_id", "item_id", F.col("place").cast("long").alias("place"))
+
+
+@register
+def filtered_clusters(spark, d):
+    items = X.source_items(spark, d)
+    members = X.current_members(items)
+    since, until = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-25").cast("timestamp")
+    found = evidence.filtered_clusters(_clusters(members), members, items, ["src0", "src3", "src5"], since, until, 3)
+    return found.select("cluster_id", "document_count", "matching")
+
+
+@register
+def success_metrics(spark, d):
+    items = X.source_items(spark, d)
+    found = evidence.success_metrics(items, X.current_members(items))
+    return found.select("documents", r6("embedding_coverage"), r6("link_coverage"), "clusters")
+
+
 @register
 def dashboard_summary(spark, d):
     found = dashboard.summary(snapshot(spark, d))
