@@ -82,6 +82,24 @@ LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 MIX_WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op3_suffix_dedup": """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+size AS (SELECT doc_id, h, len(h) // 2 AS n FROM doc),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS win FROM size, LATERAL (SELECT unnest(range(1, n - 198)) AS i)),
+often AS (SELECT win FROM win GROUP BY win HAVING count(*) > 1),
+start AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM win SEMI JOIN often USING (win)),
+span AS (
+    SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM (
+        SELECT doc_id, i, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM start)
+    GROUP BY doc_id, nth),
+edge AS (
+    SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS since FROM span),
+rest AS (
+    SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, string_agg(substr(h, 2 * since - 1, 2 * (lo - since)), '' ORDER BY lo) AS kept
+    FROM edge JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM size LEFT JOIN rest USING (doc_id)""",
     "op5_decontamination": rf"""
 WITH item AS (
     SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -100,6 +118,18 @@ named AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op9_substring_dedup": rf"""
+WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{MIX_WORDS}'), []) AS w FROM documents),
+win AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS win FROM doc, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+home AS (SELECT win, min(doc_id) AS home FROM win GROUP BY win),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN home USING (win) WHERE doc_id > home),
+word AS (SELECT doc_id, w, i FROM doc, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(w[i], ' ' ORDER BY i) AS rest FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(rest, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)""",
     "op10_mixing": rf"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{MIX_WORDS}')), 0) AS size,
