@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
-BLOCK = 256
+BLOCK = 512
 COLUMNS = 2048
 
 
