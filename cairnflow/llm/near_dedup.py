@@ -285,7 +285,8 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = components(links.union(more))
     placed = signed.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("class", "node").alias("class"))
     placed = stage(placed, "placed")
-    roots = placed.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("root"), F.count("*").alias("class_size"))
+    # Written before they are joined, so that the rows of a large class can be split.
+    roots = stage(placed.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("root"), F.count("*").alias("class_size")), "roots")
     return placed.join(roots, "class").select("doc_id", "h", "root", "class_size")
 
 
