@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,44 @@ def test_stream_volume(spark, tmp_path, granularity, first):
     query.awaitTermination()
     row = spark.table(name).select(F.date_format("period_start", "yyyy-MM-dd").alias("d"), "problem_count").collect()
     assert [tuple(r) for r in row] == [(first, 2)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    land = tmp_path / "land"
+    listener = volume.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        for nth, day in enumerate(["2024-03-01", "2024-03-20", "2024-01-05"]):
+            spark.createDataFrame([(f"{day} 10:00:00",)], "t string").select(F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(land))
+            counted = volume.problem_volume(spark.readStream.schema("ts timestamp").parquet(str(land)), "day")
+            query = counted.writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            name = str(query.id)
+            deadline = time.time() + 30
+            while name not in listener.ended and time.time() < deadline:
+                time.sleep(0.1)
+            listener.ended.discard(name)
+        assert listener.dropped[name] == 1
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_ids_are_in_every_batch_of_a_stream(spark, tmp_path):
+    land, table, progress = (str(tmp_path / n) for n in ("land", "table", "progress"))
+    schema = "source string, external_id string, title string, arrived_at timestamp"
+    for batch in (["1", "2", "2"], ["2", "3"]):
+        rows = [("s", i, "t") for i in batch]
+        spark.createDataFrame(rows, "source string, external_id string, title string").withColumn("arrived_at", F.current_timestamp()).write.mode("append").parquet(land)
+        stream_ingest.ingest_new(spark.readStream.schema(schema).parquet(land), table, progress).awaitTermination()
+    stored = spark.read.parquet(table)
+    assert sorted(r.external_id for r in stored.collect()) == ["1", "2", "3"]
+    assert stored.filter("id IS NULL").isEmpty()
+
+
+def test_repeated_batch_order_keeps_rows_apart(spark):
+    size = 4
+    raw = raw_items(spark, [("1", "I wish there was a tool"), ("2", "Release notes for version 2")]).withColumn("batch_order", F.lit(7))
+    encoder = lambda df: df.select("*", F.array(*[F.lit(0.5)] * size).cast("array<float>").alias("embedding"), F.lit("m").alias("embedding_model"))
+    batch = ingest.ingest(spark.createDataFrame([], SOURCE_ITEMS), raw, classify.classify_lexically, encoder, size)
+    assert batch.classified.count() == 2
+    assert {r.external_id: (r.is_problem, r.embedding is not None) for r in batch.table.collect()} == {"1": (True, True), "2": (False, False)}
