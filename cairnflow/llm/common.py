@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairnflow.session import materialize
+from cairnflow.session import materialize, shared_folder
 
 #: Sorts after every real id: documents without an id count as the last ones.
 NO_ID = (1 << 63) - 1
@@ -58,6 +59,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+class Stages:
+    """Intermediate results of one run, written to the shared folder and emptied together at its end.
+
+    ``result`` writes what the run returns and then overwrites all others with nothing, so a pipeline of operators
+    needs the space of one of them. Overwriting is what every file system that Spark writes to offers.
+    """
+
+    def __init__(self):
+        self.written: list[tuple[str, DataFrame]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(df.sparkSession)}/cairnflow-llm-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        found = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.written.append((path, found))
+        return found
+
+    def release(self, *done: DataFrame) -> None:
+        """Empty results that nothing reads any more."""
+        for path, old in [w for w in self.written if any(w[1] is d for d in done)]:
+            old.sparkSession.createDataFrame([], old.schema).write.mode("overwrite").parquet(path)
+        self.written = [w for w in self.written if not any(w[1] is d for d in done)]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        found = stage(df, name)
+        self.release(*[old for _, old in self.written])
+        return found
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
     """text and label of at most ``rows`` learning documents: those with a label whose ids hash lowest.
 

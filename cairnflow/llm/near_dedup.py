@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import NO_ID, batch_of, map_batches, stage
+from cairnflow.llm.common import NO_ID, Stages, batch_of, map_batches
 from cairnflow.llm.text import RangeHash, Words, mix, slices
 from cairnflow.llm.windows import keyed
-from cairnflow.session import materialize_counted
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -145,8 +144,8 @@ def memberships(nodes: DataFrame) -> DataFrame:
     return map_batches(nodes.where("n > 0").select("node", "sig"), kernel, "bucket long, node binary")
 
 
-def bags(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, bits: int = 64) -> DataFrame:
-    """node and bag, the sorted elements (``bits`` each) of the multiset, of the nodes of ``wanted``."""
+def bags(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and bag, the sorted elements of the multiset, of the nodes of ``wanted``: the one time that texts move."""
     reps = wanted.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "node")
     texts = rows.join(reps, ["doc_id", "h"]).select("node", "text")
 
@@ -156,14 +155,23 @@ def bags(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, bits: int = 64) -
             order = np.lexsort((parts, at))
             cuts = np.searchsorted(at[order], np.arange(stop - first + 1))
             ordered = parts[order]
-            ordered = ordered if bits == 64 else (ordered >> np.uint64(32)).astype(np.uint32)
             kept = pa.array([ordered[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield batch_of(node=batch.column("node").slice(first, stop - first), bag=kept)
 
-    return stage(map_batches(texts, kernel, "node binary, bag binary"), "bags")
+    return map_batches(texts, kernel, "node binary, bag binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def short_bags(bag: DataFrame) -> DataFrame:
+    """The same with 32 bits an element, enough to compare the few members of a block."""
+
+    def kernel(batch: pa.RecordBatch):
+        halves = [(np.frombuffer(b.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for b in batch.column("bag")]
+        yield batch_of(node=batch.column("node"), bag=pa.array(halves, pa.binary()))
+
+    return map_batches(bag, kernel, "node binary, bag binary")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) of nodes whose multisets are similar enough."""
     sizes = nodes.select("node", "n")
     near = (
@@ -172,8 +180,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: fl
         .where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
         .select("x", "y")
     )
-    near = stage(near, "near-pairs")
-    bag = bags(near.select(F.col("x").alias("node")).union(near.select("y")), nodes, rows)
 
     def similar(batch: pa.RecordBatch):
         keep = np.zeros(batch.num_rows, bool)
@@ -211,7 +217,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage: Stages) -> DataFrame:
     """node, class (the least node) of every node that has an edge: least labels of neighbours, with pointer jumping."""
     both = stage(edges.select("x", "y").union(edges.select("y", "x")), "edges")
     labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("class"))
@@ -221,18 +227,18 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("class").alias("beyond"))
         moved = step.join(jump, "to").select("node", "was", F.least("to", "beyond").alias("class"))
-        moved, moving = materialize_counted(moved, "llm-labels", F.coalesce(F.sum((F.col("was") != F.col("class")).cast("long")), F.lit(0)))
+        moved = stage(moved, "labels")
+        moving = moved.where("was <> class").count()
         labels = moved.select("node", "class")
     return labels
 
 
-def open_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def open_links(shared: DataFrame, labels: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """Links (x, y) that join members of one bucket that are in different classes."""
     known = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     mixed = known.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = known.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    members = stage(members, "open-members")
     other = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = other.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "class")
 
@@ -263,12 +269,13 @@ def open_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, rows: Dat
                 y.append(max(node[a], node[b]))
         return pa.table({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
 
-    with_bags = cells.join(bags(members, nodes, rows, 32), "node")
+    with_bags = cells.join(short_bags(bag), "node")
     return with_bags.groupBy("bucket", "i", "j").applyInArrow(joining, "x binary, y binary").distinct()
 
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, h and root (doc_id, h of the first row of the class) of every row of ``rows`` (doc_id, h, text)."""
+    stage = Stages()
     signed = stage(signed_rows(rows), "signatures")
     nodes = stage(signed.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     members = memberships(nodes)
@@ -278,16 +285,17 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ranked = shared.join(meets, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "node")).getField("node").alias("y"))
     stars = shared.join(leaders, "bucket").where("node <> y").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
-    links = stage(verified(stars, nodes, rows, similarity), "links")
-    labels = components(links)
-    missed = stage(open_links(shared, labels, nodes, rows, similarity), "open-links")
-    more = stage(verified(missed, nodes, rows, similarity), "more-links")
-    labels = components(links.union(more))
+    bag = stage(bags(shared, nodes, rows), "bags")
+    links = stage(verified(stars, nodes, bag, similarity), "links")
+    labels = components(links, stage)
+    missed = open_links(shared, labels, bag, similarity)
+    more = stage(verified(missed, nodes, bag, similarity), "more-links")
+    labels = components(links.union(more), stage)
     placed = signed.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("class", "node").alias("class"))
     placed = stage(placed, "placed")
     # Written before they are joined, so that the rows of a large class can be split.
     roots = stage(placed.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("root"), F.count("*").alias("class_size")), "roots")
-    return placed.join(roots, "class").select("doc_id", "h", "root", "class_size")
+    return stage.result(placed.join(roots, "class").select("doc_id", "h", "root", "class_size"), "classes")
 
 
 def inspect(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

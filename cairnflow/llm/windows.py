@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import NO_ID, batch_of, map_batches, stage
+from cairnflow.llm.common import NO_ID, Stages, batch_of, map_batches
 from cairnflow.llm.text import BYTE_CODES, RangeHash, Words, buffers, signed, slices, sliding_min
 
 RUN = 200
@@ -225,7 +225,7 @@ def cut(contents: DataFrame, spec: Spec, piece: int) -> DataFrame:
     return map_batches(contents, kernel, schema)
 
 
-def crowded_windows(contents: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
+def crowded_windows(contents: DataFrame, spec: Spec, kernel: Kernel, stage: Stages) -> DataFrame:
     """The windows of crowded anchors that repeat (step 4)."""
     pieces = stage(cut(contents, spec, min(PIECE, spec.size // 3)), "pieces")
     sizes = pieces.groupBy("a", "b").agg(
@@ -243,11 +243,13 @@ def crowded_windows(contents: DataFrame, spec: Spec, kernel: Kernel) -> DataFram
 
 
 def repeated(docs: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
-    """doc_id, h, cuts (lo, hi): token ranges of the windows of ``docs`` (doc_id, h, text) to remove."""
+    """doc_id, h, cuts (lo, hi): token ranges of the windows of ``docs`` (doc_id, h, text) to remove, a row per text."""
+    stage = Stages()
     places = stage(scan(docs, spec), "runs")
     counts = (F.min("doc_id").alias("first"), F.max("doc_id").alias("last")) if spec.ordered else (F.count("*").alias("places"), F.max("loops").alias("loops"))
     often = places.groupBy("m").agg(*counts).where("first < last" if spec.ordered else "places > 1 OR loops").select("m")
     live = stage(places.join(often, "m", "left_semi"), "live-runs")
+    stage.release(places)
     one = F.min(F.struct("doc_id", "h", "start", "n")).alias("one")
     contents = stage(live.groupBy("m", "c").agg(F.count("*").alias("weight"), one), "folded")
     # Written before they are joined: both sides are then dealt for the join alone, and a hot anchor can be split.
@@ -261,19 +263,19 @@ def repeated(docs: DataFrame, spec: Spec, kernel: Kernel) -> DataFrame:
     alone = known.where("contents = 1 AND weight > 1").select("m", "c", F.lit(0).alias("lo"), F.col("n").alias("hi"), "first")
     fetched = stage(fetch(docs, known.where("contents > 1 OR weight = 1"), spec), "fetched")
     few = compare(fetched.where("NOT crowded"), kernel)
-    many = crowded_windows(fetched.where("crowded"), spec, kernel)
+    many = crowded_windows(fetched.where("crowded"), spec, kernel, stage)
     found = alone.unionByName(few).unionByName(many).groupBy("m", "c").agg(F.collect_list(F.struct("lo", "hi", "first")).alias("found"))
     placed = live.join(found, ["m", "c"])
     if spec.ordered:
         placed = placed.withColumn("found", F.expr("filter(found, x -> x.first < doc_id)")).where("size(found) > 0")
     moved = F.expr(f"transform(found, x -> struct(start + x.lo AS lo, start + x.hi + {spec.size - 1} AS hi))").alias("cuts")
-    return placed.select("doc_id", "h", moved)
+    listed = placed.select("doc_id", "h", moved).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    return stage.result(listed, "cuts")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row of ``docs`` (which has doc_id and h) with ``cuts``, the list of its token ranges (null: none)."""
-    listed = ranges.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
-    return docs.join(listed, ["doc_id", "h"], "left")
+    return docs.join(ranges, ["doc_id", "h"], "left")
 
 
 def covered(part: pa.Array, rows: np.ndarray) -> np.ndarray:
