@@ -95,7 +95,8 @@ def losses(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
 def train(docs: DataFrame, target: DataFrame, table: WordTable) -> Models:
     """Count the cells of all documents; ``target`` has the ids of the target documents."""
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("kind", F.lit(1))
-    marked = docs.join(ids, "doc_id", "left").select("text", (2 * F.col("fold") + F.coalesce("kind", F.lit(0))).alias("kind"))
+    # The number of target documents has no bound, so they are never broadcast: the same plan at every size.
+    marked = docs.join(ids.hint("merge"), "doc_id", "left").select("text", (2 * F.col("fold") + F.coalesce("kind", F.lit(0))).alias("kind"))
     size = len(table.codes)
     shape = (size + 2, size + 1)
 
