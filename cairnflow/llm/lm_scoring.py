@@ -7,9 +7,16 @@ of its tokens under both; a high score means that the target model predicts it b
 A document must not vouch for itself: texts are dealt by hash into two folds (so copies stay together), and each fold
 is scored by models that were counted on the other one.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of the whole corpus; all other words are one unknown word. So
-a model has at most (VOCABULARY + 2)^2 cells, the bound of what is collected and broadcast, whereas the counts behind
-it are gathered from every document.
+The vocabulary is every word of the corpus (``size`` keeps the most frequent ones instead; all others are then one
+unknown word). Neither words nor bigrams are ever collected: their counts are a DataFrame, and the tokens of the
+documents are dealt to it by key. The loss of word v after word u,
+
+    -log(seen(u, v) + rest(u) p(v)) = -log rest(u) - log p(v) - log(1 + seen(u, v) / (rest(u) p(v))),
+
+falls into a part for each word and a part for each bigram that the scoring model has seen; so a document needs the
+value of its words and bigrams, which is 0 for all that the other fold does not have. Keys that make up more than
+1/``HOT_SHARE`` of the tokens are broadcast, at most that many words and as many bigrams; all others are dealt over
+groups of about ``GROUP_BYTES`` of text. Values are multiples of 2^-18, so sums do not depend on their order.
 
 Defined cases: null and empty texts have no tokens and score 0; without target or background documents that model
 falls back on the uniform distribution; repeated ids are scored row by row; an empty table gives an empty result.
@@ -17,20 +24,37 @@ falls back on the uniform distribution; repeated ids are scored row by row; an e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import batch_of, map_batches, texts
-from cairnflow.llm.text import LOWER, NORMAL_BYTE, Words, WordTable, signed, slices
+from cairnflow.llm.common import Stages, batch_of, map_batches, texts
+from cairnflow.llm.text import BASE, LOWER, NORMAL_BYTE, U64, Words, WordTable, mix, signed, slices
+from cairnflow.operators.skew import join_by_weight
 
-VOCABULARY = 1024
 DISCOUNT = 0.75
-# Distinct words that a task holds before it hands on its counts.
+# Distinct words, and bigrams of slices, that a task holds before it hands on its counts.
 HELD_WORDS = 1 << 20
+HELD_PAIRS = 1 << 20
+# Bigrams are counted in so many passes, since what they shuffle takes more space than the texts.
+PASSES = 2
+# Bytes of text that a group of keys stands for.
+GROUP_BYTES = 8 << 20
+HOT_SHARE = 1 << 16
+GRAIN = 1 << 18
+# Codes of the start of a text and of an unknown word.
+START, UNKNOWN = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D)
+KINDS = range(4)
+# The kinds (2 fold + target) whose counts score folds 0 and 1: target and background each.
+SCORED_BY = (3, 2, 1, 0)
+VALUES = ("t0", "b0", "t1", "b1")
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, Words]:
@@ -39,7 +63,7 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, Words]:
     return words.hashes(data), words
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> WordTable:
+def vocabulary(docs: DataFrame, size: int) -> WordTable:
     """The most frequent words (ties by hash) of all documents."""
 
     def run(batches):
@@ -59,89 +83,264 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> WordTable:
     return WordTable(np.array([r.code for r in top], np.int64).view(np.uint64))
 
 
-def pairs(table: WordTable, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell of each token with the one before it, token bounds of the rows).
+def pairs(table: WordTable | None, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of the word before each token, code of the token, token bounds of the rows)."""
+    now, words = tokens(data, bounds)
+    if table:
+        now = np.where(table.numbers(now) < 0, UNKNOWN, now)
+    before = np.append(START, now[:-1])[: len(now)]
+    before[words.rows[:-1][words.counts > 0]] = START
+    return before, now, words.rows
+
+
+def word_keys(codes: np.ndarray) -> np.ndarray:
+    return mix(codes, 11)
+
+
+def last_keys(codes: np.ndarray) -> np.ndarray:
+    return mix(codes, 12)
 
-    Words have their number, unknown ones come after them, and the start of a text last.
-    """
-    codes, words = tokens(data, bounds)
-    size = len(table.codes)
-    now = table.numbers(codes)
-    now[now < 0] = size
-    before = np.append(size + 1, now[:-1])[: len(now)]
-    before[words.rows[:-1][words.counts > 0]] = size + 1
-    return before * (size + 1) + now, words.rows
 
+def pair_keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(mix(before, 13) * U64(BASE) + now, 14)
 
-@dataclass
-class Models:
-    """Loss of each cell under the target and the background model, by the fold that they score."""
 
-    target: tuple[np.ndarray, np.ndarray]
-    background: tuple[np.ndarray, np.ndarray]
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    return ((keys >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
 
 
-def losses(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """-log P(word | word before) by absolute discounting, interpolated with smoothed unigrams."""
-    words = counts.shape[1]
-    unigram = (counts.sum(0) + 1.0) / (counts.sum() + words)
-    total = counts.sum(1, keepdims=True)
-    kinds = (counts > 0).sum(1, keepdims=True)
-    seen = np.maximum(counts - discount, 0.0) / np.maximum(total, 1)
-    rest = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-    return -np.log(seen + rest * unigram).astype(np.float32)
+def blobs(group: np.ndarray, groups: int, **columns: np.ndarray):
+    """(group, bytes of each column) of the groups that have rows; ``group`` is sorted."""
+    cuts = np.searchsorted(group, np.arange(groups + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    packed = {k: pa.array([c[cuts[g] : cuts[g + 1]].tobytes() for g in some], pa.binary()) for k, c in columns.items()}
+    return some.astype(np.int32), packed
 
 
-def train(docs: DataFrame, target: DataFrame, table: WordTable) -> Models:
-    """Count the cells of all documents; ``target`` has the ids of the target documents."""
+def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
+
+
+def count(docs: DataFrame, target: DataFrame, table: WordTable | None, groups: int, part: int) -> DataFrame:
+    """u, v, n0 .. n3: how often a word follows another in the documents of each kind; ``target`` has the target ids.
+
+    Of the groups, every ``PASSES``-th from ``part`` on.
+    """
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("kind", F.lit(1))
-    # The number of target documents has no bound, so they are never broadcast: the same plan at every size.
-    marked = docs.join(ids.hint("merge"), "doc_id", "left").select("text", (2 * F.col("fold") + F.coalesce("kind", F.lit(0))).alias("kind"))
-    size = len(table.codes)
-    shape = (size + 2, size + 1)
+    # The number of target documents has no bound, so they are never broadcast; only they are held, so no text is sorted.
+    marked = docs.join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", (2 * F.col("fold") + F.coalesce("kind", F.lit(0))).alias("kind"))
+
+    def packed(held: list[tuple[np.ndarray, ...]]):
+        before, now, kind, number = (np.concatenate(x) for x in zip(*held))
+        group = group_of(pair_keys(before, now), groups)
+        order = np.lexsort((kind, now, before, group))
+        before, now, kind, number = before[order], now[order], kind[order], number[order]
+        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | (kind[1:] != kind[:-1])))
+        n = np.add.reduceat(number, fresh) * 4 + kind[fresh]
+        some, columns = blobs(group[order][fresh], groups, u=before[fresh], v=now[fresh], n=n)
+        return batch_of(p=some, **columns)
 
     def run(batches):
-        counts = np.zeros((4, shape[0] * shape[1]), np.int64)
+        held, size = [], 0
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
+            kinds = batch.column("kind").to_numpy().astype(np.int64)
             for first, stop, data, bounds in slices(batch.column("text")):
-                cell, rows = pairs(table, data, bounds)
-                mine = np.repeat(kind[first:stop], np.diff(rows))
-                for k in range(4):
-                    found, number = np.unique(cell[mine == k], return_counts=True)
-                    counts[k, found] += number
-        at = np.flatnonzero(counts.any(0))
-        yield batch_of(cell=at, **{f"n{k}": counts[k, at] for k in range(4)})
-
-    names = [f"n{k}" for k in range(4)]
-    summed = marked.mapInArrow(run, "cell long, " + ", ".join(f"{n} long" for n in names)).groupBy("cell")
-    found = summed.agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    kinds = []
-    for name in names:
-        counts = np.zeros(shape[0] * shape[1])
-        counts[found.cell.to_numpy()] = found[name].to_numpy()
-        kinds.append(losses(counts.reshape(shape)).ravel())
-    return Models((kinds[3], kinds[1]), (kinds[2], kinds[0]))
-
-
-def inspect(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (means in nats) and score of every row."""
-    rows = texts(docs, F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(2)).alias("fold"))
-    table = vocabulary(rows, size)
-    models = train(rows, target, table)
-    shared = docs.sparkSession.sparkContext.broadcast((models.target, models.background))
+                before, now, rows = pairs(table, data, bounds)
+                kind = np.repeat(kinds[first:stop], np.diff(rows))
+                keys = pair_keys(before, now)
+                mine = group_of(keys, groups) % PASSES == part
+                before, now, kind, keys = before[mine], now[mine], kind[mine], keys[mine]
+                _, at, number = np.unique(keys ^ mix(kind.astype(np.uint64), 15), return_index=True, return_counts=True)
+                if len(at):
+                    held.append((before[at], now[at], kind[at], number))
+                    size += len(at)
+                if size > HELD_PAIRS:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def merge(part: pa.Table) -> pa.Table:
+        before, now, n = joined(part, "u", np.uint64), joined(part, "v", np.uint64), joined(part, "n", np.int64)
+        order = np.lexsort((now, before))
+        before, now, n = before[order], now[order], n[order]
+        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1])))
+        found = {f"n{k}": np.add.reduceat(np.where(n & 3 == k, n >> 2, 0), fresh) for k in KINDS}
+        return pa.table({"u": signed(before[fresh]), "v": signed(now[fresh]), **found})
+
+    sent = marked.mapInArrow(run, "p int, u binary, v binary, n binary")
+    return sent.groupBy("p").applyInArrow(merge, "u long, v long, " + ", ".join(f"n{k} long" for k in KINDS))
+
+
+def both(prefix: str) -> str:
+    """Do both folds have it; what only one has never meets a model that knows it."""
+    return f"{prefix}0 + {prefix}1 > 0 AND {prefix}2 + {prefix}3 > 0"
+
+
+def word_counts(cells: DataFrame) -> DataFrame:
+    """code, c (as a word), m (before a word), d (distinct words after it) by kind; pairs of both folds before and after."""
+    shared = F.sum(F.expr(f"if({both('n')}, 1, 0)"))
+    first = cells.groupBy(F.col("u").alias("code")).agg(
+        *[F.sum(f"n{k}").alias(f"m{k}") for k in KINDS], *[F.sum(F.expr(f"if(n{k} > 0, 1, 0)")).alias(f"d{k}") for k in KINDS], shared.alias("after")
+    )
+    second = cells.groupBy(F.col("v").alias("code")).agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in KINDS], shared.alias("before"))
+    return first.join(second, "code", "full").na.fill(0)
+
+
+def rounded(values: list[np.ndarray]) -> dict[str, np.ndarray]:
+    return {name: (np.round(values[k] * GRAIN) / GRAIN).astype(np.float32) for name, k in zip(VALUES, SCORED_BY)}
+
+
+def rests(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The mass that each model leaves to unseen words after the word."""
+    m = [batch.column(f"m{k}").to_numpy() for k in KINDS]
+    return [np.where(m[k] > 0, DISCOUNT * batch.column(f"d{k}").to_numpy() / np.maximum(m[k], 1), 1.0) for k in KINDS]
+
+
+VALUE_SCHEMA = "key long, " + ", ".join(f"{v} float" for v in VALUES)
+
+
+def word_values(words: DataFrame) -> DataFrame:
+    """The parts of a loss for a word, over that of an unseen one, and what its last place in a text takes off."""
+
+    def kernel(batch: pa.RecordBatch):
+        codes = batch.column("code").to_numpy().view(np.uint64)
+        after = [-np.log(r) for r in rests(batch)]
+        whole = [after[k] - np.log(batch.column(f"c{k}").to_numpy() + 1.0) for k in KINDS]
+        yield batch_of(key=signed(word_keys(codes)), **rounded(whole))
+        yield batch_of(key=signed(last_keys(codes)), **rounded([-a for a in after]))
+
+    return map_batches(words, kernel, VALUE_SCHEMA)
+
+
+def pair_values(cells: DataFrame, words: DataFrame, spaces: list[float]) -> DataFrame:
+    """The part of a loss for each bigram of both folds; ``spaces`` are the tokens of each kind plus the size of the vocabulary."""
+    firsts = words.where("after > 0").select(F.col("code").alias("u"), *[f"{x}{k}" for x in "md" for k in KINDS], F.col("after").alias("weight"))
+    seconds = words.where("before > 0").select(F.col("code").alias("v"), *[f"c{k}" for k in KINDS], F.col("before").alias("weight"))
+    sided = join_by_weight(join_by_weight(cells, firsts, ["u"], "weight", "v").drop("weight"), seconds, ["v"], "weight", "u")
 
     def kernel(batch: pa.RecordBatch):
-        loss_target, loss_background = shared.value
+        column = lambda name: batch.column(name).to_numpy()
+        found = []
+        for k, rest in zip(KINDS, rests(batch)):
+            seen = np.maximum(column(f"n{k}") - DISCOUNT, 0.0) / np.maximum(column(f"m{k}"), 1)
+            found.append(-np.log1p(seen / (rest * (column(f"c{k}") + 1.0) / spaces[k])))
+        keys = pair_keys(column("u").view(np.uint64), column("v").view(np.uint64))
+        yield batch_of(key=signed(keys), **rounded(found))
+
+    return map_batches(sided, kernel, VALUE_SCHEMA)
+
+
+def dealt(docs: DataFrame, table: WordTable | None, groups: int, hot: pd.DataFrame, unseen: np.ndarray) -> DataFrame:
+    """Keys of the tokens by group, for all that is not ``hot``; what is goes into the sums of the documents at once.
+
+    ``row`` is twice the place in the slice plus the fold, ``rid`` the number of the first row of the slice.
+    """
+    order = np.argsort(hot.key.to_numpy().view(np.uint64))
+    keys = hot.key.to_numpy().view(np.uint64)[order]
+    shared = docs.sparkSession.sparkContext.broadcast((keys, [hot[v].to_numpy().astype(np.float64)[order] for v in VALUES]))
+
+    def kernel(batch: pa.RecordBatch):
+        known, values = WordTable(shared.value[0]), shared.value[1]
         for first, stop, data, bounds in slices(batch.column("text")):
-            cell, cuts = pairs(table, data, bounds)
-            n = np.diff(cuts)
+            before, now, rows = pairs(table, data, bounds)
+            n, some = np.diff(rows), np.flatnonzero(np.diff(rows))
             row = np.repeat(np.arange(stop - first), n)
-            other = np.repeat(batch.column("fold").to_numpy()[first:stop], n) == 1
-            means = [np.bincount(row, np.where(other, loss[1][cell], loss[0][cell]), stop - first) / np.maximum(n, 1) for loss in (loss_target, loss_background)]
-            yield batch_of(
-                doc_id=batch.column("doc_id").slice(first, stop - first), n_tokens=n.astype(np.int64),
-                loss_target=means[0], loss_background=means[1], score=means[1] - means[0],
-            )
-
-    return map_batches(rows, kernel, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            fold = batch.column("fold").to_numpy()[first:stop]
+            key = np.concatenate([pair_keys(before, now), word_keys(now), last_keys(now[rows[1:][some] - 1]), word_keys(np.full(len(some), START))])
+            row = np.concatenate([row, row, some, some])
+            number = known.numbers(key)
+            at = np.flatnonzero(number >= 0)
+            second = fold[row[at]] == 1
+            sums = {}
+            for name, a, b in (("t", 0, 2), ("b", 1, 3)):
+                sums[name] = np.bincount(row[at], np.where(second, values[b][number[at]], values[a][number[at]]), stop - first)
+                sums[name] += n * np.where(fold == 1, unseen[b], unseen[a])
+            rid = int(batch.column("rid")[first].as_py())
+            single = lambda x: pa.ListArray.from_arrays(pa.array([0, stop - first], pa.int32()), x)
+            own = {"ids": single(batch.column("doc_id").slice(first, stop - first)), "n": single(pa.array(n.astype(np.int64)))}
+            none = pa.array([None], pa.binary())
+            yield batch_of(p=np.array([rid % groups], np.int32), rid=np.array([rid]), key=none, row=none, **own, **{k: single(pa.array(s)) for k, s in sums.items()})
+            key, row = key[number < 0], row[number < 0]
+            group = group_of(key, groups)
+            order = np.argsort(group * (stop - first) + row)
+            packed_at, packed = blobs(group[order], groups, key=key[order], row=(2 * row + fold[row])[order].astype(np.int32))
+            empty = {k: pa.nulls(len(packed_at), pa.list_(pa.float64() if k in "tb" else pa.int64())) for k in ("ids", "n", "t", "b")}
+            yield batch_of(p=packed_at, rid=np.full(len(packed_at), rid), **packed, **empty)
+
+    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
+    return map_batches(numbered, kernel, "p int, rid long, key binary, row binary, ids array<long>, n array<long>, t array<double>, b array<double>")
+
+
+def look_up(sent: pa.Table, values: pa.Table) -> pa.Table:
+    """rid, doc_id, n_tokens, t, b: the rows of the slices that report here, and sums over the keys of one group."""
+    keys = values.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    size = [len(x) // 8 if x is not None else 0 for x in sent.column("key").to_pylist()]
+    key, row = joined(sent, "key", np.uint64), joined(sent, "row", np.int32)
+    rid = np.repeat(sent.column("rid").to_numpy(), size) + (row >> 1)
+    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+    hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
+    at, second = order[at[hit]] if len(keys) else hit, row[hit] & 1 == 1
+    rows, back = np.unique(rid[hit], return_inverse=True)
+    value = [values.column(v).to_numpy().astype(np.float64) for v in VALUES]
+    sums = [np.bincount(back, np.where(second, value[b][at], value[a][at]), len(rows)) for a, b in ((0, 2), (1, 3))]
+    parts = [(rows, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *sums)]
+    for r in sent.filter(sent.column("ids").is_valid()).select(["rid", "ids", "n", "t", "b"]).to_pylist():
+        parts.append((r["rid"] + np.arange(len(r["ids"])), r["ids"], r["n"], r["t"], r["b"]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    columns = [pa.chunked_array([pa.array(p[i], kinds[i]) for p in parts], kinds[i]) for i in range(5)]
+    return pa.table(dict(zip(("rid", "doc_id", "n_tokens", "t", "b"), columns)))
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query has shuffled is deleted with its end: all that is read twice here is staged."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def scores(docs: DataFrame, target: DataFrame, size: int | None) -> DataFrame:
+    stage = Stages()
+    rows = texts(docs, F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(2)).alias("fold"))
+    size_of = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    groups = max(1, math.ceil(size_of / GROUP_BYTES))
+    table = None if size is None else vocabulary(rows, size)
+    counted = [stage(count(rows, target, table, groups, part), "cells") for part in range(PASSES)]
+    cells = reduce(DataFrame.unionByName, counted)
+    words = stage(word_counts(cells), "words")
+    cells = stage(cells.where(both("n")), "shared")
+    stage.release(*counted)
+    sizes = words.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in KINDS], F.count_if(F.expr("c0 + c1 + c2 + c3 > 0")).alias("words")).first()
+    distinct = sizes.words if table is None else len(table.codes)
+    spaces = [float(sizes[f"n{k}"] + distinct + 1) for k in KINDS]
+    unseen = np.round(np.log(np.array(spaces)[list(SCORED_BY)]) * GRAIN) / GRAIN
+    total = sum(sizes[f"n{k}"] for k in KINDS)
+    # The start of a text stands before a word in every document.
+    hot_word = f"(c0 + c1 + c2 + c3) * {HOT_SHARE} > {total} OR code = {START.astype(np.int64)}"
+    hot_pair = f"(n0 + n1 + n2 + n3) * {HOT_SHARE} > {total}"
+    shared = words.where("c0 + m0 + c1 + m1 > 0 AND c2 + m2 + c3 + m3 > 0")
+    hot = word_values(shared.where(hot_word)).unionByName(pair_values(cells.where(hot_pair), words, spaces))
+    cold = word_values(shared.where(f"NOT ({hot_word})")).unionByName(pair_values(cells.where(f"NOT ({hot_pair})"), words, spaces))
+    place = F.shiftrightunsigned("key", 32) * groups
+    cold = cold.withColumn("p", F.shiftrightunsigned(place, 32).cast("int"))
+    cold = stage(cold, "values")
+    hot = hot.toPandas()  # at most 3 times HOT_SHARE rows, and the start of a text
+    stage.release(cells, words)
+    sent = dealt(rows, table, groups, hot, unseen)
+    found = sent.groupBy("p").cogroup(cold.groupBy("p")).applyInArrow(look_up, "rid long, doc_id long, n_tokens long, t double, b double")
+    sums = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    means = sums.select("doc_id", "n_tokens", *[(F.col(x) / F.greatest("n_tokens", F.lit(1))).alias(y) for x, y in (("t", "loss_target"), ("b", "loss_background"))])
+    return stage.result(means.withColumn("score", F.col("loss_background") - F.col("loss_target")), "scores")
+
+
+def inspect(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background (means in nats) and score of every row."""
+    with freed_shuffles(docs.sparkSession):
+        return scores(docs, target, size)

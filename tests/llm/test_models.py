@@ -137,3 +137,44 @@ def test_losses_equal_a_plain_model(spark):
             assert abs(found[i][name] - want) < 1e-4
         assert abs(found[i].score - (found[i].loss_background - found[i].loss_target)) < 1e-9
     assert lm_scoring.inspect(frame(spark, []), labels(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 16])
+def test_losses_of_every_word(spark, monkeypatch, hot):
+    """More words than any fixed vocabulary, in several groups of keys, with few and with all keys broadcast."""
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", hot)
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 5000)
+    monkeypatch.setattr(lm_scoring, "HELD_PAIRS", 1000)
+    rnd = random.Random(6)
+    draw = lambda: "the" if rnd.random() < 0.3 else f"w{rnd.randrange(3000)}"
+    phrases = [" ".join(draw() for _ in range(4)) for _ in range(1200)]
+    rows = [(i, " ".join(rnd.choice(phrases) for _ in range(rnd.randint(0, 15))), None) for i in range(200)] + ODD
+    target = {i for i in range(0, 200, 2)}
+    docs = frame(spark, rows)
+    found = lm_scoring.inspect(docs, labels(spark, [(i, 1, 0) for i in target])).collect()
+    folds = {r.text: r.f for r in docs.selectExpr("text", "pmod(xxhash64(text), 2) AS f").collect()}
+    split = lambda t: "".join(c.lower() if c.isalnum() else " " for c in (t or "")).split()
+    size = len({w for _, t, _ in rows for w in split(t)})
+    assert size > 1024
+    models = {}
+    for fold, wanted in product((0, 1), (True, False)):
+        seen = Counter(p for i, t, _ in rows if folds[t] != fold and (i in target) == wanted for p in zip(["^", *split(t)], split(t)))
+        single, after, kinds = Counter(), Counter(), Counter()
+        for (a, b), n in seen.items():
+            single[b] += n
+            after[a] += n
+            kinds[a] += 1
+        models[fold, wanted] = seen, single, after, kinds
+
+    def loss(text, wanted):
+        seen, single, after, kinds = models[folds[text], wanted]
+        total = 0.0
+        for a, b in zip(["^", *split(text)], split(text)):
+            unigram = (single[b] + 1) / (sum(single.values()) + size + 1)
+            total -= math.log((max(seen[a, b] - 0.75, 0) + 0.75 * kinds[a] * unigram) / after[a] if after[a] else unigram)
+        return total / max(len(split(text)), 1)
+
+    want = sorted((i is None, i or 0, len(split(t)), loss(t, True), loss(t, False)) for i, t, _ in rows)
+    have = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.loss_target, r.loss_background) for r in found)
+    assert [w[:3] for w in want] == [h[:3] for h in have]
+    assert np.allclose([w[3:] for w in want], [h[3:] for h in have], atol=1e-4)
