@@ -13,7 +13,7 @@ SCRIPT = """
 import sys
 sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {folder!r}).config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {folder!r}).config("spark.sql.shuffle.partitions", "4").getOrCreate()
 from __spark_entry__ import queries
 for name in {names!r}:
     print("ROWS", name, queries()[name](spark, "/root/testdata/sf0.001").count(), flush=True)
