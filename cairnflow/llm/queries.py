@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity
+from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
@@ -64,6 +64,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the filter list.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -75,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op12_url_filters": op12_url_filters,
 }
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,4 +159,17 @@ placed AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, p.source AS source,
     CAST(CASE WHEN size > 0 THEN size * greatest(0, least(3, floor((target - upto) / source_size) + 1)) ELSE 0 END AS BIGINT) AS taken
 FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source""",
+    "op12_url_filters": r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS name FROM cut),
+page AS (
+    SELECT page_id, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(name) + 1), '^[^?#]*') AS path FROM named),
+best AS (
+    SELECT host, path, arg_max(struct_pack(rule := rule_host || rule_path, verdict := verdict), length(rule_host) + length(rule_path)) AS r
+    FROM (SELECT DISTINCT host, path FROM page) JOIN rules
+    ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verdict FROM page LEFT JOIN best USING (host, path)""",
 }
