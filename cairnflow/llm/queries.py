@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters
+from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters, whitening
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
@@ -74,6 +74,11 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.inspect(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
     "op12_url_filters": op12_url_filters,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
