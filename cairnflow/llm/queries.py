@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters, whitening
+from cairnflow.llm import conversation_repair, decontamination, language_id, lm_scoring, mixing, near_dedup, quality_ranking, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters, whitening
 from cairnflow.llm.common import table
 from cairnflow.session import prepare
 
@@ -64,6 +64,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.inspect(conversations, conversation_repair.damage(conversations))
+
+
 #: The rules of the filter list.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_url_filters": op12_url_filters,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
