@@ -28,7 +28,15 @@ NORMAL_BYTE[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80,
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, np.ndarray] = {}
+
+class Cache(dict):
+    """A dictionary that pickles as an empty one: kernels travel by value, and what they can rebuild stays behind."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_powers = Cache()
 
 
 def powers(base: int, n: int) -> np.ndarray:
