@@ -650,6 +650,13 @@ def density_clustering(spark, d):
     return density.density_clusters(vectors, min_cluster_size=5)
 
 
+@register
+def membership_probability(spark, d):
+    """Every vector with its cluster and how firmly it belongs to it."""
+    vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return density.memberships(vectors, min_cluster_size=5).withColumn("probability", F.round("probability", 6))
+
+
 # --- item table -------------------------------------------------------------------------------
 
 

@@ -6,10 +6,9 @@
    lists. A point's list also says how near an unlisted point could be; a component joins along
    its cheapest listed edge only when that bound shows no unlisted edge can be cheaper. Components
    that stay undecided get an exact search beyond their lists, bounded by the best edge they know.
-4. The condensed tree and the excess-of-mass choice are computed by sweeping the tree edges upward in
-   bands of rising weight. Within a band every connected part is one bounded group, in which edges
-   of equal weight merge together; finished parts continue as single nodes.
-5. Points get the topmost chosen ancestor of the cluster they fell into; others are noise (-1).
+   Once the edges left between components fit one group, that group merges on until nothing is certain any more.
+4. The condensed tree and the excess-of-mass choice come from ``hierarchy``: all bands of weights at once.
+5. Points get the topmost chosen ancestor of the cluster they fell into, with a membership probability; others are noise (-1).
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnflow.operators import hierarchy
 from cairnflow.operators.blocks import (
     BLOCK_ROWS,
     Cells,
@@ -31,7 +31,7 @@ from cairnflow.operators.blocks import (
     stack,
     with_targets,
 )
-from cairnflow.operators.components import components, relabel, roots
+from cairnflow.operators.components import relabel, roots
 from cairnflow.operators.ranking import global_rank
 from cairnflow.operators.skew import join_by_weight
 from cairnflow.session import materialize, materialize_counted
@@ -40,12 +40,8 @@ from cairnflow.session import materialize, materialize_counted
 MIN_CLUSTER_SIZE = 2
 # Neighbours listed per point beyond those the core distance needs.
 LISTED = 16
-# Tree edges one group may hold while the hierarchy is swept.
+# Edges one group may hold while trees are merged and swept.
 GROUP_EDGES = 500_000
-# Bands between two writes of the points that joined no cluster yet.
-CUT_EVERY = 4
-# Distance 0 would be infinite density.
-MAX_DENSITY = 1e12
 INFINITE = float("inf")
 
 
@@ -214,15 +210,87 @@ def _search_outside(placed: DataFrame, cells: Cells, cores: DataFrame, comps: Da
     return new_edges, materialize(raised, "cores")
 
 
-def spanning_tree(points: DataFrame, count: int, neighbours: DataFrame, cores: DataFrame, placed, block_rows: int) -> DataFrame:
+MERGED = "kind int, a long, b long, w double, x long, y long"
+TREE, MAP = 0, 1
+
+
+def _merge_kernel(limits: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """All merges that are certain: edges in order, each taken if it is the first one out of a component within its limit.
+
+    The first edge out of a component that lies beyond its limit stops it: something unlisted may be cheaper. It may
+    still be joined by others, and then stops the whole.
+    """
+    ids = limits["node"].tolist()
+    at = {node: i for i, node in enumerate(ids)}
+    bound = limits["limit"].tolist()
+    boss = list(range(len(ids)))
+    stuck = [False] * len(ids)
+
+    def find(i: int) -> int:
+        while boss[i] != i:
+            boss[i] = boss[boss[i]]
+            i = boss[i]
+        return i
+
+    taken = []
+    ordered = edges.sort_values(["w", "x", "y"])
+    for w, x, y, a, b in zip(*[ordered[c].tolist() for c in ("w", "x", "y", "a", "b")]):
+        i, j = find(at[a]), find(at[b])
+        if i == j:
+            continue
+        stuck[i], stuck[j] = stuck[i] or w > bound[i], stuck[j] or w > bound[j]
+        if stuck[i] and stuck[j]:
+            continue
+        low, high = (i, j) if ids[i] < ids[j] else (j, i)
+        boss[high] = low
+        bound[low] = min(bound[low], bound[high])
+        stuck[low] = stuck[low] or stuck[high]
+        taken.append((TREE, None, None, w, x, y))
+    moved = [(MAP, ids[i], ids[find(i)], None, None, None) for i in range(len(ids))]
+    out = pd.DataFrame(taken + moved, columns=["kind", "a", "b", "w", "x", "y"], dtype=object)
+    return out.astype({"kind": "int32", "a": "Int64", "b": "Int64", "w": "float64", "x": "Int64", "y": "Int64"})
+
+
+def _merged(limits: DataFrame, edges: DataFrame) -> DataFrame:
+    def run(of_limits: pd.DataFrame, of_edges: pd.DataFrame) -> pd.DataFrame:
+        return _merge_kernel(of_limits, of_edges)
+
+    zero = F.lit(0).alias("all")
+    left, right = limits.select(zero, "node", "limit"), edges.select(zero, "w", "x", "y", "a", "b")
+    return materialize(left.groupBy("all").cogroup(right.groupBy("all")).applyInPandas(run, MERGED), "merged")
+
+
+def spanning_tree(
+    points: DataFrame, count: int, neighbours: DataFrame, cores: DataFrame, placed, block_rows: int, group_edges: int = GROUP_EDGES
+) -> DataFrame:
     """``(x, y, w)``: the ``count - 1`` edges of a minimum spanning tree of mutual reachability."""
     rows, cells = placed
-    edges, cores = materialize(listed_edges(neighbours, cores), "edges"), materialize(cores, "cores")
+    edges, size = materialize_counted(listed_edges(neighbours, cores), "edges")
+    cores = materialize(cores, "cores")
     comps = cores.select("id", F.col("id").alias("comp"))
     limits = cores.select(F.col("id").alias("node"), F.col("beyond").alias("limit"))
     tree: DataFrame | None = None
     left = count
     while left > 1:
+        if left + size <= group_edges:
+            merged = _merged(limits, edges)
+            chosen = merged.filter(F.col("kind") == TREE).select("x", "y", "w")
+            joined = chosen.count()
+            if joined:
+                tree = chosen if tree is None else tree.unionByName(chosen)
+                left -= joined
+                if left == 1:
+                    break
+                root = merged.filter(F.col("kind") == MAP).select(F.col("a").alias("node"), F.col("b").alias("root"))
+                comps = comps.join(root.select(F.col("node").alias("comp"), "root"), "comp").select("id", F.col("root").alias("comp"))
+                limits = limits.join(root, "node").groupBy(F.col("root").alias("node")).agg(F.min("limit").alias("limit"))
+                edges = _lightest(relabel(edges, root).filter(F.col("a") != F.col("b")))
+            # Nothing else is certain from the lists: look beyond them.
+            comps, edges = materialize(comps, "comps"), materialize(edges, "edges")
+            added, cores = _search_outside(rows, cells, cores, comps, edges, block_rows)
+            edges, size = materialize_counted(_lightest(edges.unionByName(added)), "edges")
+            limits = comps.join(cores, "id").groupBy(F.col("comp").alias("node")).agg(F.min("beyond").alias("limit"))
+            continue
         known = limits.join(_cheapest(edges), "node", "left")
         sure = known.filter(F.col("w") <= F.col("limit")).select("node", F.col("other").alias("to"))
         # Two components may pick the same edge; the lower one of such a pair is the root.
@@ -237,7 +305,7 @@ def spanning_tree(points: DataFrame, count: int, neighbours: DataFrame, cores: D
         if not joined:
             comps = materialize(comps, "comps")
             added, cores = _search_outside(rows, cells, cores, comps, edges, block_rows)
-            edges = materialize(_lightest(edges.unionByName(added)), "edges")
+            edges, size = materialize_counted(_lightest(edges.unionByName(added)), "edges")
             limits = comps.join(cores, "id").groupBy(F.col("comp").alias("node")).agg(F.min("beyond").alias("limit"))
             continue
         # Every pick that leads to another component is one tree edge.
@@ -254,7 +322,7 @@ def spanning_tree(points: DataFrame, count: int, neighbours: DataFrame, cores: D
                 .groupBy(F.coalesce("root", "node").alias("node"))
                 .agg(F.min("limit").alias("limit"))
             )
-            edges = materialize(_lightest(relabel(edges, root).filter(F.col("a") != F.col("b"))), "edges")
+            edges, size = materialize_counted(_lightest(relabel(edges, root).filter(F.col("a") != F.col("b"))), "edges")
     return tree
 
 
@@ -268,216 +336,6 @@ def _lightest(edges: DataFrame) -> DataFrame:
     )
 
 
-# --- condensed tree and choice of clusters ----------------------------------------------------
-
-SWEPT = "kind int, node long, target long, cluster long, density double, size long, mass double, below double, keep boolean"
-NODE, STATE, CLOSED = 0, 1, 2
-NO_CLUSTER = -1
-
-
-class _Part:
-    """A connected part while its band is swept: its points, its loose nodes, its live clusters."""
-
-    __slots__ = ("size", "loose", "live", "first")
-
-    def __init__(self, node: int, size: int, live: list, first: int) -> None:
-        self.size = size
-        self.loose = [] if live else [node]
-        # (cluster, mass, below, points) per live cluster
-        self.live = live
-        self.first = first
-
-    def absorb(self, other: _Part) -> None:
-        self.size += other.size
-        self.loose.extend(other.loose)
-        self.live.extend(other.live)
-        self.first = min(self.first, other.first)
-
-
-def _sweep_kernel(min_cluster_size: int):
-    """Merge one connected part of a band in order of weight.
-
-    Nodes of parts below ``min_cluster_size`` are loose; they join a cluster when their part becomes
-    one or meets one. When several clusters meet at one weight they end and a parent begins.
-    ``mass`` sums the densities at which a cluster's points joined, so its stability is
-    ``mass - points * density at its end``; ``below`` is the best total its descendants offer.
-    """
-
-    def kernel(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        ids = nodes["node"].to_numpy()
-        at = {int(node): i for i, node in enumerate(ids)}
-        boss = list(range(len(ids)))
-        parts = []
-        for i, row in enumerate(nodes.itertuples(index=False)):
-            live = [] if row.cluster < 0 else [(int(row.cluster), row.mass, row.below, int(row.size))]
-            parts.append(_Part(i, int(row.size), live, int(row.node)))
-        joined: dict[int, tuple[int, float]] = {}
-        ended = []
-
-        def find(i: int) -> int:
-            while boss[i] != i:
-                boss[i] = boss[boss[i]]
-                i = boss[i]
-            return i
-
-        def settle(part: _Part, name: int, density: float) -> None:
-            if part.size < min_cluster_size:
-                return
-            if len(part.live) == 1:
-                cluster, mass, below, points = part.live[0]
-                part.live = [(cluster, mass + (part.size - points) * density, below, part.size)]
-            else:
-                offered = 0.0
-                for cluster, mass, below, points in part.live:
-                    stability = mass - points * density
-                    ended.append((cluster, name, density, stability >= below))
-                    offered += max(stability, below)
-                cluster = name
-                part.live = [(cluster, part.size * density, offered, part.size)]
-            for i in part.loose:
-                joined[i] = (cluster, density)
-            part.loose = []
-
-        ordered = events.sort_values(["w", "event"])
-        weights, names = ordered["w"].to_numpy(), ordered["event"].to_numpy()
-        left, right, adds = ordered["a"].to_numpy(), ordered["b"].to_numpy(), ordered["adds"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, weights[1:] != weights[:-1]])
-        for start, end in zip(starts, np.r_[starts[1:], len(weights)]):
-            density = min(1.0 / weights[start], MAX_DENSITY) if weights[start] > 0 else MAX_DENSITY
-            for e in range(start, end):
-                i, j = find(at[int(left[e])]), find(at[int(right[e])])
-                if i != j:
-                    if len(parts[i].loose) < len(parts[j].loose):
-                        i, j = j, i
-                    boss[j] = i
-                    parts[i].absorb(parts[j])
-                    parts[j] = None
-                parts[i].size += int(adds[e])
-            # Events come in name order, so the first one naming a part gives its cluster id.
-            touched: dict[int, int] = {}
-            for e in range(start, end):
-                touched.setdefault(find(at[int(left[e])]), int(names[e]))
-            for top, name in touched.items():
-                settle(parts[top], name, density)
-
-        out = []
-        for i in range(len(ids)):
-            cluster, density = joined.get(i, (None, None))
-            out.append((NODE, int(ids[i]), parts[find(i)].first, cluster, density, None, None, None, None))
-        for part in parts:
-            if part is not None:
-                cluster, mass, below, _ = part.live[0] if part.live else (NO_CLUSTER, 0.0, 0.0, 0)
-                out.append((STATE, part.first, None, cluster, None, part.size, mass, below, None))
-        for cluster, parent, density, keep in ended:
-            out.append((CLOSED, None, parent, cluster, density, None, None, None, keep))
-        columns = ["kind", "node", "target", "cluster", "density", "size", "mass", "below", "keep"]
-        # Object columns first: a float detour would round large ids.
-        frame = pd.DataFrame(out, columns=columns, dtype=object)
-        frame["kind"] = frame["kind"].astype("int32")
-        for c in ("node", "target", "cluster", "size"):
-            frame[c] = frame[c].astype("Int64")
-        frame["keep"] = frame["keep"].astype("boolean")
-        return frame.astype({"density": "float64", "mass": "float64", "below": "float64"})
-
-    return kernel
-
-
-def _band(events: DataFrame, wanted: int, left: int) -> float:
-    """The weight up to which about ``wanted`` of ``left`` events lie; always covers at least one."""
-    if wanted >= left:
-        return INFINITE
-    return float(events.agg(F.percentile_approx("w", wanted / left, 10_000)).head()[0])
-
-
-def condensed_tree(tree: DataFrame, cores: DataFrame, min_cluster_size: int, group_edges: int = GROUP_EDGES):
-    """``members`` (id, cluster) and ``ended`` (cluster, parent, keep) of the cluster hierarchy.
-
-    The last surviving cluster, the root, is in neither ``ended`` row as a cluster.
-    """
-    merges = tree.select("w", F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("adds"))
-    # Copies of a vector reach each other at its core distance.
-    arrivals = cores.filter(F.col("copies") > 1).select(
-        F.col("core").alias("w"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("copies").alias("adds")
-    )
-    named = merges.unionByName(arrivals).withColumn("event", F.monotonically_increasing_id())
-    events, left = materialize_counted(named, "events")
-    # A point with copies starts empty and gets them all at its arrival.
-    states = cores.select(
-        F.col("id").alias("node"),
-        F.when(F.col("copies") > 1, 0).otherwise(1).cast("long").alias("size"),
-        F.lit(NO_CLUSTER).cast("long").alias("cluster"),
-        F.lit(0.0).alias("mass"),
-        F.lit(0.0).alias("below"),
-    )
-    loose = cores.select("id", F.col("id").alias("node"))
-    members: list[DataFrame] = []
-    ended: list[DataFrame] = []
-    bands = 0
-    wanted = max(left // 2, 1)
-    while left:
-        cut = _band(events, wanted, left)
-        band = materialize(events.filter(F.col("w") <= cut), "band")
-        part = components(band)
-        placed = band.join(part.select(F.col("node").alias("a"), F.col("root").alias("part")), "a")
-        largest = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("w").alias("low"), F.max("w").alias("high"))
-        over = largest.filter((F.col("n") > group_edges) & (F.col("low") < F.col("high"))).limit(1).count()
-        if over and wanted > 1:
-            wanted = max(1, wanted // 2)
-            continue
-        inside = states.join(part, "node").withColumnRenamed("root", "part")
-        swept = materialize(
-            inside.groupBy("part").cogroup(placed.groupBy("part")).applyInPandas(_sweep(min_cluster_size), SWEPT), "swept"
-        )
-        moved = swept.filter(F.col("kind") == NODE).select("node", "target", F.col("cluster").alias("into"))
-        placed_loose = loose.join(moved, "node", "left")
-        members.append(placed_loose.filter(F.col("into").isNotNull()).select("id", F.col("into").alias("cluster")))
-        loose = placed_loose.filter(F.col("into").isNull()).select("id", F.coalesce("target", "node").alias("node"))
-        ended.append(swept.filter(F.col("kind") == CLOSED).select("cluster", F.col("target").alias("parent"), "keep"))
-        fresh = swept.filter(F.col("kind") == STATE).select("node", "size", "cluster", "mass", "below")
-        states = states.join(moved.select("node"), "node", "left_anti").unionByName(fresh)
-        renamed = moved.select("node", F.col("target").alias("root"))
-        events, left = materialize_counted(relabel(events.filter(F.col("w") > cut), renamed), "events")
-        bands += 1
-        if left and bands % CUT_EVERY == 0:
-            loose, states = materialize(loose, "loose"), materialize(states, "states")
-        wanted = max(left // 2, min(group_edges, left), 1) if not over else min(wanted * 2, max(left, 1))
-    return _union(members), _union(ended)
-
-
-def _sweep(min_cluster_size: int):
-    kernel = _sweep_kernel(min_cluster_size)
-
-    def run(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        return kernel(nodes, events)
-
-    return run
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
-
-
-def chosen_ancestors(ended: DataFrame) -> DataFrame:
-    """``(cluster, chosen)``: for every non-root cluster its topmost kept ancestor or itself.
-
-    Pointer doubling over the cluster tree: each step looks twice as far up and remembers the
-    highest kept cluster seen so far.
-    """
-    kept = F.when(F.col("keep"), F.col("cluster"))
-    current, _ = materialize_counted(ended.select("cluster", F.col("parent").alias("up"), kept.alias("chosen")), "ancestors")
-    while True:
-        above = current.select(F.col("cluster").alias("up"), F.col("up").alias("next"), F.col("chosen").alias("higher"))
-        stepped = current.join(above, "up", "left").select(
-            "cluster", F.col("next").alias("up"), F.coalesce("higher", "chosen").alias("chosen")
-        )
-        current, open_ends = materialize_counted(stepped, "ancestors", F.count_if(F.col("up").isNotNull()))
-        if not open_ends:
-            return current.select("cluster", "chosen")
-
-
 # --- the operator -----------------------------------------------------------------------------
 
 
@@ -494,11 +352,27 @@ def density_clusters(
 
     Clusters are numbered from 0 by their lowest point id.
     """
+    return memberships(points, min_cluster_size, min_samples, metric, listed, block_rows, group_edges).select("id", "cluster_id")
+
+
+def memberships(
+    points: DataFrame,
+    min_cluster_size: int = MIN_CLUSTER_SIZE,
+    min_samples: int | None = None,
+    metric: str = "euclidean",
+    listed: int = LISTED,
+    block_rows: int = BLOCK_ROWS,
+    group_edges: int = GROUP_EDGES,
+) -> DataFrame:
+    """``(id, cluster_id, probability)``: how firmly a point belongs to its cluster, from the density at which it joined.
+
+    The densest points of a cluster have 1, a point that joined at half that density 0.5; noise has 0.
+    """
     validate(min_cluster_size, min_samples, metric)
     points, total = materialize_counted(
         points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")), "input"
     )
-    noise = points.select("id", F.lit(-1).alias("cluster_id"))
+    noise = points.select("id", F.lit(-1).alias("cluster_id"), F.lit(0.0).alias("probability"))
     if not can_cluster(total, min_cluster_size, min_samples):
         return noise
     samples = max(1, min(total - 1, min_cluster_size if min_samples is None else min_samples))
@@ -512,18 +386,16 @@ def density_clusters(
         nearest_neighbours(distinct, distinct, listed, exclude_self=True, block_rows=block_rows, placed=placed), "neighbours"
     )
     cores = materialize(core_distances(distinct, neighbours, samples, listed), "cores")
-    tree = spanning_tree(distinct, count, neighbours, cores, placed, block_rows)
-    members, ended = condensed_tree(tree, cores, min_cluster_size, group_edges)
-    chosen = chosen_ancestors(ended).filter(F.col("chosen").isNotNull())
-    assigned = materialize(members.join(chosen, "cluster").select("id", "chosen"), "assigned")
+    tree = spanning_tree(distinct, count, neighbours, cores, placed, block_rows, group_edges)
+    assigned = materialize(hierarchy.flat_clusters(tree, cores, min_cluster_size, group_edges), "assigned")
     lowest = assigned.groupBy("chosen").agg(F.min("id").alias("lowest"))
     numbers = global_rank(lowest, [F.col("lowest").asc()], name="number")
-    labelled = assigned.join(numbers, "chosen").select(F.col("id").alias("first"), (F.col("number") - 1).alias("label"))
+    labelled = assigned.join(numbers, "chosen").select(F.col("id").alias("first"), (F.col("number") - 1).alias("label"), "probability")
     # Every copy gets the label of its folded point; a vector may have very many copies.
     folded = distinct.select("vector", F.col("id").alias("first"), "copies")
     originals = join_by_weight(points, folded, ["vector"], "copies", "id")
     return originals.join(labelled, "first", "left").select(
-        "id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster_id")
+        "id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster_id"), F.coalesce("probability", F.lit(0.0)).alias("probability")
     )
 
 

@@ -8,7 +8,11 @@ MAX_DENSITY = 1e12
 
 
 def hdbscan(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> list[int]:
-    """Labels by merging all equal weights at once, over the full distance matrix."""
+    return memberships(vectors, min_cluster_size, min_samples)[0]
+
+
+def memberships(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> tuple[list[int], list[float]]:
+    """Labels and membership probabilities by merging all equal weights at once, over the full distance matrix."""
     n = len(vectors)
     gaps = np.round(np.sqrt(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(2)), 12)
     samples = max(1, min(n - 1, min_samples))
@@ -18,6 +22,7 @@ def hdbscan(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> lis
     part = {i: frozenset([i]) for i in range(n)}
     clusters: list[dict] = []
     live: dict[frozenset, int] = {}
+    joined: dict[int, float] = {}
     for level in levels:
         density = min(1 / level, MAX_DENSITY) if level > 0 else MAX_DENSITY
         seen: set[int] = set()
@@ -43,16 +48,17 @@ def hdbscan(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> lis
                     clusters[me]["mass"] += len(loose) * density
                 else:
                     me = len(clusters)
-                    clusters.append({"mass": len(new) * density, "kids": kids, "points": [], "end": 0.0, "size": 0})
+                    clusters.append({"mass": len(new) * density, "kids": kids, "points": [], "end": 0.0, "size": 0, "born": density})
                     for k in kids:
                         clusters[k]["end"] = density
                 clusters[me]["points"] += loose
+                joined.update((i, density) for i in loose)
                 clusters[me]["size"] = len(new)
                 live[new] = me
             for i in group:
                 part[i] = new
     if not clusters:
-        return [-1] * n
+        return [-1] * n, [0.0] * n
     best, keep = {}, {}
     for c, cluster in enumerate(clusters):
         stability = cluster["mass"] - cluster["size"] * cluster["end"]
@@ -73,4 +79,6 @@ def hdbscan(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> lis
     first: dict[int, int] = {}
     for i in sorted(owner):
         first.setdefault(owner[i], len(first))
-    return [first[owner[i]] if i in owner else -1 for i in range(n)]
+    labels = [first[owner[i]] if i in owner else -1 for i in range(n)]
+    shares = [min(1.0, joined[i] / clusters[owner[i]]["born"]) if i in owner else 0.0 for i in range(n)]
+    return labels, shares
