@@ -406,7 +406,7 @@ def centroids(spark, d):
 
 @register
 def trend_distribution(spark, d):
-    return aggregates.trend_distribution(_trends(spark, d))
+    return aggregates.trend_distribution(_trends(X.source_items(spark, d)))
 
 
 def _series(spark, d, granularity: str) -> DataFrame:
@@ -465,7 +465,7 @@ def insertion_statistics(spark, d):
 def analysis_summary(spark, d):
     items = X.source_items(spark, d)
     assigned = X.current_members(items).filter(F.pmod("item_id", F.lit(5)) > 0)
-    return aggregates.analysis_summary(items, assigned, _trends(spark, d))
+    return aggregates.analysis_summary(items, assigned, _trends(X.source_items(spark, d)))
 
 
 @register
@@ -519,31 +519,28 @@ def _clusters(members: DataFrame) -> DataFrame:
     )
 
 
-def _matches(spark, d) -> DataFrame:
-    items = X.source_items(spark, d)
+def _matches(items: DataFrame) -> DataFrame:
     current, previous = X.current_members(items), X.previous_members(items)
     return matching.match_clusters(
         aggregates.centroids(current), aggregates.centroids(previous), X.MATCH_THRESHOLD
     )
 
 
-def _trends(spark, d) -> DataFrame:
-    items = X.source_items(spark, d)
-    return trends.detect_trends(
-        _clusters(X.current_members(items)), _clusters(X.previous_members(items)), _matches(spark, d)
-    )
+def _trends(items: DataFrame) -> DataFrame:
+    current, previous = X.current_members(items), X.previous_members(items)
+    return trends.detect_trends(_clusters(current), _clusters(previous), _matches(items))
 
 
 def snapshot(spark, d) -> dashboard.Snapshot:
     items = X.source_items(spark, d)
     members = X.current_members(items)
     history = X.run_history(spark, d)
-    return dashboard.Snapshot(items, _clusters(members), members, _trends(spark, d), history, history)
+    return dashboard.Snapshot(items, _clusters(members), members, _trends(items), history, history)
 
 
 @register
 def cluster_matching(spark, d):
-    return _matches(spark, d).select(
+    return _matches(X.source_items(spark, d)).select(
         "current_cluster_id",
         F.coalesce("previous_cluster_id", F.lit(-1)).alias("previous_cluster_id"),
         r6("similarity"),
@@ -553,7 +550,7 @@ def cluster_matching(spark, d):
 
 @register
 def trend_detection(spark, d):
-    return _trends(spark, d).select(
+    return _trends(X.source_items(spark, d)).select(
         "current_cluster_id",
         F.coalesce("previous_cluster_id", F.lit(-1)).alias("previous_cluster_id"),
         "current_count",
@@ -807,7 +804,7 @@ def coverage_violations(spark, d):
 @register
 def match_violations(spark, d):
     items = X.source_items(spark, d)
-    found = _matches(spark, d).withColumns(
+    found = _matches(X.source_items(spark, d)).withColumns(
         {
             "similarity": F.when(F.col("current_cluster_id") == 101, 1.5).otherwise(F.col("similarity")),
             "status": F.lit("matched"),
@@ -820,7 +817,7 @@ def match_violations(spark, d):
 def trend_violations(spark, d):
     items = X.source_items(spark, d)
     status = F.col("status")
-    found = _trends(spark, d).withColumns(
+    found = _trends(X.source_items(spark, d)).withColumns(
         {
             "status": F.when(status == "falling", "sinking").otherwise(status),
             "current_count": F.col("current_count") + flag(status == "stable"),
@@ -841,7 +838,7 @@ def ranking_violations(spark, d):
 def match_rules(spark, d):
     """Each rule of matching results that ``match_violations`` leaves whole, broken by one cluster."""
     items = X.source_items(spark, d)
-    found = _matches(spark, d)
+    found = _matches(X.source_items(spark, d))
     cluster, previous = F.col("current_cluster_id"), F.col("previous_cluster_id")
     broken = found.withColumns(
         {
@@ -860,7 +857,7 @@ def match_rules(spark, d):
 def trend_rules(spark, d):
     """Each rule of trends that ``trend_violations`` leaves whole, broken by one cluster."""
     items = X.source_items(spark, d)
-    found = _trends(spark, d)
+    found = _trends(X.source_items(spark, d))
     cluster, previous = F.col("current_cluster_id"), F.col("previous_cluster_id")
     broken = found.where(cluster != 102).withColumns(
         {
@@ -1004,7 +1001,7 @@ def cluster_page(spark, d):
 @register
 def dashboard_trends(spark, d):
     items = X.source_items(spark, d)
-    view = dashboard.Snapshot(items, None, None, _trends(spark, d), None, X.run_history(spark, d))
+    view = dashboard.Snapshot(items, None, None, _trends(items), None, X.run_history(spark, d))
     distribution, series = dashboard.trends(view, "week", 2)
     rising = distribution.select("rising_count").scalar()
     return series.select(stamp(F.col("period_start")).alias("period_start"), "total_problems", rising.alias("rising_now"))

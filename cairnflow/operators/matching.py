@@ -2,15 +2,18 @@
 
 The result equals the greedy choice over all pairs at or above the threshold, most similar first,
 ties by current id, then previous id. It is reached without listing all pairs: every cluster keeps
-its best ``candidates`` partners, and a pair is taken as soon as each is the other's best. All pairs
-share one strict order, so such a pair is exactly one that the greedy pass would take. A cluster
-whose short list runs out while more partners exist gets a new list over what is still unmatched.
+its best ``candidates`` partners, and the lists form a graph whose connected parts are independent. One
+job passes through the pairs of each part in order. A pair is taken when both sides are free and neither
+list was cut off before it; where one was, both sides stay open, since something unlisted may come first.
+Open clusters get new, longer lists over what is still unmatched. The first pair of all is always certain.
+
+A part beyond ``group_rows`` rows is worked on by rounds instead: in each, all pairs that are both
+sides' best are taken at once, which are pairs that the greedy pass would take.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,16 +32,17 @@ from cairnflow.operators.blocks import (
     stack,
     with_targets,
 )
+from cairnflow.operators.components import components
 from cairnflow.operators.ranking import global_rank
 from cairnflow.operators.skew import join_by_weight
 from cairnflow.schemas import SIMILARITY_THRESHOLD
 from cairnflow.session import materialize, materialize_counted
 
 CANDIDATES = 32
-# Rounds after which copies of a vector are matched as groups: many copies take many rounds.
-PATIENCE = 8
-# Rounds of anti joins between two writes of the remaining lists.
-CUT_EVERY = 4
+# Listed pairs one group may hold.
+GROUP_ROWS = 500_000
+# Rounds on a part that is larger than that, between two listings.
+ROUNDS = 8
 
 
 def validate_threshold(threshold: float) -> float:
@@ -98,7 +102,7 @@ def _pairs_kernel(threshold: float, k: int):
 
 
 def _lists(current: DataFrame, previous: DataFrame, rows: int, threshold: float, k: int, block_rows: int):
-    """Each side's k nearest partners, and whether some list may be incomplete.
+    """Each side's k nearest partners (``side`` 0 or 1, ``position``, ``usable``), and the number of pairs looked at.
 
     One pass over the block pairs within reach of the threshold yields both sides' candidates.
     """
@@ -122,12 +126,9 @@ def _lists(current: DataFrame, previous: DataFrame, rows: int, threshold: float,
             .select("current", "previous", "distance", "similarity", "position")
         )
 
-    by_current, by_previous = shortest("current"), shortest("previous")
-    truncated = emitted >= k and not (
-        by_current.filter(F.col("position") == k).unionAll(by_previous.filter(F.col("position") == k)).isEmpty()
-    )
     usable = F.col("similarity") >= threshold
-    return by_current.filter(usable), by_previous.filter(usable), truncated
+    rows = [shortest(side).withColumn("side", F.lit(at)) for at, side in enumerate(("current", "previous"))]
+    return rows[0].unionByName(rows[1]).withColumn("usable", usable), emitted
 
 
 def _best(pairs: DataFrame, side: str) -> DataFrame:
@@ -141,12 +142,87 @@ def _without(pairs: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
+PASSED = "current long, previous long, similarity double, still_open long"
+
+
+def _greedy_kernel(k: int):
+    """One pass in order; ``still_open`` counts the clusters that may have an unlisted partner."""
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        last = rows[rows["position"] == k]
+        edge = lambda frame: list(zip(frame["distance"], frame["current"], frame["previous"]))
+        limits = [{}, {}]
+        for side, key in zip(last["side"], edge(last)):
+            limits[side][key[1 + side]] = key
+        pairs = rows[rows["usable"]].drop_duplicates(["current", "previous"])
+        pairs = pairs.sort_values(["distance", "current", "previous"])
+        taken: list[set] = [set(), set()]
+        unsure: list[set] = [set(), set()]
+        out = []
+        for key, similarity in zip(edge(pairs), pairs["similarity"]):
+            _, current, previous = key
+            if current in taken[0] or previous in taken[1]:
+                continue
+            if current in unsure[0] or previous in unsure[1] or key > limits[0].get(current, key) or key > limits[1].get(previous, key):
+                unsure[0].add(current)
+                unsure[1].add(previous)
+                continue
+            taken[0].add(current)
+            taken[1].add(previous)
+            out.append((current, previous, similarity, None))
+        left = sum(len((unsure[side] | set(limits[side])) - taken[side]) for side in (0, 1))
+        out.append((None, None, None, left))
+        found = pd.DataFrame(out, columns=["current", "previous", "similarity", "still_open"], dtype=object)
+        return found.astype({"current": "Int64", "previous": "Int64", "similarity": "float64", "still_open": "Int64"})
+
+    return kernel
+
+
+def _pass(rows: DataFrame, k: int) -> tuple[DataFrame, int, int]:
+    """Certain pairs of every part, their number, and how many clusters stay open."""
+    kernel = _greedy_kernel(k)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return kernel(part)
+
+    passed = materialize(rows.groupBy("part").applyInPandas(run, PASSED), "passed")
+    totals = passed.agg(F.count("current").alias("found"), F.sum("still_open").alias("open")).head()
+    pairs = passed.filter("current IS NOT NULL").select("current", "previous", "similarity")
+    return pairs, totals["found"], totals["open"] or 0
+
+
+def _parts(rows: DataFrame, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Listed pairs with the connected part they are in: those of parts that fit a group, and the others."""
+    ends = rows.select(F.concat(F.lit("c"), "current").alias("a"), F.concat(F.lit("p"), "previous").alias("b"))
+    root = components(ends).select(F.col("node").alias("_node"), F.col("root").alias("part"))
+    named = rows.withColumn("_node", F.concat(F.lit("c"), "current")).join(root, "_node").drop("_node")
+    named = materialize(named.select("part", *rows.columns), "parts")
+    large = named.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("part")
+    return named.join(large, "part", "left_anti"), named.join(large, "part", "left_semi")
+
+
+def _rounds(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Pairs that are each other's best, round by round."""
+    sides = [rows.filter((F.col("side") == side) & F.col("usable")).select("current", "previous", "distance", "similarity") for side in (0, 1)]
+    matched: DataFrame | None = None
+    total = 0
+    for _ in range(ROUNDS):
+        both = _best(sides[0], "current").join(_best(sides[1], "previous").select("current", "previous"), ["current", "previous"])
+        taken, found = materialize_counted(both.select("current", "previous", "similarity"), "matched")
+        matched, total = taken if matched is None else matched.unionByName(taken), total + found
+        if not found:
+            break
+        sides = [materialize(_without(side, taken), "unmatched-pairs") for side in sides]
+    return matched, total
+
+
 def match_pairs(
     current: DataFrame,
     previous: DataFrame,
     threshold: float = SIMILARITY_THRESHOLD,
     candidates: int = CANDIDATES,
     block_rows: int = BLOCK_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Matched ``(current, previous, similarity)`` of two ``(cluster_id, centroid)`` tables."""
     threshold = validate_threshold(threshold)
@@ -156,40 +232,30 @@ def match_pairs(
     left = min(others, rows)
     folded = False
     while True:
-        by_current, by_previous, truncated = _lists(current, previous, rows, threshold, candidates, block_rows)
-        progress = stalled = False
-        for turn in count(1):
-            if turn > PATIENCE and not folded:
-                stalled = True
-                break
-            both = _best(by_current, "current").join(
-                _best(by_previous, "previous").select("current", "previous"), ["current", "previous"]
-            )
-            taken, found = materialize_counted(both.select("current", "previous", "similarity"), "matched")
-            if not found:
-                break
-            progress = True
-            matched = taken if matched is None else matched.unionByName(taken)
-            left -= found
-            if not left:
-                # One side is used up.
-                return matched
-            by_current, by_previous = _without(by_current, taken), _without(by_previous, taken)
-            if turn % CUT_EVERY == 0:
-                by_current = materialize(by_current, "by-current")
-                by_previous = materialize(by_previous, "by-previous")
-                matched = materialize(matched, "matched")
-        # Without a full list nothing was cut off, so the short lists were all there is.
-        if not (stalled or (progress and truncated)):
-            return taken if matched is None else matched
+        listed, emitted = _lists(current, previous, rows, threshold, candidates, block_rows)
+        if emitted <= group_rows:
+            taken, found, still_open = _pass(listed.withColumn("part", F.lit(0)), candidates)
+        else:
+            small, large = _parts(listed, group_rows)
+            taken, found, still_open = _pass(small, candidates)
+            if not large.isEmpty():
+                extra, more = _rounds(large)
+                taken, found, still_open = taken.unionByName(extra), found + more, still_open + 1
+        matched = taken if matched is None else matched.unionByName(taken)
+        left -= found
+        # Without an open cluster the lists were all there is; without a pair nothing is left to take.
+        if not (left and found and still_open):
+            return matched
         matched = materialize(matched, "matched")
         current, previous, rows = _unmatched(current, previous, matched)
-        if stalled:
+        if not folded:
+            # Short lists full of copies of one vector would be renewed again and again.
             folded = True
             extra = _match_copies(current, previous, threshold, candidates, block_rows)
             if extra is not None:
                 matched = matched.unionByName(extra)
                 current, previous, rows = _unmatched(current, previous, extra)
+        candidates *= 2
 
 
 def _unmatched(current: DataFrame, previous: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -234,9 +300,8 @@ def _match_copies(current: DataFrame, previous: DataFrame, threshold: float, k:
 
     current_groups, current_members, _ = fold(current, "current-groups")
     previous_groups, previous_members, rows = fold(previous, "previous-groups")
-    by_current, by_previous, _ = _lists(
-        current_groups.select("id", "vector"), previous_groups.select("id", "vector"), rows, threshold, k, block_rows
-    )
+    listed, _ = _lists(current_groups.select("id", "vector"), previous_groups.select("id", "vector"), rows, threshold, k, block_rows)
+    by_current, by_previous = [listed.filter((F.col("side") == side) & F.col("usable")).drop("side", "usable") for side in (0, 1)]
     counts = {
         "current": current_groups.select(F.col("id").alias("current"), F.col("n").alias("current_left"), F.lit(0).cast("long").alias("current_used")),
         "previous": previous_groups.select(F.col("id").alias("previous"), F.col("n").alias("previous_left"), F.lit(0).cast("long").alias("previous_used")),

@@ -63,6 +63,18 @@ def test_matching_equals_greedy_with_short_lists_and_small_blocks(spark):
     assert matched(spark, current, previous, 0.3, 3, 12) == greedy(current, previous, 0.3)
 
 
+def test_matching_in_parts_and_in_rounds_equals_greedy(spark):
+    rng = np.random.default_rng(3)
+    # Small angles between neighbours of one fan, none between fans: parts of the candidate graph, with exact ties.
+    fans = {f: rng.normal(size=4) for f in range(6)}
+    turn = lambda f, step: fans[f] / np.linalg.norm(fans[f]) + 0.01 * step * np.eye(4)[f % 4]
+    current = {i: turn(i % 6, i // 6) for i in range(42)}
+    previous = {1000 + i: turn(i % 6, (i // 6) // 2 * 2) for i in range(36)}
+    want = greedy(current, previous, 0.98)
+    for group_rows in (500_000, 40, 1):
+        assert matched(spark, current, previous, 0.98, 3, 4096, group_rows) == want
+
+
 def test_matching_of_many_identical_centroids(spark):
     rng = np.random.default_rng(7)
     current = {i: np.array([1.0, 1.0, 0.0]) for i in range(30)} | {i: rng.normal(size=3) for i in range(30, 36)}
