@@ -31,7 +31,7 @@ from cairnflow.operators import (
     topics,
     trends,
 )
-from cairnflow.plans import dashboard
+from cairnflow.plans import dashboard, store
 from cairnflow.session import prepare, shared_folder
 from cairnflow.sources import combined, github, hackernews, records, reddit, worklists
 from cairnflow.streaming import ingest as stream_ingest
@@ -676,9 +676,8 @@ def _stored(items: DataFrame) -> DataFrame:
     )
 
 
-@register
-def upsert(spark, d):
-    items = _stored(X.source_items(spark, d))
+def _arriving(items: DataFrame) -> DataFrame:
+    """Two rounds of rows for every third item: a new version without verdict, then one with."""
     verdict = {
         "is_problem": F.pmod("id", F.lit(6)) == 3,
         "problem_confidence": F.lit(0.5),
@@ -689,8 +688,10 @@ def upsert(spark, d):
     first = arriving.withColumns(
         {"author": F.lit("mid"), "batch_order": F.lit(0), **{c: F.lit(None).cast(arriving.schema[c].dataType) for c in verdict}}
     )
-    last = arriving.withColumns({"author": F.lit("new"), "batch_order": F.lit(1), **verdict})
-    table = I.upsert(items.filter(F.col("is_problem").isNotNull()), first.unionByName(last))
+    return first.unionByName(arriving.withColumns({"author": F.lit("new"), "batch_order": F.lit(1), **verdict}))
+
+
+def _upserted(table: DataFrame) -> DataFrame:
     return table.select(
         "external_id",
         "source",
@@ -700,6 +701,21 @@ def upsert(spark, d):
     )
 
 
+@register
+def upsert(spark, d):
+    items = _stored(X.source_items(spark, d))
+    return _upserted(I.upsert(items.filter(F.col("is_problem").isNotNull()), _arriving(items)))
+
+
+@register
+def upsert_batches(spark, d):
+    """The same outcome through a table on disk: the first batch fills it, the second rewrites the buckets it touches."""
+    items, path = _stored(X.source_items(spark, d)), f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    store.apply_batch(path, items.filter(F.col("is_problem").isNotNull()).withColumn("batch_order", F.lit(0)))
+    store.apply_batch(path, _arriving(items))
+    return _upserted(store.read_items(spark, path))
+
+
 @register
 def insert_new(spark, d):
     items = X.source_items(spark, d)

@@ -1,6 +1,6 @@
 """The item table: preparation, idempotent upsert, offline classification, late embeddings.
 
-Every function returns the next state of the table; ``plans.store`` publishes it as a snapshot.
+Every function returns the next state of the rows it is given; ``plans.store`` applies it to the key buckets a batch touches.
 Keys are unique in the table, so the joins below cannot skew on the stored side, and repeats inside
 a batch are folded by an aggregate that combines before the shuffle.
 """

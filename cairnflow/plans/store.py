@@ -1,64 +1,77 @@
-"""Plain-file storage: versioned item snapshots and run tables with a commit marker.
+"""Plain Parquet tables: items in buckets of keys, runs in one folder each.
 
-A snapshot version becomes visible when its job commits, and a run when its header row is written
-last; readers never see half of either, and a failed attempt needs no compensation. Nothing is
-ever written to a path that the same job reads.
+The item table is partitioned by a hash bucket of the key, and a batch is applied by overwriting the buckets that its
+keys fall into; the files of all other buckets are neither read nor written. Every table function works key by key, so
+it needs no more than those buckets. What is written is staged first, so no job overwrites what it reads, and a batch that
+failed half way can be applied again: the outcome is the same.
+
+A run becomes visible when its header row is written, which comes last; a failed attempt leaves nothing that readers see.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnflow.operators import quality
 from cairnflow.operators.filters import compatible_runs
+from cairnflow.operators.items import KEY, insert_new, upsert
 from cairnflow.operators.runs import latest_compatible_run
 from cairnflow.schemas import CLUSTER_ITEMS, CLUSTER_RUNS, CLUSTER_TRENDS, CLUSTERS, RUN_METADATA, SOURCE_ITEMS
+from cairnflow.session import materialize, read_or_empty
+
+# Buckets of an item table: choose them so that one holds a few hundred megabytes. Fixed when the table is first written.
+BUCKETS = 64
+PLACE = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
 
 
-def _filesystem(spark: SparkSession, path: str):
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    files, location = _filesystem(spark, path)
-    if not files.exists(location):
-        return []
-    return [status.getPath().getName() for status in files.listStatus(location)]
+def read_items(spark: SparkSession, path: str, schema: T.StructType = SOURCE_ITEMS) -> DataFrame:
+    return read_or_empty(spark, path, T.StructType([*schema.fields, *PLACE.fields])).drop("buckets", "bucket")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    files, location = _filesystem(spark, path)
-    return files.exists(location)
+def _touched(batch: DataFrame, path: str, schema: T.StructType, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The batch, written once, and the stored rows of the buckets it touches."""
+    spark = batch.sparkSession
+    keyed = materialize(batch.withColumn("bucket", bucket_of(buckets)), "batch")
+    # At most as many numbers as the table has buckets.
+    numbers = [r.bucket for r in keyed.select("bucket").distinct().collect()]
+    placed = read_or_empty(spark, path, T.StructType([*schema.fields, *PLACE.fields]))
+    if not placed.filter(F.col("buckets") != buckets).isEmpty():
+        raise ValueError("the table was written with another number of buckets")
+    return keyed.drop("bucket"), placed.filter(F.col("bucket").isin(numbers)).drop("buckets", "bucket")
 
 
-def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _write(rows: DataFrame, path: str, buckets: int, mode: str) -> None:
+    placed = rows.withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(buckets)}).repartition("bucket")
+    placed.write.partitionBy("buckets", "bucket").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed snapshot versions, oldest first."""
-    numbers = [int(name[2:]) for name in _names(spark, path) if name.startswith("v=")]
-    return sorted(n for n in numbers if _exists(spark, f"{path}/v={n}/_SUCCESS"))
+def apply_batch(
+    path: str, batch: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame] = upsert, buckets: int = BUCKETS, schema: T.StructType = SOURCE_ITEMS
+) -> None:
+    """Replace the buckets that ``batch`` touches by ``change(stored rows, batch)``: upsert, verdicts or vectors."""
+    rows, stored = _touched(batch, path, schema, buckets)
+    after = change(stored, rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    _write(materialize(after, "changed"), path, buckets, "overwrite")
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType = SOURCE_ITEMS) -> DataFrame:
-    """The newest committed version, or an empty table."""
-    found = versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/v={found[-1]}") if found else _empty(spark, schema)
+def append_new(path: str, batch: DataFrame, buckets: int = BUCKETS, schema: T.StructType = SOURCE_ITEMS) -> None:
+    """Add the rows whose keys the table lacks, as new files; nothing stored is rewritten."""
+    rows, stored = _touched(batch, path, schema, buckets)
+    fresh = insert_new(stored, rows)
+    typed = [(F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    _write(materialize(fresh.select(*typed), "fresh"), path, buckets, "append")
 
 
-def publish_snapshot(df: DataFrame, path: str) -> int:
-    """Write the next version. Items are laid out by source, so source filters skip files."""
-    taken = [int(name[2:]) for name in _names(df.sparkSession, path) if name.startswith("v=")]
-    number = max(taken, default=0) + 1
-    df.write.parquet(f"{path}/v={number}")
-    return number
+STARTED = T.StructType([T.StructField("id", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -72,17 +85,14 @@ class RunStore:
         return f"{self.root}/{table}" + ("" if run_id is None else f"/run={run_id}")
 
     def _table(self, name: str, schema: T.StructType, run_id: int) -> DataFrame:
-        path = self._path(name, run_id)
-        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else _empty(self.spark, schema)
-
-    def run_ids(self) -> list[int]:
-        """Committed runs. One header folder per run is listed, nothing is scanned."""
-        ids = [int(name[4:]) for name in _names(self.spark, self._path("runs")) if name.startswith("run=")]
-        return sorted(i for i in ids if _exists(self.spark, f"{self._path('runs', i)}/_SUCCESS"))
+        return read_or_empty(self.spark, self._path(name, run_id), schema)
 
     def runs(self) -> DataFrame:
-        paths = [self._path("runs", i) for i in self.run_ids()]
-        return self.spark.read.schema(CLUSTER_RUNS).parquet(*paths) if paths else _empty(self.spark, CLUSTER_RUNS)
+        return read_or_empty(self.spark, self._path("runs"), CLUSTER_RUNS)
+
+    def run_ids(self) -> list[int]:
+        """Committed runs: one short header row each."""
+        return sorted(r.id for r in self.runs().select("id").collect())
 
     def clusters(self, run_id: int) -> DataFrame:
         return self._table("clusters", CLUSTERS, run_id)
@@ -94,14 +104,11 @@ class RunStore:
         return self._table("trends", CLUSTER_TRENDS, run_id)
 
     def next_run_id(self) -> int:
-        """Beyond every id ever started, committed or not."""
-        used = [
-            int(name[4:])
-            for table in ("runs", "clusters", "members", "trends")
-            for name in _names(self.spark, self._path(table))
-            if name.startswith("run=")
-        ]
-        return max(used, default=0) + 1
+        """Beyond every id ever started, committed or not; taken as soon as it is given out."""
+        started = read_or_empty(self.spark, self._path("started"), STARTED)
+        number = (started.agg(F.max("id")).head()[0] or 0) + 1
+        self.spark.range(number, number + 1).write.mode("append").parquet(self._path("started"))
+        return number
 
     def previous_run(self, metadata: dict, excluding: int | None = None):
         """The header row of the newest compatible run, or None."""
@@ -140,11 +147,9 @@ class RunStore:
         return self.write("trends", run_id, trends.withColumn("run_id", F.lit(run_id)), CLUSTER_TRENDS)
 
     def delete_run(self, run_id: int) -> None:
-        """Remove the header first, so that the run vanishes at once, then its tables."""
-        for table in ("runs", "trends", "members", "clusters"):
-            files, location = _filesystem(self.spark, self._path(table, run_id))
-            if files.exists(location):
-                files.delete(location, True)
+        """Empty the header first, so that the run vanishes at once, then its tables."""
+        for table, schema in (("runs", CLUSTER_RUNS), ("trends", CLUSTER_TRENDS), ("members", CLUSTER_ITEMS), ("clusters", CLUSTERS)):
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._path(table, run_id))
 
     def save_cluster(self, run_id: int, cluster: DataFrame, members: DataFrame) -> None:
         """Insert or replace one cluster (by local id) of a run that is not committed yet."""
@@ -153,17 +158,13 @@ class RunStore:
         kept = old.join(key, "local_cluster_id", "left_anti")
         gone = old.join(key, "local_cluster_id", "left_semi").select(F.col("id").alias("cluster_id"))
         others = self.members(run_id).join(gone, "cluster_id", "left_anti")
-        # Two tables change: write both beside the old ones before either is replaced.
-        for table, rows, schema in (
-            ("clusters", kept.unionByName(cluster), CLUSTERS),
-            ("members", others.unionByName(members), CLUSTER_ITEMS),
-        ):
-            rows.select(*schema.names).write.parquet(self._path(f"{table}-next", run_id))
-        for table, schema in (("clusters", CLUSTERS), ("members", CLUSTER_ITEMS)):
-            staged = self._path(f"{table}-next", run_id)
-            self.write(table, run_id, self.spark.read.schema(schema).parquet(staged), schema)
-            files, location = _filesystem(self.spark, staged)
-            files.delete(location, True)
+        # Two tables change: both are staged before either is replaced.
+        changed = [
+            (table, materialize(rows.select(*schema.names), f"{table}-next"), schema)
+            for table, rows, schema in (("clusters", kept.unionByName(cluster), CLUSTERS), ("members", others.unionByName(members), CLUSTER_ITEMS))
+        ]
+        for table, rows, schema in changed:
+            self.write(table, run_id, rows, schema)
 
 
 def _check_metadata(metadata: dict) -> None:
@@ -179,10 +180,7 @@ def series_history(store: RunStore, metadata: dict, problem_counts: DataFrame, s
     ``problem_counts`` is ``(id, total_problems)`` as recorded when each run was made.
     """
     headers = compatible_runs(store.runs(), metadata)
-    ids = store.run_ids()
-    if not ids:
-        return headers.limit(0)
-    trends = store.spark.read.schema(CLUSTER_TRENDS).parquet(*[store._path("trends", i) for i in ids])
+    trends = read_or_empty(store.spark, store._path("trends"), CLUSTER_TRENDS)
     counted = trends.groupBy(F.col("run_id").alias("id")).agg(
         F.count("*").alias("cluster_count"), *[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in statuses]
     )

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Semantics the operators rely on. Sizing (shuffle partitions, split bytes, memory) belongs to
 # the deployment: AQE coalesces small shuffles and splits skewed ones at run time.
@@ -59,6 +61,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def is_there(read) -> bool:
+    """Whether a Spark reader finds its path; other errors of the reader are raised."""
+    try:
+        read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table, or no rows where nothing has been written yet."""
+    reader = spark.read.schema(schema)
+    return reader.parquet(path) if is_there(lambda: reader.parquet(path)) else spark.createDataFrame([], schema)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once and return a scan of it.
 

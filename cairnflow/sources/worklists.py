@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnflow.session import is_there
 from cairnflow.sources import records
 from cairnflow.sources.scopes import positive_limit
 
@@ -35,10 +36,7 @@ def append_results(spark: SparkSession, work: DataFrame, output: str, classify)
     ``classify`` maps pending work items to classification rows. Re-running after a failure
     continues with the keys that are still missing.
     """
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(output)
-    exists = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
-    if exists:
+    if is_there(lambda: spark.read.text(output)):
         done = records.accepted(records.parse(records.read_lines(spark, output), records.CLASSIFICATION))
         duplicate = records.repeated_keys(done, *KEY)
         if not duplicate.isEmpty():

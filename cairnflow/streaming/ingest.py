@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairnflow.operators.items import insert_new
+from cairnflow.session import is_there
 
 KEY = ["source", "external_id"]
 
@@ -41,7 +42,7 @@ def ingest_new(
         fresh = batch.drop(arrived)
         # The first batch goes the same way with nothing seen, so all batches have the same columns.
         seen = fresh.select(*KEY).limit(0) if known is None else known().select(*KEY)
-        if _exists(spark, table):
+        if is_there(lambda: spark.read.parquet(table)):
             seen = seen.unionByName(spark.read.parquet(table).filter(F.col("batch_id") != batch_id).select(*KEY))
         insert_new(seen, fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
@@ -52,8 +53,3 @@ def ingest_new(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _exists(spark, path: str) -> bool:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)

@@ -73,15 +73,17 @@ def test_two_runs_end_to_end(spark, tmp_path):
     total = {r.source: r for r in first.statistics.collect()}[None]
     assert (total.acquired, total.problems, total.embedded, total.non_problems) == (21, 18, 18, 3)
     path = f"{tmp_path}/items"
-    assert store.publish_snapshot(first.table, path) == 1
+    store.apply_batch(path, first.classified, buckets=4)
     runs = store.RunStore(spark, f"{tmp_path}/runs")
     parameters = analysis.Parameters(encode.hashing_model_name(size), min_cluster_size=3)
-    one = analysis.analyse(store.read_snapshot(spark, path), runs, parameters)
+    one = analysis.analyse(store.read_items(spark, path), runs, parameters)
     assert {r.status for r in runs.trends(one).collect()} == {"new"} and runs.run_ids() == [one]
 
-    second = ingest.ingest(store.read_snapshot(spark, path), raw_items(spark, topic_rows("b", {"invoices": 9})), classify.classify_lexically, encoder, size)
-    assert store.publish_snapshot(second.table, path) == 2
-    items = store.read_snapshot(spark, path)
+    second = ingest.ingest(store.read_items(spark, path), raw_items(spark, topic_rows("b", {"invoices": 9})), classify.classify_lexically, encoder, size)
+    want = sorted(r.external_id for r in second.table.collect())
+    store.apply_batch(path, second.classified, buckets=4)
+    items = store.read_items(spark, path)
+    assert sorted(r.external_id for r in items.collect()) == want
     assert items.count() == 33
     two = analysis.analyse(items, runs, parameters)
     status = {r.label.split(", ")[0]: r.status for r in runs.trends(two).collect()}
@@ -108,6 +110,32 @@ def test_two_runs_end_to_end(spark, tmp_path):
     assert runs.run_ids() == [one] and runs.trends(two).isEmpty()
 
 
+def test_a_batch_leaves_the_files_of_other_buckets_alone(spark, tmp_path):
+    path, buckets = f"{tmp_path}/items", 16
+    raw = raw_items(spark, [(str(i), f"title {i}") for i in range(200)])
+    store.append_new(path, ingest.items.prepare(raw).withColumn("batch_order", F.lit(0)), buckets)
+    files = lambda: {f: (f.stat().st_mtime_ns, f.stat().st_size) for f in (tmp_path / "items").rglob("*.parquet")}
+    before = files()
+    change = raw_items(spark, [("7", "new title"), ("new", "another")])
+    store.apply_batch(path, ingest.items.prepare(change), buckets=buckets)
+    after = files()
+    touched = {r.b for r in change.select(store.bucket_of(buckets).alias("b")).collect()}
+    same = {f for f in before if int(f.parent.name.split("=")[1]) not in touched}
+    assert len(same) >= 14 and all(after[f] == before[f] for f in same)
+    assert all(f not in after for f in before if f not in same)
+    rows = {r.external_id: r.title for r in store.read_items(spark, path).collect()}
+    assert len(rows) == 201 and rows["7"] == "new title" and rows["8"] == "title 8"
+    # A repeated batch changes nothing, known keys are not added again, and appending rewrites no file.
+    store.apply_batch(path, ingest.items.prepare(change), buckets=buckets)
+    kept = files()
+    store.append_new(path, ingest.items.prepare(raw_items(spark, [("7", "x"), ("late", "y")])), buckets)
+    assert {r.external_id: r.title for r in store.read_items(spark, path).collect()} == rows | {"late": "y"}
+    assert kept.items() <= files().items()
+    with pytest.raises(ValueError, match="buckets"):
+        store.apply_batch(path, ingest.items.prepare(change), buckets=8)
+    assert store.read_items(spark, f"{tmp_path}/nowhere").isEmpty()
+
+
 def test_an_empty_run_is_recorded(spark, tmp_path):
     runs = store.RunStore(spark, f"{tmp_path}/runs")
     one = analysis.analyse(spark.createDataFrame([], SOURCE_ITEMS), runs, analysis.Parameters("m"))
