@@ -1,8 +1,10 @@
 """LM scoring by cross-entropy difference.
 
 Two word-bigram models, one of the target documents (labelled as good) and one of the background (all others), are
-matched: same order, same smoothing, one shared vocabulary. A document is scored by the mean difference of the losses
-of its tokens under both; a high score means that the target model predicts it better.
+matched: same order, same smoothing, one shared vocabulary, and about as much text. The larger side is drawn down by a
+hash of its documents to the bytes of the smaller one; otherwise words that neither knows would cost less under
+the smaller model, and noise would look like target. Both grow with the corpus. A document is scored by the mean
+difference of the losses of its tokens under both; a high score means that the target model predicts it better.
 
 A document must not vouch for itself: texts are dealt by hash into two folds (so copies stay together), and each fold
 is scored by models that were counted on the other one.
@@ -52,6 +54,8 @@ GRAIN = 1 << 18
 # Codes of the start of a text and of an unknown word.
 START, UNKNOWN = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D)
 KINDS = range(4)
+# Texts that were not drawn are counted as kind 4 + fold: no model uses them, but they tell which keys a fold has.
+COUNTED = range(6)
 # The kinds (2 fold + target) whose counts score folds 0 and 1: target and background each.
 SCORED_BY = (3, 2, 1, 0)
 VALUES = ("t0", "b0", "t1", "b1")
@@ -121,14 +125,32 @@ def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
 
 
-def count(docs: DataFrame, target: DataFrame, table: WordTable | None, groups: int, part: int) -> DataFrame:
-    """u, v, n0 .. n3: how often a word follows another in the documents of each kind; ``target`` has the target ids.
+def matched_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """All texts with their kind: 2 fold + target for about as many bytes of target as of background documents, else 4 + fold."""
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("kind", F.lit(1))
+    # The number of target documents has no bound, so they are never broadcast; only they are held, so no text is sorted.
+    # Documents without an id are no target and need not meet the list.
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 20)) / (1 << 20)
+    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    kind = F.coalesce("kind", F.lit(0))
+    known, lost = "doc_id IS NOT NULL", "doc_id IS NULL"
+    sizes = sized.where(known).join(ids.hint("shuffle_hash"), "doc_id", "left").groupBy(kind.alias("kind")).agg(F.sum("size").alias("size"))
+    by_kind = {r.kind: r.size or 0 for r in sizes.collect()}
+    by_kind[0] = by_kind.get(0, 0) + (sized.where(lost).agg(F.sum("size")).first()[0] or 0)
+    least = min(by_kind[0], by_kind.get(1, 0)) or max(by_kind.values())
+    shares = F.when(F.col("target") == 1, least / max(by_kind.get(1, 0), 1)).otherwise(least / max(by_kind[0], 1))
+    placed = docs.select("doc_id", "text", "fold", place.alias("place"))
+    marked = placed.where(known).join(ids.hint("shuffle_hash"), "doc_id", "left").withColumn("target", kind).drop("kind")
+    marked = marked.unionByName(placed.where(lost).withColumn("target", F.lit(0)))
+    drawn = F.col("place") < shares
+    return marked.select("text", F.when(drawn, 2 * F.col("fold") + F.col("target")).otherwise(4 + F.col("fold")).alias("kind"))
+
+
+def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) -> DataFrame:
+    """u, v, n0 .. n5: how often a word follows another in the texts of each kind.
 
     Of the groups, every ``PASSES``-th from ``part`` on.
     """
-    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("kind", F.lit(1))
-    # The number of target documents has no bound, so they are never broadcast; only they are held, so no text is sorted.
-    marked = docs.join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", (2 * F.col("fold") + F.coalesce("kind", F.lit(0))).alias("kind"))
 
     def packed(held: list[tuple[np.ndarray, ...]]):
         before, now, kind, number = (np.concatenate(x) for x in zip(*held))
@@ -136,7 +158,7 @@ def count(docs: DataFrame, target: DataFrame, table: WordTable | None, groups: i
         order = np.lexsort((kind, now, before, group))
         before, now, kind, number = before[order], now[order], kind[order], number[order]
         fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | (kind[1:] != kind[:-1])))
-        n = np.add.reduceat(number, fresh) * 4 + kind[fresh]
+        n = np.add.reduceat(number, fresh) * 8 + kind[fresh]
         some, columns = blobs(group[order][fresh], groups, u=before[fresh], v=now[fresh], n=n)
         return batch_of(p=some, **columns)
 
@@ -165,25 +187,30 @@ def count(docs: DataFrame, target: DataFrame, table: WordTable | None, groups: i
         order = np.lexsort((now, before))
         before, now, n = before[order], now[order], n[order]
         fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1])))
-        found = {f"n{k}": np.add.reduceat(np.where(n & 3 == k, n >> 2, 0), fresh) for k in KINDS}
+        found = {f"n{k}": np.add.reduceat(np.where(n & 7 == k, n >> 3, 0), fresh) for k in COUNTED}
         return pa.table({"u": signed(before[fresh]), "v": signed(now[fresh]), **found})
 
     sent = marked.mapInArrow(run, "p int, u binary, v binary, n binary")
-    return sent.groupBy("p").applyInArrow(merge, "u long, v long, " + ", ".join(f"n{k} long" for k in KINDS))
+    return sent.groupBy("p").applyInArrow(merge, "u long, v long, " + ", ".join(f"n{k} long" for k in COUNTED))
 
 
-def both(prefix: str) -> str:
+def both(*prefixes: str) -> str:
     """Do both folds have it; what only one has never meets a model that knows it."""
-    return f"{prefix}0 + {prefix}1 > 0 AND {prefix}2 + {prefix}3 > 0"
+    fold = lambda kinds: " + ".join(f"{p}{k}" for p in prefixes for k in kinds)
+    return f"{fold((0, 1, 4))} > 0 AND {fold((2, 3, 5))} > 0"
+
+
+def occurrences(prefix: str) -> str:
+    return "(" + " + ".join(f"{prefix}{k}" for k in COUNTED) + ")"
 
 
 def word_counts(cells: DataFrame) -> DataFrame:
     """code, c (as a word), m (before a word), d (distinct words after it) by kind; pairs of both folds before and after."""
     shared = F.sum(F.expr(f"if({both('n')}, 1, 0)"))
     first = cells.groupBy(F.col("u").alias("code")).agg(
-        *[F.sum(f"n{k}").alias(f"m{k}") for k in KINDS], *[F.sum(F.expr(f"if(n{k} > 0, 1, 0)")).alias(f"d{k}") for k in KINDS], shared.alias("after")
+        *[F.sum(f"n{k}").alias(f"m{k}") for k in COUNTED], *[F.sum(F.expr(f"if(n{k} > 0, 1, 0)")).alias(f"d{k}") for k in KINDS], shared.alias("after")
     )
-    second = cells.groupBy(F.col("v").alias("code")).agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in KINDS], shared.alias("before"))
+    second = cells.groupBy(F.col("v").alias("code")).agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in COUNTED], shared.alias("before"))
     return first.join(second, "code", "full").na.fill(0)
 
 
@@ -312,20 +339,22 @@ def scores(docs: DataFrame, target: DataFrame, size: int | None) -> DataFrame:
     size_of = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     groups = max(1, math.ceil(size_of / GROUP_BYTES))
     table = None if size is None else vocabulary(rows, size)
-    counted = [stage(count(rows, target, table, groups, part), "cells") for part in range(PASSES)]
+    marked = stage(matched_texts(rows, target), "learned")
+    counted = [stage(count(marked, table, groups, part), "cells") for part in range(PASSES)]
+    stage.release(marked)
     cells = reduce(DataFrame.unionByName, counted)
     words = stage(word_counts(cells), "words")
     cells = stage(cells.where(both("n")), "shared")
     stage.release(*counted)
-    sizes = words.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in KINDS], F.count_if(F.expr("c0 + c1 + c2 + c3 > 0")).alias("words")).first()
+    sizes = words.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in COUNTED], F.count_if(F.expr("c0 + c1 + c2 + c3 > 0")).alias("words")).first()
     distinct = sizes.words if table is None else len(table.codes)
     spaces = [float(sizes[f"n{k}"] + distinct + 1) for k in KINDS]
     unseen = np.round(np.log(np.array(spaces)[list(SCORED_BY)]) * GRAIN) / GRAIN
-    total = sum(sizes[f"n{k}"] for k in KINDS)
+    total = sum(sizes[f"n{k}"] for k in COUNTED)
     # The start of a text stands before a word in every document.
-    hot_word = f"(c0 + c1 + c2 + c3) * {HOT_SHARE} > {total} OR code = {START.astype(np.int64)}"
-    hot_pair = f"(n0 + n1 + n2 + n3) * {HOT_SHARE} > {total}"
-    shared = words.where("c0 + m0 + c1 + m1 > 0 AND c2 + m2 + c3 + m3 > 0")
+    hot_word = f"{occurrences('c')} * {HOT_SHARE} > {total} OR code = {START.astype(np.int64)}"
+    hot_pair = f"{occurrences('n')} * {HOT_SHARE} > {total}"
+    shared = words.where(both("c", "m"))
     hot = word_values(shared.where(hot_word)).unionByName(pair_values(cells.where(hot_pair), words, spaces))
     cold = word_values(shared.where(f"NOT ({hot_word})")).unionByName(pair_values(cells.where(f"NOT ({hot_pair})"), words, spaces))
     place = F.shiftrightunsigned("key", 32) * groups

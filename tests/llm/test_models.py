@@ -33,6 +33,31 @@ def words(rnd, letters, n):
     return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(n))
 
 
+def learned_rows(docs, marks):
+    """(text, kind) of the documents that the matched models learn from."""
+    rows = docs.selectExpr("doc_id", "text", "pmod(xxhash64(text), 2) AS fold")
+    return [(r.text, r.kind) for r in lm_scoring.matched_texts(rows, marks).collect() if r.kind < 4]
+
+
+def test_matched_models_separate_a_planted_domain_and_do_not_favour_noise(spark):
+    rnd = random.Random(8)
+    draw = lambda pool, n: " ".join(rnd.choice(pool) for _ in range(n))
+    phrases = [draw([f"w{i}" for i in range(400)], 5) for _ in range(600)]
+    domain, other = phrases[:300], phrases[300:]
+    rows = [(i, draw(domain if i % 4 == 0 else other, rnd.randint(5, 30)), None) for i in range(800)]
+    noise = [(1000 + i, " ".join(f"z{rnd.randrange(10**6)}" for _ in range(40)), None) for i in range(60)]
+    docs = frame(spark, [*rows, *noise])
+    marks = labels(spark, [(i, 1, 0) for i in range(0, 400, 4)])
+    learned = learned_rows(docs, marks)
+    size = [sum(len(t.encode()) for t, kind in learned if kind % 2 == side) for side in (0, 1)]
+    assert 0.8 < size[0] / size[1] < 1.25 and sum(kind % 2 for _, kind in learned) == 100
+    score = {r.doc_id: r.score for r in lm_scoring.inspect(docs, marks).collect()}
+    held = [score[i] for i in range(400, 800, 4)]
+    rest = [score[i] for i, *_ in rows if i % 4]
+    assert sum(a > b for a in held for b in rest) >= 0.99 * len(held) * len(rest)
+    assert sum(a > score[i] for a in held for i, *_ in noise) >= 0.9 * len(held) * len(noise)
+
+
 def test_languages_of_held_out_and_mixed_texts(spark):
     rnd = random.Random(1)
     sets = {"aa": "abcdeio", "bb": "stuvwzo", "gr": "αβγδεζη"}
@@ -111,14 +136,16 @@ def test_losses_equal_a_plain_model(spark):
     docs = frame(spark, rows)
     found = {r.doc_id: r for r in lm_scoring.inspect(docs, labels(spark, [(i, 1, 0) for i in target] + [(None, 1, 0)]), 4).collect()}
     folds = {r.doc_id: r.f for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS f").collect()}
+    learned = learned_rows(docs, labels(spark, [(i, 1, 0) for i in target] + [(None, 1, 0)]))
     split = lambda t: [w for w in "".join(c.lower() if c.isalnum() else " " for c in (t or "")).split()]
     counts = Counter(w for _, t, _ in rows for w in split(t))
     top = [w for w, _ in counts.most_common(4)]
     assert counts.most_common(5)[3][1] > counts.most_common(5)[4][1], "the fixture must have no tie at the edge"
-    pairs = {i: [(a if a in top or a == "^" else "?", b if b in top else "?") for a, b in zip(["^", *split(t)], split(t))] for i, t, _ in rows}
+    paired = lambda t: [(a if a in top or a == "^" else "?", b if b in top else "?") for a, b in zip(["^", *split(t)], split(t))]
+    pairs = {i: paired(t) for i, t, _ in rows}
 
     def loss(fold, wanted, pair):
-        seen = Counter(p for i, t, _ in rows if folds[i] != fold and (i in target) == wanted for p in pairs[i])
+        seen = Counter(p for t, kind in learned if kind == 2 * (1 - fold) + wanted for p in paired(t))
         single = Counter()
         for (_, b), n in seen.items():
             single[b] += n
@@ -151,14 +178,16 @@ def test_losses_of_every_word(spark, monkeypatch, hot):
     rows = [(i, " ".join(rnd.choice(phrases) for _ in range(rnd.randint(0, 15))), None) for i in range(200)] + ODD
     target = {i for i in range(0, 200, 2)}
     docs = frame(spark, rows)
-    found = lm_scoring.inspect(docs, labels(spark, [(i, 1, 0) for i in target])).collect()
+    marks = labels(spark, [(i, 1, 0) for i in target])
+    found = lm_scoring.inspect(docs, marks).collect()
+    learned = learned_rows(docs, marks)
     folds = {r.text: r.f for r in docs.selectExpr("text", "pmod(xxhash64(text), 2) AS f").collect()}
     split = lambda t: "".join(c.lower() if c.isalnum() else " " for c in (t or "")).split()
-    size = len({w for _, t, _ in rows for w in split(t)})
+    size = len({w for t, _ in learned for w in split(t)})
     assert size > 1024
     models = {}
     for fold, wanted in product((0, 1), (True, False)):
-        seen = Counter(p for i, t, _ in rows if folds[t] != fold and (i in target) == wanted for p in zip(["^", *split(t)], split(t)))
+        seen = Counter(p for t, kind in learned if kind == 2 * (1 - fold) + wanted for p in zip(["^", *split(t)], split(t)))
         single, after, kinds = Counter(), Counter(), Counter()
         for (a, b), n in seen.items():
             single[b] += n
