@@ -413,6 +413,9 @@ def oracle() -> dict[str, str]:
             SELECT a.vec_id AS query_id, b.id AS item_id, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), b.embedding) AS distance,
             row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), b.embedding), b.id) AS position
             FROM embeddings a, items b WHERE b.embedding IS NOT NULL) WHERE position <= 5""", "items"),
+        "approximate_search": sql(
+            """SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM items WHERE embedding IS NOT NULL)) AS neighbours,
+            1 AS recall_is_high FROM embeddings""", "items"),
         # item table
         "upsert": sql(
             """SELECT external_id, source, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS version,

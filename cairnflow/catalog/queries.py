@@ -16,6 +16,7 @@ from cairnflow.functions import text as T
 from cairnflow.functions import vectors as V
 from cairnflow.operators import (
     aggregates,
+    approximate,
     classify,
     coverage,
     density,
@@ -633,6 +634,16 @@ def batch_search(spark, d):
     return found.select("query_id", "item_id", "position", r6("distance"))
 
 
+@register
+def approximate_search(spark, d):
+    """Every vector asks for its ten nearest problems; the answers are held against the exact search over all rows."""
+    queries = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    items = X.source_items(spark, d)
+    found = approximate.search_approximately(queries, items, 10, X.MODEL)
+    measured = approximate.recall(found, search.search_many(queries, items, 10, X.MODEL))
+    return measured.select("queries", "neighbours", flag(F.col("recall") >= 0.9).alias("recall_is_high"))
+
+
 @register
 def hashing_encoder(spark, d):
     encoded = encode.encode_by_hashing(X.source_items(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.functions.vectors import dot, normalize
+from cairnflow.functions.vectors import normalize
 from cairnflow.operators.blocks import BLOCK_ROWS, nearest_neighbours
 from cairnflow.operators.filters import nearest, public_documents
 from cairnflow.session import materialize
@@ -49,7 +49,3 @@ def search_many(
         # Unit vectors: 1 - cos = |a - b|^2 / 2.
         (F.col("distance") * F.col("distance") / 2).alias("distance"),
     )
-
-
-def similarity_of(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    return pairs.withColumn("similarity", dot(normalize(F.col(left)), normalize(F.col(right))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.operators import (
     aggregates,
+    approximate,
     blocks,
     classify,
     encode,
@@ -102,6 +103,22 @@ def test_nearest_neighbours_equal_brute_force(spark):
     assert by_query == want
 
 
+def test_approximate_search_has_most_true_neighbours_and_falls_back(spark):
+    rng = np.random.default_rng(12)
+    table = [(i, True, [float(x) for x in v], "m") for i, v in enumerate(rng.normal(size=(900, 16)))]
+    items = spark.createDataFrame(table, "id long, is_problem boolean, embedding array<float>, embedding_model string")
+    queries = items.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = search.search_many(queries, items, 5, "m", 100)
+    found = approximate.search_approximately(queries, items, 5, "m", probes=6, rerank=12, block_rows=100, sample=300)
+    measured = approximate.recall(found, exact).head()
+    assert (measured.queries, measured.neighbours) == (900, 4500) and 0.9 <= measured.recall
+    one = approximate.search_approximately(queries, items, 5, "m", probes=1, rerank=1, block_rows=10, sample=300)
+    assert one.groupBy("query_id").count().filter("count = 5").count() == 900
+    few = items.limit(3)
+    assert approximate.search_approximately(queries, few, 5, "m").count() == 2700
+    assert approximate.search_approximately(queries, items.limit(0), 5, "m").collect() == []
+
+
 def ranking_inputs(spark):
     clusters = spark.createDataFrame(
         [(1, "a", ["a"], 10, 2, 0.5), (2, "b", ["b"], 20, 1, 0.5), (3, "c", ["c"], 10, 2, 0.5), (4, "d", ["d"], 5, 1, 1.0)],
