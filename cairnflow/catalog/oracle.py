@@ -43,6 +43,15 @@ LAYERS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     ),
+    "tokens": (
+        ("items",),
+        r"""SELECT id, unnest(regexp_extract_all(lower(document_text), '[\p{L}\p{N}_]{2,}')) AS term, is_problem FROM items""",
+    ),
+    "counts": (
+        ("tokens",),
+        "SELECT term, count(*) FILTER (is_problem) AS yes, count(*) FILTER (NOT is_problem) AS no FROM tokens WHERE is_problem IS NOT NULL GROUP BY term",
+    ),
+    "totals": (("counts",), "SELECT sum(yes) AS ny, sum(no) AS nn, count(*) AS v FROM counts"),
     "cur": (
         ("items",),
         """SELECT CAST(100 + vector_label AS BIGINT) AS cluster_id, id AS item_id, embedding
@@ -416,6 +425,27 @@ def oracle() -> dict[str, str]:
         "approximate_search": sql(
             """SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM items WHERE embedding IS NOT NULL)) AS neighbours,
             1 AS recall_is_high FROM embeddings""", "items"),
+        "word_count_classification": sql(
+            """SELECT i.id, CAST(t >= 0 AS INTEGER) AS is_problem, round(1 / (1 + exp(-least(abs(t), 700))), 6) AS confidence FROM (
+            SELECT i.id, coalesce(o.odds, 0) + ln((SELECT count(*) FILTER (is_problem) + 1 FROM items) / (SELECT count(*) FILTER (NOT is_problem) + 1 FROM items)) AS t
+            FROM items i LEFT JOIN (
+                SELECT id, sum(ln((yes + 1) / (ny + v)) - ln((no + 1) / (nn + v))) AS odds FROM tokens JOIN counts USING (term), totals GROUP BY id) o USING (id)) i""",
+            "items", "tokens", "counts", "totals"),
+        "document_weights": sql(
+            """SELECT id, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS largest FROM (
+            SELECT id, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS w
+            FROM (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term), (SELECT count(*) AS n FROM items)) GROUP BY id""", "items", "tokens"),
+        "projected_vectors": sql(
+            f"""SELECT id, 128 AS dimensions, 1.0 AS norm, 'projected-words-128' AS embedding_model FROM items
+            WHERE is_problem AND {strip('document_text')} <> ''""", "items"),
+        "cleaned_documents": """
+            WITH doc AS (SELECT doc_id, string_split(nfc_normalize(coalesce(text, '')), chr(10)) AS l FROM documents),
+            line AS (SELECT l, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(l, lambda x: trim(x, ' ')))) AS l FROM doc) WHERE l <> '' GROUP BY l),
+            often AS (SELECT coalesce(list(l), []) AS often FROM line WHERE n > 0.01 * (SELECT count(*) FROM documents) AND n >= 10),
+            kept AS (SELECT doc_id, len(l) AS n, list_filter(l, lambda x: NOT list_contains(often, trim(x, ' '))) AS k FROM doc, often),
+            whole AS (SELECT doc_id, n - len(k) AS gone, array_to_string(k, chr(10)) AS t FROM kept)
+            SELECT doc_id, sha256(t) AS digest, CAST(gone AS INTEGER) AS removed_lines,
+            CASE WHEN length(trim(t, ' ' || chr(9) || chr(13) || chr(10))) = 0 THEN 'empty' WHEN length(trim(t, ' ' || chr(9) || chr(13) || chr(10))) < 200 THEN 'too short' ELSE '' END AS reason FROM whole""",
         # item table
         "upsert": sql(
             """SELECT external_id, source, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS version,

@@ -18,6 +18,7 @@ from cairnflow.operators import (
     aggregates,
     approximate,
     classify,
+    cleaning,
     coverage,
     density,
     encode,
@@ -620,6 +621,34 @@ def linear_classification(spark, d):
     return scored.select("id", "is_problem", r6("problem_confidence"))
 
 
+@register
+def word_count_classification(spark, d):
+    items = X.source_items(spark, d)
+    labelled = items.filter(F.col("is_problem").isNotNull()).select("document_text", F.col("is_problem").alias("expected"))
+    scored = classify.classify_by_counts(items, labelled)
+    return scored.select("id", flag(F.col("is_problem")).alias("is_problem"), F.round("problem_confidence", 6).alias("confidence"))
+
+
+@register
+def document_weights(spark, d):
+    weights = encode.document_weights(X.source_items(spark, d))
+    return weights.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+
+
+@register
+def projected_vectors(spark, d):
+    """Dimensions and length of every projected vector, and whether all have an item."""
+    items = X.source_items(spark, d)
+    found = encode.encode_by_projection(items, 128)
+    return found.select("id", F.size("embedding").alias("dimensions"), F.round(V.norm(F.col("embedding")), 5).alias("norm"), "embedding_model")
+
+
+@register
+def cleaned_documents(spark, d):
+    found = cleaning.clean_documents(X.table(spark, d, "documents"), min_length=200, share=0.01)
+    return found.select("doc_id", F.sha2("clean_text", 256).alias("digest"), "removed_lines", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @register
 def nearest_problems(spark, d):
     first = X.table(spark, d, "embeddings").orderBy("vec_id").select("embedding").head()

@@ -7,6 +7,7 @@ Answers are validated on the JVM, and malformed ones become conservative non-pro
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnflow.functions.text import is_blank, words
-from cairnflow.session import shared_folder
+from cairnflow.operators.skew import join_by_weight
+from cairnflow.session import materialize, shared_folder
 from cairnflow.sources.records import parse_model_output
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -126,3 +128,36 @@ def classify_linearly(items: DataFrame, model, name: str = "hashed-logistic") ->
             "malformed": F.lit(False),
         }
     ).drop("words", "features", "rawPrediction", "probability", "prediction")
+
+
+# --- word counts ------------------------------------------------------------------------------
+
+COUNTS_NAME = "word-counts"
+
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """``(word, yes, no)``: how often a word occurs in the problems and the others of ``(document_text, expected)``."""
+    known = labelled.filter(F.col("expected").isNotNull())
+    found = known.select(F.explode(words(F.col("document_text"))).alias("word"), "expected")
+    return found.groupBy("word").agg(F.count_if("expected").alias("yes"), F.count_if(~F.col("expected")).alias("no"))
+
+
+def classify_by_counts(items: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(id, is_problem, problem_confidence)``: multinomial Bayes over the words that the labelled documents have.
+
+    The model is a table of counts that stays a DataFrame. Documents are reduced to counted words before the join, and words that
+    very many documents have are spread. Words are smoothed by one; a document without a known word goes by the shares of the labels.
+    """
+    counts = materialize(word_counts(labelled), "word-counts")
+    sums = counts.agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("no"), F.count("*").alias("words")).head()
+    priors = labelled.agg(F.count_if("expected").alias("yes"), F.count_if(~F.col("expected")).alias("no")).head()
+    ratio = F.log((F.col("yes") + 1) / (sums["yes"] + sums["words"])) - F.log((F.col("no") + 1) / (sums["no"] + sums["words"]))
+    tokens = items.select("id", F.explode(words(F.col("document_text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    tokens = materialize(tokens, "document-words")
+    spread = tokens.groupBy("word").agg(F.count("*").alias("documents"))
+    weighted = join_by_weight(tokens, counts.join(spread, "word").select("word", ratio.alias("ratio"), "documents"), ["word"], "documents", "id")
+    odds = weighted.groupBy("id").agg(F.sum(F.col("tf") * F.col("ratio")).alias("odds"))
+    prior = F.lit(math.log((priors["yes"] + 1) / (priors["no"] + 1)))
+    total = F.coalesce("odds", F.lit(0.0)) + prior
+    scored = items.select("id").join(odds, "id", "left").withColumn("total", total)
+    return scored.select("id", (F.col("total") >= 0).alias("is_problem"), (1 / (1 + F.exp(-F.least(F.abs("total"), F.lit(700.0))))).alias("problem_confidence"))

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from cairnflow.functions.text import is_blank, words
 from cairnflow.functions.vectors import is_valid_vector
+from cairnflow.operators.skew import join_by_weight
 from cairnflow.schemas import EMBEDDING_SIZE
+from cairnflow.session import materialize
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 VECTOR_TYPE = T.ArrayType(T.FloatType())
@@ -70,3 +72,38 @@ def encode_by_hashing(items: DataFrame, size: int = EMBEDDING_SIZE) -> DataFrame
     return items.filter(F.col("is_problem") & ~is_blank(F.col("document_text"))).withColumns(
         {"embedding": hashed_vector(F.col("document_text"), size), "embedding_model": F.lit(hashing_model_name(size))}
     )
+
+
+# --- weighted words ---------------------------------------------------------------------------
+
+
+def document_weights(items: DataFrame) -> DataFrame:
+    """``(id, term, weight)``: count of each word of a document times its rarity ``ln((1 + n) / (1 + df)) + 1`` in all of them."""
+    terms = items.select("id", F.explode(words(F.col("document_text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    terms = materialize(terms, "document-terms")
+    n = items.count()
+    rarity = terms.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    # A word that all documents have is one key with a row per document.
+    joined = join_by_weight(terms, rarity, ["term"], "df", "id")
+    return joined.select("id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def encode_by_projection(items: DataFrame, size: int = EMBEDDING_SIZE, seed: int = 7) -> DataFrame:
+    """Problem items with the projection of their weighted words onto ``size`` unit coordinates; rarity is that of the problems.
+
+    The projection adds each word, with a sign, to one coordinate; both are drawn by ``seed`` and the word. The cosine of two
+    documents is kept with a standard error of about ``1 / sqrt(size)``. A document without words gets the first coordinate.
+    """
+    problems = items.filter(F.col("is_problem") & ~is_blank(F.col("document_text")))
+    drawn = F.xxhash64("term", F.lit(seed))
+    slot = F.pmod(F.shiftright(drawn, 1), F.lit(size)).cast("int")
+    sign = F.when(drawn % 2 == 0, 1.0).otherwise(-1.0)
+    weights = document_weights(problems).select("id", slot.alias("slot"), (sign * F.col("weight")).alias("value"))
+    summed = weights.groupBy("id", "slot").agg(F.sum("value").alias("value")).filter("value <> 0")
+    # At most ``size`` entries a document.
+    sparse = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("entries"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.coalesce(F.element_at("entries", i), F.lit(0.0)) / F.col("length")).cast("float"))
+    empty = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0).cast("float"))
+    vectors = sparse.select("id", dense.alias("embedding"))
+    encoded = problems.drop("embedding", "embedding_model").join(vectors, "id", "left")
+    return encoded.withColumns({"embedding": F.coalesce("embedding", empty), "embedding_model": F.lit(f"projected-words-{size}")})
