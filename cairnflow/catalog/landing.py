@@ -93,6 +93,25 @@ def reddit(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", value.alias("value"))
 
 
+def stackexchange(docs: DataFrame) -> DataFrame:
+    m = defect(17)
+    seconds = F.lit(1704067200) + F.col("doc_id")
+    value = record(
+        F.when(m == 0, member('"question_id":"7"')).otherwise(field("question_id", F.col("doc_id"))),
+        F.when(m == 1, member('"title":" "')).when(m == 2, member('"title":"Why &amp; how?"')).otherwise(field("title", F.col("title"))),
+        F.when(m != 3, field("link", F.concat(F.lit("https://example.test/"), F.col("doc_id")))),
+        F.when(m == 4, member('"creation_date":"today"')).otherwise(field("creation_date", seconds)),
+        F.when(m == 5, member('"body":null')).otherwise(field("body", F.col("text"))),
+        F.when(m == 6, member('"owner":{"user_type":"does_not_exist"}'))
+        .when(m == 7, member('"owner":{"display_name":" "}'))
+        .when(m != 8, F.concat(F.lit('"owner":{'), field("display_name", F.col("source")), F.lit("}"))),
+        F.when(m == 9, member('"score":1.5')).otherwise(field("score", F.col("n_chars"))),
+        member('"answer_count":2'),
+        member('"tags":["etl","automation"]'),
+    )
+    return docs.select("doc_id", F.concat(F.lit("site"), F.pmod("doc_id", F.lit(3))).alias("site"), value.alias("value"))
+
+
 def classifications(docs: DataFrame) -> DataFrame:
     """Classification lines; the good ones agree with the rule ``n_chars >= 400``."""
     m = defect(13)
@@ -132,6 +151,7 @@ def model_answers(docs: DataFrame) -> DataFrame:
         .when(m == 4, F.lit('{"is_problem":true,"confidence":2,"reason":"x"}'))
         .when(m == 5, F.lit('{"is_problem":true,"is_problem":false,"confidence":1,"reason":"x"}'))
         .when(m == 6, F.lit(""))
+        .when(m == 7, F.concat(F.lit(f'{fence}json\n{{"is_problem":true,"confidence":0.5,"reason":"uses {fence} marks"}}\n{fence}')))
         .otherwise(F.concat(F.lit("\n "), good, F.lit(" ")))
     )
     return docs.select("doc_id", answer.alias("output"))

@@ -223,6 +223,12 @@ CASE WHEN doc_id % 17 IN (8, 9) THEN '?' ELSE source END AS author,
 1704067200 + doc_id - CASE WHEN doc_id % 17 = 7 THEN 7200 ELSE 0 END AS published_epoch,
 CASE WHEN doc_id % 17 = 10 THEN -1 ELSE CAST(n_chars AS INTEGER) END AS engagement_score
 FROM docs WHERE doc_id % 17 NOT IN (0, 1, 2, 4, 5, 6) AND {NOT_BLANK_TITLE}"""
+STACK_TITLE = "CASE WHEN doc_id % 17 = 2 THEN 'Why & how?' ELSE title END"
+STACK = f"""SELECT 'site' || doc_id % 3 || '#' || doc_id AS external_id, 'stackexchange' AS source, {STACK_TITLE} AS title,
+md5(CASE WHEN doc_id % 17 = 5 THEN '' ELSE text END) AS body_md5, 'https://example.test/' || doc_id AS url,
+CASE WHEN doc_id % 17 IN (6, 7, 8) THEN '?' ELSE source END AS author, 1704067200 + doc_id AS published_epoch,
+CASE WHEN doc_id % 17 = 9 THEN -1 ELSE CAST(n_chars AS INTEGER) END AS engagement_score
+FROM docs WHERE doc_id % 17 NOT IN (0, 1, 3, 4) AND (doc_id % 17 = 2 OR {NOT_BLANK_TITLE})"""
 REDDIT_VALID = f"doc_id % 17 NOT IN (0, 1, 2, 5, 7, 9, 10) AND {NOT_BLANK_TITLE}"
 REDDIT = f"""SELECT CAST(doc_id AS VARCHAR) AS external_id, 'reddit' AS source, title, md5(text) AS body_md5,
 CASE WHEN doc_id % 17 = 4 THEN 'https://www.reddit.com/r/' || doc_id ELSE 'https://example.test/' || doc_id END AS url,
@@ -274,6 +280,29 @@ def oracle() -> dict[str, str]:
         "hackernews_feed_scan": sql(FEED_SCAN, "docs"),
         "hackernews_feed_first": sql(f"{FEED_SCAN} ORDER BY feed_order, position LIMIT 60", "docs"),
         "github_issues": sql(GITHUB, "docs"),
+        "stackexchange_questions": sql(STACK, "docs"),
+        "stackexchange_pages": sql(
+            f"""SELECT q.external_id FROM ({STACK}) q JOIN (
+            SELECT site, page FROM (SELECT site, page, row_number() OVER (PARTITION BY site ORDER BY page) AS nth FROM (
+            SELECT DISTINCT doc_id % 3 AS site, doc_id // 150 + 1 AS page FROM docs)) WHERE page = nth AND page <= 7) p
+            ON q.external_id LIKE 'site' || p.site || '#%' AND CAST(split_part(q.external_id, '#', 2) AS BIGINT) // 150 + 1 = p.page
+            WHERE p.site IN (0, 2)""", "docs"),
+        "conditional_pipeline": sql(
+            f"""SELECT external_id, CAST(n > 0 AS INTEGER) AS is_problem, CASE WHEN n > 2 THEN 0.9 WHEN n = 2 THEN 0.8 WHEN n = 1 THEN 0.6 ELSE 0.5 END
+            AS confidence, CAST(n > 0 AS INTEGER) AS has_vector FROM (SELECT external_id, {CUES} AS n FROM (
+            SELECT g.external_id, concat_ws(chr(10) || chr(10), nullif({clean('d.title')}, ''), nullif({clean("CASE WHEN d.doc_id % 17 = 3 THEN '' ELSE d.text END")}, '')) AS document_text
+            FROM ({GITHUB}) g JOIN docs d ON split_part(g.external_id, '#', 2) = CAST(d.doc_id AS VARCHAR)))""", "docs"),
+        "analysis_run": sql(
+            """SELECT run, count(*) FILTER (is_problem) AS available, count(*) FILTER (is_problem AND embedding IS NOT NULL) AS embedded,
+            1 AS balanced, 1 AS covered FROM items, (SELECT unnest([1, 2]) AS run) GROUP BY run""", "items"),
+        "latest_run_analytics": sql(
+            """SELECT 'opportunity' AS part, CAST(cluster_id AS VARCHAR) AS name, CAST(rank AS DOUBLE) AS value FROM ranked WHERE rank <= 10
+            UNION ALL SELECT 'month', strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S'), CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) FROM events GROUP BY ALL""", "ranked"),
+        "too_few_points": "SELECT vec_id AS id, -1 AS cluster_id FROM embeddings",
+        "exported_worklist": sql("SELECT source, external_id, sha256(document_text) AS digest FROM items WHERE is_problem IS NULL", "items"),
+        "resumed_results": sql(
+            """SELECT source, external_id, CAST(length(document_text) % 2 = 0 AS INTEGER) AS is_problem,
+            CASE WHEN id % 2 = 0 THEN 'first' ELSE 'second' END AS classifier_name FROM items WHERE is_problem IS NULL""", "items"),
         "github_paged_scan": sql(f"SELECT external_id FROM ({PAGED_SCAN})", "docs"),
         "github_paged_first": sql(f"SELECT external_id FROM ({PAGED_SCAN}) ORDER BY place, issue LIMIT 20", "docs"),
         "reddit_posts": sql(REDDIT, "docs"),
@@ -295,10 +324,10 @@ def oracle() -> dict[str, str]:
             """SELECT source, count(*) AS occurrences, CASE WHEN count(DISTINCT n_chars >= 400) = 1 AND count(DISTINCT n_chars % 2) = 1
             THEN 'identical' ELSE 'contradictory' END AS kind FROM docs GROUP BY source HAVING count(*) > 1""", "docs"),
         "model_outputs": sql(
-            f"""SELECT doc_id, CAST(NOT ({good_answer}) AS INTEGER) AS malformed,
-            CASE WHEN {good_answer} AND n_chars >= 400 THEN 1 ELSE 0 END AS is_problem,
-            CASE WHEN {good_answer} THEN CAST((doc_id * 37) % 101 AS DOUBLE) / 100 ELSE -1 END AS confidence,
-            CASE WHEN {good_answer} THEN 'length ' || n_chars ELSE '?' END AS reason FROM docs""", "docs"),
+            f"""SELECT doc_id, CAST(NOT ({good_answer} OR doc_id % 11 = 7) AS INTEGER) AS malformed,
+            CASE WHEN doc_id % 11 = 7 OR {good_answer} AND n_chars >= 400 THEN 1 ELSE 0 END AS is_problem,
+            CASE WHEN doc_id % 11 = 7 THEN 0.5 WHEN {good_answer} THEN CAST((doc_id * 37) % 101 AS DOUBLE) / 100 ELSE -1 END AS confidence,
+            CASE WHEN doc_id % 11 = 7 THEN 'uses ``` marks' WHEN {good_answer} THEN 'length ' || n_chars ELSE '?' END AS reason FROM docs""", "docs"),
         "work_items": sql(
             f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'wrong fields' WHEN doc_id % 5 = 1
             THEN 'source must be non-blank text' ELSE 'ok' END AS verdict FROM docs""", "docs"),
@@ -574,5 +603,7 @@ def oracle() -> dict[str, str]:
             WHERE event_type = 'error' GROUP BY 1""",
         "stream_weekly_problems": f"""SELECT {STAMP.format("date_trunc('week', ts)")} AS period_start, count(*) AS problem_count FROM events
             WHERE event_type = 'error' GROUP BY 1""",
+        "stream_monthly_problems": f"""SELECT {STAMP.format("date_trunc('month', ts)")} AS period_start, count(*) AS problem_count FROM events
+            WHERE event_type = 'error' GROUP BY 1""",
         "stream_insert_new": sql("SELECT source, external_id FROM items WHERE is_problem IS NULL", "items"),
     }

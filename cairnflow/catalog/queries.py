@@ -33,9 +33,10 @@ from cairnflow.operators import (
     topics,
     trends,
 )
-from cairnflow.plans import dashboard, store
+from cairnflow.plans import analysis, dashboard, ingest, store
+from cairnflow.schemas import SOURCE_ITEMS
 from cairnflow.session import prepare, shared_folder
-from cairnflow.sources import combined, github, hackernews, records, reddit, worklists
+from cairnflow.sources import combined, github, hackernews, records, reddit, stackexchange, worklists
 from cairnflow.streaming import ingest as stream_ingest
 from cairnflow.streaming import volume
 
@@ -123,6 +124,22 @@ def github_issues(spark, d):
     return _raw_summary(github.normalize(landing.github(landing.documents(spark, d))))
 
 
+@register
+def stackexchange_questions(spark, d):
+    return _raw_summary(stackexchange.normalize(landing.stackexchange(landing.documents(spark, d))))
+
+
+@register
+def stackexchange_pages(spark, d):
+    """Pages of fifty questions a site; every seventh page says that it is the last one."""
+    rows = landing.stackexchange(landing.documents(spark, d)).withColumn("page", (F.floor(F.col("doc_id") / 150) + 1).cast("int"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "value"))), lambda row: row["value"])
+    more = F.when(F.pmod("page", F.lit(7)) == 0, "false").otherwise("true")
+    answer = F.concat(F.lit('{"items":['), F.array_join(ordered, ","), F.lit('],"has_more":'), F.first(more), F.lit("}"))
+    pages = rows.groupBy("site", "page").agg(answer.alias("value"))
+    return stackexchange.scan_sites(pages, ["site2", " Site0"]).select("external_id")
+
+
 def _paged_scan(spark, d, limit=None):
     # Pages of 120 ids, a page counts as full from three issues on.
     pages = landing.github(landing.documents(spark, d)).select(
@@ -1087,6 +1104,80 @@ def cluster_documents(spark, d):
     return found.select("id", stamp(F.col("published_at")).alias("published_at"), "problem_confidence")
 
 
+# --- whole runs -------------------------------------------------------------------------------
+
+
+@register
+def conditional_pipeline(spark, d):
+    """Issues prepared, classified, embedded where they are problems, and upserted into an empty table."""
+    raw = github.normalize(landing.github(landing.documents(spark, d)))
+    empty = spark.createDataFrame([], SOURCE_ITEMS)
+    batch = ingest.ingest(empty, raw, classify.classify_lexically, lambda rows: encode.encode_by_hashing(rows, 64), 64)
+    return batch.table.select(
+        "external_id", flag(F.col("is_problem")).alias("is_problem"), F.col("problem_confidence").alias("confidence"), flag(F.col("embedding").isNotNull()).alias("has_vector")
+    )
+
+
+@register
+def analysis_run(spark, d):
+    """A first and a second run over the stored problems: what is summarised, and that trends cover every cluster."""
+    items = X.source_items(spark, d)
+    runs_of = store.RunStore(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    parameters = analysis.Parameters(X.MODEL, min_cluster_size=5)
+    first, second = analysis.analyse(items, runs_of, parameters), analysis.analyse(items, runs_of, parameters)
+    rows = []
+    for run in (first, second):
+        row = analysis.summary(items, runs_of, run).withColumn("run", F.lit(run))
+        clusters = runs_of.clusters(run).agg(F.count("*").alias("clusters"))
+        rows.append(row.crossJoin(F.broadcast(clusters)))
+    whole = rows[0].unionByName(rows[1])
+    # The second run sees the same items: nothing is new and everything stable.
+    return whole.select(
+        "run", "available", "embedded", flag(F.col("assigned") + F.col("noise") == F.col("embedded")).alias("balanced"),
+        flag(F.when(F.col("run") == 1, F.col("new_clusters")).otherwise(F.col("stable_clusters")) == F.col("clusters")).alias("covered"),
+    )
+
+
+@register
+def latest_run_analytics(spark, d):
+    """Everything the overview of the latest run shows, part by part, as numbers by name."""
+    parts = dashboard.analytics(snapshot(spark, d), "month")
+    top = parts["top_opportunities"].select(F.lit("opportunity").alias("part"), F.col("cluster_id").cast("string").alias("name"), F.col("rank").cast("double").alias("value"))
+    series = parts["time_series"].select(F.lit("month").alias("part"), stamp(F.col("period_start")).alias("name"), F.col("total_problems").cast("double").alias("value"))
+    return top.unionByName(series)
+
+
+@register
+def too_few_points(spark, d):
+    """Fewer points than a cluster needs: all noise."""
+    vectors = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return density.density_clusters(vectors, min_cluster_size=vectors.count() + 1)
+
+
+@register
+def exported_worklist(spark, d):
+    """The written export, read back line by line."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    written = worklists.export_unclassified(X.source_items(spark, d), path)
+    line = F.from_json("value", "source string, external_id string, document_text string").alias("line")
+    return written.select(line).select("line.source", "line.external_id", F.sha2("line.document_text", 256).alias("digest"))
+
+
+@register
+def resumed_results(spark, d):
+    """Half of the work list is classified, then a second call classifies what is missing."""
+    work, path = worklists.unclassified(X.source_items(spark, d)), f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+
+    def judge(name: str):
+        verdict = (F.length("document_text") % 2 == 0).alias("is_problem")
+        return lambda rows: rows.select(*KEY, verdict, F.lit(0.5).alias("confidence"), F.lit("by length").alias("reason"), F.lit(name).alias("classifier_name"))
+
+    half = work.filter(F.pmod(F.col("external_id").cast("long"), F.lit(2)) == 0)
+    worklists.append_results(spark, half, path, judge("first"))
+    done = worklists.append_results(spark, work, path, judge("second"))
+    return done.select(*KEY, flag(F.col("is_problem")).alias("is_problem"), "classifier_name")
+
+
 # --- streaming --------------------------------------------------------------------------------
 
 
@@ -1127,6 +1218,12 @@ def stream_weekly_problems(spark, d):
     return _stream_volume(spark, d, "week")
 
 
+@register
+def stream_monthly_problems(spark, d):
+    counted = volume.monthly(_drain(volume.problem_volume(_event_source(spark, d), "month"), "complete"))
+    return counted.select(stamp(F.col("period_start")).alias("period_start"), "problem_count")
+
+
 @register
 def stream_insert_new(spark, d):
     schema = X.table(spark, d, "documents").schema

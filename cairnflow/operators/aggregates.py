@@ -157,21 +157,22 @@ def insertion_statistics(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 def analysis_summary(items: DataFrame, members: DataFrame, trends: DataFrame) -> DataFrame:
     """Problems available, embedded, assigned to a cluster, left as noise, and clusters by status."""
-    assigned = members.agg(F.count("*")).scalar()
-    status = {
-        f"{s}_clusters": trends.agg(F.count_if(F.col("status") == s)).scalar() for s in TREND_STATUSES
-    }
+    # One row each, from one pass over either table.
+    assigned = members.agg(F.count("*").alias("assigned"))
+    by_status = trends.agg(*[F.count_if(F.col("status") == s).alias(f"{s}_clusters") for s in TREND_STATUSES])
     return (
         items.filter("is_problem")
         .agg(
             F.count("*").alias("available"),
             F.count_if(F.col("embedding").isNotNull()).alias("embedded"),
         )
+        .crossJoin(F.broadcast(assigned))
+        .crossJoin(F.broadcast(by_status))
         .select(
             "available",
             "embedded",
-            assigned.alias("assigned"),
-            (F.col("embedded") - assigned).alias("noise"),
-            *[column.alias(name) for name, column in status.items()],
+            "assigned",
+            (F.col("embedded") - F.col("assigned")).alias("noise"),
+            *by_status.columns,
         )
     )

@@ -136,15 +136,17 @@ def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
 def unfenced(answer: Column) -> Column:
     """What a model wrote, without the code fence around it, if there is one.
 
-    The text is cut at its fence marks. No mark: all of it counts. Two marks with nothing outside: the middle counts,
-    less the language name. Any other number or place of marks leaves nothing, which is not an object and so malformed.
+    Only marks at both ends make a fence; what stands between them counts, less the language name. Marks elsewhere belong
+    to the text, where they are either inside a string or make it no object and so malformed.
     """
-    cut = F.split(strip(F.coalesce(answer, F.lit(""))), "```")
-    bare = F.trim(F.get(cut, 0)) == ""
-    closed = (F.size(cut) == 3) & bare & (F.trim(F.get(cut, 2)) == "")
-    inner = strip(F.get(cut, 1))
-    inner = F.when(inner.startswith("json"), F.substr(inner, F.lit(5))).otherwise(inner)
-    return F.when(F.size(cut) == 1, F.get(cut, 0)).when(closed, strip(inner)).otherwise("")
+    text = strip(F.coalesce(answer, F.lit("")))
+    fenced = text.startswith("```") & text.endswith("```") & (F.length(text) >= 6)
+    inner = strip(F.substring(text, F.lit(4), F.length(text) - 6))
+    body = F.when(fenced, F.when(inner.startswith("json"), strip(F.substring(inner, F.lit(5), F.length(inner)))).otherwise(inner)).otherwise(text)
+    # A parser stops behind the first value; as the only entry of a list, nothing may follow it.
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, body).otherwise("")
 
 
 def parse_model_output(outputs: DataFrame, column: str = "output", *keep: str) -> DataFrame:

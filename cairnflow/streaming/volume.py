@@ -14,18 +14,15 @@ from cairnflow.sources.scopes import one_of
 def problem_volume(problems: DataFrame, granularity: str, timestamp: str = "ts", lateness: str = "7 days") -> DataFrame:
     """``(period_start, problem_count)`` with rows later than ``lateness`` dropped by the watermark (``LateRows`` counts them).
 
-    Days and Monday weeks are tumbling windows, whose state is evicted once the watermark passes.
-    Months have no fixed length, so they group by their first instant and keep one row of state each.
+    Days and Monday weeks are tumbling windows, whose state is evicted once the watermark passes. Months have no fixed length,
+    so their rows are counted by day, evicted the same way, and ``monthly`` adds the days up where the counts are read.
     """
     one_of(granularity, GRANULARITIES, "granularity")
     marked = problems.withWatermark(timestamp, lateness)
-    if granularity == "month":
-        return marked.groupBy(period_start(F.col(timestamp), "month").alias("period_start")).agg(
-            F.count("*").alias("problem_count")
-        )
     # The epoch was a Thursday: weeks shifted by four days start on Monday.
     window = {
         "day": F.window(timestamp, "1 day"),
+        "month": F.window(timestamp, "1 day"),
         "week": F.window(timestamp, "7 days", "7 days", "4 days"),
     }[granularity]
     return (
@@ -35,6 +32,11 @@ def problem_volume(problems: DataFrame, granularity: str, timestamp: str = "ts",
     )
 
 
+def monthly(counts: DataFrame) -> DataFrame:
+    """Daily counts as a stream has written them, added up by month."""
+    return counts.groupBy(period_start(F.col("period_start"), "month").alias("period_start")).agg(F.sum("problem_count").alias("problem_count"))
+
+
 class LateRows(StreamingQueryListener):
     """Counts the rows that came after the watermark had passed them, over all batches it listens to.
 

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cairnflow.sources import github, hackernews, records, reddit, scopes, worklists
+from cairnflow.sources import github, hackernews, records, reddit, scopes, stackexchange, worklists
 
 
 def story(i, **changes):
@@ -129,7 +129,37 @@ def test_scopes_as_columns(spark):
 
 def test_fences(spark):
     good = '{"is_problem": true, "confidence": 0.5, "reason": "r"}'
-    texts = [good, f"```json\n{good}\n```", f"``` {good} ```", f"text ```{good}```", f"```{good}", f"```{good}```x", "", None, f"```{good}``````"]
+    texts = [good, f"```json\n{good}\n```", f"``` {good} ```", f"text ```{good}```", f"```{good}", f"```{good}```x", "", None, f"```{good}``````", good.replace('"r"', '"uses ``` marks"'), "```json\n" + good.replace('"r"', '"uses ``` marks"') + "\n```", good + good, f"[{good}]"]
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, output string")
     rows = sorted(records.parse_model_output(df, "output", "n").collect(), key=lambda r: r.n)
-    assert [r.malformed for r in rows] == [False, False, False] + [True] * 6
+    assert [r.malformed for r in rows] == [False, False, False] + [True] * 6 + [False, False, True, True]
+    assert [r.reason for r in rows][9:11] == ["uses ``` marks"] * 2
+
+
+def test_stack_exchange_pages(spark, tmp_path):
+    def question(n, **change):
+        row = {"question_id": n, "title": f"How to &quot;x&quot; {n}?", "link": f"https://q/{n}", "creation_date": 1704067200 + n, "body": "<p>b</p>", "owner": {"display_name": "J&#246;rg"}, "score": n, "tags": ["etl"]}
+        return {k: v for k, v in (row | change).items() if v is not ...}
+
+    def land(site, page, items, more):
+        folder = tmp_path / site
+        folder.mkdir(exist_ok=True)
+        (folder / f"page-{page}.json").write_text(json.dumps({"items": items, "has_more": more}))
+
+    bad = [question(4, question_id="4"), question(5, title=" "), question(6, link=None), question(7, creation_date=1.5), question(8, creation_date=...), 3, None]
+    land("a", 1, [question(1), question(2, owner={"user_type": "does_not_exist"}, score=None, body=None), *bad], True)
+    land("a", 2, [question(1, title="again"), question(3)], False)
+    land("a", 3, [question(9)], True)
+    land("b", 1, [question(1, owner=...)], True)
+    land("b", 3, [question(2)], True)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "page-1.json").write_text("not json")
+    rows = {r.external_id: r for r in stackexchange.read(spark, str(tmp_path), [" B", "a", "c"]).collect()}
+    assert set(rows) == {"a#1", "a#2", "a#3", "b#1"}
+    one, two = rows["a#1"], rows["a#2"]
+    assert (one.title, one.author, one.url, one.engagement_score, one.body) == ('How to "x" 1?', "Jörg", "https://q/1", 1, "<p>b</p>")
+    assert one.published_at.timestamp() == 1704067201 and json.loads(one.raw_payload)["tags"] == ["etl"]
+    assert (two.author, two.engagement_score, two.body, rows["b#1"].author) == (None, None, "", None)
+    assert [r.external_id for r in stackexchange.read(spark, str(tmp_path), ["b", "a"], 2).collect()] == ["b#1", "a#1"]
+    with pytest.raises(ValueError):
+        stackexchange.read(spark, str(tmp_path), ["a", "A "])
