@@ -581,7 +581,12 @@ def oracle() -> dict[str, str]:
             """SELECT count(*) AS documents,
             round(CAST(count(*) FILTER (is_problem AND embedding IS NOT NULL) AS DOUBLE) / count(*) FILTER (is_problem), 6) AS embedding_coverage,
             round(CAST(count(*) FILTER (trim(url) <> '') AS DOUBLE) / count(*), 6) AS link_coverage,
-            (SELECT count(DISTINCT cluster_id) FROM cur) AS clusters FROM items""", "items", "cur"),
+            (SELECT count(DISTINCT cluster_id) FROM cur) AS clusters,
+            (SELECT round(CAST(count(DISTINCT c.cluster_id) FILTER (s.name IS NOT NULL) AS DOUBLE) / count(DISTINCT c.cluster_id), 6)
+            FROM cur c LEFT JOIN solutions s ON s.cluster_id = c.cluster_id) AS market_coverage FROM items""", "items", "cur", "solutions"),
+        "clusters_by_coverage": sql(
+            """SELECT cluster_id, document_count, document_count AS matching FROM clusters c
+            WHERE (SELECT count(*) FROM solutions s WHERE s.cluster_id = c.cluster_id) < 5""", "clusters", "solutions"),
         "dashboard_summary": sql(
             f"""SELECT (SELECT CAST(sum(problem_count) AS BIGINT) FROM breakdown) AS total_problems, (SELECT count(*) FROM clusters) AS total_clusters,
             count(*) FILTER (status = 'new') AS new_clusters, count(*) FILTER (status = 'rising') AS rising_clusters,

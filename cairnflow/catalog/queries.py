@@ -1047,11 +1047,21 @@ def filtered_clusters(spark, d):
     return found.select("cluster_id", "document_count", "matching")
 
 
+@register
+def clusters_by_coverage(spark, d):
+    items = X.source_items(spark, d)
+    members = X.current_members(items)
+    found = evidence.filtered_clusters(
+        _clusters(members), members, items, coverage=["non_presidiato", "parzialmente_coperto"], solutions=X.solutions(spark, d)
+    )
+    return found.select("cluster_id", "document_count", "matching")
+
+
 @register
 def success_metrics(spark, d):
     items = X.source_items(spark, d)
-    found = evidence.success_metrics(items, X.current_members(items))
-    return found.select("documents", r6("embedding_coverage"), r6("link_coverage"), "clusters")
+    found = evidence.success_metrics(items, X.current_members(items), X.solutions(spark, d))
+    return found.select("documents", r6("embedding_coverage"), r6("link_coverage"), "clusters", r6("market_coverage"))
 
 
 @register

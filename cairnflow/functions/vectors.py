@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def as_double(vector: Column) -> Column:
@@ -33,8 +36,23 @@ def cosine_distance(left: Column, right: Column) -> Column:
     return 1.0 - cosine_similarity(left, right)
 
 
-def literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(value)) for value in values])
+def distance_to(vector: Column, target: list[float]) -> Column:
+    """Cosine distance to one fixed vector, a matrix product per Arrow batch; NULL for the zero vector or another length."""
+    fixed = np.asarray(target, dtype=float)
+    length = float(np.sqrt(fixed @ fixed))
+
+    @F.pandas_udf(DoubleType())
+    def distance(vectors: pd.Series) -> pd.Series:
+        fits = np.array([v is not None and len(v) == len(fixed) for v in vectors], dtype=bool)
+        found = np.full(len(vectors), np.nan)
+        if fits.any() and length:
+            rows = np.vstack(vectors[fits].to_numpy()).astype(float)
+            lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found[fits] = np.where(lengths > 0, 1.0 - rows @ fixed / (lengths * length), np.nan)
+        return pd.Series(np.round(found, 12)).astype(object).where(~np.isnan(found), None)
+
+    return distance(vector)
 
 
 def is_valid_vector(vector: Column, size: int) -> Column:

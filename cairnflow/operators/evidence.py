@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions.checks import row_limit
 from cairnflow.functions.vectors import cosine_similarity
+from cairnflow.operators.coverage import market_coverage
+from cairnflow.schemas import COVERAGE_PARTIAL, COVERAGE_SATURATED, COVERAGE_UNCOVERED
+from cairnflow.sources.scopes import one_of
+
+COVERAGES = (COVERAGE_UNCOVERED, COVERAGE_PARTIAL, COVERAGE_SATURATED)
 
 
 def canonical_url(url: Column) -> Column:
@@ -73,10 +78,13 @@ def filtered_clusters(
     since: Column | None = None,
     until: Column | None = None,
     min_size: int | None = None,
+    coverage: Sequence[str] | None = None,
+    solutions: DataFrame | None = None,
 ) -> DataFrame:
     """Clusters with ``matching``, their documents of these sources published in [since, until).
 
-    Clusters without such a document are left out, and clusters smaller than ``min_size`` documents in all.
+    Clusters without such a document are left out, clusters smaller than ``min_size`` documents in all, and those whose
+    market coverage by ``solutions`` (cluster_id, ...) is not among ``coverage``.
     """
     wanted = items
     if sources is not None:
@@ -87,14 +95,27 @@ def filtered_clusters(
         wanted = wanted.filter(F.col("published_at") < until)
     counts = members.join(wanted.select(F.col("id").alias("item_id")), "item_id").groupBy("cluster_id").agg(F.count("*").alias("matching"))
     found = clusters.join(counts, "cluster_id")
+    if coverage is not None:
+        if solutions is None:
+            raise ValueError("a coverage filter needs the solutions")
+        kept = [one_of(status, COVERAGES, "coverage") for status in coverage]
+        covered = market_coverage(clusters, solutions).filter(F.col("coverage").isin(*kept)).select("cluster_id")
+        found = found.join(covered, "cluster_id", "left_semi")
     return found if min_size is None else found.filter(F.col("document_count") >= row_limit(min_size, "min_size"))
 
 
-def success_metrics(items: DataFrame, members: DataFrame) -> DataFrame:
-    """One row: documents, the share of problems with a vector, of documents with a link, and the clusters."""
-    clusters = members.agg(F.count_distinct("cluster_id"))
-    return items.agg(
+def success_metrics(items: DataFrame, members: DataFrame, solutions: DataFrame | None = None) -> DataFrame:
+    """One row: documents, the share of problems with a vector, of documents with a link, the clusters, and with
+    ``solutions`` the share of clusters that have a known one."""
+    named = members.select("cluster_id").distinct()
+    row = items.agg(
         F.count("*").alias("documents"),
         F.try_divide(F.count_if(F.col("is_problem") & F.col("embedding").isNotNull()), F.count_if("is_problem")).alias("embedding_coverage"),
         F.try_divide(F.count_if(F.trim("url") != ""), F.count("*")).alias("link_coverage"),
-    ).withColumn("clusters", clusters.scalar())
+    )
+    if solutions is None:
+        return row.crossJoin(F.broadcast(named.agg(F.count("*").alias("clusters"))))
+    covered = market_coverage(named, solutions).agg(
+        F.count("*").alias("clusters"), F.try_divide(F.count_if(F.col("solution_count") > 0), F.count("*")).alias("market_coverage")
+    )
+    return row.crossJoin(F.broadcast(covered))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.functions.vectors import cosine_distance, literal
+from cairnflow.functions.vectors import distance_to
 from cairnflow.schemas import RUN_METADATA, TREND_STATUSES
 from cairnflow.sources.scopes import one_of, positive_limit
 
@@ -107,14 +107,11 @@ def last_periods(series: DataFrame, limit: int) -> DataFrame:
 def nearest(items: DataFrame, vector: list[float], limit: int, model: str) -> DataFrame:
     """The closest problems of a model to one vector by cosine distance; ties go by id.
 
-    A scan with a bounded heap per task: the vector column is read once and nothing is shuffled
-    but ``limit`` rows per task.
+    A scan with one matrix product per Arrow batch and a bounded heap per task: only ids and vectors travel to Python, and
+    nothing is shuffled but ``limit`` rows per task. The other columns of the answers are fetched by id afterwards.
     """
     space = items.filter(
         F.col("is_problem") & F.col("embedding").isNotNull() & (F.col("embedding_model") == model)
     )
-    return (
-        space.withColumn("distance", cosine_distance(F.col("embedding"), literal(vector)))
-        .orderBy("distance", "id")
-        .limit(positive_limit(limit))
-    )
+    near = space.select("id", distance_to(F.col("embedding"), vector).alias("distance")).orderBy("distance", "id").limit(positive_limit(limit))
+    return space.join(F.broadcast(near), "id").orderBy("distance", "id")
