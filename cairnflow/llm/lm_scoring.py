@@ -299,26 +299,41 @@ def dealt(docs: DataFrame, table: WordTable | None, groups: int, hot: pd.DataFra
     return map_batches(numbered, kernel, "p int, rid long, key binary, row binary, ids array<long>, n array<long>, t array<double>, b array<double>")
 
 
+FOUND = "slice long, at binary, t binary, b binary, ids array<long>, n array<long>, own_t array<double>, own_b array<double>"
+
+
 def look_up(sent: pa.Table, values: pa.Table) -> pa.Table:
-    """rid, doc_id, n_tokens, t, b: the rows of the slices that report here, and sums over the keys of one group."""
+    """For each slice the places of its rows with their sums over the keys of one group, packed; and what slices report here."""
     keys = values.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
     size = [len(x) // 8 if x is not None else 0 for x in sent.column("key").to_pylist()]
     key, row = joined(sent, "key", np.uint64), joined(sent, "row", np.int32)
-    rid = np.repeat(sent.column("rid").to_numpy(), size) + (row >> 1)
+    rids = sent.column("rid").to_numpy()
+    nth = np.repeat(np.arange(len(size)), size)
     at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
     hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
     at, second = order[at[hit]] if len(keys) else hit, row[hit] & 1 == 1
-    rows, back = np.unique(rid[hit], return_inverse=True)
+    places, back = np.unique((nth[hit] << 32) + (row[hit] >> 1), return_inverse=True)
     value = [values.column(v).to_numpy().astype(np.float64) for v in VALUES]
-    sums = [np.bincount(back, np.where(second, value[b][at], value[a][at]), len(rows)) for a, b in ((0, 2), (1, 3))]
-    parts = [(rows, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *sums)]
-    for r in sent.filter(sent.column("ids").is_valid()).select(["rid", "ids", "n", "t", "b"]).to_pylist():
-        parts.append((r["rid"] + np.arange(len(r["ids"])), r["ids"], r["n"], r["t"], r["b"]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    columns = [pa.chunked_array([pa.array(p[i], kinds[i]) for p in parts], kinds[i]) for i in range(5)]
-    return pa.table(dict(zip(("rid", "doc_id", "n_tokens", "t", "b"), columns)))
+    sums = [np.bincount(back, np.where(second, value[b][at], value[a][at]), len(places)) for a, b in ((0, 2), (1, 3))]
+    some, packed = blobs(places >> 32, len(size), at=(places & 0xFFFFFFFF).astype(np.int32), t=sums[0], b=sums[1])
+    lists = {"ids": pa.int64(), "n": pa.int64(), "own_t": pa.float64(), "own_b": pa.float64()}
+    parts = {"slice": pa.array(rids[some]), **packed, **{k: pa.nulls(len(some), pa.list_(t)) for k, t in lists.items()}}
+    own = sent.filter(sent.column("ids").is_valid())
+    none = pa.nulls(own.num_rows, pa.binary())
+    reports = {"slice": own.column("rid"), "at": none, "t": none, "b": none, **{k: own.column(c).cast(pa.list_(lists[k])) for k, c in zip(lists, ("ids", "n", "t", "b"))}}
+    return pa.concat_tables([pa.table(parts), pa.table(reports)])
+
+
+def add_up(found: pa.Table) -> pa.Table:
+    """doc_id, n_tokens, t, b of the rows of one slice."""
+    own = found.filter(found.column("ids").is_valid()).to_pylist()[0]
+    sums = [np.array(own["own_t"], np.float64), np.array(own["own_b"], np.float64)]
+    at = joined(found, "at", np.int32)
+    for total, name in zip(sums, "tb"):
+        np.add.at(total, at, joined(found, name, np.float64))
+    return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "n_tokens": pa.array(own["n"], pa.int64()), "t": sums[0], "b": sums[1]})
 
 
 @contextmanager
@@ -363,8 +378,8 @@ def scores(docs: DataFrame, target: DataFrame, size: int | None) -> DataFrame:
     hot = hot.toPandas()  # at most 3 times HOT_SHARE rows, and the start of a text
     stage.release(cells, words)
     sent = dealt(rows, table, groups, hot, unseen)
-    found = sent.groupBy("p").cogroup(cold.groupBy("p")).applyInArrow(look_up, "rid long, doc_id long, n_tokens long, t double, b double")
-    sums = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    found = sent.groupBy("p").cogroup(cold.groupBy("p")).applyInArrow(look_up, FOUND)
+    sums = found.groupBy("slice").applyInArrow(add_up, "doc_id long, n_tokens long, t double, b double")
     means = sums.select("doc_id", "n_tokens", *[(F.col(x) / F.greatest("n_tokens", F.lit(1))).alias(y) for x, y in (("t", "loss_target"), ("b", "loss_background"))])
     return stage.result(means.withColumn("score", F.col("loss_background") - F.col("loss_target")), "scores")
 
