@@ -1092,18 +1092,14 @@ def dashboard_trends(spark, d):
 
 @register
 def text_search(spark, d):
-    """A question encoded like the documents, against every problem."""
+    """Every text of the test set as a question, encoded like the documents, against every problem."""
     size = X.VECTOR_SIZE
     encoded = encode.encode_by_hashing(X.source_items(spark, d), size)
-    view = dashboard.Snapshot(encoded, None, None, None, None, None)
-    question = X.table(spark, d, "benchmark").orderBy("item_id").select("text").head()["text"]
-
-    def encode_text(text: str) -> list[float]:
-        row = spark.range(1).select(encode.hashed_vector(F.lit(text), size).alias("v")).head()
-        return [float(x) for x in row["v"]]
-
-    found = dashboard.search_text(view, question, encode_text, encode.hashing_model_name(size), 10)
-    return found.select("id", "title", r6("distance"))
+    asked = X.table(spark, d, "benchmark").select(F.xxhash64("item_id", "text").alias("query_id"), "item_id", "text").distinct()
+    questions = asked.select("query_id", encode.hashed_vector(F.col("text"), size).alias("vector"))
+    found = search.search_many(questions, encoded, 10, encode.hashing_model_name(size))
+    named = found.withColumnRenamed("item_id", "id").join(asked.select("query_id", "item_id"), "query_id")
+    return named.select("item_id", "id", "position", r6("distance"))
 
 
 @register
