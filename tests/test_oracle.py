@@ -8,7 +8,6 @@ from check_oracle import compare, connect
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW = {"density_clustering"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, connection, name):
     assert compare(spark, connection, SF_DIR, name) == ""
 
