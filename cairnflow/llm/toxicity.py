@@ -1,7 +1,8 @@
 """Toxicity classifier: a factorization machine over hashed terms.
 
 Terms are the words of a text and their beginnings (which stand for inflected forms), hashed into ``BUCKETS`` buckets.
-The ``TERMS`` buckets that tell the labels apart best become inputs. The machine adds to the linear weights a pairwise
+Every bucket of at least ``LEAST_TEXTS`` learning texts that tells the labels apart by more than chance becomes an input,
+so what is learned grows with the labelled rows up to the size of the hash space. The machine adds to the linear weights a pairwise
 weight for every two terms, the product of their factors, so a word can matter only in the company of another.
 
 Learning reads at most ``LABEL_ROWS`` labelled rows; everything is scored.
@@ -26,7 +27,6 @@ from cairnflow.llm.text import BYTE_CODES, LOWER, NORMAL_BYTE, RangeHash, Words,
 LABEL_ROWS = 20_000
 MODULUS, HELD_OUT = 5, 0
 BUCKETS = 1 << 18
-TERMS = 1024
 LEAST_TEXTS = 4
 # Standard errors between the shares of toxic and clean texts that have a term, below which it counts as noise.
 LEAST_APART = 3.0
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Machine
     )
     pooled = (F.col("t") + F.col("c")) / (toxic + clean)
     apart = (F.col("t") / toxic - F.col("c") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean) + 1e-12)
-    best = counts.where((F.col("t") + F.col("c") >= LEAST_TEXTS) & (F.abs(apart) >= LEAST_APART)).orderBy(F.abs(apart).desc(), "bucket").limit(TERMS).select("bucket").collect()
+    best = counts.where((F.col("t") + F.col("c") >= LEAST_TEXTS) & (F.abs(apart) >= LEAST_APART)).orderBy("bucket").select("bucket").collect()  # at most BUCKETS rows
     for nth, r in enumerate(best):
         chosen[r.bucket] = nth
 
