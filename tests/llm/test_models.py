@@ -119,6 +119,73 @@ def test_toxic_terms_and_their_company(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values())
 
 
+def test_machine_equals_a_sum_over_pairs_and_its_loss_falls():
+    rng = np.random.default_rng(3)
+    texts = [sorted(rng.choice(12, rng.integers(0, 9), replace=False)) for _ in range(200)]
+    label = np.array([float({2, 5} <= set(t) or 9 in t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    term = np.concatenate(texts).astype(np.int64)
+    losses = []
+    for epochs in (0, 5, 200):
+        machine = toxicity.fit_machine(np.arange(12), 12, row, term, label, epochs)
+        plain = []
+        for t in texts:
+            value = machine.bias + sum(machine.weights[a] for a in t)
+            value += sum(float(machine.factors[a] @ machine.factors[b]) for n, a in enumerate(t) for b in t[n + 1 :])
+            plain.append(value)
+        assert np.allclose(machine.raw(row, term, len(texts)), plain)
+        losses.append(np.mean(np.logaddexp(0, np.where(label == 1, -1, 1) * np.array(plain))))
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
+
+
+def test_terms_equal_a_plain_cut_of_words():
+    """Every word and its beginnings of 3 to 6 bytes, each bucket once a text, whatever the batch around it."""
+    rnd = random.Random(5)
+    rows = [words(rnd, "abCD", rnd.randint(0, 8)) for _ in range(30)]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t) for t in rows)])
+    row, bucket = toxicity.terms(data, bounds)
+    for i, text in enumerate(rows):
+        parts = {(w, 0) for w in text.lower().split()} | {(w[:n], n) for w in text.lower().split() for n in (3, 4, 5, 6) if len(w) >= n}
+        alone = toxicity.terms(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[1]
+        assert sorted(bucket[row == i]) == sorted(alone) and len(alone) <= len(parts)
+        assert len(alone) >= len(parts) - 1, "two terms of so few should hardly ever share a bucket"
+
+
+def test_terms_beyond_a_thousand_are_learned(spark):
+    """1,500 insults, each too rare to matter alone in a list of the 1,024 strongest."""
+    rnd = random.Random(11)
+    insults = ["q" + "".join(rnd.choice("uvwxyz") for _ in range(9)) for _ in range(1500)]
+    texts = [" ".join([*(rnd.choice(insults) for _ in range(12)), words(rnd, "abcdefgh", 5)]) if i % 2 else words(rnd, "abcdefgh", 15) for i in range(3000)]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    marks = labels(spark, [(i, 1, i % 2) for i in range(3000)])
+    machine = toxicity.learn(docs, marks)
+    assert len(machine.weights) > 1024
+    found = toxicity.inspect(docs, marks).where("held_out").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in found) >= 0.98 * len(found)
+
+
+def test_ranker_equals_plain_gradient_descent():
+    rng = np.random.default_rng(9)
+    label = rng.integers(0, 2, 120)
+    rows = rng.normal(size=(120, 3)) + label[:, None] * np.array([0.8, -0.5, 0.0])
+    ranker = quality_ranking.fit_ranker(rows, label, pairs=500, seed=4)
+    x = (rows - rows.mean(0)) / rows.std(0)
+    draw = np.random.default_rng(4)
+    gap = x[draw.choice(np.flatnonzero(label == 1), 500)] - x[draw.choice(np.flatnonzero(label == 0), 500)]
+    weights = np.zeros(3)
+    for _ in range(3000):
+        slope = quality_ranking.RIDGE * weights - (gap / (1 + np.exp(gap @ weights))[:, None]).mean(0)
+        weights = weights - 0.5 * slope
+    assert np.allclose(ranker.weights, weights, atol=1e-4)
+    raw = x @ weights
+    cuts = sorted(np.quantile(raw, k / quality_ranking.QUANTILES) for k in range(1, quality_ranking.QUANTILES))
+    gains = [np.mean(raw[label == 1] >= c) - np.mean(raw[label == 0] >= c) for c in cuts]
+    best = [c for c, g in zip(cuts, gains) if g >= max(gains) - 1e-12]
+    assert abs(ranker.threshold - np.mean(best)) < 1e-2
+    assert ((ranker.scores(rows) >= quality_ranking.CUT) == (ranker.raw(rows) >= ranker.threshold)).mean() > 0.99
+
+
 @pytest.mark.parametrize("module", [quality_ranking, toxicity])
 def test_classifiers_without_labels_or_rows(spark, module):
     none = spark.createDataFrame([], NONE)
