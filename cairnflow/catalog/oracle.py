@@ -485,6 +485,18 @@ def oracle() -> dict[str, str]:
             CASE WHEN id % 6 = 0 THEN 0 WHEN id % 6 = 3 THEN 1 ELSE coalesce(CAST(is_problem AS INTEGER), -1) END AS is_problem,
             CAST(embedding IS NOT NULL AND id % 6 <> 0 AS INTEGER) AS has_vector FROM items WHERE is_problem IS NOT NULL OR id % 3 = 0""", "items"),
         "insert_new": sql("SELECT source, external_id FROM items WHERE is_problem IS NULL", "items"),
+        "id_clash_ranks": sql(
+            """
+            SELECT source, external_id, nth FROM (
+                SELECT source, external_id, is_problem, row_number() OVER (
+                    PARTITION BY substr(md5(source || ':' || external_id), 1, 3)
+                    ORDER BY is_problem IS NULL, source, external_id
+                ) - 1 AS nth
+                FROM items
+            ) WHERE is_problem IS NULL AND nth > 0
+            """,
+            "items",
+        ),
         "apply_classifications": sql(
             f"""SELECT external_id, CASE WHEN is_problem IS NOT NULL THEN CAST(is_problem AS INTEGER) WHEN {good_line.replace('doc_id', 'id')}
             THEN CAST(engagement_score >= 400 AS INTEGER) ELSE -1 END AS is_problem FROM items""", "items"),

@@ -782,6 +782,14 @@ def insert_new(spark, d):
     return I.insert_new(items.filter(F.col("is_problem").isNotNull()), twice).select(*KEY)
 
 
+@register
+def id_clash_ranks(spark, d):
+    """Keys that cannot have the id of their hash, for a hash of three digits that many keys share."""
+    items = X.source_items(spark, d)
+    short = F.substring(F.md5(F.concat_ws(":", *KEY)), 1, 3)
+    return I.clash_ranks(items, items.filter(F.col("is_problem").isNotNull()), short)
+
+
 def _accepted(spark, d) -> DataFrame:
     return records.split(_classification_rows(spark, d))[0].drop("doc_id")
 

@@ -7,7 +7,7 @@ a batch are folded by an aggregate that combines before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions import text as X
@@ -20,6 +20,38 @@ VECTOR = ["embedding", "embedding_model"]
 PREPARED = ["clean_title", "clean_body", "document_text", "dedup_hash"]
 
 
+def key_hash() -> Column:
+    """The id of a key, unless another key has the same one (``moved_ids``)."""
+    return F.xxhash64(*KEY)
+
+
+def clash_ranks(arriving: DataFrame, stored: DataFrame, hashed: Column | None = None) -> DataFrame:
+    """(key, nth) of the arriving keys that are not the first ones of their hash.
+
+    Stored keys come first, then the order of the keys decides. The ranking sees only keys that share a hash with another
+    key: next to none of 64 bits.
+    """
+    hashed = key_hash() if hashed is None else hashed
+    new = arriving.select(*KEY, hashed.alias("hash"), F.lit(1).alias("age"))
+    old = stored.select(*KEY, hashed.alias("hash"), F.lit(0).alias("age"))
+    keys = old.join(new.select("hash").distinct(), "hash", "left_semi").unionByName(new)
+    ends = keys.groupBy("hash").agg(F.min(F.struct(*KEY)).alias("low"), F.max(F.struct(*KEY)).alias("high"))
+    members = keys.join(ends.filter("low <> high"), "hash", "left_semi").groupBy("hash", *KEY).agg(F.min("age").alias("age"))
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("age", *KEY)) - 1
+    return members.withColumn("nth", nth).filter((F.col("age") == 1) & (F.col("nth") > 0)).select(*KEY, "nth")
+
+
+def moved_ids(arriving: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, moved): the ids of arriving keys whose hash belongs to another key. They hash their rank as well."""
+    return clash_ranks(arriving, stored, key_hash()).select(*KEY, F.xxhash64(*KEY, "nth").alias("moved"))
+
+
+def settle_ids(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """``rows`` with the ids of ``moved`` for the keys that it names."""
+    given = rows.join(moved, KEY, "left").withColumn("id", F.coalesce("moved", "id"))
+    return given.select(*rows.columns)
+
+
 def prepare(raw: DataFrame, entities: str = "exact") -> DataFrame:
     """Add the cleaned title and body, their document text and its hash."""
     cleaned = raw.withColumns(
@@ -89,7 +121,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, now: Column | None = None)
 
     def pick(name: str) -> Column:
         if name == "id":
-            return F.coalesce("old.id", F.xxhash64(*KEY))
+            return F.coalesce("old.id", key_hash())
         if name in KEY:
             return F.col(name)
         if name in VERDICT:
@@ -140,7 +172,7 @@ def insert_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     columns = [c for c in rows.columns if c not in KEY and c != "batch_order"]
     first = rows.groupBy(*KEY).agg(F.min_by(F.struct(*columns), "batch_order").alias("post"))
     fresh = first.join(existing.select(*KEY), KEY, "left_anti")
-    return fresh.select(F.xxhash64(*KEY).alias("id"), *KEY, "post.*")
+    return fresh.select(key_hash().alias("id"), *KEY, "post.*")
 
 
 def import_outcomes(items: DataFrame, classifications: DataFrame, overwrite: bool = False) -> DataFrame:

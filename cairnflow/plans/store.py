@@ -5,6 +5,9 @@ keys fall into; the files of all other buckets are neither read nor written. Eve
 it needs no more than those buckets. What is written is staged first, so no job overwrites what it reads, and a batch that
 failed half way can be applied again: the outcome is the same.
 
+Keys whose 64-bit hashes are equal share a bucket, so the buckets that a batch touches hold every such case; the later key
+gets another id.
+
 A run becomes visible when its header row is written, which comes last; a failed attempt leaves nothing that readers see.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 from cairnflow.operators import quality
 from cairnflow.operators.filters import compatible_runs
-from cairnflow.operators.items import KEY, insert_new, upsert
+from cairnflow.operators.items import KEY, insert_new, key_hash, moved_ids, settle_ids, upsert
 from cairnflow.operators.runs import latest_compatible_run
 from cairnflow.schemas import CLUSTER_ITEMS, CLUSTER_RUNS, CLUSTER_TRENDS, CLUSTERS, RUN_METADATA, SOURCE_ITEMS
 from cairnflow.session import materialize, read_or_empty
@@ -30,7 +33,7 @@ PLACE = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("
 
 
 def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    return F.pmod(key_hash(), F.lit(buckets)).cast("int")
 
 
 def read_items(spark: SparkSession, path: str, schema: T.StructType = SOURCE_ITEMS) -> DataFrame:
@@ -49,6 +52,12 @@ def _touched(batch: DataFrame, path: str, schema: T.StructType, buckets: int) ->
     return keyed.drop("bucket"), placed.filter(F.col("bucket").isin(numbers)).drop("buckets", "bucket")
 
 
+def _settled(rows: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows`` without ids that two keys share. The check reads keys alone, and hardly ever finds one."""
+    moved = moved_ids(batch, stored)
+    return rows if moved.isEmpty() else settle_ids(rows, moved)
+
+
 def _write(rows: DataFrame, path: str, buckets: int, mode: str) -> None:
     placed = rows.withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(buckets)}).repartition("bucket")
     placed.write.partitionBy("buckets", "bucket").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -59,14 +68,14 @@ def apply_batch(
 ) -> None:
     """Replace the buckets that ``batch`` touches by ``change(stored rows, batch)``: upsert, verdicts or vectors."""
     rows, stored = _touched(batch, path, schema, buckets)
-    after = change(stored, rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    after = _settled(change(stored, rows), rows, stored).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     _write(materialize(after, "changed"), path, buckets, "overwrite")
 
 
 def append_new(path: str, batch: DataFrame, buckets: int = BUCKETS, schema: T.StructType = SOURCE_ITEMS) -> None:
     """Add the rows whose keys the table lacks, as new files; nothing stored is rewritten."""
     rows, stored = _touched(batch, path, schema, buckets)
-    fresh = insert_new(stored, rows)
+    fresh = _settled(insert_new(stored, rows), rows, stored)
     typed = [(F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
     _write(materialize(fresh.select(*typed), "fresh"), path, buckets, "append")
 

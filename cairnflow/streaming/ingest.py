@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cairnflow.operators.items import insert_new
+from cairnflow.operators.items import insert_new, moved_ids, settle_ids
 from cairnflow.session import is_there
 
 KEY = ["source", "external_id"]
@@ -44,7 +44,10 @@ def ingest_new(
         seen = fresh.select(*KEY).limit(0) if known is None else known().select(*KEY)
         if is_there(lambda: spark.read.parquet(table)):
             seen = seen.unionByName(spark.read.parquet(table).filter(F.col("batch_id") != batch_id).select(*KEY))
-        insert_new(seen, fresh).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        rows, moved = insert_new(seen, fresh), moved_ids(fresh, seen)
+        if not moved.isEmpty():
+            rows = settle_ids(rows, moved)
+        rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         distinct_arrivals(raw, arrived, horizon)

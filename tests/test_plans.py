@@ -136,6 +136,24 @@ def test_a_batch_leaves_the_files_of_other_buckets_alone(spark, tmp_path):
     assert store.read_items(spark, f"{tmp_path}/nowhere").isEmpty()
 
 
+def test_keys_of_one_hash_get_ids_of_their_own(spark, tmp_path, monkeypatch):
+    """A hash of eight values, so that nearly all keys clash: in one batch, with stored rows, appended and upserted."""
+    monkeypatch.setattr(ingest.items, "key_hash", lambda: F.pmod(F.xxhash64("source", "external_id"), F.lit(8)))
+    monkeypatch.setattr(store, "key_hash", ingest.items.key_hash)
+    path, buckets = f"{tmp_path}/items", 4
+    ids = lambda: {r.external_id: r.id for r in store.read_items(spark, path).collect()}
+    prepared = lambda names: ingest.items.prepare(raw_items(spark, [(n, "title") for n in names]))
+    store.apply_batch(path, prepared([str(i) for i in range(30)]), buckets=buckets)
+    first = ids()
+    assert len(first) == len(set(first.values())) == 30 and sum(0 <= i < 8 for i in first.values()) <= 8
+    store.append_new(path, prepared([str(i) for i in range(20, 45)]), buckets)
+    second = ids()
+    assert len(second) == len(set(second.values())) == 45 and first.items() <= second.items()
+    store.apply_batch(path, prepared([str(i) for i in range(40, 60)]), buckets=buckets)
+    third = ids()
+    assert len(third) == len(set(third.values())) == 60 and second.items() <= third.items()
+
+
 def test_an_empty_run_is_recorded(spark, tmp_path):
     runs = store.RunStore(spark, f"{tmp_path}/runs")
     one = analysis.analyse(spark.createDataFrame([], SOURCE_ITEMS), runs, analysis.Parameters("m"))
