@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute_windows import SPACED
 
 from cairnflow.llm import near_dedup
@@ -107,3 +110,28 @@ def test_signatures_are_unbiased_for_weights():
     assert np.isfinite(found).all()
     error = (found[::2] == found[1::2]).mean(1) - np.array(exact)
     assert abs(error.mean()) < 0.01 and error.std() < 0.05
+
+
+def similar_pairs(bags, similarity):
+    """All pairs of at least this similarity: two such sets share one of the rarest elements of either."""
+    sets = [frozenset((s, k) for s, n in b.items() for k in range(n)) for b in bags]
+    often = Counter(e for s in sets for e in s)
+    index = defaultdict(list)
+    for i, mine in enumerate(sets):
+        near = set()
+        for e in sorted(mine, key=lambda e: (often[e], e))[: len(mine) - math.ceil(similarity * len(mine)) + 1]:
+            near.update(index[e])
+            index[e].append(i)
+        yield from ((j, i) for j in near if len(mine & sets[j]) >= similarity * len(mine | sets[j]) - 1e-9)
+
+
+def test_no_similar_pair_of_the_test_data_is_missed(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, bag(r.text)) for r in docs.select("doc_id", "text").collect()]
+    rows = [(i, b) for i, b in rows if b]
+    found = {r.doc_id: r.class_id for r in near_dedup.inspect(docs).collect()}
+    pairs = [(rows[a][0], rows[b][0]) for a, b in similar_pairs([b for _, b in rows], 0.8)]
+    assert len(pairs) > 50 and all(found[a] == found[b] for a, b in pairs)
