@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnflow import fixtures as X
 from cairnflow.catalog import landing
@@ -35,7 +36,7 @@ from cairnflow.operators import (
 )
 from cairnflow.plans import analysis, dashboard, ingest, store
 from cairnflow.schemas import SOURCE_ITEMS
-from cairnflow.session import prepare, shared_folder
+from cairnflow.session import prepare, read_or_empty, shared_folder
 from cairnflow.sources import combined, github, hackernews, records, reddit, stackexchange, worklists
 from cairnflow.streaming import ingest as stream_ingest
 from cairnflow.streaming import volume
@@ -1196,8 +1197,7 @@ def resumed_results(spark, d):
 
 
 def _event_source(spark, d) -> DataFrame:
-    schema = X.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = X.landed(spark, d, "events")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("event_type") == "error")
 
 
@@ -1240,9 +1240,7 @@ def stream_monthly_problems(spark, d):
 
 @register
 def stream_insert_new(spark, d):
-    schema = X.table(spark, d, "documents").schema
-    landed = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    raw = landed.select(
+    raw = X.landed(spark, d, "documents").select(
         "source",
         F.col("doc_id").cast("string").alias("external_id"),
         F.col("n_chars"),
@@ -1251,4 +1249,4 @@ def stream_insert_new(spark, d):
     known = X.source_items(spark, d).filter(F.col("is_problem").isNotNull())
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     stream_ingest.ingest_new(raw, f"{folder}/table", f"{folder}/progress", lambda: known).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select(*KEY)
+    return read_or_empty(spark, f"{folder}/table", StructType([SOURCE_ITEMS[c] for c in KEY])).select(*KEY)

@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _scans[key]
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream over the files of a test table, which is one file or a folder of them.
+
+    A path that is no pattern has to be a folder.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")

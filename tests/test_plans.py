@@ -10,6 +10,7 @@ import pytest
 from brute import hdbscan
 from pyspark.sql import functions as F
 
+from cairnflow.catalog import queries
 from cairnflow.operators import classify, encode
 from cairnflow.operators.density import can_cluster, density_clusters
 from cairnflow.plans import analysis, dashboard, ingest, store
@@ -264,3 +265,20 @@ def test_repeated_batch_order_keeps_rows_apart(spark):
     batch = ingest.ingest(spark.createDataFrame([], SOURCE_ITEMS), raw, classify.classify_lexically, encoder, size)
     assert batch.classified.count() == 2
     assert {r.external_id: (r.is_problem, r.embedding is not None) for r in batch.table.collect()} == {"1": (True, True), "2": (False, False)}
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, folder):
+    def write(name, rows, schema):
+        df = spark.createDataFrame(rows, schema)
+        df.repartition(3 if folder else 1).write.parquet(f"{tmp_path}/{name}.parquet" if folder else f"{tmp_path}/as-{name}")
+        if not folder:
+            next((tmp_path / f"as-{name}").glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+
+    write("documents", [(i, f"text {i}", "en", "s", 6) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    write("labels", [(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    write("embeddings", [(0, [0.5], 0)], "vec_id long, embedding array<float>, label int")
+    write("events", [("2025-01-01 08:00:00", "error"), ("2025-01-01 09:00:00", "error"), ("2025-01-02 09:00:00", "view")], "ts string, event_type string")
+    got = queries.REGISTRY["stream_insert_new"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [("s", str(i)) for i in range(4, 9)]
+    assert [tuple(r) for r in queries.REGISTRY["stream_daily_problems"](spark, str(tmp_path)).collect()] == [("2025-01-01 00:00:00", 2)]
