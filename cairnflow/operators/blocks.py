@@ -24,6 +24,13 @@ from cairnflow.session import materialize
 
 # One block pair holds two blocks of vectors in a Python worker: 2 x 4096 x 384 x 8 B = 25 MB.
 BLOCK_ROWS = 4096
+# Blocks of short vectors hold more rows, up to so many bytes: every query is sent to each block that may answer it, and
+# every block to each share of queries, so what travels falls with the size of a block.
+BLOCK_BYTES = 16 << 20
+# Entries of a distance table that a worker holds at once (16 MB, and a few copies of it).
+TABLE_ENTRIES = 1 << 21
+# A block's queries are cut into so many shares, for the sake of the cores, where shares of SHARE_ROWS allow it.
+SPREAD, SHARE_ROWS = 8, 1024
 # The pivots travel to every task, so their number is capped: 1024 x 384 x 8 B = 3 MB.
 MAX_PIVOTS = 1024
 # Slack on pruning tests for rounding in squared distances; it only ever visits more cells.
@@ -39,6 +46,20 @@ def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def row_slices(left: int, right: int) -> list[slice]:
+    """Slices of ``left`` rows whose table against ``right`` rows has at most ``TABLE_ENTRIES`` entries."""
+    step = max(1, TABLE_ENTRIES // max(right, 1))
+    return [slice(start, start + step) for start in range(0, left, step)]
+
+
+def sized_blocks(base: DataFrame, block_rows: int) -> int:
+    """Rows of a block of ``base``: ``block_rows``, or, where that is the default, what ``BLOCK_BYTES`` hold."""
+    if block_rows != BLOCK_ROWS:
+        return block_rows
+    first = base.select(F.size("vector").alias("n")).head()
+    return block_rows if first is None else max(block_rows, BLOCK_BYTES // (8 * max(first["n"], 1)))
+
+
 @dataclass(frozen=True)
 class Cells:
     """Pivots with, per cell, the number of blocks, the radius and the inner radius. All bounded."""
@@ -152,16 +173,16 @@ def join_blocks(
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
     block_rows: int,
+    spread: int = 1,
 ) -> DataFrame:
     """Run ``kernel(queries, base_rows)`` on every visited block.
 
     ``visits`` carries (cell, block) per query. Queries of one block are cut into shares of about
     ``block_rows`` as well, and the base block is repeated once per share, so both sides of a
-    group are bounded.
+    group are bounded. ``spread`` asks for smaller shares of a block with few queries.
     """
-    per_block = visits.groupBy("cell", "block").agg(
-        F.ceil(F.count("*") / block_rows).cast("int").alias("_shares")
-    )
+    share = F.greatest(F.least(F.count("*") / spread, F.lit(float(block_rows))), F.lit(float(min(SHARE_ROWS, block_rows))))
+    per_block = visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / share).cast("int").alias("_shares"))
     shared = visits.join(per_block, ["cell", "block"])
     left = shared.withColumn("share", F.pmod(F.xxhash64("id", F.lit(11)), F.col("_shares")).cast("int")).drop("_shares")
     right = base.join(per_block, ["cell", "block"]).withColumn(
@@ -213,11 +234,14 @@ def top_k_kernel(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataF
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         left, right = stack(queries["vector"]), stack(rows["vector"])
         ids, others = queries["id"].to_numpy(), rows["id"].to_numpy()
-        table = distances(left, right)
-        if exclude_self:
-            table[ids[:, None] == others[None, :]] = np.inf
-        row, other, value = k_smallest(table, left, right, others, k)
-        return pd.DataFrame({"id": ids[row], "neighbour": other, "distance": value})
+        found = []
+        for part in row_slices(len(left), len(right)):
+            table = distances(left[part], right)
+            if exclude_self:
+                table[ids[part][:, None] == others[None, :]] = np.inf
+            row, other, value = k_smallest(table, left[part], right, others, k)
+            found.append((ids[part][row], other, value))
+        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found)))))
 
     return kernel
 
@@ -244,12 +268,15 @@ def nearest_neighbours(
 
     Ties go to the lower neighbour id. ``max_distance`` drops what is further away, and prunes by it.
     """
-    rows, cells = placed or partition(base, block_rows)
+    if placed is None:
+        block_rows = sized_blocks(base, block_rows)
+        placed = partition(base, block_rows)
+    rows, cells = placed
     rows = rows.select("id", "vector", "cell", "block")
     points = queries.select("id", "vector")
     kernel = top_k_kernel(k, exclude_self)
     first_visits = home_targets(points, cells)
-    first = join_blocks(first_visits, rows, kernel, NEIGHBOURS, block_rows)
+    first = join_blocks(first_visits, rows, kernel, NEIGHBOURS, block_rows, SPREAD)
     if cells.block_count > 1:
         first = materialize(first, "first-visit")
         reach = first.groupBy("id").agg(
@@ -267,7 +294,7 @@ def nearest_neighbours(
         again = with_targets(bounded, cells, "bound").filter(
             (F.col("cell") != F.col("home_cell")) | (F.col("block") != F.col("home_block"))
         )
-        rest = join_blocks(again.select("id", "vector", "cell", "block"), rows, kernel, NEIGHBOURS, block_rows)
+        rest = join_blocks(again.select("id", "vector", "cell", "block"), rows, kernel, NEIGHBOURS, block_rows, SPREAD)
         first = first.unionByName(rest)
     if max_distance is not None:
         first = first.filter(F.col("distance") <= max_distance)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cairnflow.operators import hierarchy
 from cairnflow.operators.blocks import (
     BLOCK_ROWS,
+    SPREAD,
     Cells,
     distances,
     home_targets,
@@ -28,6 +29,8 @@ from cairnflow.operators.blocks import (
     k_smallest,
     nearest_neighbours,
     partition,
+    row_slices,
+    sized_blocks,
     stack,
     with_targets,
 )
@@ -136,18 +139,20 @@ def _outside_kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     left, right = stack(queries["vector"]), stack(rows["vector"])
     core_l, core_r = queries["core"].to_numpy(), rows["core"].to_numpy()
     comp_l, comp_r = queries["comp"].to_numpy(), rows["comp"].to_numpy()
-    table = np.maximum(np.maximum(distances(left, right), core_l[:, None]), core_r[None, :])
-    table[comp_l[:, None] == comp_r[None, :]] = np.inf
-    ids = rows["id"].to_numpy()
+    asked, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
+    at = pd.Index(ids)
+    found = []
+    for part in row_slices(len(left), len(right)):
+        core, comp = core_l[part], comp_l[part]
+        table = np.maximum(np.maximum(distances(left[part], right), core[:, None]), core_r[None, :])
+        table[comp[:, None] == comp_r[None, :]] = np.inf
 
-    def floor(row, column, value):
-        return np.maximum(np.maximum(value, core_l[row]), core_r[column])
+        def floor(row, column, value, core=core):
+            return np.maximum(np.maximum(value, core[row]), core_r[column])
 
-    row, other, value = k_smallest(table, left, right, ids, 1, floor)
-    where = pd.Index(ids).get_indexer(other)
-    return pd.DataFrame(
-        {"id": queries["id"].to_numpy()[row], "neighbour": other, "w": value, "comp": comp_l[row], "other": comp_r[where]}
-    )[names]
+        row, other, value = k_smallest(table, left[part], right, ids, 1, floor)
+        found.append((asked[part][row], other, value, comp[row], comp_r[at.get_indexer(other)]))
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
 
 def _pivot_edges(points: DataFrame, cells: Cells, cores: DataFrame, comps: DataFrame) -> DataFrame:
@@ -193,7 +198,7 @@ def _search_outside(placed: DataFrame, cells: Cells, cores: DataFrame, comps: Da
         visits = home_targets(asking.select(*columns), cells)
     else:
         visits = with_targets(asking.select(*columns), cells, "bound")
-    candidates = join_blocks(visits, points.select("id", "vector", "core", "comp", "cell", "block"), _outside_kernel, OUTSIDE, block_rows)
+    candidates = join_blocks(visits, points.select("id", "vector", "core", "comp", "cell", "block"), _outside_kernel, OUTSIDE, block_rows, SPREAD)
     best = F.min(F.struct("w", "neighbour", "other")).alias("e")
     found = materialize(candidates.groupBy("id", "comp").agg(best).select("id", "comp", "e.*"), "outside-edges")
     fresh = found.unionByName(extra.select(*found.columns)) if extra is not None else found
@@ -381,6 +386,7 @@ def memberships(
         # One vector only: a single root, which is never a cluster.
         return noise
     listed = max(listed, samples)
+    block_rows = sized_blocks(distinct, block_rows)
     placed = partition(distinct, block_rows, rows=count)
     neighbours = materialize(
         nearest_neighbours(distinct, distinct, listed, exclude_self=True, block_rows=block_rows, placed=placed), "neighbours"
