@@ -5,6 +5,9 @@ one byte per part, a thirty-second of the vector. Rows lie in the cells of ``blo
 ``probes`` nearest cells. There its distances to all centres, a small table per query, turn the codes into estimates;
 the best ``rerank`` rows by estimate are compared exactly. Only the centres and cells travel to tasks.
 
+Codes are short, so one group holds those of ``BUNDLE`` blocks: a query goes there once for all its cells, and leaves one
+list of candidates. For the exact comparison it goes once to each block of vectors that has some of them.
+
 The centres are fitted on a bounded sample (``SAMPLE`` rows, the ones whose ids hash lowest); every row is coded. A query
 whose cells hold fewer than ``limit`` rows is answered by the exact search.
 """
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions.vectors import normalize
-from cairnflow.operators.blocks import BLOCK_ROWS, Cells, distances, join_blocks, nearest_neighbours, partition, stack, sub_block
+from cairnflow.operators.blocks import BLOCK_ROWS, NEIGHBOURS, SPREAD, Cells, distances, join_blocks, nearest_neighbours, partition, row_slices, sized_blocks, stack
 from cairnflow.session import materialize, materialize_counted
 from cairnflow.sources.scopes import positive_limit
 
@@ -27,6 +30,8 @@ PART = 4
 STEPS = 12
 PROBES = 64
 RERANK = 40
+# Blocks whose codes one group holds: 64 x 4096 rows of 16 bytes and an id are 6 MB.
+BUNDLE = 64
 ESTIMATES = "id long, neighbour long, estimate double"
 
 
@@ -60,45 +65,103 @@ def coded(rows: DataFrame, centres: list[np.ndarray], part: int = PART) -> DataF
     return rows.withColumn("code", code("vector")).drop("vector")
 
 
+def bundles(cells: Cells) -> np.ndarray:
+    """The number of the first block of each cell; blocks of one bundle are numbered in a row."""
+    return np.concatenate([[0], np.cumsum(cells.blocks)])[:-1]
+
+
+def bundled(rows: DataFrame, cells: Cells) -> DataFrame:
+    """``rows`` of (cell, block) with their bundle in place of those; ``place`` is the cell."""
+    first = F.array(*[F.lit(int(n)) for n in bundles(cells)])
+    number = F.element_at(first, F.col("cell") + 1) + F.col("block")
+    return rows.withColumn("place", F.col("cell")).withColumns({"cell": F.floor(number / BUNDLE).cast("int"), "block": F.lit(0)})
+
+
 def probed(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
-    """Each query with the blocks of its ``probes`` nearest filled cells."""
+    """Each query with the bundles that hold its ``probes`` nearest filled cells, and those cells as ``places``."""
     if cells.block_count == 1:
-        return queries.withColumns({"cell": F.lit(0), "block": F.lit(0)})
+        return queries.withColumns({"places": F.array(F.lit(0)), "cell": F.lit(0), "block": F.lit(0)})
     filled = np.where(cells.blocks > 0, 0.0, np.inf)
     pivots, wanted = cells.pivots, min(probes, int((cells.blocks > 0).sum()))
+    low, high = bundles(cells) // BUNDLE, (bundles(cells) + cells.blocks - 1) // BUNDLE
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<array<int>>")
     def nearest(vectors: pd.Series) -> pd.Series:
+        """The number of a bundle, then its cells."""
         table = distances(stack(vectors), pivots) + filled
-        return pd.Series(list(np.argpartition(table, wanted - 1, axis=1)[:, :wanted].astype("int32")))
+        found = []
+        for near in np.argpartition(table, wanted - 1, axis=1)[:, :wanted].astype("int32"):
+            some = {}
+            for cell in near.tolist():
+                for bundle in range(low[cell], high[cell] + 1):
+                    some.setdefault(int(bundle), []).append(cell)
+            found.append([[bundle, *inside] for bundle, inside in some.items()])
+        return pd.Series(found)
 
-    counts = F.array(*[F.lit(int(b)) for b in cells.blocks])
-    reached = queries.select("*", F.explode(nearest("vector")).alias("cell"))
-    blocks = F.element_at(counts, F.col("cell") + 1)
-    return reached.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    reached = queries.select("*", F.explode(nearest("vector")).alias("_visit"))
+    places = F.slice("_visit", F.lit(2), F.size("_visit") - 1)
+    return reached.select(*queries.columns, places.alias("places"), F.element_at("_visit", 1).alias("cell"), F.lit(0).alias("block"))
 
 
 def _estimates(centres: list[np.ndarray], rerank: int, part: int):
     def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "estimate": []})
+        rows = rows.sort_values("place", kind="stable")
         left, ids = stack(queries["vector"]), rows["id"].to_numpy()
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         tables = [distances(left[:, k * part : (k + 1) * part], c) ** 2 for k, c in enumerate(centres)]
-        keep = min(rerank, len(rows))
+        place, start = np.unique(rows["place"].to_numpy(), return_index=True)
+        stop = np.append(start[1:], len(rows))
+        visited = np.stack([np.isin(place, near) for near in queries["places"]])
         out_query, out_row, out_value = [], [], []
-        step = max(1, 4_000_000 // len(rows))
-        for first in range(0, len(left), step):
-            total = sum(t[first : first + step][:, codes[:, k]] for k, t in enumerate(tables))
+        for some in row_slices(len(left), len(rows)):
+            if visited[some].all():
+                total = sum(t[some][:, codes[:, k]] for k, t in enumerate(tables))
+            else:
+                total = np.full((len(left[some]), len(rows)), np.inf)
+                for nth in np.flatnonzero(visited[some].any(0)):
+                    inside, asking = slice(start[nth], stop[nth]), np.flatnonzero(visited[some][:, nth])
+                    total[asking, inside] = sum(t[some][asking][:, codes[inside, k]] for k, t in enumerate(tables))
+            keep = min(rerank, len(rows))
             best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
-            out_query.append(np.repeat(queries["id"].to_numpy()[first : first + step], keep))
-            out_row.append(ids[best].ravel())
-            out_value.append(np.take_along_axis(total, best, 1).ravel())
+            value = np.take_along_axis(total, best, 1)
+            row, nth = np.nonzero(np.isfinite(value))
+            out_query.append(queries["id"].to_numpy()[some][row])
+            out_row.append(ids[best[row, nth]])
+            out_value.append(value[row, nth])
         return pd.DataFrame({"id": np.concatenate(out_query), "neighbour": np.concatenate(out_row), "estimate": np.concatenate(out_value)})
 
     return kernel
 
 
+def _measured(limit: int):
+    """The nearest ``limit`` of each query's ``candidates``, compared exactly."""
+
+    def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or rows.empty:
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        order = np.argsort(rows["id"].to_numpy(), kind="stable")
+        others, right = rows["id"].to_numpy()[order], stack(rows["vector"])[order]
+        left, asked = stack(queries["vector"]), queries["id"].to_numpy()
+        found = []
+        for some in row_slices(len(left), max(map(len, queries["candidates"])) * left.shape[1]):
+            near = queries["candidates"].iloc[some]
+            row, wanted = np.repeat(np.arange(len(near)), near.map(len)), np.concatenate(near.to_numpy())
+            # An id may stand for several rows: each is an answer of its own.
+            low, high = np.searchsorted(others, wanted), np.searchsorted(others, wanted, side="right")
+            at = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+            row = np.repeat(row, high - low)
+            value = np.round(np.sqrt(((left[some][row] - right[at]) ** 2).sum(1)), 12)
+            order = np.lexsort((others[at], value, row))
+            row, at, value = row[order], at[order], value[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < limit
+            found.append((asked[some][row[kept]], others[at[kept]], value[kept]))
+        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found)))))
+
+    return kernel
+
+
 def search_approximately(
     queries: DataFrame,
     items: DataFrame,
@@ -122,19 +185,17 @@ def search_approximately(
         return asked.select(F.col("id").alias("query_id"), F.col("id").alias("item_id"), F.lit(1).alias("position"), F.lit(0.0).alias("distance")).limit(0)
     placed, cells = partition(base, block_rows, rows=count)
     centres = fit_centres(base, sample)
-    codes = materialize(coded(placed.select("id", "vector", "cell", "block"), centres), "codes")
+    codes = materialize(coded(bundled(placed.select("id", "vector", "cell", "block"), cells), centres), "codes")
     wanted = limit * rerank
     visits = probed(asked, cells, probes)
-    found = join_blocks(visits, codes, _estimates(centres, wanted, PART), ESTIMATES, block_rows)
+    found = join_blocks(visits, codes, _estimates(centres, wanted, PART), ESTIMATES, block_rows, SPREAD)
     order = Window.partitionBy("id").orderBy("estimate", "neighbour")
     best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= wanted)
-    pairs = best.select("id", "neighbour").join(asked.withColumnRenamed("vector", "left"), "id").join(base.select(F.col("id").alias("neighbour"), F.col("vector").alias("right")), "neighbour")
-
-    @F.pandas_udf("double")
-    def exact(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(np.round(np.sqrt(((stack(left) - stack(right)) ** 2).sum(1)), 12))
-
-    measured = pairs.select("id", "neighbour", exact("left", "right").alias("distance"))
+    size = sized_blocks(base, block_rows)
+    block = {"cell": F.lit(0), "block": F.pmod(F.xxhash64("neighbour"), F.lit(-(-count // size))).cast("int")}
+    lists = best.select("id", "neighbour").withColumns(block).groupBy("id", "cell", "block").agg(F.collect_list("neighbour").alias("candidates"))
+    rows = base.filter("id IS NOT NULL").withColumn("neighbour", F.col("id")).withColumns(block).drop("neighbour")
+    measured = join_blocks(lists.join(asked, "id"), rows, _measured(limit), NEIGHBOURS, size, SPREAD)
     ranked = measured.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).filter(F.col("position") <= limit)
     ranked = materialize(ranked, "approximate")
     answered = ranked.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(limit, count))
