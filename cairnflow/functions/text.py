@@ -6,7 +6,7 @@ import html
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,9 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 # Fixed value.
 TAG = r"<[^>]+>"
 
+# Bytes of text whose words one task counts; their hash table takes some thirteen times as much.
+SHARE_BYTES = 16 << 20
+
 # Entities decoded on the JVM; their characters come from the standard library's table.
 # ``amp`` stays last, so a decoded ampersand never starts another entity.
 COMMON_ENTITIES = {
@@ -91,5 +94,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def counted_words(items: DataFrame, name: str, share: int = SHARE_BYTES) -> tuple[DataFrame, int]:
+    """``(id, name, tf)``: how often an id has a word; and the number of items.
+
+    The words of an id are many times its text in memory, so texts are dealt in shares of about ``share`` bytes first:
+    what a task holds does not grow with the files. The text is in the key, since an id may have very many rows.
+    """
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("document_text")).alias("bytes")).head()
+    texts = items.select("id", "document_text").repartition(max(1, -(-(size["bytes"] or 0) // share)), "id", "document_text")
+    found = texts.select("id", F.explode(words(F.col("document_text"))).alias(name))
+    return found.groupBy("id", name).agg(F.count("*").alias("tf")), size["n"]
+
+
 def label_text(keywords: Column) -> Column:
     return F.concat_ws(", ", keywords)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.functions.text import is_blank, words
+from cairnflow.functions.text import counted_words, is_blank, words
 from cairnflow.operators.skew import join_by_weight
 from cairnflow.session import materialize, shared_folder
 from cairnflow.sources.records import parse_model_output
@@ -152,8 +152,7 @@ def classify_by_counts(items: DataFrame, labelled: DataFrame) -> DataFrame:
     sums = counts.agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("no"), F.count("*").alias("words")).head()
     priors = labelled.agg(F.count_if("expected").alias("yes"), F.count_if(~F.col("expected")).alias("no")).head()
     ratio = F.log((F.col("yes") + 1) / (sums["yes"] + sums["words"])) - F.log((F.col("no") + 1) / (sums["no"] + sums["words"]))
-    tokens = items.select("id", F.explode(words(F.col("document_text"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    tokens = materialize(tokens, "document-words")
+    tokens = materialize(counted_words(items, "word")[0], "document-words")
     spread = tokens.groupBy("word").agg(F.count("*").alias("documents"))
     weighted = join_by_weight(tokens, counts.join(spread, "word").select("word", ratio.alias("ratio"), "documents"), ["word"], "documents", "id")
     odds = weighted.groupBy("id").agg(F.sum(F.col("tf") * F.col("ratio")).alias("odds"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.functions.text import is_blank, words
+from cairnflow.functions.text import counted_words, is_blank, words
 from cairnflow.functions.vectors import is_valid_vector
 from cairnflow.operators.skew import join_by_weight
 from cairnflow.schemas import EMBEDDING_SIZE
@@ -79,9 +79,8 @@ def encode_by_hashing(items: DataFrame, size: int = EMBEDDING_SIZE) -> DataFrame
 
 def document_weights(items: DataFrame) -> DataFrame:
     """``(id, term, weight)``: count of each word of a document times its rarity ``ln((1 + n) / (1 + df)) + 1`` in all of them."""
-    terms = items.select("id", F.explode(words(F.col("document_text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    terms, n = counted_words(items, "term")
     terms = materialize(terms, "document-terms")
-    n = items.count()
     rarity = terms.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     # A word that all documents have is one key with a row per document.
     joined = join_by_weight(terms, rarity, ["term"], "df", "id")
