@@ -66,7 +66,8 @@ def analyse(items: DataFrame, store: RunStore, parameters: Parameters, created_a
         CLUSTER_ITEMS,
     )
     facts = items.select(F.col("id").alias("source_item_id"), "document_text", "embedding")
-    documents = members.join(facts, "source_item_id").withColumnRenamed("source_item_id", "item_id")
+    # Read by topics, centroids and the check of labels: written once, so that the texts of all items are joined once.
+    documents = materialize(members.join(facts, "source_item_id").withColumnRenamed("source_item_id", "item_id"), "documents")
     labels = materialize(topics.label_clusters(documents.select("cluster_id", "item_id", "document_text"), parameters.max_keywords), "labels")
     quality.enforce(topics.unlabelled(documents, labels), "cluster cannot be labelled")
     local_id = F.col("cluster_id") - F.shiftleft(F.lit(run_id).cast("long"), 32)
