@@ -2,8 +2,8 @@
 
 The item table is partitioned by a hash bucket of the key, and a batch is applied by overwriting the buckets that its
 keys fall into; the files of all other buckets are neither read nor written. Every table function works key by key, so
-it needs no more than those buckets. What is written is staged first, so no job overwrites what it reads, and a batch that
-failed half way can be applied again: the outcome is the same.
+it needs no more than those buckets. A dynamic overwrite replaces folders only once all tasks have written, so a job may read
+the buckets that it rewrites, and a batch that failed half way can be applied again: the outcome is the same.
 
 Keys whose 64-bit hashes are equal share a bucket, so the buckets that a batch touches hold every such case; the later key
 gets another id.
@@ -60,7 +60,7 @@ def _settled(rows: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def _write(rows: DataFrame, path: str, buckets: int, mode: str) -> None:
     placed = rows.withColumns({"buckets": F.lit(buckets), "bucket": bucket_of(buckets)}).repartition("bucket")
-    placed.write.partitionBy("buckets", "bucket").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
+    placed.write.partitionBy("buckets", "bucket").mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
 
 
 def apply_batch(
@@ -69,7 +69,7 @@ def apply_batch(
     """Replace the buckets that ``batch`` touches by ``change(stored rows, batch)``: upsert, verdicts or vectors."""
     rows, stored = _touched(batch, path, schema, buckets)
     after = _settled(change(stored, rows), rows, stored).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    _write(materialize(after, "changed"), path, buckets, "overwrite")
+    _write(after, path, buckets, "overwrite")
 
 
 def append_new(path: str, batch: DataFrame, buckets: int = BUCKETS, schema: T.StructType = SOURCE_ITEMS) -> None:

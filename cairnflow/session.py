@@ -93,5 +93,5 @@ def materialize_counted(df: DataFrame, name: str = "stage", metric: Column | Non
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairnflow-{name}-{uuid.uuid4().hex}"
     written = Observation()
-    df.observe(written, (F.count(F.lit(1)) if metric is None else metric).alias("rows")).write.parquet(path)
+    df.observe(written, (F.count(F.lit(1)) if metric is None else metric).alias("rows")).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(written.get["rows"])
