@@ -117,12 +117,22 @@ def blobs(group: np.ndarray, groups: int, **columns: np.ndarray):
     """(group, bytes of each column) of the groups that have rows; ``group`` is sorted."""
     cuts = np.searchsorted(group, np.arange(groups + 1))
     some = np.flatnonzero(np.diff(cuts))
-    packed = {k: pa.array([c[cuts[g] : cuts[g + 1]].tobytes() for g in some], pa.binary()) for k, c in columns.items()}
-    return some.astype(np.int32), packed
+    ends = np.append(cuts[some], cuts[-1])
+    # The columns themselves are the values, cut where a group ends: nothing is copied.
+    buffers = {k: [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))] for k, c in columns.items()}
+    return some.astype(np.int32), {k: pa.Array.from_buffers(pa.binary(), len(some), b) for k, b in buffers.items()}
 
 
 def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
+    """The bytes of all rows of a binary column as one array, read where Arrow has them: no object per row."""
+    found = []
+    for chunk in table.column(name).chunks:
+        _, offsets, data = chunk.buffers()
+        wide = np.dtype(np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)
+        first, last = np.frombuffer(offsets, wide, len(chunk) + 1, wide.itemsize * chunk.offset)[[0, -1]] if len(chunk) else (0, 0)
+        if last > first:
+            found.append(np.frombuffer(data, np.uint8, last - first, first))
+    return (found[0] if len(found) == 1 else np.concatenate(found)).view(kind) if found else np.zeros(0, kind)
 
 
 def matched_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -153,13 +163,16 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
     """
 
     def packed(held: list[tuple[np.ndarray, ...]]):
-        before, now, kind, number = (np.concatenate(x) for x in zip(*held))
-        group = group_of(pair_keys(before, now), groups)
-        order = np.lexsort((kind, now, before, group))
-        before, now, kind, number = before[order], now[order], kind[order], number[order]
-        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | (kind[1:] != kind[:-1])))
-        n = np.add.reduceat(number, fresh) * 8 + kind[fresh]
-        some, columns = blobs(group[order][fresh], groups, u=before[fresh], v=now[fresh], n=n)
+        """Counts by group; empties ``held``, so that its rows are not there twice."""
+        before, now, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        group = group_of(pair_keys(before, now), groups).astype(np.int32)
+        order = np.lexsort((n & 7, now, before, group))
+        before, now, n, group = before[order], now[order], n[order], group[order]
+        del order
+        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | ((n[1:] ^ n[:-1]) & 7 != 0)))
+        n = (np.add.reduceat(n >> 3, fresh) << 3) + (n[fresh] & 7)
+        some, columns = blobs(group[fresh], groups, u=before[fresh], v=now[fresh], n=n)
         return batch_of(p=some, **columns)
 
     def run(batches):
@@ -174,18 +187,19 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
                 before, now, kind, keys = before[mine], now[mine], kind[mine], keys[mine]
                 _, at, number = np.unique(keys ^ mix(kind.astype(np.uint64), 15), return_index=True, return_counts=True)
                 if len(at):
-                    held.append((before[at], now[at], kind[at], number))
+                    held.append((before[at], now[at], (number << 3) + kind[at]))
                     size += len(at)
                 if size > HELD_PAIRS:
                     yield packed(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield packed(held)
 
     def merge(part: pa.Table) -> pa.Table:
-        before, now, n = joined(part, "u", np.uint64), joined(part, "v", np.uint64), joined(part, "n", np.int64)
+        before, now = joined(part, "u", np.uint64), joined(part, "v", np.uint64)
         order = np.lexsort((now, before))
-        before, now, n = before[order], now[order], n[order]
+        before, now, n = before[order], now[order], joined(part, "n", np.int64)[order]
+        del order
         fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1])))
         found = {f"n{k}": np.add.reduceat(np.where(n & 7 == k, n >> 3, 0), fresh) for k in COUNTED}
         return pa.table({"u": signed(before[fresh]), "v": signed(now[fresh]), **found})

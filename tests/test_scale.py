@@ -106,6 +106,9 @@ def test_packed_columns_are_read_in_place():
     assert lm_scoring.joined(table, "x", np.int32).tolist() == [1, 2, 3]
     assert lm_scoring.joined(table.slice(1), "x", np.int32).tolist() == [2, 3]
     assert lm_scoring.joined(table.slice(0, 0), "x", np.int32).tolist() == []
+    assert lm_scoring.joined(pa.table({"x": pa.array([b"", b"\x05\x00\x00\x00"], pa.large_binary())}), "x", np.int32).tolist() == [5]
+    some, packed = lm_scoring.blobs(np.array([1, 1, 3]), 5, v=np.array([7, 8, 9]))
+    assert some.tolist() == [1, 3] and [np.frombuffer(x, np.int64).tolist() for x in packed["v"].to_pylist()] == [[7, 8], [9]]
     big = pa.table({"x": pa.array([np.arange(1 << 18).tobytes()] * 8, pa.binary())})
     # Once as the result; before, as an object per row and joined besides.
     assert peak(lambda: lm_scoring.joined(big, "x", np.int64)) < 1
