@@ -166,10 +166,11 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
         """Counts by group; empties ``held``, so that its rows are not there twice."""
         before, now, n = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        group = group_of(pair_keys(before, now), groups).astype(np.int32)
-        order = np.lexsort((n & 7, now, before, group))
-        before, now, n, group = before[order], now[order], n[order], group[order]
-        del order
+        # Groups are ranges of keys, so the order of the keys is one by group. Equal keys of other words are told apart below.
+        keys = pair_keys(before, now)
+        order = np.lexsort((n & 7, keys))
+        before, now, n, group = before[order], now[order], n[order], group_of(keys[order], groups)
+        del order, keys
         fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | ((n[1:] ^ n[:-1]) & 7 != 0)))
         n = (np.add.reduceat(n >> 3, fresh) << 3) + (n[fresh] & 7)
         some, columns = blobs(group[fresh], groups, u=before[fresh], v=now[fresh], n=n)
