@@ -11,7 +11,7 @@ is scored by models that were counted on the other one.
 
 The vocabulary is every word of the corpus (``size`` keeps the most frequent ones instead; all others are then one
 unknown word). Neither words nor bigrams are ever collected: their counts are a DataFrame, and the tokens of the
-documents are dealt to it by key. The loss of word v after word u,
+documents are dealt to it by key. A group of keys hands on the bigrams of both folds, and of all others only sums by word. The loss of word v after word u,
 
     -log(seen(u, v) + rest(u) p(v)) = -log rest(u) - log p(v) - log(1 + seen(u, v) / (rest(u) p(v))),
 
@@ -34,7 +34,8 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.llm.common import Stages, batch_of, map_batches, texts
@@ -51,8 +52,8 @@ PASSES = 2
 GROUP_BYTES = 8 << 20
 HOT_SHARE = 1 << 16
 GRAIN = 1 << 18
-# Codes of the start of a text and of an unknown word.
-START, UNKNOWN = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D)
+# Codes of the start of a text, of an unknown word and of the end of a text.
+START, UNKNOWN, END = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D), U64(0x369DEA0F31A53F85)
 KINDS = range(4)
 # Texts that were not drawn are counted as kind 4 + fold: no model uses them, but they tell which keys a fold has.
 COUNTED = range(6)
@@ -156,8 +157,41 @@ def matched_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
     return marked.select("text", F.when(drawn, 2 * F.col("fold") + F.col("target")).otherwise(4 + F.col("fold")).alias("kind"))
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows begins that are equal in all columns."""
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(fresh)
+
+
+def by_pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs are neighbours: that of one key, or of both words where two pairs have the same key."""
+    keys = pair_keys(before, now)
+    order = np.argsort(keys)
+    if len(runs(keys[order])) != len(runs(before[order], now[order])):
+        order = np.lexsort((now, before))
+    return order
+
+
+def cell_counts(before: np.ndarray, now: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with its counts by kind; ``n`` is 8 times a count plus its kind."""
+    order = by_pair(before, now)
+    before, now, n = before[order], now[order], n[order]
+    fresh = runs(before, now)
+    nth = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(n))))
+    counts = np.bincount(nth * len(COUNTED) + (n & 7), n >> 3, len(fresh) * len(COUNTED))
+    return before[fresh], now[fresh], counts.astype(np.int64).reshape(-1, len(COUNTED))
+
+
+CELL_SCHEMA = "u long, v long, " + ", ".join([f"{x} long" for x in (*(f"n{k}" for k in COUNTED), *(f"e{k}" for k in COUNTED), *(f"d{k}" for k in KINDS), "after")])
+
+
 def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) -> DataFrame:
-    """u, v, n0 .. n5: how often a word follows another in the texts of each kind.
+    """u, v, n0 .. n5: how often a word follows another in the texts of each kind, for the pairs that both folds have.
+
+    All pairs are in the rows without v. They hold the sums over the pairs of a group that begin with u: n0 .. n5 of all pairs and
+    e0 .. e5 of those with the end of a text, d0 .. d3 the number of words after it, and after how many pairs of both folds it begins.
+    Every word of a text begins a pair, since its last one stands before its end; so n0 .. n5 are the occurrences of the word.
 
     Of the groups, every ``PASSES``-th from ``part`` on.
     """
@@ -166,12 +200,13 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
         """Counts by group; empties ``held``, so that its rows are not there twice."""
         before, now, n = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        # Groups are ranges of keys, so the order of the keys is one by group. Equal keys of other words are told apart below.
-        keys = pair_keys(before, now)
-        order = np.lexsort((n & 7, keys))
+        # Groups are ranges of keys, so the order of the keys is one by group, also with the kind as their last bits.
+        # Equal keys of other words are told apart below; a count that stays in parts is added up where its group is.
+        keys = pair_keys(before, now) & ~U64(7) | (n & 7).astype(np.uint64)
+        order = np.argsort(keys)
         before, now, n, group = before[order], now[order], n[order], group_of(keys[order], groups)
         del order, keys
-        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1]) | ((n[1:] ^ n[:-1]) & 7 != 0)))
+        fresh = runs(before, now, n & 7)
         n = (np.add.reduceat(n >> 3, fresh) << 3) + (n[fresh] & 7)
         some, columns = blobs(group[fresh], groups, u=before[fresh], v=now[fresh], n=n)
         return batch_of(p=some, **columns)
@@ -182,12 +217,16 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
             kinds = batch.column("kind").to_numpy().astype(np.int64)
             for first, stop, data, bounds in slices(batch.column("text")):
                 before, now, rows = pairs(table, data, bounds)
-                kind = np.repeat(kinds[first:stop], np.diff(rows))
+                last = np.flatnonzero(np.diff(rows))
+                kind = np.append(np.repeat(kinds[first:stop], np.diff(rows)), kinds[first:stop][last])
+                before, now = np.append(before, now[rows[1:][last] - 1]), np.append(now, np.full(len(last), END))
                 keys = pair_keys(before, now)
-                mine = group_of(keys, groups) % PASSES == part
-                before, now, kind, keys = before[mine], now[mine], kind[mine], keys[mine]
-                _, at, number = np.unique(keys ^ mix(kind.astype(np.uint64), 15), return_index=True, return_counts=True)
-                if len(at):
+                mine = np.flatnonzero(group_of(keys, groups) % PASSES == part)
+                if len(mine):
+                    keys = keys[mine] ^ mix(np.arange(len(COUNTED), dtype=np.uint64), 15)[kind[mine]]
+                    order = np.argsort(keys)
+                    fresh = runs(keys[order])
+                    at, number = mine[order[fresh]], np.diff(np.append(fresh, len(mine)))
                     held.append((before[at], now[at], (number << 3) + kind[at]))
                     size += len(at)
                 if size > HELD_PAIRS:
@@ -197,16 +236,21 @@ def count(marked: DataFrame, table: WordTable | None, groups: int, part: int) ->
             yield packed(held)
 
     def merge(part: pa.Table) -> pa.Table:
-        before, now = joined(part, "u", np.uint64), joined(part, "v", np.uint64)
-        order = np.lexsort((now, before))
-        before, now, n = before[order], now[order], joined(part, "n", np.int64)[order]
-        del order
-        fresh = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (now[1:] != now[:-1])))
-        found = {f"n{k}": np.add.reduceat(np.where(n & 7 == k, n >> 3, 0), fresh) for k in COUNTED}
-        return pa.table({"u": signed(before[fresh]), "v": signed(now[fresh]), **found})
+        before, now, n = cell_counts(joined(part, "u", np.uint64), joined(part, "v", np.uint64), joined(part, "n", np.int64))
+        ends = now == END
+        shared = (n[:, (0, 1, 4)].any(1)) & (n[:, (2, 3, 5)].any(1)) & ~ends
+        cells = {"u": signed(before[shared]), "v": signed(now[shared]), **{f"n{k}": n[shared, k] for k in COUNTED}}
+        order = np.argsort(before)
+        fresh = runs(before[order])
+        added = lambda x: np.add.reduceat(x[order].astype(np.int64), fresh)
+        words = {"u": signed(before[order[fresh]]), "v": pa.nulls(len(fresh), pa.int64()), **{f"n{k}": added(n[:, k]) for k in COUNTED}}
+        words |= {f"e{k}": added(np.where(ends, n[:, k], 0)) for k in COUNTED}
+        words |= {f"d{k}": added((n[:, k] > 0) & ~ends) for k in KINDS} | {"after": added(shared)}
+        none = pa.nulls(int(shared.sum()), pa.int64())
+        return pa.concat_tables([pa.table({x: cells.get(x, none) for x in words}), pa.table(words)])
 
     sent = marked.mapInArrow(run, "p int, u binary, v binary, n binary")
-    return sent.groupBy("p").applyInArrow(merge, "u long, v long, " + ", ".join(f"n{k} long" for k in COUNTED))
+    return sent.groupBy("p").applyInArrow(merge, CELL_SCHEMA)
 
 
 def both(*prefixes: str) -> str:
@@ -219,14 +263,16 @@ def occurrences(prefix: str) -> str:
     return "(" + " + ".join(f"{prefix}{k}" for k in COUNTED) + ")"
 
 
-def word_counts(cells: DataFrame) -> DataFrame:
+def word_counts(counted: DataFrame) -> DataFrame:
     """code, c (as a word), m (before a word), d (distinct words after it) by kind; pairs of both folds before and after."""
-    shared = F.sum(F.expr(f"if({both('n')}, 1, 0)"))
-    first = cells.groupBy(F.col("u").alias("code")).agg(
-        *[F.sum(f"n{k}").alias(f"m{k}") for k in COUNTED], *[F.sum(F.expr(f"if(n{k} > 0, 1, 0)")).alias(f"d{k}") for k in KINDS], shared.alias("after")
-    )
-    second = cells.groupBy(F.col("v").alias("code")).agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in COUNTED], shared.alias("before"))
-    return first.join(second, "code", "full").na.fill(0)
+    sums = [F.sum(x).alias(x) for x in counted.columns if x not in "uv"]
+    words = counted.where("v IS NULL").groupBy(F.col("u").alias("code")).agg(*sums)
+    second = counted.where("v IS NOT NULL").groupBy(F.col("v").alias("code")).agg(F.count("*").alias("before"))
+    # The start of a text begins pairs, but is no word of it.
+    occurs = [F.when(F.col("code") == F.lit(START.astype(np.int64)), 0).otherwise(F.col(f"n{k}")).alias(f"c{k}") for k in COUNTED]
+    begins = [(F.col(f"n{k}") - F.col(f"e{k}")).alias(f"m{k}") for k in COUNTED]
+    both_sides = words.join(second.hint("shuffle_hash"), "code", "left")
+    return both_sides.select("code", *occurs, *begins, *[f"d{k}" for k in KINDS], "after", F.coalesce("before", F.lit(0)).alias("before"))
 
 
 def rounded(values: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -322,14 +368,18 @@ def look_up(sent: pa.Table, values: pa.Table) -> pa.Table:
     keys = values.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
-    size = [len(x) // 8 if x is not None else 0 for x in sent.column("key").to_pylist()]
+    size = pc.fill_null(pc.binary_length(sent.column("key")), 0).to_numpy() // 8
     key, row = joined(sent, "key", np.uint64), joined(sent, "row", np.int32)
     rids = sent.column("rid").to_numpy()
     nth = np.repeat(np.arange(len(size)), size)
     at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
     hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
     at, second = order[at[hit]] if len(keys) else hit, row[hit] & 1 == 1
-    places, back = np.unique((nth[hit] << 32) + (row[hit] >> 1), return_inverse=True)
+    # The rows of a slice come in order, so equal places are neighbours.
+    places = (nth[hit] << 32) + (row[hit] >> 1)
+    fresh = runs(places)
+    back = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(places))))
+    places = places[fresh]
     value = [values.column(v).to_numpy().astype(np.float64) for v in VALUES]
     sums = [np.bincount(back, np.where(second, value[b][at], value[a][at]), len(places)) for a, b in ((0, 2), (1, 3))]
     some, packed = blobs(places >> 32, len(size), at=(places & 0xFFFFFFFF).astype(np.int32), t=sums[0], b=sums[1])
@@ -372,26 +422,28 @@ def scores(docs: DataFrame, target: DataFrame, size: int | None) -> DataFrame:
     marked = stage(matched_texts(rows, target), "learned")
     counted = [stage(count(marked, table, groups, part), "cells") for part in range(PASSES)]
     stage.release(marked)
-    cells = reduce(DataFrame.unionByName, counted)
-    words = stage(word_counts(cells), "words")
-    cells = stage(cells.where(both("n")), "shared")
-    stage.release(*counted)
-    sizes = words.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in COUNTED], F.count_if(F.expr("c0 + c1 + c2 + c3 > 0")).alias("words")).first()
-    distinct = sizes.words if table is None else len(table.codes)
+    counts = reduce(DataFrame.unionByName, counted)
+    cells = counts.where("v IS NOT NULL").select("u", "v", *[f"n{k}" for k in COUNTED])
+    measured = Observation()
+    totals = [F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in COUNTED]
+    words = word_counts(counts).observe(measured, *totals, F.count_if(F.expr("c0 + c1 + c2 + c3 > 0")).alias("words"))
+    # Words that only one fold has count for the sizes alone.
+    words = stage(words.where(both("c", "m")), "words")
+    sizes = measured.get
+    distinct = sizes["words"] if table is None else len(table.codes)
     spaces = [float(sizes[f"n{k}"] + distinct + 1) for k in KINDS]
     unseen = np.round(np.log(np.array(spaces)[list(SCORED_BY)]) * GRAIN) / GRAIN
     total = sum(sizes[f"n{k}"] for k in COUNTED)
     # The start of a text stands before a word in every document.
     hot_word = f"{occurrences('c')} * {HOT_SHARE} > {total} OR code = {START.astype(np.int64)}"
     hot_pair = f"{occurrences('n')} * {HOT_SHARE} > {total}"
-    shared = words.where(both("c", "m"))
-    hot = word_values(shared.where(hot_word)).unionByName(pair_values(cells.where(hot_pair), words, spaces))
-    cold = word_values(shared.where(f"NOT ({hot_word})")).unionByName(pair_values(cells.where(f"NOT ({hot_pair})"), words, spaces))
+    hot = word_values(words.where(hot_word)).unionByName(pair_values(cells.where(hot_pair), words, spaces))
+    cold = word_values(words.where(f"NOT ({hot_word})")).unionByName(pair_values(cells.where(f"NOT ({hot_pair})"), words, spaces))
     place = F.shiftrightunsigned("key", 32) * groups
     cold = cold.withColumn("p", F.shiftrightunsigned(place, 32).cast("int"))
     cold = stage(cold, "values")
     hot = hot.toPandas()  # at most 3 times HOT_SHARE rows, and the start of a text
-    stage.release(cells, words)
+    stage.release(*counted, words)
     sent = dealt(rows, table, groups, hot, unseen)
     found = sent.groupBy("p").cogroup(cold.groupBy("p")).applyInArrow(look_up, FOUND)
     sums = found.groupBy("slice").applyInArrow(add_up, "doc_id long, n_tokens long, t double, b double")

@@ -112,3 +112,29 @@ def test_packed_columns_are_read_in_place():
     big = pa.table({"x": pa.array([np.arange(1 << 18).tobytes()] * 8, pa.binary())})
     # Once as the result; before, as an object per row and joined besides.
     assert peak(lambda: lm_scoring.joined(big, "x", np.int64)) < 1
+
+
+def test_pairs_of_one_fold_are_counted_by_word_only(spark):
+    """Only pairs of both folds are handed on one by one; the sums of their first words stand for all others."""
+    rows = [("a b a b c", 0), ("a b", 3), ("", 1), (None, 2), ("d", 5), ("a x y", 4), ("c c", 1)]
+    counted = lm_scoring.count(spark.createDataFrame(rows, "text string, kind int").repartition(3), None, 1, 0)
+    code = lambda word: int(lm_scoring.tokens(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))[0].view(np.int64)[0])
+    start = int(lm_scoring.START.astype(np.int64))
+    found = counted.collect()
+    cells = [r for r in found if r.v is not None]
+    shared = {(start, code("a"), 1, 0, 0, 1, 1, 0), (code("a"), code("b"), 2, 0, 0, 1, 0, 0)}
+    assert len(cells) == 2 and {(r.u, r.v, r.n0, r.n1, r.n2, r.n3, r.n4, r.n5) for r in cells} == shared
+    words = {r.code: r.asDict() for r in lm_scoring.word_counts(counted).collect()}
+    assert words.keys() == {start, *map(code, "abcdxy")}
+    of = lambda x, word: [words[word][f"{x}{k}"] for k in range(6)]
+    assert of("c", code("a")) == of("m", code("a")) == [2, 0, 0, 1, 1, 0] and of("c", start) == [0] * 6
+    assert of("m", start) == [1, 1, 0, 1, 1, 1] and of("c", code("c")) == [1, 2, 0, 0, 0, 0] and of("m", code("c")) == [0, 1, 0, 0, 0, 0]
+    assert [words[code("a")][f"d{k}"] for k in range(4)] == [1, 0, 0, 1] and words[code("d")]["d1"] == 0
+    assert [(words[code(w)]["after"], words[code(w)]["before"]) for w in "abc"] == [(1, 1), (0, 1), (0, 0)] and words[start]["after"] == 1
+
+
+def test_pairs_of_one_key_stay_apart(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "pair_keys", lambda before, now: np.zeros(len(before), np.uint64))
+    before, now, n = (np.array(x, t) for x, t in (([1, 2, 1, 2], np.uint64), ([3, 3, 3, 3], np.uint64), ([8, 16, 9, 24], np.int64)))
+    u, v, counts = lm_scoring.cell_counts(before, now, n)
+    assert u.tolist() == [1, 2] and v.tolist() == [3, 3] and counts[:, :2].tolist() == [[1, 1], [5, 0]]
