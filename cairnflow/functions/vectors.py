@@ -24,8 +24,9 @@ def norm(vector: Column) -> Column:
 
 def normalize(vector: Column) -> Column:
     """The unit vector; NULL for the zero vector, which has no direction."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(as_double(vector), lambda x: x / length))
+    # The length is bound to a name, or every element would take it anew.
+    scaled = lambda length: F.when(length > 0, F.transform(as_double(vector), lambda x: x / length))
+    return F.element_at(F.transform(F.array(norm(vector)), scaled), 1)
 
 
 def cosine_similarity(left: Column, right: Column) -> Column:

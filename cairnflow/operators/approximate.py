@@ -2,8 +2,8 @@
 
 A vector is cut into parts, and each part is stored as the number of its nearest centre among at most 256: a code of
 one byte per part, a thirty-second of the vector. Rows lie in the cells of ``blocks.partition``, and a query visits the
-``probes`` nearest cells. There its distances to all centres, a small table per query, turn the codes into estimates;
-the best ``rerank`` rows by estimate are compared exactly. Only the centres and cells travel to tasks.
+``probes`` nearest cells. There its distances to all centres, a small table per query, turn the codes into estimates, for
+the rows that a product with what the codes stand for leaves; the best ``rerank`` rows by estimate are compared exactly. Only the centres and cells travel to tasks.
 
 Codes are short, so one group holds those of ``BUNDLE`` blocks: a query goes there once for all its cells, and leaves one
 list of candidates. For the exact comparison it goes once to each block of vectors that has some of them.
@@ -16,11 +16,29 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.functions.vectors import normalize
-from cairnflow.operators.blocks import BLOCK_ROWS, NEIGHBOURS, SPREAD, Cells, distances, join_blocks, nearest_neighbours, partition, row_slices, sized_blocks, stack
+from cairnflow.operators.blocks import (
+    BLOCK_ROWS,
+    NEIGHBOURS,
+    PACKED,
+    SPREAD,
+    Cells,
+    NearestRows,
+    best_of,
+    distances,
+    join_blocks,
+    nearest_neighbours,
+    ordered,
+    packing,
+    partition,
+    positions,
+    row_slices,
+    sized_blocks,
+    stack,
+)
 from cairnflow.session import materialize, materialize_counted
 from cairnflow.sources.scopes import positive_limit
 
@@ -32,7 +50,8 @@ PROBES = 64
 RERANK = 40
 # Blocks whose codes one group holds: 64 x 4096 rows of 16 bytes and an id are 6 MB.
 BUNDLE = 64
-ESTIMATES = "id long, neighbour long, estimate double"
+# Queries that one group of codes answers: the codes are sent once for each such share.
+QUERY_SHARE = 8_192
 
 
 def fit_centres(base: DataFrame, sample: int = SAMPLE, part: int = PART, steps: int = STEPS) -> list[np.ndarray]:
@@ -104,37 +123,63 @@ def probed(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
 
 
 def _estimates(centres: list[np.ndarray], rerank: int, part: int):
+    """The ``rerank`` rows of least estimate in the cells that each query visits.
+
+    An estimate is the squared distance to the row that a code stands for, so the block search finds the candidates.
+    """
+
     def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "neighbour": [], "estimate": []})
         if queries.empty or rows.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "estimate": []})
+            return none
         rows = rows.sort_values("place", kind="stable")
         left, ids = stack(queries["vector"]), rows["id"].to_numpy()
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+        right = np.concatenate([c[codes[:, k]] for k, c in enumerate(centres)], 1)
+        whole = np.isfinite(left).all(1)
+        if not whole.any() or not np.isfinite(right).all():
+            return none
+        left, queries = left[whole], queries[whole]
         tables = [distances(left[:, k * part : (k + 1) * part], c) ** 2 for k, c in enumerate(centres)]
         place, start = np.unique(rows["place"].to_numpy(), return_index=True)
         stop = np.append(start[1:], len(rows))
-        visited = np.stack([np.isin(place, near) for near in queries["places"]])
-        out_query, out_row, out_value = [], [], []
-        for some in row_slices(len(left), len(rows)):
-            if visited[some].all():
-                total = sum(t[some][:, codes[:, k]] for k, t in enumerate(tables))
-            else:
-                total = np.full((len(left[some]), len(rows)), np.inf)
-                for nth in np.flatnonzero(visited[some].any(0)):
-                    inside, asking = slice(start[nth], stop[nth]), np.flatnonzero(visited[some][:, nth])
-                    total[asking, inside] = sum(t[some][asking][:, codes[inside, k]] for k, t in enumerate(tables))
-            keep = min(rerank, len(rows))
-            best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
-            value = np.take_along_axis(total, best, 1)
-            row, nth = np.nonzero(np.isfinite(value))
-            out_query.append(queries["id"].to_numpy()[some][row])
-            out_row.append(ids[best[row, nth]])
-            out_value.append(value[row, nth])
-        return pd.DataFrame({"id": np.concatenate(out_query), "neighbour": np.concatenate(out_row), "estimate": np.concatenate(out_value)})
+        visited = np.stack([np.isin(place, near) for near in queries["places"]], 1)
+        groups = [(0, len(rows), None)] if visited.all() else list(zip(start.tolist(), stop.tolist(), visited))
+
+        def estimate(row: np.ndarray, column: np.ndarray) -> np.ndarray:
+            return sum(t[row, codes[column, k]] for k, t in enumerate(tables))
+
+        near = NearestRows(left, right, ids, min(rerank, len(rows)), estimate, groups=groups)
+        asked = queries["id"].to_numpy()
+        found = [(asked[row], ids[column], value) for row, column, value in near]
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*found)))))
 
     return kernel
 
 
+def exact_block(ids: np.ndarray, count: int) -> np.ndarray:
+    """The block that holds the vector of an id for the exact comparison."""
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(count)
+
+
+LISTS = "id long, cell int, block int, candidates array<long>"
+
+
+def _lists(count: int):
+    """A row per query and block with the candidates of that block."""
+
+    def by_block(ids: np.ndarray, rows: np.ndarray, neighbours: np.ndarray, _, __) -> pd.DataFrame:
+        block = exact_block(neighbours, count).astype(np.int64)
+        group = rows * count + block
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        lists = np.split(neighbours[order], start[1:])
+        ids, block = ids[order[start]], block[order[start]].astype("int32")
+        return pd.DataFrame({"id": ids, "cell": np.zeros(len(ids), "int32"), "block": block, "candidates": pd.Series(lists, dtype=object)})
+
+    return by_block
+
+
 def _measured(limit: int):
     """The nearest ``limit`` of each query's ``candidates``, compared exactly."""
 
@@ -153,10 +198,13 @@ def _measured(limit: int):
             at = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
             row = np.repeat(row, high - low)
             value = np.round(np.sqrt(((left[some][row] - right[at]) ** 2).sum(1)), 12)
-            order = np.lexsort((others[at], value, row))
-            row, at, value = row[order], at[order], value[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < limit
-            found.append((asked[some][row[kept]], others[at[kept]], value[kept]))
+            # What lies beyond the last of ``limit`` is not sorted.
+            counts = np.bincount(row, minlength=len(near))
+            table = np.full((len(near), max(limit, counts.max())), np.inf)
+            table[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = value
+            close = ~(value > np.partition(table, limit - 1, axis=1)[row, limit - 1])
+            row, at, value = ordered(row[close], at[close], value[close], others, limit)
+            found.append((asked[some][row], others[at], value))
         return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found)))))
 
     return kernel
@@ -185,19 +233,22 @@ def search_approximately(
         return asked.select(F.col("id").alias("query_id"), F.col("id").alias("item_id"), F.lit(1).alias("position"), F.lit(0.0).alias("distance")).limit(0)
     placed, cells = partition(base, block_rows, rows=count)
     centres = fit_centres(base, sample)
-    codes = materialize(coded(bundled(placed.select("id", "vector", "cell", "block"), cells), centres), "codes")
+    # Rows and queries without an id have no candidates: the exact search answers those.
+    codes = materialize(coded(bundled(placed.filter("id IS NOT NULL").select("id", "vector", "cell", "block"), cells), centres), "codes")
     wanted = limit * rerank
-    visits = probed(asked, cells, probes)
-    found = join_blocks(visits, codes, _estimates(centres, wanted, PART), ESTIMATES, block_rows, SPREAD)
-    order = Window.partitionBy("id").orderBy("estimate", "neighbour")
-    best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= wanted)
+    visits = probed(asked.filter("id IS NOT NULL"), cells, probes)
     size = sized_blocks(base, block_rows)
-    block = {"cell": F.lit(0), "block": F.pmod(F.xxhash64("neighbour"), F.lit(-(-count // size))).cast("int")}
-    lists = best.select("id", "neighbour").withColumns(block).groupBy("id", "cell", "block").agg(F.collect_list("neighbour").alias("candidates"))
-    rows = base.filter("id IS NOT NULL").withColumn("neighbour", F.col("id")).withColumns(block).drop("neighbour")
-    measured = join_blocks(lists.join(asked, "id"), rows, _measured(limit), NEIGHBOURS, size, SPREAD)
-    ranked = measured.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).filter(F.col("position") <= limit)
-    ranked = materialize(ranked, "approximate")
+    found = join_blocks(visits, codes, packing(_estimates(centres, wanted, PART)), PACKED, QUERY_SHARE if block_rows == BLOCK_ROWS else block_rows, SPREAD)
+    blocks = -(-count // size)
+    lists = materialize(best_of(found, wanted, _lists(blocks), LISTS), "candidates")
+
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(exact_block(ids.to_numpy(), blocks).astype("int32"))
+
+    rows = base.filter("id IS NOT NULL").withColumns({"cell": F.lit(0), "block": block_of("id")})
+    measured = join_blocks(lists.join(asked, "id"), rows, packing(_measured(limit)), PACKED, size, SPREAD)
+    ranked = materialize(best_of(measured, limit, positions, f"{NEIGHBOURS}, position int"), "approximate")
     answered = ranked.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(limit, count))
     short = asked.join(answered.select("id"), "id", "left_anti")
     rest = nearest_neighbours(short, base, limit, block_rows=block_rows).select("id", "neighbour", "distance", "position")

@@ -4,8 +4,9 @@ Base rows are assigned to the nearest of a bounded set of pivots (a sample of th
 cell that holds more than ``block_rows`` rows is split by id hash, so no group ever exceeds a block,
 whatever the data looks like. A query visits the block of its own cell first; what it finds there
 bounds how far away a better answer can be, and the triangle inequality then rules out every cell
-that lies further away. What remains is joined block by block: each block pair is one small matrix
-product that emits at most ``k`` rows per query. Nothing is dropped: pruning is exact.
+that lies further away. What remains is joined block by block: each block pair is a matrix product in
+tiles that a cache holds, in short floats first; what rounding leaves open is measured exactly. A visit
+gives one row per query, with at most ``k`` answers within its bound. Nothing is dropped: pruning is exact.
 
 Distances are Euclidean. Cosine searches run on unit vectors, where both orders agree.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.session import materialize
@@ -29,6 +30,10 @@ BLOCK_ROWS = 4096
 BLOCK_BYTES = 16 << 20
 # Entries of a distance table that a worker holds at once (16 MB, and a few copies of it).
 TABLE_ENTRIES = 1 << 21
+# Rows and columns of a tile of scores: 512 x 2048 x 4 B = 4 MB.
+TILE_ROWS, TILE_COLUMNS = 512, 2048
+# Answers that are sorted together where lists of them are merged.
+SORTED_ENTRIES = 1 << 17
 # A block's queries are cut into so many shares, for the sake of the cores, where shares of SHARE_ROWS allow it.
 SPREAD, SHARE_ROWS = 8, 1024
 # The pivots travel to every task, so their number is capped: 1024 x 384 x 8 B = 3 MB.
@@ -199,6 +204,7 @@ def join_blocks(
 
 
 NEIGHBOURS = "id long, neighbour long, distance double"
+PACKED = "id long, neighbours array<long>, distances array<double>"
 
 
 def k_smallest(
@@ -228,31 +234,269 @@ def k_smallest(
     return rows[kept], others[columns[kept]], values[kept]
 
 
+class Factors:
+    """Factors of a product that is the larger, the nearer two rows are, with what rounding may do to it.
+
+    For rows x of ``left`` and y of ``right``, both about the mean of ``right`` and scaled to length 1 at most, it is
+    x.y - y.y / 2, so y lies within t of x where it is (x.x - t^2) / 2 or more.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, dtype: type) -> None:
+        centre = right.mean(0)
+        self.left, own = self._of(left - centre, dtype)
+        self.right, other = self._of(right - centre, dtype)
+        self.scale = float(np.sqrt(max(own.max(), other.max()))) or 1.0
+        longest = np.sqrt(other.max()) / self.scale
+        self.left[:, :-1] /= self.scale
+        self.left[:, -1] = 1
+        self.right[:, :-1] /= self.scale
+        self.right[:, -1] = -other / (2 * self.scale**2)
+        self.squared = own / self.scale**2
+        # Values are rounded to 12 digits.
+        reach = np.sqrt(self.squared) * longest + longest**2 + self.squared
+        self.slack = (left.shape[1] + 16) * np.finfo(dtype).eps * reach + 4e-12 / self.scale
+
+    @staticmethod
+    def _of(rows: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        wide = np.empty((rows.shape[0], rows.shape[1] + 1), dtype)
+        wide[:, :-1] = rows
+        return wide, np.einsum("ij,ij->i", rows, rows)
+
+    def cut(self, part: np.ndarray | slice, distance: np.ndarray) -> np.ndarray:
+        """What the product of a row of ``left`` and any row within ``distance`` reaches."""
+        within = distance / self.scale * (1 + 1e-9) + 1e-11 / self.scale
+        return self._lowered((self.squared[part] - within**2) / 2 - self.slack[part])
+
+    def below(self, part: np.ndarray | slice, score: np.ndarray) -> np.ndarray:
+        """What a row reaches that may be as near as one of ``score``."""
+        return self._lowered(score - 2 * self.slack[part])
+
+    def _lowered(self, cut: np.ndarray) -> np.ndarray:
+        return np.nextafter(cut.astype(self.left.dtype), self.left.dtype.type(-np.inf))
+
+
+def comparable(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether all entries are finite and their squares neither overflow nor vanish in short floats."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        largest = max(np.abs(left).max(initial=0.0), np.abs(right).max(initial=0.0))
+    return bool(largest == 0.0 or 1e-15 < largest < 1e15)
+
+
+def ordered(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, others: np.ndarray, k: int):
+    """The first k of each row by (value, other id)."""
+    order = np.lexsort((others[columns], values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[kept], columns[kept], values[kept]
+
+
+def _merged_scores(kept: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The largest of ``kept`` and ``scores`` per row, as many as ``kept`` has."""
+    order = np.argsort(rows, kind="stable")
+    rows, scores = rows[order], scores[order]
+    counts = np.bincount(rows, minlength=len(kept))
+    more = np.full((len(kept), counts.max()), -np.inf, kept.dtype)
+    more[rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)] = scores
+    both = np.concatenate([kept, more], 1)
+    return np.partition(both, both.shape[1] - kept.shape[1], 1)[:, -kept.shape[1] :]
+
+
+class NearestRows:
+    """The ``k`` rows of ``right`` of least ``measure`` for each row of ``left``, ties by ``others``.
+
+    ``measure(rows, columns)`` has to grow with the distance, and to be it where there are ``limits`` beyond which nothing is
+    wanted. ``ids`` name rows that are not their own answer, and ``groups`` of (first column, last column, whether a row of ``left`` asks
+    there) restrict the search. Scores in short floats choose the candidates; rows whose candidates those cannot tell
+    apart are scored in long ones.
+    """
+
+    def __init__(self, left, right, others, k, measure, limits=None, ids=None, groups=None) -> None:
+        self.left, self.right, self.others, self.k, self.measure, self.limits = left, right, others, k, measure, limits
+        self.groups = [(0, len(right), None)] if groups is None else groups
+        self.factors: dict[type, Factors] = {}
+        self.same = (np.empty(0, np.int64),) * 2
+        if ids is not None:
+            order = np.argsort(others, kind="stable")
+            low, high = np.searchsorted(others, ids, sorter=order), np.searchsorted(others, ids, side="right", sorter=order)
+            row = np.repeat(np.arange(len(ids)), high - low)
+            column = order[np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+            equal = ids[row] == others[column]
+            self.same = row[equal], column[equal]
+
+    def __iter__(self):
+        """(row, column, value) of a tile of rows at a time, in order."""
+        for start in range(0, len(self.left), TILE_ROWS):
+            part = slice(start, min(start + TILE_ROWS, len(self.left)))
+            found = self._candidates(part, np.float32)
+            rows, columns = self._candidates(part, np.float64) if found is None else found
+            values = self.measure(rows, columns)
+            if self.limits is not None:
+                within = values <= self.limits[rows]
+                rows, columns, values = rows[within], columns[within], values[within]
+            yield ordered(rows, columns, values, self.others, self.k)
+
+    def _candidates(self, part: slice, dtype: type) -> tuple[np.ndarray, np.ndarray] | None:
+        if dtype not in self.factors:
+            self.factors[dtype] = Factors(self.left, self.right, dtype)
+        factors, n, k = self.factors[dtype], part.stop - part.start, self.k
+        kept = np.full((n, k), -np.inf, dtype)
+        cut = np.full(n, -np.inf, dtype) if self.limits is None else factors.cut(part, self.limits[part])
+        low, high = np.searchsorted(self.same[0], [part.start, part.stop])
+        same_row, same_column = self.same[0][low:high] - part.start, self.same[1][low:high]
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, dtype))]
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = tiles = 0
+
+        def settle() -> bool:
+            """Raise the cuts by what was found and drop what is below them; False where too much is left for ``dtype``."""
+            nonlocal kept, held, fresh, waiting, tiles
+            if waiting:
+                kept = _merged_scores(kept, *map(np.concatenate, zip(*fresh)))
+                np.maximum(cut, factors.below(part, kept.min(1)), out=cut)
+            fresh, waiting, tiles = [], 0, 0
+            rows, columns, scores = map(np.concatenate, zip(*held))
+            near = scores >= cut[rows]
+            rows, columns, scores = rows[near], columns[near], scores[near]
+            if len(rows) > 4 * n * k + 4096:
+                if dtype is np.float32:
+                    return False
+                values = self.measure(rows + part.start, columns)
+                order = np.lexsort((self.others[columns], values, rows))
+                order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < k]
+                rows, columns, scores = rows[order], columns[order], scores[order]
+            held = [(rows, columns, scores)]
+            return True
+
+        for first, last, asking in self.groups:
+            inside = np.arange(n) if asking is None else np.flatnonzero(asking[part])
+            if not len(inside):
+                continue
+            left = factors.left[part] if len(inside) == n else factors.left[part][inside]
+            for start in range(first, last, TILE_COLUMNS):
+                stop = min(start + TILE_COLUMNS, last)
+                table = left @ factors.right[start:stop].T
+                if len(same_row):
+                    here = (same_column >= start) & (same_column < stop)
+                    at = np.searchsorted(inside, same_row[here]).clip(max=len(inside) - 1)
+                    here = np.flatnonzero(here)[inside[at] == same_row[here]]
+                    table[np.searchsorted(inside, same_row[here]), same_column[here] - start] = -np.inf
+                # Rows that know too little for a cut take it from the whole tile.
+                new = np.isneginf(cut[inside])
+                if new.any():
+                    both = np.concatenate([kept[inside[new]], table[new]], 1)
+                    kept[inside[new]] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
+                    cut[inside[new]] = factors.below(part, kept.min(1))[inside[new]]
+                hit = np.flatnonzero(table >= cut[inside][:, None])
+                if len(hit):
+                    row, column = np.divmod(hit, stop - start)
+                    score = table.ravel()[hit]
+                    there = np.isfinite(score)
+                    row, column, score = row[there], column[there], score[there]
+                    held.append((inside[row], column + start, score))
+                    later = ~new[row]
+                    fresh.append((inside[row[later]], score[later]))
+                    waiting += len(fresh[-1][0])
+                tiles += 1
+                if (waiting >= n * k or (tiles >= 8 and len(held) > 1)) and not settle():
+                    return None
+        if not settle():
+            return None
+        rows, columns, _ = held[0]
+        return rows + part.start, columns
+
+
+def exact_distances(left: np.ndarray, right: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances by direct difference, rounded to 12 digits."""
+
+    def measure(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        values = np.empty(len(rows))
+        for start in range(0, len(rows), 65536):
+            part = slice(start, start + 65536)
+            values[part] = np.sqrt(((right[columns[part]] - left[rows[part]]) ** 2).sum(1))
+        return np.round(values, 12)
+
+    return measure
+
+
 def top_k_kernel(k: int, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k nearest rows of every query, within its ``bound`` where the queries have one."""
+
     def kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         left, right = stack(queries["vector"]), stack(rows["vector"])
         ids, others = queries["id"].to_numpy(), rows["id"].to_numpy()
         found = []
-        for part in row_slices(len(left), len(right)):
-            table = distances(left[part], right)
-            if exclude_self:
-                table[ids[part][:, None] == others[None, :]] = np.inf
-            row, other, value = k_smallest(table, left[part], right, others, k)
-            found.append((ids[part][row], other, value))
+        if comparable(left, right):
+            limits = queries["bound"].to_numpy(dtype=float) if "bound" in queries else None
+            near = NearestRows(left, right, others, min(k, len(right)), exact_distances(left, right), limits, ids if exclude_self else None)
+            found = [(ids[row], others[column], value) for row, column, value in near]
+        else:
+            for part in row_slices(len(left), len(right)):
+                table = distances(left[part], right)
+                if exclude_self:
+                    table[ids[part][:, None] == others[None, :]] = np.inf
+                row, other, value = k_smallest(table, left[part], right, others, k)
+                found.append((ids[part][row], other, value))
         return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found)))))
 
     return kernel
 
 
-def _best(candidates: DataFrame, k: int) -> DataFrame:
-    """The k nearest per query; a query has at most k candidates per visited block."""
-    nearest_first = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (
-        candidates.withColumn("position", F.row_number().over(nearest_first))
-        .filter(F.col("position") <= k)
-    )
+def packing(kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A kernel whose (id, neighbour, value) rows, those of a query in a row, come as one row per query, as ``PACKED``."""
+
+    def packed(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = kernel(queries, rows)
+        ids, neighbours, values = (found[c].to_numpy() for c in found.columns)
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
+        lists = [np.split(c, start[1:]) if len(start) else [] for c in (neighbours, values)]
+        return pd.DataFrame({"id": ids[start], "neighbours": pd.Series(lists[0], dtype=object), "distances": pd.Series(lists[1], dtype=object)})
+
+    return packed
+
+
+def best_of(packed: DataFrame, k: int, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """The k least of the answers that the ``PACKED`` rows of an id have together, by (distance, neighbour).
+
+    ``finish(ids, rows, neighbours, distances, places)`` makes rows of them; ``rows`` number the ids, which it sees whole.
+    """
+
+    def chosen(frame: pd.DataFrame):
+        counts = frame["neighbours"].map(len).to_numpy()
+        ids = frame["id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) & ~(pd.isna(ids[1:]) & pd.isna(ids[:-1]))])
+        number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ids)]))
+        # Whole ids at a time, as many as a core's cache can sort.
+        step = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(counts)[np.r_[first[1:], len(ids)] - 1] // SORTED_ENTRIES]))
+        for some in np.split(np.arange(len(ids)), first[step[1:]] if len(step) else []):
+            rows = np.repeat(number[some], counts[some])
+            neighbours, values = (np.concatenate(frame[c].iloc[some].to_numpy()) for c in ("neighbours", "distances"))
+            if number[some[-1]] - number[some[0]] + 1 < len(some):
+                order = np.lexsort((neighbours, values, rows))
+                rows, neighbours, values = rows[order], neighbours[order], values[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            near = place <= k
+            rows = rows[near]
+            yield finish(ids[first[rows]], rows, neighbours[near], values[near], place[near].astype("int32"))
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = frame["id"].iloc[-1:]
+            same = frame["id"].isna() if last.isna().all() else frame["id"] == last.iloc[0]
+            if not same.all():
+                yield from chosen(frame[~same])
+            held = frame[same]
+        if held is not None:
+            yield from chosen(held)
+
+    return packed.repartition("id").sortWithinPartitions("id").mapInPandas(run, schema)
+
+
+def positions(ids: np.ndarray, _, neighbours: np.ndarray, distances: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"id": ids, "neighbour": neighbours, "distance": distances, "position": places})
 
 
 def nearest_neighbours(
@@ -274,15 +518,17 @@ def nearest_neighbours(
     rows, cells = placed
     rows = rows.select("id", "vector", "cell", "block")
     points = queries.select("id", "vector")
-    kernel = top_k_kernel(k, exclude_self)
+    if max_distance is not None:
+        points = points.withColumn("bound", F.lit(float(max_distance)))
+    kernel = packing(top_k_kernel(k, exclude_self))
     first_visits = home_targets(points, cells)
-    first = join_blocks(first_visits, rows, kernel, NEIGHBOURS, block_rows, SPREAD)
+    first = join_blocks(first_visits, rows, kernel, PACKED, block_rows, SPREAD)
     if cells.block_count > 1:
         first = materialize(first, "first-visit")
         reach = first.groupBy("id").agg(
-            F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
+            F.when(F.sum(F.size("neighbours")) >= k, F.max(F.array_max("distances"))).otherwise(F.lit(float("inf"))).alias("bound")
         )
-        bounded = first_visits.join(reach, "id", "left").select(
+        bounded = first_visits.drop("bound").join(reach, "id", "left").select(
             "id",
             "vector",
             F.col("cell").alias("home_cell"),
@@ -294,8 +540,7 @@ def nearest_neighbours(
         again = with_targets(bounded, cells, "bound").filter(
             (F.col("cell") != F.col("home_cell")) | (F.col("block") != F.col("home_block"))
         )
-        rest = join_blocks(again.select("id", "vector", "cell", "block"), rows, kernel, NEIGHBOURS, block_rows, SPREAD)
+        rest = join_blocks(again.select("id", "vector", "bound", "cell", "block"), rows, kernel, PACKED, block_rows, SPREAD)
         first = first.unionByName(rest)
-    if max_distance is not None:
-        first = first.filter(F.col("distance") <= max_distance)
-    return _best(first, k)
+    found = best_of(first, k, positions, f"{NEIGHBOURS}, position int")
+    return found if max_distance is None else found.filter(F.col("distance") <= max_distance)

@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from cairnflow.functions import vectors
 from cairnflow.functions.text import counted_words
 from cairnflow.llm import lm_scoring
 from cairnflow.operators import approximate, blocks, classify, density
@@ -72,6 +74,103 @@ def test_a_query_goes_once_to_the_codes_of_all_its_cells(spark):
     assert all(home[n] in found[i][0].places for i, n in zip(got.id, got.neighbour))
 
 
+def plain_nearest(gaps, others, k):
+    return [[(int(others[c]), float(row[c])) for c in np.lexsort((others, row))[:k] if np.isfinite(row[c])] for row in gaps]
+
+
+def spread_out(kind):
+    rng = np.random.default_rng(4)
+    if kind == "lattice":
+        return rng.integers(0, 3, size=(700, 3)).astype(float), rng.integers(0, 3, size=(2500, 3)).astype(float)
+    if kind == "equal":
+        return np.ones((5, 4)), np.ones((2300, 4))
+    base = rng.normal(size=(2500, 6))
+    # Far from the origin, and nearer to each other than short floats can tell apart.
+    return (base[:600] * 1e-4 + 1e3, base * 1e-4 + 1e3) if kind == "far" else (base[:600] * 1e-5, np.vstack([base * 1e-5, [[9.0] * 6]]))
+
+
+@pytest.mark.parametrize("kind", ["lattice", "equal", "far", "near"])
+def test_tiles_of_scores_give_the_exact_answers(kind):
+    left, right = spread_out(kind)
+    others = np.random.default_rng(5).permutation(len(right)) + 10
+    gaps = np.round(np.sqrt(((left[:, None] - right[None]) ** 2).sum(2)), 12)
+    queries = pd.DataFrame({"id": others[: len(left)], "vector": list(left)})
+    rows = pd.DataFrame({"id": others, "vector": list(right)})
+    listed = lambda got: [list(zip(g.neighbour, g.distance)) for _, g in got.groupby(np.repeat(np.arange(len(left)), 7))]
+    assert listed(blocks.top_k_kernel(7, False)(queries, rows)) == plain_nearest(gaps, others, 7)
+    apart = np.where(queries.id.to_numpy()[:, None] == others[None], np.inf, gaps)
+    assert listed(blocks.top_k_kernel(7, True)(queries, rows)) == plain_nearest(apart, others, 7)
+
+
+def test_a_visit_gives_a_row_per_query_and_nothing_beyond_its_bound():
+    rng = np.random.default_rng(6)
+    queries, rows = frame(rng, 300, 5), frame(rng, 5000, 5)
+    gaps = np.round(np.sqrt(((np.stack(queries.vector)[:, None] - np.stack(rows.vector)[None]) ** 2).sum(2)), 12)
+    bound = np.sort(gaps, axis=1)[np.arange(300), np.arange(300) % 9]
+    got = blocks.packing(blocks.top_k_kernel(6, False))(queries.assign(bound=bound), rows)
+    assert got.id.tolist() == list(range(300))
+    assert [len(n) for n in got.neighbours] == [min(6, i % 9 + 1) for i in range(300)]
+    assert all((d <= b).all() for d, b in zip(got.distances, bound))
+
+
+def count_measured(monkeypatch, *modules):
+    measured = Counter()
+
+    def counting(left, right, direct=blocks.exact_distances):
+        measure = direct(left, right)
+        return lambda row, column: measured.update(pairs=len(row)) or measure(row, column)
+
+    for module in modules:
+        monkeypatch.setattr(module, "exact_distances", counting)
+    return measured
+
+
+def test_few_pairs_of_a_block_are_measured_one_by_one(monkeypatch):
+    rng = np.random.default_rng(7)
+    measured = count_measured(monkeypatch, blocks)
+    blocks.top_k_kernel(16, True)(frame(rng, 1000, 32), frame(rng, 20_000, 32))
+    assert 16 * 1000 <= measured["pairs"] < 40 * 1000
+
+
+def test_estimates_are_those_of_the_codes():
+    rng = np.random.default_rng(8)
+    asked = rng.normal(size=(70, 10))
+    centres = [rng.normal(size=(50, d)) for d in (4, 4, 2)]
+    codes = rng.integers(0, 50, size=(6000, 3)).astype(np.uint8)
+    rows = pd.DataFrame({"id": rng.permutation(6000), "code": [c.tobytes() for c in codes], "place": np.arange(6000) % 4})
+    queries = pd.DataFrame({"id": np.arange(70), "vector": list(asked), "places": [np.arange(4)[: 1 + i % 4] for i in range(70)]})
+    got = approximate._estimates(centres, 30, 4)(queries, rows)
+    parts = [blocks.distances(asked[:, 4 * k : 4 * k + 4], c) ** 2 for k, c in enumerate(centres)]
+    total = sum(t[:, codes[:, k]] for k, t in enumerate(parts))
+    total[(np.arange(6000) % 4)[None] > (np.arange(70) % 4)[:, None]] = np.inf
+    want = plain_nearest(total, rows.id.to_numpy(), 30)
+    assert [list(zip(g.neighbour, g.estimate)) for _, g in got.groupby("id")] == want
+
+
+def test_answers_of_several_visits_are_merged_by_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i) if i else None, rng.integers(0, 50, 6).tolist(), sorted(rng.integers(0, 4, 6).astype(float).tolist())) for i in rng.integers(0, 40, 300)]
+    packed = spark.createDataFrame(rows, blocks.PACKED).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = blocks.best_of(packed, 8, blocks.positions, f"{blocks.NEIGHBOURS}, position int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, near, gaps in rows:
+        want.setdefault(i, []).extend(zip(gaps, near))
+    found = {}
+    for r in sorted(got, key=lambda r: r.position):
+        found.setdefault(r.id, []).append((r.distance, r.neighbour))
+    assert found == {i: sorted(v)[:8] for i, v in want.items()}
+
+
+def test_a_unit_vector_takes_its_length_once(spark):
+    assert str(vectors.normalize(F.col("v"))).count("aggregate(") == 1
+    table = spark.createDataFrame([([3.0, 4.0],), ([0.0],), (None,), ([1.0, None],)], "v array<double>")
+    assert [r.u for r in table.select(vectors.normalize(F.col("v")).alias("u")).collect()] == [[0.6, 0.8], None, None, None]
+
+
 def test_words_are_counted_in_bounded_shares(spark):
     rows = [(i % 40 if i % 9 else None, "tool TOOL manual é1 " * (i % 5)) for i in range(200)] + [(500, None), (500, "")]
     table = spark.createDataFrame(rows, "id long, document_text string")
