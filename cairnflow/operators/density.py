@@ -22,12 +22,18 @@ from cairnflow.operators import hierarchy
 from cairnflow.operators.blocks import (
     BLOCK_ROWS,
     SPREAD,
+    TILE_COLUMNS,
+    TILE_ROWS,
     Cells,
+    Factors,
+    comparable,
     distances,
+    exact_distances,
     home_targets,
     join_blocks,
     k_smallest,
     nearest_neighbours,
+    ordered,
     partition,
     row_slices,
     sized_blocks,
@@ -132,7 +138,7 @@ OUTSIDE = "id long, neighbour long, w double, comp long, other long"
 
 
 def _outside_kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """For every query the nearest row of another component in mutual reachability."""
+    """For every query the nearest row of another component in mutual reachability, within its ``bound`` if it has one."""
     names = ["id", "neighbour", "w", "comp", "other"]
     if queries.empty or rows.empty:
         return pd.DataFrame({c: [] for c in names})
@@ -140,21 +146,72 @@ def _outside_kernel(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     core_l, core_r = queries["core"].to_numpy(), rows["core"].to_numpy()
     comp_l, comp_r = queries["comp"].to_numpy(), rows["comp"].to_numpy()
     asked, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
-    at = pd.Index(ids)
-    found = []
-    for part in row_slices(len(left), len(right)):
-        core, comp = core_l[part], comp_l[part]
-        table = np.maximum(np.maximum(distances(left[part], right), core[:, None]), core_r[None, :])
-        table[comp[:, None] == comp_r[None, :]] = np.inf
+    limits = queries["bound"].to_numpy(dtype=float) if "bound" in queries else np.full(len(left), INFINITE)
+    direct = exact_distances(left, right)
 
-        def floor(row, column, value, core=core):
-            return np.maximum(np.maximum(value, core[row]), core_r[column])
+    def measure(row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(direct(row, column), core_l[row]), core_r[column])
 
-        row, other, value = k_smallest(table, left[part], right, ids, 1, floor)
-        found.append((asked[part][row], other, value, comp[row], comp_r[at.get_indexer(other)]))
+    search = _nearest_outside if comparable(left, right) else _nearest_outside_by_tables
+    found = [(asked[row], ids[column], value, comp_l[row], comp_r[column]) for row, column, value in search(left, right, (core_l, core_r), (comp_l, comp_r), ids, limits, measure)]
     return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
 
+def _nearest_outside(left, right, cores, comps, ids, limits, measure):
+    """(row, column, value) of the nearest row of another component: a distance above the least value known is not measured."""
+    factors = {np.float32: Factors(left, right, np.float32)}
+    for start in range(0, len(left), TILE_ROWS):
+        part = slice(start, min(start + TILE_ROWS, len(left)))
+        comp, best = comps[0][part], limits[part].copy()
+        at = np.full(len(comp), -1)
+        for first in range(0, len(right), TILE_COLUMNS):
+            some = slice(first, min(first + TILE_COLUMNS, len(right)))
+            table = factors[np.float32].left[part] @ factors[np.float32].right[some].T
+            # Any row of another component bounds the answer of a query without a bound.
+            free = np.flatnonzero(np.isinf(best))
+            if len(free):
+                others = np.where(comp[free][:, None] == comps[1][some], -np.inf, table[free])
+                column = others.argmax(1)
+                free, column = free[others.max(1) > -np.inf], column[others.max(1) > -np.inf]
+                best[free] = measure(free + start, column + first)
+            for dtype in (np.float32, np.float64):
+                if dtype not in factors:
+                    factors[dtype] = Factors(left, right, dtype)
+                if dtype is np.float64:
+                    table = factors[dtype].left[part] @ factors[dtype].right[some].T
+                near = table >= factors[dtype].cut(part, best)[:, None]
+                near[np.isinf(best)] = False
+                if np.count_nonzero(near) > near.size // 16:
+                    near &= comp[:, None] != comps[1][some]
+                row, column = np.divmod(np.flatnonzero(near), near.shape[1])
+                apart = comp[row] != comps[1][some][column]
+                row, column = row[apart], column[apart] + first
+                if len(row) <= 8 * len(comp):
+                    break
+            if len(row):
+                value = measure(row + start, column)
+                within = value <= best[row]
+                row, column, value = ordered(row[within], column[within], value[within], ids, 1)
+                better = (at[row] < 0) | (value < best[row]) | (ids[column] < ids[at[row]])
+                row, column, value = row[better], column[better], value[better]
+                at[row], best[row] = column, value
+        row = np.flatnonzero(at >= 0)
+        yield row + start, at[row], best[row]
+
+
+def _nearest_outside_by_tables(left, right, cores, comps, ids, limits, measure):
+    """The same by tables of distances, for vectors beyond what short floats hold."""
+    by_id = np.argsort(ids, kind="stable")
+    places = np.argsort(by_id)
+    for part in row_slices(len(left), len(right)):
+        core = cores[0][part]
+        table = np.maximum(np.maximum(distances(left[part], right), core[:, None]), cores[1][None, :])
+        table[comps[0][part][:, None] == comps[1][None, :]] = np.inf
+        floor = lambda row, column, value, core=core: np.maximum(np.maximum(value, core[row]), cores[1][column])
+        row, place, value = k_smallest(table, left[part], right, places, 1, floor)
+        yield row + part.start, by_id[place], value
+
+
 def _pivot_edges(points: DataFrame, cells: Cells, cores: DataFrame, comps: DataFrame) -> DataFrame:
     """Real edges from points to pivots of other components: a cheap first bound per component."""
     ids = [int(i) for i in cells.pivot_ids]
@@ -398,8 +455,10 @@ def memberships(
     numbers = global_rank(lowest, [F.col("lowest").asc()], name="number")
     labelled = assigned.join(numbers, "chosen").select(F.col("id").alias("first"), (F.col("number") - 1).alias("label"), "probability")
     # Every copy gets the label of its folded point; a vector may have very many copies.
-    folded = distinct.select("vector", F.col("id").alias("first"), "copies")
-    originals = join_by_weight(points, folded, ["vector"], "copies", "id")
+    # Sorted by a hash first: whole vectors are compared only where two of those are equal.
+    digest = F.xxhash64("vector").alias("digest")
+    folded = distinct.select(digest, "vector", F.col("id").alias("first"), "copies")
+    originals = join_by_weight(points.select("id", digest, "vector"), folded, ["digest", "vector"], "copies", "id")
     return originals.join(labelled, "first", "left").select(
         "id", F.coalesce("label", F.lit(-1)).cast("int").alias("cluster_id"), F.coalesce("probability", F.lit(0.0)).alias("probability")
     )

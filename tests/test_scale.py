@@ -132,6 +132,39 @@ def test_few_pairs_of_a_block_are_measured_one_by_one(monkeypatch):
     assert 16 * 1000 <= measured["pairs"] < 40 * 1000
 
 
+def test_a_search_beyond_the_lists_measures_few_pairs_and_keeps_to_its_bound(monkeypatch):
+    rng = np.random.default_rng(7)
+    measured = count_measured(monkeypatch, density)
+    queries = frame(rng, 1000, 32, core=0.1, comp=np.arange(1000) % 3)
+    rows = frame(rng, 20_000, 32, core=0.2, comp=np.arange(20_000) % 3)
+    got = density._outside_kernel(queries, rows)
+    assert 1000 <= measured["pairs"] < 40 * 1000
+    gaps = blocks.distances(np.stack(queries.vector), np.stack(rows.vector))
+    gaps[queries.comp.to_numpy()[:, None] == rows.comp.to_numpy()[None]] = np.inf
+    assert got.neighbour.tolist() == gaps.argmin(1).tolist() and np.allclose(got.w, gaps.min(1), rtol=0, atol=1e-9)
+    half = got.w.median()
+    within = density._outside_kernel(queries.assign(bound=half), rows)
+    assert within.id.tolist() == got.id[got.w <= half].tolist()
+
+
+@pytest.mark.parametrize("kind", ["lattice", "equal", "far", "near"])
+def test_the_nearest_of_another_component_is_exact(kind):
+    left, right = spread_out(kind)
+    rng = np.random.default_rng(5)
+    others = rng.permutation(len(right)) + 10
+    core_l, core_r = rng.random(len(left)) * 1e-4, rng.random(len(right)) * 1e-4
+    comp_l, comp_r = rng.integers(0, 4, len(left)), rng.integers(0, 4, len(right))
+    values = np.round(np.sqrt(((left[:, None] - right[None]) ** 2).sum(2)), 12)
+    values = np.maximum(np.maximum(values, core_l[:, None]), core_r[None])
+    values[comp_l[:, None] == comp_r[None]] = np.inf
+    queries = pd.DataFrame({"id": np.arange(len(left)), "vector": list(left), "core": core_l, "comp": comp_l})
+    rows = pd.DataFrame({"id": others, "vector": list(right), "core": core_r, "comp": comp_r})
+    want = [n[0] for n in plain_nearest(values, others, 1)]
+    for given in (queries, queries.assign(bound=values.min(1))):
+        got = density._outside_kernel(given, rows)
+        assert list(zip(got.neighbour, got.w)) == want
+
+
 def test_estimates_are_those_of_the_codes():
     rng = np.random.default_rng(8)
     asked = rng.normal(size=(70, 10))
