@@ -50,8 +50,6 @@ PROBES = 64
 RERANK = 40
 # Blocks whose codes one group holds: 64 x 4096 rows of 16 bytes and an id are 6 MB.
 BUNDLE = 64
-# Queries that one group of codes answers: the codes are sent once for each such share.
-QUERY_SHARE = 8_192
 
 
 def fit_centres(base: DataFrame, sample: int = SAMPLE, part: int = PART, steps: int = STEPS) -> list[np.ndarray]:
@@ -122,6 +120,19 @@ def probed(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
     return reached.select(*queries.columns, places.alias("places"), F.element_at("_visit", 1).alias("cell"), F.lit(0).alias("block"))
 
 
+class Decoded:
+    """The vectors that codes stand for, a slice at a time."""
+
+    def __init__(self, codes: np.ndarray, centres: list[np.ndarray]) -> None:
+        self.codes, self.centres = codes, centres
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        return np.concatenate([c[self.codes[some, k]] for k, c in enumerate(self.centres)], 1)
+
+
 def _estimates(centres: list[np.ndarray], rerank: int, part: int):
     """The ``rerank`` rows of least estimate in the cells that each query visits.
 
@@ -135,21 +146,25 @@ def _estimates(centres: list[np.ndarray], rerank: int, part: int):
         rows = rows.sort_values("place", kind="stable")
         left, ids = stack(queries["vector"]), rows["id"].to_numpy()
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        right = np.concatenate([c[codes[:, k]] for k, c in enumerate(centres)], 1)
         whole = np.isfinite(left).all(1)
-        if not whole.any() or not np.isfinite(right).all():
+        if not whole.any() or not all(np.isfinite(c).all() for c in centres):
             return none
         left, queries = left[whole], queries[whole]
-        tables = [distances(left[:, k * part : (k + 1) * part], c) ** 2 for k, c in enumerate(centres)]
         place, start = np.unique(rows["place"].to_numpy(), return_index=True)
         stop = np.append(start[1:], len(rows))
         visited = np.stack([np.isin(place, near) for near in queries["places"]], 1)
         groups = [(0, len(rows), None)] if visited.all() else list(zip(start.tolist(), stop.tolist(), visited))
 
         def estimate(row: np.ndarray, column: np.ndarray) -> np.ndarray:
-            return sum(t[row, codes[column, k]] for k, t in enumerate(tables))
-
-        near = NearestRows(left, right, ids, min(rerank, len(rows)), estimate, groups=groups)
+            if not len(row):
+                return np.empty(0)
+            # The tables of a tile of queries only: those of all would be as large as the vectors.
+            first = int(row.min())
+            asking = left[first : int(row.max()) + 1]
+            tables = (distances(asking[:, k * part : (k + 1) * part], c) ** 2 for k, c in enumerate(centres))
+            return sum(t[row - first, codes[column, k]] for k, t in enumerate(tables))
+
+        near = NearestRows(left, Decoded(codes, centres), ids, min(rerank, len(rows)), estimate, groups=groups)
         asked = queries["id"].to_numpy()
         found = [(asked[row], ids[column], value) for row, column, value in near]
         return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*found)))))
@@ -238,7 +253,7 @@ def search_approximately(
     wanted = limit * rerank
     visits = probed(asked.filter("id IS NOT NULL"), cells, probes)
     size = sized_blocks(base, block_rows)
-    found = join_blocks(visits, codes, packing(_estimates(centres, wanted, PART)), PACKED, QUERY_SHARE if block_rows == BLOCK_ROWS else block_rows, SPREAD)
+    found = join_blocks(visits, codes, packing(_estimates(centres, wanted, PART)), PACKED, block_rows, SPREAD)
     blocks = -(-count // size)
     lists = materialize(best_of(found, wanted, _lists(blocks), LISTS), "candidates")
 

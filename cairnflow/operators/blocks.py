@@ -242,9 +242,11 @@ class Factors:
     """
 
     def __init__(self, left: np.ndarray, right: np.ndarray, dtype: type) -> None:
-        centre = right.mean(0)
-        self.left, own = self._of(left - centre, dtype)
-        self.right, other = self._of(right - centre, dtype)
+        # ``right`` is read in slices, for it may be decoded only then.
+        slices = [slice(start, start + BLOCK_ROWS) for start in range(0, len(right), BLOCK_ROWS)]
+        centre = sum(right[some].sum(0) for some in slices) / len(right)
+        self.left, own = self._of(left, [slice(start, start + BLOCK_ROWS) for start in range(0, len(left), BLOCK_ROWS)], centre, dtype)
+        self.right, other = self._of(right, slices, centre, dtype)
         self.scale = float(np.sqrt(max(own.max(), other.max()))) or 1.0
         longest = np.sqrt(other.max()) / self.scale
         self.left[:, :-1] /= self.scale
@@ -252,15 +254,18 @@ class Factors:
         self.right[:, :-1] /= self.scale
         self.right[:, -1] = -other / (2 * self.scale**2)
         self.squared = own / self.scale**2
-        # Values are rounded to 12 digits.
         reach = np.sqrt(self.squared) * longest + longest**2 + self.squared
-        self.slack = (left.shape[1] + 16) * np.finfo(dtype).eps * reach + 4e-12 / self.scale
+        # Values are rounded to 12 digits.
+        self.slack = (len(centre) + 16) * np.finfo(dtype).eps * reach + 4e-12 / self.scale
 
     @staticmethod
-    def _of(rows: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        wide = np.empty((rows.shape[0], rows.shape[1] + 1), dtype)
-        wide[:, :-1] = rows
-        return wide, np.einsum("ij,ij->i", rows, rows)
+    def _of(rows: np.ndarray, slices: list[slice], centre: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        wide, squares = np.empty((len(rows), len(centre) + 1), dtype), np.empty(len(rows))
+        for some in slices:
+            part = rows[some] - centre
+            wide[some, :-1] = part
+            squares[some] = np.einsum("ij,ij->i", part, part)
+        return wide, squares
 
     def cut(self, part: np.ndarray | slice, distance: np.ndarray) -> np.ndarray:
         """What the product of a row of ``left`` and any row within ``distance`` reaches."""

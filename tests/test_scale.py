@@ -178,6 +178,11 @@ def test_estimates_are_those_of_the_codes():
     total[(np.arange(6000) % 4)[None] > (np.arange(70) % 4)[:, None]] = np.inf
     want = plain_nearest(total, rows.id.to_numpy(), 30)
     assert [list(zip(g.neighbour, g.estimate)) for _, g in got.groupby("id")] == want
+    # Decoded in long floats, the rows have 41 MB, and the tables of all queries 39.
+    wide = [rng.normal(size=(256, 4)) for _ in range(16)]
+    many = pd.DataFrame({"id": np.arange(80_000), "code": [bytes(c) for c in rng.integers(0, 256, size=(80_000, 16)).astype(np.uint8)], "place": 0})
+    asking = frame(rng, 1200, 64, places=[np.zeros(1, int)] * 1200)
+    assert peak(lambda: approximate._estimates(wide, 20, 4)(asking, many)) < 80
 
 
 def test_answers_of_several_visits_are_merged_by_id(spark):
